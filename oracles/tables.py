@@ -4,7 +4,7 @@ MEASUREMENTS = """
 measurements AS (
   SELECT l_orderkey AS image_id,
     concat_ws('-', l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT),
-              strftime(l_shipdate, '%Y%m%d')) AS candidate_id,
+              datediff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) AS candidate_id,
     CASE l_orderkey % 6 WHEN 0 THEN 'LOSSLESS' WHEN 1 THEN 'QUALITY' WHEN 2 THEN 'BALANCED' WHEN 3 THEN 'MAXIMUM'
       WHEN 4 THEN 'WEB' ELSE 'EXTREME' END AS goal,
     CAST(floor(o_totalprice * 10) AS BIGINT) AS original_size,

@@ -17,7 +17,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _pick(index: Column, values: list) -> Column:
     """values[index] as a literal array lookup; index must be within range."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
+    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_orderkey").alias("image_id"),
             F.concat_ws(
                 "-", "l_linenumber", "l_partkey", "l_suppkey",
-                F.round(F.col("l_extendedprice") * 100).cast("long"), F.date_format("l_shipdate", "yyyyMMdd"),
+                F.round(F.col("l_extendedprice") * 100).cast("long"), F.unix_date(F.col("l_shipdate").cast("date")),
             ).alias("candidate_id"),
             _pick(
                 F.col("l_orderkey") % 6, ["LOSSLESS", "QUALITY", "BALANCED", "MAXIMUM", "WEB", "EXTREME"]

@@ -34,7 +34,7 @@ def clamp(value: Column, low: float, high: float) -> Column:
 def percentage_saved(original: Column, output: Column) -> Column:
     """Signed saving in percent, 0 when the original is empty."""
     saved = (original - output).cast("double")
-    return F.when(original == 0, F.lit(0.0)).otherwise(F.lit(100.0) * saved / original.cast("double"))
+    return F.coalesce(F.try_divide(F.lit(100.0) * saved, original.cast("double")), F.lit(0.0))
 
 
 def result_metrics(original: Column, output: Column, elapsed_ms: Column) -> dict[str, Column]:
@@ -74,23 +74,24 @@ def photo_sensitive(probe_ssim: Column, photo_like: Column) -> Column:
     return F.coalesce(probe_ssim < PHOTO_PROBE_SSIM, photo_like)
 
 
-def _banded(quality: Column, bands: list[tuple[int, float]]) -> Column:
-    expr = F.lit(bands[-1][1])
-    for lower, value in reversed(bands[:-1]):
-        expr = F.when(quality >= lower, F.lit(value)).otherwise(expr)
-    return expr
+def _curve(bands: list[tuple[int, float]]) -> list[float]:
+    """One value per five quality points, 0 to 100."""
+    return [next(value for lower, value in bands if q >= lower) for q in range(0, 101, 5)]
 
 
 def estimated_quality(fmt: Column, quality: Column, sensitive: Column) -> Column:
-    """Conservative quality for an unmeasured lossy output."""
-    q = F.coalesce(quality, F.lit(ASSUMED_QUALITY))
-    return (
-        F.when((fmt == "AVIF") & sensitive, _banded(q, ESTIMATED_QUALITY["AVIF photo"]))
-        .when(fmt == "AVIF", _banded(q, ESTIMATED_QUALITY["AVIF other"]))
-        .when(fmt == "WEBP", _banded(q, ESTIMATED_QUALITY["WEBP"]))
-        .when(fmt == "JPEG", _banded(q, ESTIMATED_QUALITY["JPEG"]))
-        .otherwise(F.lit(ESTIMATED_QUALITY_OTHER))
+    """Conservative quality for an unmeasured lossy output.
+
+    A lookup in one literal array instead of nested conditions keeps the generated code small enough to be
+    compiled.
+    """
+    curves = [_curve(bands) for bands in ESTIMATED_QUALITY.values()]
+    flat = F.array(*[F.lit(v) for curve in curves for v in curve])
+    row = (
+        F.when(fmt == "AVIF", F.when(sensitive, 0).otherwise(1)).when(fmt == "WEBP", 2).when(fmt == "JPEG", 3)
     )
+    step = F.floor(F.coalesce(quality, F.lit(ASSUMED_QUALITY)) / 5).cast("int")
+    return F.coalesce(F.get(flat, row * len(curves[0]) + step), F.lit(ESTIMATED_QUALITY_OTHER))
 
 
 def format_preference(fmt: Column, preferred: Column) -> Column:
@@ -101,42 +102,34 @@ def format_preference(fmt: Column, preferred: Column) -> Column:
 
 
 def compression_score(saved_ratio: Column) -> Column:
-    """Logarithmic reward for savings; a linear remainder, scaled down, when nothing was saved."""
-    return F.when(saved_ratio <= 0, F.greatest(1.0 + saved_ratio, F.lit(0.0)) * 0.3).otherwise(
+    """Logarithmic reward for savings; a linear remainder, scaled down, when nothing was saved (ratio >= -0.5)."""
+    return F.when(saved_ratio <= 0, (1.0 + saved_ratio) * 0.3).otherwise(
         F.log10(saved_ratio * 9.0 + 1.0)
     )
 
 
 def speed_score(estimated_cost_ms: Column) -> Column:
-    return F.when(estimated_cost_ms > 0, clamp(1.0 - estimated_cost_ms / 5000.0, 0.0, 1.0)).otherwise(F.lit(1.0))
+    return F.when(estimated_cost_ms > 0, F.greatest(1.0 - estimated_cost_ms / 5000.0, F.lit(0.0))).otherwise(F.lit(1.0))
 
 
 def marginal_saving_penalty(saved: Column, is_lossless: Column) -> Column:
     """Factor below 1 for lossy outputs that save under 20 %. ``saved`` is the unclamped ratio."""
     return (
-        F.when(is_lossless, F.lit(1.0))
-        .when(saved < 0.10, clamp(F.lit(0.5) + saved * 5.0, 0.5, 1.0))
-        .when(saved < 0.20, clamp(F.lit(0.7) + (saved - 0.10) * 3.0, 0.7, 1.0))
-        .otherwise(F.lit(1.0))
+        F.when(is_lossless | (saved >= 0.20), F.lit(1.0))
+        .when(saved < 0.10, F.greatest(F.lit(0.5) + saved * 5.0, F.lit(0.5)))
+        .otherwise(F.lit(0.7) + (saved - 0.10) * 3.0)
     )
 
 
-def final_score(
-    quality: Column,
-    saved_percent: Column,
-    cost_ms: Column,
-    fmt: Column,
-    is_lossless: Column,
-) -> Column:
-    """Weighted score over a row that carries the goal's weight columns."""
-    wq, wc, ws = F.col("quality_weight"), F.col("compression_weight"), F.col("speed_weight")
+def final_score(quality: Column, saved_percent: Column, cost_ms: Column, is_lossless: Column) -> Column:
+    """Weighted score over a row that carries the terms of its goal (``goal_terms``)."""
     ratio = clamp(saved_percent / 100.0, -0.5, 1.0)
-    total = wq + wc + ws
-    weighted = quality * wq + compression_score(ratio) * wc + speed_score(cost_ms) * ws
-    base = weighted / F.when(total > 0, total).otherwise(F.lit(1.0))
-    preference = format_preference(fmt, F.col("preferred_formats")) * F.col("compatibility_weight") * 0.05
-    bonus = F.when(ratio >= 0.80, clamp((ratio - 0.80) / 0.20, 0.0, 1.0) * 0.20).otherwise(F.lit(0.0))
-    return clamp(base + preference + bonus, 0.0, 1.2) * marginal_saving_penalty(saved_percent / 100.0, is_lossless)
+    weighted = (
+        quality * F.col("wq") + compression_score(ratio) * F.col("wc") + speed_score(cost_ms) * F.col("ws")
+    ) / F.col("wsum")
+    bonus = F.greatest((ratio - 0.80) / 0.20, F.lit(0.0)) * 0.20
+    raw = clamp(weighted + F.col("preference") + bonus, 0.0, 1.2)
+    return raw * marginal_saving_penalty(saved_percent / 100.0, is_lossless)
 
 
 def valid_weights() -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sizewise.functions.scoring import DOMINANCE_EPSILON
-from sizewise.operators.skew import prefix_max, split_hot
+from sizewise.operators.skew import per_group, prefix_max
 
 
 def _is_dominated(quality: Column, smaller: Column, same: Column) -> Column:
@@ -45,7 +45,10 @@ def mark_dominated(
 ) -> DataFrame:
     """Add ``dominated``. Only eligible rows dominate or are dominated."""
     eligible = F.lit(True) if eligible is None else eligible
-    ordinary, large = split_hot(df, [key], **hot)
-    plain = mark_dominated_small(ordinary, key, size, quality, eligible)
-    digits = mark_dominated_hot(large, key, size, quality, eligible)
-    return plain.unionByName(digits)
+    return per_group(
+        df,
+        [key],
+        lambda rows: mark_dominated_small(rows, key, size, quality, eligible),
+        lambda rows: mark_dominated_hot(rows, key, size, quality, eligible),
+        **hot,
+    )

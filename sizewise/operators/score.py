@@ -1,83 +1,112 @@
-"""Scoring: measurements joined with their goal, gated, scored."""
+"""Scoring: measurements joined with their goal, gated, scored.
+
+The expressions are kept small on purpose. Spark compiles one stage to one method, and the JVM does not optimize
+a method beyond 8000 bytes of code; everything that depends on the goal alone is therefore computed on the
+small goal table before the join.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sizewise.dims import GOAL_COLUMNS, goals_table
+from sizewise.dims import FORMATS, goals_table
 from sizewise.functions import scoring as S
 
+# What scoring needs to know about a measured candidate.
 MEASUREMENT_COLUMNS = [
     "image_id", "candidate_id", "goal", "original_size", "output_size", "format", "lossless", "iterative",
     "quality", "success", "ssim", "psnr", "mse", "perceptual", "estimated_cost_ms", "photo_like",
     "lossy_probe_ssim",
 ]
+GOAL_TERMS = ["goal_valid", "gate", "min_quality", "gate_limit", "wq", "wc", "ws", "wsum", "preference"]
 
 
-def with_goal(measurements: DataFrame, goals: DataFrame | None = None) -> DataFrame:
-    """Attach the goal's weights. User-defined goals are rows of ``goals``; the join side is left to Spark,
-    since only the built-in table has a known size."""
-    table = goals_table(measurements.sparkSession) if goals is None else goals
-    return measurements.join(table.select(*GOAL_COLUMNS), "goal", "left")
+def goal_terms(goals: DataFrame) -> DataFrame:
+    """One row per goal and format with every term of the score that does not depend on the candidate."""
+    formats = F.array(*[F.lit(f[0]) for f in FORMATS], F.lit("UNKNOWN"))
+    total = F.col("quality_weight") + F.col("compression_weight") + F.col("speed_weight")
+    return goals.select("*", F.explode(formats).alias("format")).select(
+        "goal",
+        "format",
+        F.coalesce(S.valid_weights(), F.lit(False)).alias("goal_valid"),
+        F.col("perceptual_gate").alias("gate"),
+        F.col("min_quality_threshold").alias("min_quality"),
+        F.col("perceptual_target").alias("gate_limit"),
+        F.col("quality_weight").alias("wq"),
+        F.col("compression_weight").alias("wc"),
+        F.col("speed_weight").alias("ws"),
+        F.when(total > 0, total).otherwise(F.lit(1.0)).alias("wsum"),
+        (
+            S.format_preference(F.col("format"), F.col("preferred_formats")) * F.col("compatibility_weight") * 0.05
+        ).alias("preference"),
+    )
 
 
-def score_measurements(
+def gate_measurements(
     measurements: DataFrame, goals: DataFrame | None = None, max_output_size: int | None = None
 ) -> DataFrame:
-    """Add qualities, gate verdict and score to each measured candidate.
+    """Join the goal, add the qualities and the verdict of the gates.
 
-    ``stage`` and ``reason`` are NULL for accepted rows. ``score`` is NULL for rejected ones.
-    ``front_quality`` is the quality used for dominance, which ignores how the candidate was found.
+    ``stage`` and ``reason`` are NULL for accepted rows. ``front_quality`` is the quality used for dominance,
+    which ignores how the candidate was found. User-defined goals are rows of ``goals``; how that side is joined
+    is left to Spark, since only the built-in table has a known size.
     """
-    rows = with_goal(measurements, goals)
-    is_lossless = F.col("lossless") | F.coalesce(F.col("mse") == 0.0, F.lit(False))
+    table = goal_terms(goals_table(measurements.sparkSession) if goals is None else goals)
+    rows = measurements.join(table, ["goal", "format"], "left")
+    lossless, ssim, perceptual = F.col("is_lossless"), F.col("ssim"), F.col("perceptual")
     sensitive = S.photo_sensitive(F.col("lossy_probe_ssim"), F.col("photo_like"))
-    measured = F.col("ssim").isNotNull()
     estimate = S.estimated_quality(F.col("format"), F.col("quality"), sensitive)
-    rows = rows.withColumn("is_lossless", is_lossless).withColumn(
+    rows = rows.withColumn(
+        "is_lossless", F.col("lossless") | F.coalesce(F.col("mse") == 0.0, F.lit(False))
+    ).withColumn(
         "front_quality",
-        F.when(F.col("is_lossless"), F.lit(1.0))
-        .when(measured, S.normalized_quality(F.col("ssim"), F.col("psnr"), F.col("perceptual")))
-        .otherwise(estimate),
+        F.when(lossless, F.lit(1.0))
+        .when(ssim.isNull(), estimate)
+        .otherwise(S.normalized_quality(ssim, F.col("psnr"), perceptual)),
     )
+    found_by_search = ~lossless & F.col("iterative") & ssim.isNotNull()
     rows = rows.withColumn(
         "quality_score",
-        F.when(
-            ~F.col("is_lossless") & measured & F.col("iterative"),
-            S.search_quality(F.col("ssim"), F.col("perceptual")),
-        ).otherwise(F.col("front_quality")),
+        F.when(found_by_search, S.search_quality(ssim, perceptual)).otherwise(F.col("front_quality")),
     )
-    gate, searched = F.col("perceptual_gate"), F.col("iterative")
-    structural = F.when(gate, F.coalesce("ssim", "quality_score")).otherwise(F.col("quality_score"))
+    structural = F.when(F.col("gate"), F.coalesce(ssim, "quality_score")).otherwise(F.col("quality_score"))
     threshold = (
-        F.when(gate, S.PERCEPTUAL_FLOOR_SSIM)
-        .when(searched, S.SEARCH_FLOOR_SSIM)
-        .otherwise(F.col("min_quality_threshold"))
+        F.when(F.col("gate"), S.PERCEPTUAL_FLOOR_SSIM)
+        .when(F.col("iterative"), S.SEARCH_FLOOR_SSIM)
+        .otherwise(F.col("min_quality"))
     )
-    limit = F.when(searched, S.SEARCH_PERCEPTUAL_LIMIT).otherwise(F.col("perceptual_target"))
-    lossy = ~F.col("is_lossless")
-    too_large = F.lit(False) if max_output_size is None else F.col("output_size") > max_output_size
+    limit = F.when(F.col("iterative"), S.SEARCH_PERCEPTUAL_LIMIT).otherwise(F.col("gate_limit"))
+    reason = F.when(~F.col("success"), "backend_error")
+    if max_output_size is not None:
+        reason = reason.when(F.col("output_size") > max_output_size, "output_too_large")
     reason = (
-        F.when(~F.col("success"), "backend_error")
-        .when(too_large, "output_too_large")
-        .when(~F.coalesce(S.valid_weights(), F.lit(False)), "invalid_goal")
-        .when(lossy & (structural < threshold - S.QUALITY_TOLERANCE), "below_quality")
-        .when(lossy & gate & (F.col("perceptual") > limit + S.PERCEPTUAL_TOLERANCE), "perceptual_limit")
+        reason.when(~F.coalesce("goal_valid", F.lit(False)), "invalid_goal")
+        .when(lossless, None)
+        .when(structural < threshold - S.QUALITY_TOLERANCE, "below_quality")
+        .when(F.col("gate") & (perceptual > limit + S.PERCEPTUAL_TOLERANCE), "perceptual_limit")
     )
-    saved = S.percentage_saved(F.col("original_size"), F.col("output_size"))
+    stage = F.when(F.col("reason").isin("backend_error", "output_too_large"), "failed").when(
+        F.col("reason").isNotNull(), "score"
+    )
+    return rows.withColumn("reason", reason).withColumn("stage", stage)
+
+
+def add_score(gated: DataFrame) -> DataFrame:
+    """Score of the accepted rows, NULL for the others; the goal's terms are dropped."""
     score = S.final_score(
-        F.col("quality_score"), F.col("percentage_saved"), F.col("estimated_cost_ms"), F.col("format"),
-        F.col("is_lossless"),
+        F.col("quality_score"), F.col("percentage_saved"), F.col("estimated_cost_ms"), F.col("is_lossless")
     )
+    saved = S.percentage_saved(F.col("original_size"), F.col("output_size"))
     return (
-        rows.withColumn("reason", reason)
-        .withColumn(
-            "stage",
-            F.when(F.col("reason").isin("backend_error", "output_too_large"), "failed").when(
-                F.col("reason").isNotNull(), "score"
-            ),
-        )
-        .withColumn("percentage_saved", saved)
+        gated.withColumn("percentage_saved", saved)
         .withColumn("score", F.when(F.col("reason").isNull(), score))
+        .drop(*GOAL_TERMS)
     )
+
+
+def score_measurements(
+    measurements: DataFrame, goals: DataFrame | None = None, max_output_size: int | None = None
+) -> DataFrame:
+    return add_score(gate_measurements(measurements, goals, max_output_size))
+

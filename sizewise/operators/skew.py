@@ -8,34 +8,55 @@ window partition ever holds more than ``2 ** DIGIT_BITS`` distinct positions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # A key is hot when it has more rows than both of these. The second bounds the number of hot keys, and thereby
-# the broadcast in ``split_hot``: no more than HOT_SHARE keys can each hold over 1/HOT_SHARE of the rows.
+# what ``split_hot`` brings to the driver: no more than HOT_SHARE keys can each hold over 1/HOT_SHARE of the rows.
 HOT_MIN_ROWS = 1_000_000
 HOT_SHARE = 65_536
 DIGIT_BITS = 12
 DIGIT_LEVELS = 4
 
 
-def split_hot(
-    df: DataFrame, keys: list[str], min_rows: int = HOT_MIN_ROWS, share: int = HOT_SHARE
-) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary groups and rows of hot groups. The two parts share no key and together are ``df``."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.select(F.sum("_n").alias("_total"))
+def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_MIN_ROWS, share: int = HOT_SHARE) -> DataFrame | None:
+    """The keys of hot groups as a local table of at most ``share`` rows, or None when there are none.
+
+    This runs one job now: a count per key over the key columns only. Knowing the answer keeps the plan of the
+    common case, no hot group at all, to a single window.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n").isNotNull())
+    total = counts.agg(F.sum("_n"))
     hot = counts.where((F.col("_n") > min_rows) & (F.col("_n") * share > total.scalar())).select(*keys)
-    hot = F.broadcast(hot)  # at most ``share`` keys
+    found = hot.collect()
+    return df.sparkSession.createDataFrame(found, hot.schema) if found else None
+
+
+def split_hot(df: DataFrame, keys: list[str], **hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary groups, and rows of hot groups or None. The parts share no key; together they are ``df``."""
+    found = hot_keys(df, keys, **hot)
+    if found is None:
+        return df, None
+    found = F.broadcast(found)  # at most ``share`` keys, see above
     same = reduce(lambda a, b: a & b, [F.col(f"_rows.{k}").eqNullSafe(F.col(f"_hot.{k}")) for k in keys])
-    rows, hot_keys = df.alias("_rows"), hot.alias("_hot")
-    return rows.join(hot_keys, same, "left_anti"), rows.join(hot_keys, same, "left_semi")
+    rows, large = df.alias("_rows"), found.alias("_hot")
+    return rows.join(large, same, "left_anti"), rows.join(large, same, "left_semi")
 
 
-def _digit(level: int) -> Column:
-    return F.shiftright(F.col("_pos"), DIGIT_BITS * level)
+def per_group(
+    df: DataFrame,
+    keys: list[str],
+    ordinary: Callable[[DataFrame], DataFrame],
+    large: Callable[[DataFrame], DataFrame],
+    **hot: int,
+) -> DataFrame:
+    """Apply the plain form to ordinary groups and the digit-wise form to hot ones."""
+    small_rows, hot_rows = split_hot(df, keys, **hot)
+    done = ordinary(small_rows)
+    return done if hot_rows is None else done.unionByName(large(hot_rows))
 
 
 def prefix_max(df: DataFrame, keys: list[str], position: str, value: str) -> DataFrame:
@@ -69,18 +90,21 @@ def previous_value(
     df: DataFrame, keys: list[str], position: str, tie: str, value: str, output: str, **hot: int
 ) -> DataFrame:
     """``value`` of the row just before, by position then tie, inside each key (a lag)."""
-    ordinary, large = split_hot(df, keys, **hot)
-    order = [F.col(position), F.col(tie)]
-    plain = ordinary.withColumn(output, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
-    # In a hot group, lag within one position and take the last value of the closest earlier position otherwise.
-    last = F.max(F.struct(position, tie, value))
-    before = prefix_max(large.groupBy(*keys, position).agg(last.alias("_last")), keys, position, "_last")
-    inside = Window.partitionBy(*keys, position).orderBy(tie)
-    digits = (
-        large.withColumn("_first", F.row_number().over(inside) == 1)
-        .withColumn("_lag", F.lag(value).over(inside))
-        .join(before, [*keys, position], "left")
-        .withColumn(output, F.when(F.col("_first"), F.col(f"prefix.{value}")).otherwise(F.col("_lag")))
-        .drop("_first", "_lag", "prefix")
-    )
-    return plain.unionByName(digits.select(*plain.columns))
+
+    def plain(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(output, F.lag(value).over(Window.partitionBy(*keys).orderBy(position, tie)))
+
+    def digits(rows: DataFrame) -> DataFrame:
+        # Lag within one position; the first row there takes the last value of the closest earlier position.
+        last = F.max(F.struct(position, tie, value))
+        before = prefix_max(rows.groupBy(*keys, position).agg(last.alias("_last")), keys, position, "_last")
+        inside = Window.partitionBy(*keys, position).orderBy(tie)
+        return (
+            rows.withColumn("_first", F.row_number().over(inside) == 1)
+            .withColumn("_lag", F.lag(value).over(inside))
+            .join(before, [*keys, position], "left")
+            .withColumn(output, F.when(F.col("_first"), F.col(f"prefix.{value}")).otherwise(F.col("_lag")))
+            .drop("_first", "_lag", "prefix")
+        )
+
+    return per_group(df, keys, plain, digits, **hot)

@@ -6,36 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sizewise.operators.dominance import mark_dominated_hot, mark_dominated_small
-from sizewise.operators.score import score_measurements
-from sizewise.operators.skew import split_hot
+from sizewise.operators.score import add_score, gate_measurements
+from sizewise.operators.skew import per_group
 
 # Columns of the winning candidate that travel with the decision.
 WINNER = ["candidate_id", "format", "quality", "lossless", "iterative", "output_size", "score", "is_lossless",
           "ssim", "psnr"]
 
 
-def annotate(measurements: DataFrame, goals: DataFrame | None = None, **hot: int) -> DataFrame:
-    """Scored measurements with ``dominated``, ``survives`` and ``beats_original``."""
-    ordinary, large = _annotated_parts(measurements, goals, None, **hot)
-    return ordinary.unionByName(large)
+def _annotate_with(mark, rows: DataFrame, goals: DataFrame | None, max_output_size: int | None) -> DataFrame:
+    accepted = F.col("reason").isNull()
+    gated = gate_measurements(rows, goals, max_output_size)
+    marked = mark(gated, "image_id", "output_size", "front_quality", accepted)
+    return add_score(marked).withColumn("survives", accepted & ~F.col("dominated")).withColumn(
+        "beats_original", F.col("survives") & (F.col("output_size") < F.col("original_size"))
+    )
 
 
-def _annotated_parts(
-    measurements: DataFrame, goals: DataFrame | None, max_output_size: int | None, **hot: int
-) -> tuple[DataFrame, DataFrame]:
-    accepted = F.col("reason").isNull()
-    parts = split_hot(measurements, ["image_id"], **hot)
-    marks = (mark_dominated_small, mark_dominated_hot)
-    done = []
-    for part, mark in zip(parts, marks):
-        scored = score_measurements(part, goals, max_output_size)
-        marked = mark(scored, "image_id", "output_size", "front_quality", accepted)
-        done.append(
-            marked.withColumn("survives", accepted & ~F.col("dominated")).withColumn(
-                "beats_original", F.col("survives") & (F.col("output_size") < F.col("original_size"))
-            )
-        )
-    return done[0], done[1]
+def annotate(
+    measurements: DataFrame, goals: DataFrame | None = None, max_output_size: int | None = None, **hot: int
+) -> DataFrame:
+    """Scored measurements with ``dominated``, ``survives`` and ``beats_original``."""
+    return per_group(
+        measurements,
+        ["image_id"],
+        lambda rows: _annotate_with(mark_dominated_small, rows, goals, max_output_size),
+        lambda rows: _annotate_with(mark_dominated_hot, rows, goals, max_output_size),
+        **hot,
+    )
 
 
 def _first(order: list[Column], condition: Column) -> Column:
@@ -44,7 +42,8 @@ def _first(order: list[Column], condition: Column) -> Column:
     return F.min(F.when(condition, F.struct(*order, payload.alias("row"))))["row"]
 
 
-def _decide_part(annotated: DataFrame) -> DataFrame:
+def choose(annotated: DataFrame) -> DataFrame:
+    """Aggregate annotated candidates to one decision per image."""
     beats, lossless = F.col("beats_original"), F.col("lossless")
     by_rank = [(-F.col("score")).alias("o1"), F.col("output_size").alias("o2"), F.col("candidate_id").alias("o3")]
     by_size = [F.col("output_size").alias("o1"), (-F.col("score")).alias("o2"), F.col("candidate_id").alias("o3")]
@@ -91,35 +90,38 @@ def decide(
     larger than the smallest lossy one. Ordinary images need one shuffle on ``image_id`` for dominance and
     choice together; hot images are pre-aggregated on the map side.
     """
-    ordinary, large = _annotated_parts(measurements, goals, max_output_size, **hot)
-    return _decide_part(ordinary).unionByName(_decide_part(large))
+    return per_group(
+        measurements,
+        ["image_id"],
+        lambda rows: choose(_annotate_with(mark_dominated_small, rows, goals, max_output_size)),
+        lambda rows: choose(_annotate_with(mark_dominated_hot, rows, goals, max_output_size)),
+        **hot,
+    )
 
 
-def runners_up(measurements: DataFrame, goals: DataFrame | None = None, **hot: int) -> DataFrame:
+def runners_up(annotated: DataFrame) -> DataFrame:
     """The next best candidate that also beats the original, the winner itself left out.
 
     ``row_number() <= 1`` becomes a per-task top-k before the shuffle, so a hot image sends few rows.
     """
-    rows = annotate(measurements, goals, **hot).where("beats_original")
     winners = (
-        decide(measurements, goals, **hot)
+        choose(annotated)
         .where(~F.col("kept_original"))
         .select("image_id", F.col("selected.candidate_id").alias("candidate_id"))
     )
-    others = rows.join(winners, ["image_id", "candidate_id"], "left_anti")
+    others = annotated.where("beats_original").join(winners, ["image_id", "candidate_id"], "left_anti")
     order = Window.partitionBy("image_id").orderBy(F.desc("score"), "output_size", "candidate_id")
     return others.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
 
 
-def rejections(measurements: DataFrame, goals: DataFrame | None = None, **hot: int) -> DataFrame:
-    """Every candidate that did not survive, with the stage and the reason."""
-    rows = annotate(measurements, goals, **hot)
-    columns = ["image_id", "candidate_id", "goal", "format", "stage", "reason"]
-    turned_down = rows.where(F.col("reason").isNotNull()).select(*columns)
-    dominated = (
-        rows.where("dominated")
-        .withColumn("stage", F.lit("front"))
-        .withColumn("reason", F.lit("dominated"))
-        .select(*columns)
+def rejections(annotated: DataFrame) -> DataFrame:
+    """Every measured candidate that did not survive, with the stage and the reason."""
+    dominated = F.col("dominated")
+    return annotated.where(~F.col("survives")).select(
+        "image_id",
+        "candidate_id",
+        "goal",
+        "format",
+        F.when(dominated, "front").otherwise(F.col("stage")).alias("stage"),
+        F.when(dominated, "dominated").otherwise(F.col("reason")).alias("reason"),
     )
-    return turned_down.unionByName(dominated)

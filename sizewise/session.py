@@ -19,6 +19,7 @@ def local_session(app_name: str = "sizewise", cores: str = "*", shuffle_partitio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SIZEWISE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
