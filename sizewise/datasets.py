@@ -314,3 +314,19 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("user_id") % 2 == 0, "engine").otherwise("frontend").alias("source"),
         F.col("props").alias("message"),
     )
+
+
+def tile_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RGBA rasters of 8 x 8 pixels, one per embedding vector, built inside the row."""
+
+    def byte(v: Column, k: float) -> Column:
+        value = F.least(F.greatest(F.round(128.0 + 300.0 * k * v.cast("double")), F.lit(0.0)), F.lit(255.0))
+        return F.lpad(F.hex(value.cast("long")), 2, "0")
+
+    cells = F.transform("embedding", lambda v: F.concat(byte(v, 1.0), byte(v, 0.5), byte(v, -0.5), F.lit("FF")))
+    return read(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("image_id"),
+        F.lit(8).alias("width"),
+        F.lit(8).alias("height"),
+        F.unhex(F.array_join(cells, "")).alias("raster"),
+    )

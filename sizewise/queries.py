@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sizewise import datasets as D
+from sizewise import dims
+from sizewise.functions import goals as goal_text
+from sizewise.functions import paths, text
+from sizewise.functions import profile as P
+from sizewise.functions import scoring as S
+from sizewise.operators import ladder, quality, sweep
+from sizewise.operators import pixels as pixel_ops
 from sizewise.operators.dominance import mark_dominated
 from sizewise.operators.score import score_measurements
+from sizewise.plans import candidates, jobs, reports, strategy
 from sizewise.plans import decide as decisions
+from sizewise.plans import profiles as profile_plan
+from sizewise.session import checkpoint_dir
+from sizewise.sources import codecs, files
+from sizewise.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,3 +77,577 @@ def pareto_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where(~F.col("dominated"))
         .select("image_id", "candidate_id", "output_size", _r("ssim"))
     )
+
+
+@query
+def result_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = D.measurements(spark, sf_dir).where("success")
+    original, output, ms = F.col("original_size"), F.col("output_size"), F.col("estimated_cost_ms")
+    rows = m.select("image_id", "candidate_id", "output_size", *[c.alias(n) for n, c in S.result_metrics(original, output, ms).items()], "estimated_cost_ms")
+    return rows.select(
+        "image_id", "candidate_id", "bytes_saved", _r("percentage_saved"), _r("compression_ratio"), _r("throughput_mbps"),
+        text.format_bytes(F.col("output_size")).alias("size_text"),
+        text.format_duration(F.col("estimated_cost_ms")).alias("duration_text"),
+        text.format_percent(F.col("percentage_saved")).alias("percent_text"),
+        text.reduction_band(F.col("percentage_saved")).alias("band"),
+    )
+
+
+@query
+def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = D.measurements(spark, sf_dir).where(F.col("ssim").isNotNull())
+    return m.groupBy(text.format_quality(F.col("ssim")).alias("quality_text")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def score_custom_goal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User-defined goals: one per customer segment, with weights from its accounts; a negative weight is invalid."""
+    weight = F.round(F.avg("c_acctbal") / 10000.0, 4)
+    goals = (
+        D.read(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(weight.alias("w"), F.count(F.lit(1)).alias("n"))
+        .select(
+            F.concat(F.lit("CUSTOM "), "c_mktsegment").alias("goal"), F.col("w").alias("quality_weight"),
+            F.lit(0.6).alias("compression_weight"),
+            F.when(F.col("c_mktsegment") == "MACHINERY", -0.1).otherwise(0.3).alias("speed_weight"),
+            F.lit(0.4).alias("compatibility_weight"), F.lit(0.7).alias("min_quality_threshold"),
+            F.lit(True).alias("allow_lossy"), F.array(F.lit("JPEG"), F.lit("PNG")).alias("preferred_formats"),
+            F.lit(8).alias("max_candidates"), F.lit(60000).alias("max_processing_time_ms"),
+            F.lit(1.5).alias("perceptual_target"), F.lit(False).alias("searches"), F.lit(False).alias("perceptual_gate"),
+            F.lit("RemoveSafe").alias("goal_metadata_mode"),
+        )
+    )
+    owners = D.read(spark, sf_dir, "orders").join(D.read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    owners = owners.select(F.col("o_orderkey").alias("image_id"), F.concat(F.lit("CUSTOM "), "c_mktsegment").alias("goal"))
+    m = D.measurements(spark, sf_dir).drop("goal").join(owners, "image_id")
+    return score_measurements(m, goals).select("image_id", "candidate_id", "goal", "stage", "reason", _r("score"))
+
+
+@query
+def runner_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    annotated = decisions.annotate(D.measurements(spark, sf_dir))
+    return decisions.runners_up(annotated).select("image_id", "candidate_id", "output_size", _r("score"))
+
+
+@query
+def rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    annotated = decisions.annotate(D.measurements(spark, sf_dir), max_output_size=3_000_000)
+    return decisions.rejections(annotated).select("image_id", "candidate_id", "stage", "reason")
+
+
+@query
+def rejection_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    annotated = decisions.annotate(D.measurements(spark, sf_dir))
+    return reports.rejection_rollup(decisions.rejections(annotated))
+
+
+@query
+def rejection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    annotated = decisions.annotate(D.measurements(spark, sf_dir))
+    return reports.rejection_counts(decisions.rejections(annotated))
+
+
+@query
+def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = D.measurements(spark, sf_dir)
+    totals = reports.batch_totals(decisions.decide(m))
+    elapsed = reports.batch_elapsed(m, F.col("estimated_cost_ms"))
+    return totals.select("*", elapsed.scalar().alias("total_processing_ms"))
+
+
+@query
+def outcome_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.outcome_partition(decisions.decide(D.measurements(spark, sf_dir)))
+
+
+@query
+def decision_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    annotated = decisions.annotate(D.measurements(spark, sf_dir))
+    return reports.explanations(decisions.choose(annotated), decisions.runners_up(annotated))
+
+
+@query
+def decision_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = decisions.decide(D.measurements(spark, sf_dir))
+    at, took = F.lit("2024-01-01T00:00:00Z"), F.col("n_candidates") * 100
+    auto = reports.decision_history(decided, "auto", at, took)
+    return auto.unionByName(reports.decision_history(decided, "queue", at, took))
+
+
+@query
+def metric_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates whose costly perceptual metric has to be computed."""
+    m = D.measurements(spark, sf_dir)
+    gated = m.withColumn("gate", F.col("goal") == "MAXIMUM").withColumn("is_lossless", F.col("lossless"))
+    needed = S.needs_perceptual_metric(F.col("is_lossless"), F.col("ssim"), F.col("perceptual"), F.col("gate"))
+    return gated.where(needed).select("image_id", "candidate_id", _r("ssim"))
+
+
+@query
+def encode_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.encodes_to_run(reports.encode_key(D.measurements(spark, sf_dir)))
+
+
+@query
+def encode_reuse_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = reports.encodes_to_run(reports.encode_key(D.measurements(spark, sf_dir)))
+    return reports.reuse_ratio(runs).select("hits", "misses", _r("hit_ratio"))
+
+
+@query
+def share_encodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate with the size measured once for its encode key."""
+    keyed = reports.encode_key(D.measurements(spark, sf_dir))
+    measured = keyed.groupBy("image_id", "encode_key").agg(
+        F.min_by("output_size", "candidate_id").alias("shared_size")
+    )
+    return reports.share_encodes(keyed, measured).select("image_id", "candidate_id", "encode_key", "shared_size")
+
+
+@query
+def first_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = D.measurements(spark, sf_dir)
+    return candidates.first_occurrences(m, ["image_id"], "candidate_id").select(
+        "image_id", "format", "quality", "lossless", "candidate_id", "n_occurrences"
+    )
+
+
+# Profiles, strategies and candidates ----------------------------------------------------------------------
+
+
+@query
+def classify_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = D.profiles(spark, sf_dir)
+    return p.select(
+        "image_id", "category", "pixel_count",
+        F.round(P.bytes_per_pixel(F.col("file_size"), F.col("pixel_count")), 6).alias("bytes_per_pixel"),
+        P.is_very_large(F.col("file_size")).alias("very_large"),
+        P.photo_like(F.col("category")).alias("photo_like"),
+        F.round(P.aspect_ratio(F.col("width"), F.col("height")), 6).alias("aspect_ratio"),
+        P.summary_line(F.col("format"), F.col("width"), F.col("height"), F.col("category"), F.col("complexity")).alias("summary"),
+    )
+
+
+@query
+def tag_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.profiles(spark, sf_dir).select("image_id", F.explode("characteristics").alias("tag"))
+
+
+def _strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    goals = F.array(*[F.lit(g[0]) for g in dims.GOALS])
+    return strategy.assign_search_space(D.requests(spark, sf_dir).withColumn("goal", F.explode(goals)))
+
+
+@query
+def assign_search_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every image under every goal."""
+    s = _strategies(spark, sf_dir)
+    levels = F.transform(
+        F.array_sort(F.map_entries("quality_ranges")),
+        lambda e: F.format_string("%s:%d-%d/%d", e["key"], e["value"]["low"], e["value"]["high"], e["value"]["step"]),
+    )
+    return s.select(
+        "image_id", "goal", F.concat_ws(",", "candidate_formats").alias("formats"), F.concat_ws(",", levels).alias("ranges"),
+        "include_lossy", "photo_sensitive", "metadata_mode", "keep_color_profile", "time_budget_ms", "blocked_reason",
+        F.col("resize.width").alias("resize_width"), F.col("resize.height").alias("resize_height"), "rationale",
+    )
+
+
+@query
+def generate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = candidates.generate_candidates(_strategies(spark, sf_dir))
+    return c.select(
+        "image_id", "goal", "position", "kind", F.col("target").alias("format"), "quality", "lossless", "label", "reason",
+        "applies", _r("effort"), "estimated_cost_ms",
+    )
+
+
+@query
+def prune_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many candidates each rule removes, by goal; files that are trivially small are not planned at all."""
+    planned, _ = candidates.split_trivial(_strategies(spark, sf_dir))
+    c = candidates.generate_candidates(planned)
+    return c.groupBy("goal", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def trivial_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.split_trivial(D.profiles(spark, sf_dir))[1]
+
+
+@query
+def resize_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("image_id")
+    p = D.profiles(spark, sf_dir)
+    size = strategy.target_size(
+        F.col("width"), F.col("height"),
+        F.when(k % 4 == 0, 640).cast("long"), F.when(k % 6 == 0, 480).cast("long"),
+        F.when(k % 5 == 0, 12.5 * (k % 9)), F.when(k % 3 == 0, 800).cast("long"), F.when(k % 7 == 0, 600).cast("long"),
+        F.when(k % 2 == 0, "Fit").when(k % 3 == 0, "Fill").otherwise("Stretch"),
+    )
+    return p.withColumn("s", size).select(
+        "image_id", "width", "height", F.col("s.width").alias("target_width"), F.col("s.height").alias("target_height")
+    )
+
+
+@query
+def adaptive_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    goals = F.array(*[F.struct(F.lit(g[0]).alias("goal"), F.lit(g[10]).alias("base")) for g in dims.GOALS])
+    rows = D.profiles(spark, sf_dir).withColumn("g", F.explode(goals))
+    target = P.adaptive_target(
+        F.col("g.base"), F.col("noise_estimate"), F.col("complexity"), F.col("dark_region_ratio"), F.col("edge_density")
+    )
+    return rows.select("image_id", "g.goal", F.round(target, 6).alias("target"))
+
+
+@query
+def format_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.format_usage(D.profiles(spark, sf_dir), dims.formats_table(spark))
+
+
+# Pixels ---------------------------------------------------------------------------------------------------
+
+
+def _stats(pixels: DataFrame) -> DataFrame:
+    return pixel_ops.pixel_stats(pixels).select(
+        "image_id", "n_pixels", _r("mean_luma"), _r("contrast"), _r("mean_saturation"), _r("dark_region_ratio"),
+        _r("bright_region_ratio"),
+    )
+
+
+@query
+def pixel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(D.pixels(spark, sf_dir))
+
+
+@query
+def strip_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same statistics over one pixel per line item."""
+    return _stats(D.strips(spark, sf_dir))
+
+
+@query
+def luma_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixel_ops.luma_histogram(D.strips(spark, sf_dir))
+
+
+@query
+def luma_histogram_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrays = pixel_ops.histogram_arrays(pixel_ops.luma_histogram(D.pixels(spark, sf_dir)))
+    return arrays.select("image_id", F.concat_ws(",", F.col("luma_bins").cast("array<string>")).alias("luma_bins"))
+
+
+@query
+def color_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = pixel_ops.pixel_stats(D.pixels(spark, sf_dir))
+    files = D.image_files(spark, sf_dir).select("image_id", "format")
+    model = P.color_model(F.col("format"), F.col("is_gray"), F.col("has_alpha"))
+    return files.join(stats, "image_id").select("image_id", model.alias("color_model"), "has_alpha", "soft_alpha")
+
+
+@query
+def neighbour_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixel_ops.neighbour_stats(D.pixels(spark, sf_dir)).select(
+        "image_id", "n_pairs", _r("complexity"), _r("compressibility"), _r("edge_density")
+    )
+
+
+@query
+def flat_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixel_ops.neighbour_stats(D.pixels(spark, sf_dir)).select("image_id", "flat_run_count")
+
+
+@query
+def preview_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest-neighbour previews of at most 6 pixels a side."""
+    sizes = D.image_files(spark, sf_dir).select("image_id", "width", "height")
+    return pixel_ops.preview(D.pixels(spark, sf_dir), sizes, 6).select("image_id", "x", "y", "r", "g", "b")
+
+
+@query
+def build_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = profile_plan.build_profiles(D.image_files(spark, sf_dir), D.pixels(spark, sf_dir))
+    return p.select(
+        "image_id", "format", "category", F.concat_ws(",", "characteristics").alias("tags"), "color_model", _r("mean_luma"),
+        _r("contrast"), _r("complexity"), _r("edge_density"), "flat_run_count", _r("flat_region_ratio"), _r("noise_estimate"),
+        _r("lossy_probe_ssim"), _r("lossy_probe_bpp"),
+    )
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Originals joined with a distorted copy, quantized to steps of 16."""
+    original = D.pixels(spark, sf_dir)
+    copy = original.select("image_id", "x", "y", *[sweep.quantized(c, F.lit(16)).alias(c) for c in ("r", "g", "b")], "a")
+    return quality.pair_pixels(original, copy)
+
+
+@query
+def mse_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = quality.mse_psnr(_pairs(spark, sf_dir))
+    finite = F.when(F.col("mse") > 0, F.round("psnr", 6))
+    return m.select("image_id", _r("mse"), finite.alias("psnr"), (F.col("mse") == 0).alias("is_lossless"))
+
+
+@query
+def ssim_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ssim_block(_pairs(spark, sf_dir)).select("image_id", _r("ssim"), "n_blocks")
+
+
+@query
+def ssim_gauss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ssim_gauss(_pairs(spark, sf_dir)).select("image_id", _r("ssim"), "n_windows")
+
+
+@query
+def ssim_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images cropped to 8 x 8 have no whole window; the general form falls back to the global similarity."""
+    pairs = _pairs(spark, sf_dir).where("x < 8 AND y < 8")
+    return quality.ssim(pairs).select("image_id", _r("ssim"))
+
+
+@query
+def evaluate_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two outputs per image, one declared lossless and one quantized, evaluated against the original."""
+    original = D.pixels(spark, sf_dir)
+    outputs = original.withColumn("candidate_id", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    outputs = outputs.select("image_id", "candidate_id", "x", "y", *[sweep.quantized(c, F.lit(32)).alias(c) for c in ("r", "g", "b")], "a")
+    listed = D.image_files(spark, sf_dir).select("image_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("candidate_id"))
+    listed = listed.withColumn("lossless", F.col("candidate_id") == "a")
+    e = quality.evaluate(listed, original, outputs)
+    finite = F.when(F.col("mse") > 0, F.round("psnr", 6))
+    return e.select("image_id", "candidate_id", _r("mse"), finite.alias("psnr"), _r("ssim"), "is_lossless")
+
+
+@query
+def quantize_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sweep.quantize_sweep(D.pixels(spark, sf_dir))
+    finite = F.when(F.col("mse") > 0, F.round("psnr", 6))
+    return s.select("image_id", "q", _r("mse"), finite.alias("psnr"), _r("ssim"))
+
+
+@query
+def rung_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sweep.rung_entropy(D.pixels(spark, sf_dir)).select("image_id", "q", _r("bits", 4), "n_pixels")
+
+
+@query
+def lossy_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sweep.lossy_probe(D.pixels(spark, sf_dir)).select("image_id", _r("lossy_probe_ssim"), _r("lossy_probe_bpp"))
+
+
+@query
+def ladder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ladder.ladder_scan(D.rungs(spark, sf_dir), 1.5)
+
+
+@query
+def ladder_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ladder.ladder_search(D.rungs(spark, sf_dir), 1.5).select(
+        "image_id", "q", "size", _r("damage"), "n_tried", "converged"
+    )
+
+
+@query
+def recompress_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smallest PNG of every raster over row filters and levels, written by the codec plug-in."""
+    return codecs.recompress_sweep(D.tile_rasters(spark, sf_dir))
+
+
+@query
+def png_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dimensions read back from the header of every encoded raster."""
+    encoded = codecs.consistent_sizes(codecs.encode(D.tile_rasters(spark, sf_dir), "png", [6], keep_bytes=True))
+    head = paths.png_header(F.col("content"))
+    return encoded.where("success").select("image_id", head.alias("h")).select("image_id", "h.width", "h.height", "h.raw_size")
+
+
+# Jobs and history -----------------------------------------------------------------------------------------
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.latest_status(D.job_events(spark, sf_dir))
+
+
+@query
+def latest_job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _jobs(spark, sf_dir).select("job_id", "event_id", "status", "original_size", "final_size", "processing_time_ms")
+
+
+@query
+def queue_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.queue_stats(_jobs(spark, sf_dir))
+
+
+@query
+def live_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live = jobs.live_stats(jobs.queue_stats(_jobs(spark, sf_dir)))
+    rounded = {"compression_percentage", "files_per_second"}
+    return live.select(*[_r(c) if c in rounded else F.col(c) for c in live.columns])
+
+
+@query
+def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.batch_summary(jobs.live_stats(jobs.queue_stats(_jobs(spark, sf_dir))))
+
+
+@query
+def job_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.job_alerts(D.job_events(spark, sf_dir)).select("job_id", "event_id")
+
+
+@query
+def job_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.job_outcome(D.job_events(spark, sf_dir))
+
+
+@query
+def retry_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.retry_jobs(_jobs(spark, sf_dir)).select(
+        "job_id", "attempt", "status", "original_size", "final_size", "processing_time_ms"
+    )
+
+
+@query
+def clear_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.clear_jobs(_jobs(spark, sf_dir)).select("job_id", "status")
+
+
+@query
+def recent_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.recent_jobs(_jobs(spark, sf_dir)).select("job_id", "status", "final_size")
+
+
+@query
+def job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = decisions.decide(D.measurements(spark, sf_dir))
+    r = jobs.job_results(_jobs(spark, sf_dir), decided)
+    return r.select("job_id", "status", "original_size", "final_size", "selected_format", "selected_quality", _r("percentage_saved"))
+
+
+@query
+def history_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.newest(D.history(spark, sf_dir)).select("id", "profile_name", "files_failed", "original_size", "output_size")
+
+
+@query
+def history_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.history_totals(D.history(spark, sf_dir))
+
+
+@query
+def recent_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.log_lines(reports.recent_logs(D.logs(spark, sf_dir)))
+
+
+# Requests, paths, content ---------------------------------------------------------------------------------
+
+
+@query
+def goal_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = D.goal_requests(spark, sf_dir).select(
+        "request_id", goal_text.resolve_goal(F.col("prompt")).alias("goal"),
+        goal_text.forced_format(F.col("force_format_text")).alias("force_format"),
+    )
+    weights = dims.goals_table(spark).select("goal", "max_candidates", F.concat_ws(",", "preferred_formats").alias("preferred"))
+    return r.join(weights, "goal").select("request_id", "goal", "force_format", "max_candidates", "preferred")
+
+
+@query
+def goals_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document and conversation turn read as a goal request."""
+    documents = D.read(spark, sf_dir, "documents").select("text")
+    turns = D.read(spark, sf_dir, "conversations").select("text")
+    goal = goal_text.goal_from_text(F.col("text"))
+    return documents.unionByName(turns).groupBy(goal.alias("goal")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def validate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    issue = paths.validation_issue(F.col("path"), F.col("length"), 4000)
+    return D.paths(spark, sf_dir).select("file_id", issue.alias("issue"))
+
+
+@query
+def output_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = paths.output_path(
+        F.col("path"), F.col("output_mode"), F.col("custom_folder"), F.col("preserve_structure"), F.col("template"),
+        F.col("target_extension"),
+    )
+    picked = F.when(F.col("file_id") % 3 == 0, "WEBP").when(F.col("file_id") % 3 == 1, "JPEG")
+    return D.paths(spark, sf_dir).withColumn("destination", out).select(
+        "file_id", "destination", text.basename(F.col("destination")).alias("name"),
+        paths.with_format_extension(F.col("destination"), picked).alias("final_path"),
+    )
+
+
+@query
+def enqueue_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    modes = ["Lossless", "quality", "Compress", "ExtremeLightweight", "other"]
+    mode = F.get(F.array(*[F.lit(m) for m in modes]), (F.col("file_id") % 5).cast("int"))
+    return jobs.enqueue(D.paths(spark, sf_dir), mode)
+
+
+@query
+def sniff_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.file_blobs(spark, sf_dir).select("file_id", paths.sniff_format(F.col("content")).alias("real_format"))
+
+
+@query
+def extension_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audit = files.extension_audit(D.file_blobs(spark, sf_dir))
+    return audit.select("file_id", "ext_format", "real_format", "matches", "renamed_path")
+
+
+@query
+def metadata_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.metadata_audit(D.tags(spark, sf_dir))
+
+
+@query
+def metadata_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.metadata_fleet(reports.metadata_audit(D.tags(spark, sf_dir)))
+
+
+# Streams: the same tables read as a stream, run until all available rows are processed ---------------------
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = D.read(spark, sf_dir, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return D.as_job_events(raw)
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+@query
+def stream_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _scratch(spark)
+    streams.stream_latest_status(_event_stream(spark, sf_dir), f"{base}/out", f"{base}/state").awaitTermination()
+    rows = streams.latest_epoch_rows(spark, f"{base}/out", "job_id")
+    return rows.select("job_id", "event_id", "status", "original_size", "final_size", "processing_time_ms")
+
+
+@query
+def stream_queue_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _scratch(spark)
+    streams.stream_queue_stats(
+        _event_stream(spark, sf_dir), f"{base}/jobs", f"{base}/stats", f"{base}/state"
+    ).awaitTermination()
+    stats = spark.read.parquet(f"{base}/stats")
+    payload = F.struct(*[c for c in stats.columns if c != "epoch"])
+    return stats.agg(F.max_by(payload, "epoch").alias("s")).select("s.*")
+
+
+@query
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _scratch(spark)
+    streams.stream_alerts(_event_stream(spark, sf_dir), f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("job_id", "event_id")
+
+
+@query
+def stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _scratch(spark)
+    streams.stream_outcomes(_event_stream(spark, sf_dir), f"{base}/out", f"{base}/state").awaitTermination()
+    return streams.latest_epoch_rows(spark, f"{base}/out", "job_id")
