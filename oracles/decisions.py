@@ -1,6 +1,6 @@
 """Oracle SQL for scoring, dominance, decisions and reports."""
 
-from oracles.tables import GOALS, MEASUREMENTS, with_tables
+from oracles.tables import GOALS, LATEST, MEASUREMENTS, with_tables
 
 
 def scored(goals: str = GOALS) -> str:
@@ -111,6 +111,24 @@ decided AS (
   LEFT JOIN annotated a ON a.image_id = i.image_id AND a.candidate_id = w.winner_id
 )"""
 
+CUSTOM_GOALS = """
+owned AS (
+  SELECT m.* EXCLUDE (goal), 'CUSTOM ' || c_mktsegment AS goal
+  FROM measurements m JOIN orders ON o_orderkey = image_id JOIN customer ON c_custkey = o_custkey
+),
+goals AS (
+  SELECT 'CUSTOM ' || c_mktsegment AS goal, round(avg(c_acctbal / CAST(10000 AS DOUBLE)), 4) AS wq, CAST(0.6 AS DOUBLE) AS wc,
+    CAST(CASE WHEN c_mktsegment = 'MACHINERY' THEN -0.1 ELSE 0.3 END AS DOUBLE) AS ws, CAST(0.4 AS DOUBLE) AS wk,
+    CAST(0.7 AS DOUBLE) AS minq, ['JPEG', 'PNG'] AS pref, CAST(1.5 AS DOUBLE) AS target, false AS gate
+  FROM customer GROUP BY c_mktsegment
+)"""
+
+KEYED = MEASUREMENTS + """,
+keyed AS (
+  SELECT *, format || '|' || coalesce(CAST(quality AS VARCHAR), '-') || '|' || CAST(lossless AS VARCHAR) AS encode_key
+  FROM measurements
+)"""
+
 SQL = {
     "decide": with_tables(DECIDED) + """
 SELECT image_id, goal, outcome, kept_original, preference_fired, original_size, final_size, candidate_id, format, quality,
@@ -129,4 +147,107 @@ WHERE NOT EXISTS (
   SELECT 1 FROM m b WHERE a.image_id = b.image_id AND (
     (b.output_size < a.output_size AND b.ssim >= a.ssim - CAST(2.220446049250313e-16 AS DOUBLE))
     OR (b.output_size <= a.output_size AND b.ssim > a.ssim + CAST(2.220446049250313e-16 AS DOUBLE))))""",
+    "result_metrics": with_tables(MEASUREMENTS) + """,
+m AS (
+  SELECT *, CAST(100 AS DOUBLE) * CAST(original_size - output_size AS DOUBLE) / original_size AS pct,
+    estimated_cost_ms // 1000 AS sec
+  FROM measurements WHERE success)
+SELECT image_id, candidate_id, greatest(original_size - output_size, 0) AS bytes_saved, round(pct, 6) AS percentage_saved,
+  round(output_size / CAST(original_size AS DOUBLE), 6) AS compression_ratio,
+  round((original_size / CAST(1048576 AS DOUBLE)) / (estimated_cost_ms / CAST(1000 AS DOUBLE)), 6) AS throughput_mbps,
+  CASE WHEN output_size < 1024 THEN output_size || ' B'
+    WHEN output_size < 1048576 THEN printf('%.1f KiB', output_size / CAST(1024 AS DOUBLE))
+    WHEN output_size < 1073741824 THEN printf('%.1f MiB', output_size / CAST(1048576 AS DOUBLE))
+    ELSE printf('%.1f GiB', output_size / CAST(1073741824 AS DOUBLE)) END AS size_text,
+  CASE WHEN estimated_cost_ms < 1000 THEN estimated_cost_ms || ' ms'
+    WHEN sec >= 3600 THEN (sec // 3600) || ':' || lpad(CAST((sec % 3600) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(sec % 60 AS VARCHAR), 2, '0')
+    ELSE (sec // 60) || ':' || lpad(CAST(sec % 60 AS VARCHAR), 2, '0') END AS duration_text,
+  printf('%.1f', round(pct, 1)) || '%' AS percent_text,
+  CASE WHEN pct >= 40 THEN 'high' WHEN pct >= 15 THEN 'medium' WHEN pct > 0 THEN 'low' ELSE 'none' END AS band
+FROM m""",
+    "quality_labels": with_tables(MEASUREMENTS) + """
+SELECT lpad(CAST(CAST(round(least(greatest(ssim, 0), 1) * 100) AS INTEGER) AS VARCHAR), 3, '0') AS quality_text, count(*) AS n
+FROM measurements WHERE ssim IS NOT NULL GROUP BY 1""",
+    "score_custom_goal": "WITH " + scored(CUSTOM_GOALS).replace("FROM measurements m LEFT JOIN goals g USING (goal)", "FROM owned m LEFT JOIN goals g USING (goal)") + """
+SELECT image_id, candidate_id, goal, stage, reason, round(score, 6) AS score FROM scored""",
+    "runner_up": with_tables(DECIDED) + """
+SELECT image_id, candidate_id, output_size, round(score, 6) AS score FROM (
+  SELECT a.*, row_number() OVER (PARTITION BY a.image_id ORDER BY a.score DESC, a.output_size, a.candidate_id) AS rn
+  FROM annotated a JOIN winners w ON a.image_id = w.image_id WHERE a.beats AND a.candidate_id <> w.winner_id)
+WHERE rn = 1""",
+    "rejections": (with_tables(ANNOTATED) + """
+SELECT image_id, candidate_id, CASE WHEN dominated THEN 'front' ELSE stage END AS stage,
+  CASE WHEN dominated THEN 'dominated' ELSE reason END AS reason
+FROM annotated WHERE NOT survives""").replace(
+        "WHEN wq < 0", "WHEN output_size > 3000000 THEN 'output_too_large' WHEN wq < 0"
+    ).replace("IN ('backend_error')", "IN ('backend_error', 'output_too_large')"),
+    "rejection_rollup": with_tables(ANNOTATED) + """,
+rej AS (SELECT goal, format, CASE WHEN dominated THEN 'dominated' ELSE reason END AS reason FROM annotated WHERE NOT survives)
+SELECT goal, format, reason, count(*) AS n, 0 AS level FROM rej GROUP BY goal, format, reason
+UNION ALL SELECT goal, format, NULL, count(*), 1 FROM rej GROUP BY goal, format
+UNION ALL SELECT goal, NULL, NULL, count(*), 2 FROM rej GROUP BY goal
+UNION ALL SELECT NULL, NULL, NULL, count(*), 3 FROM rej""",
+    "rejection_counts": with_tables(ANNOTATED) + """
+SELECT CASE WHEN dominated THEN 'front' ELSE stage END AS stage, CASE WHEN dominated THEN 'dominated' ELSE reason END AS reason,
+  count(*) AS n
+FROM annotated WHERE NOT survives GROUP BY 1, 2""",
+    "batch_totals": with_tables(DECIDED) + """
+SELECT count(*) AS total_files, count(*) FILTER (WHERE outcome = 'selected') AS succeeded,
+  count(*) FILTER (WHERE outcome = 'all_failed') AS failed,
+  count(*) FILTER (WHERE outcome IN ('all_rejected', 'nothing_smaller')) AS kept_original,
+  CAST(sum(original_size) AS BIGINT) AS total_original_bytes, CAST(sum(final_size) AS BIGINT) AS total_final_bytes,
+  (SELECT CAST(sum(estimated_cost_ms) AS BIGINT) FROM measurements) AS total_processing_ms
+FROM decided""",
+    "outcome_partition": with_tables(DECIDED) + """
+SELECT goal, outcome, count(*) AS images, CAST(sum(original_size) AS BIGINT) AS original_bytes,
+  CAST(sum(final_size) AS BIGINT) AS final_bytes
+FROM decided GROUP BY goal, outcome""",
+    "decision_text": with_tables(DECIDED) + """,
+nexts AS (
+  SELECT * FROM (
+    SELECT a.image_id, a.candidate_id AS next_id, a.score AS next_score,
+      row_number() OVER (PARTITION BY a.image_id ORDER BY a.score DESC, a.output_size, a.candidate_id) AS rn
+    FROM annotated a JOIN winners w ON a.image_id = w.image_id WHERE a.beats AND a.candidate_id <> w.winner_id)
+  WHERE rn = 1)
+SELECT d.image_id, CASE
+  WHEN outcome = 'selected' THEN concat_ws('; ',
+    format || ' ' || candidate_id || ' wins under ' || goal || ' with score ' || printf('%.4f', round(score, 4)),
+    final_size || ' of ' || original_size || ' bytes, '
+      || printf('%.1f', round(CAST(100 AS DOUBLE) * CAST(original_size - final_size AS DOUBLE) / original_size, 1)) || '% saved',
+    CASE WHEN is_lossless THEN 'lossless' WHEN ssim IS NULL THEN 'SSIM null' ELSE 'SSIM ' || printf('%.4f', round(ssim, 4)) END,
+    CASE WHEN preference_fired THEN 'lossless preferred at no extra size' END,
+    CASE WHEN next_id IS NOT NULL THEN 'next best ' || next_id || ' (' || printf('%.4f', round(next_score, 4)) || ')' END)
+  WHEN outcome = 'all_failed' THEN 'original kept: all ' || n_candidates || ' candidates failed'
+  WHEN outcome = 'all_rejected' THEN 'original kept: all candidates were rejected'
+  ELSE 'original kept: nothing smaller than ' || CASE
+    WHEN original_size < 1048576 THEN printf('%.1f KiB', original_size / CAST(1024 AS DOUBLE))
+    WHEN original_size < 1073741824 THEN printf('%.1f MiB', original_size / CAST(1048576 AS DOUBLE)) END
+  END AS explanation
+FROM decided d LEFT JOIN nexts n ON d.image_id = n.image_id""",
+    "decision_history": with_tables(DECIDED) + """
+SELECT image_id AS id, '2024-01-01T00:00:00Z' AS "timestamp", mode || ':' || goal AS profile_name,
+  CASE WHEN kept_original THEN 0 ELSE 1 END AS files_processed, CASE WHEN kept_original THEN 1 ELSE 0 END AS files_failed,
+  original_size, final_size AS output_size, n_candidates * 100 AS duration_ms
+FROM decided, (VALUES ('auto'), ('queue')) t(mode) WHERE mode = 'auto' OR NOT kept_original""",
+    "metric_subset": with_tables(MEASUREMENTS) + """
+SELECT image_id, candidate_id, round(ssim, 6) AS ssim FROM measurements
+WHERE NOT lossless AND ssim IS NOT NULL AND (goal = 'MAXIMUM'
+  OR (ssim >= CAST(0.85 AS DOUBLE) AND ssim <= CAST(0.95 AS DOUBLE) AND perceptual IS NULL))""",
+    "encode_reuse": with_tables(KEYED) + """
+SELECT image_id, encode_key, min(candidate_id) AS candidate_id, count(*) AS n_candidates FROM keyed GROUP BY image_id, encode_key""",
+    "encode_reuse_ratio": with_tables(KEYED) + """,
+runs AS (SELECT image_id, encode_key, count(*) AS n FROM keyed GROUP BY image_id, encode_key)
+SELECT CAST(sum(n) - count(*) AS BIGINT) AS hits, count(*) AS misses,
+  round(CAST(sum(n) - count(*) AS DOUBLE) / CAST(sum(n) AS DOUBLE), 6) AS hit_ratio FROM runs""",
+    "share_encodes": with_tables(KEYED) + """
+SELECT image_id, candidate_id, encode_key,
+  first_value(output_size) OVER (PARTITION BY image_id, encode_key ORDER BY candidate_id) AS shared_size FROM keyed""",
+    "first_candidates": with_tables(MEASUREMENTS) + """
+SELECT image_id, format, quality, lossless, min(candidate_id) AS candidate_id, count(*) AS n_occurrences
+FROM measurements GROUP BY ALL""",
+    "job_results": with_tables(DECIDED, LATEST) + """
+SELECT job_id, status, d.original_size, d.final_size, format AS selected_format,
+  CASE WHEN outcome <> 'selected' THEN NULL WHEN lossless THEN 'lossless' WHEN quality IS NULL THEN 'auto' ELSE 'q' || quality END AS selected_quality,
+  round(CAST(100 AS DOUBLE) * CAST(d.original_size - d.final_size AS DOUBLE) / d.original_size, 6) AS percentage_saved
+FROM latest JOIN decided d ON job_id = image_id""",
 }

@@ -33,7 +33,8 @@ def format_duration(ms: Column) -> Column:
 
 
 def format_percent(value: Column) -> Column:
-    return F.format_string("%.1f%%", F.round(value, 1))
+    """One decimal; a small loss keeps its sign as -0.0%."""
+    return F.concat(F.when(value < 0, "-").otherwise(""), F.format_string("%.1f%%", F.round(F.abs(value), 1)))
 
 
 def format_quality(value: Column) -> Column:

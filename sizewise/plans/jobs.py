@@ -9,7 +9,7 @@ from sizewise.functions import goals as G
 from sizewise.functions import paths as X
 from sizewise.functions.scoring import percentage_saved
 from sizewise.functions.text import format_bytes, format_duration, format_percent
-from sizewise.operators.skew import previous_value
+from sizewise.operators.skew import per_group, previous_value
 
 # Job states.
 STATUSES = ["Queued", "Processing", "Completed", "Failed", "Cancelled", "Skipped"]
@@ -89,20 +89,32 @@ def job_alerts(events: DataFrame, **hot: int) -> DataFrame:
     return seen.where(alert).select("job_id", "event_id", "ts")
 
 
-def job_outcome(events: DataFrame) -> DataFrame:
+def job_outcome(events: DataFrame, **hot: int) -> DataFrame:
     """Final state of each job under the rule that a cancel wins over a later result.
 
     A cancel only acts on a job that is queued or processing, that is, before its first result. A new Queued event
     starts the job over, so only the events since the last one count.
     """
     at = F.struct("ts", "event_id")
-    started = events.groupBy("job_id").agg(F.max(F.when(F.col("status") == "Queued", at)).alias("_start"))
-    current = events.join(started, "job_id").where(F.col("_start").isNull() | (at >= F.col("_start")))
     terminal = F.col("status").isin("Completed", "Failed", "Cancelled")
-    return current.groupBy("job_id").agg(
-        F.min_by("status", F.when(terminal, at)).alias("_final"),
-        F.max_by("status", at).alias("_last"),
-    ).select("job_id", F.coalesce("_final", "_last").alias("status"))
+
+    def starts(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("job_id").agg(F.max(F.when(F.col("status") == "Queued", at)).alias("_start"))
+
+    def settle(rows: DataFrame, started: DataFrame) -> DataFrame:
+        current = rows.join(started, "job_id").where(F.col("_start").isNull() | (at >= F.col("_start")))
+        return current.groupBy("job_id").agg(
+            F.min_by("status", F.when(terminal, at)).alias("_final"), F.max_by("status", at).alias("_last")
+        ).select("job_id", F.coalesce("_final", "_last").alias("status"))
+
+    # Hot jobs are few, so their starts are broadcast and their events are aggregated where they are.
+    return per_group(
+        events,
+        ["job_id"],
+        lambda rows: settle(rows, starts(rows)),
+        lambda rows: settle(rows, F.broadcast(starts(rows))),
+        **hot,
+    )
 
 
 def retry_jobs(jobs: DataFrame, new_id: Column | None = None) -> DataFrame:

@@ -43,12 +43,14 @@ def target_size(
     A percentage sets both sides, a maximum caps its side, a missing side follows by integer proportion, and
     Fit keeps the aspect ratio by the tighter side.
     """
-    share = F.greatest(percentage, F.lit(0.0))
-    by_share_w = F.greatest(F.round(width * share / 100.0).cast("long"), F.lit(1))
-    by_share_h = F.greatest(F.round(height * share / 100.0).cast("long"), F.lit(1))
+
+    def by_share(side: Column) -> Column:
+        share = F.greatest(percentage, F.lit(0.0))
+        return F.when(percentage.isNotNull(), F.greatest(F.round(side * share / 100.0).cast("long"), F.lit(1)))
+
     # least() skips NULLs, so an unset side simply takes the other bound.
-    w = F.least(F.coalesce(by_share_w, target_width), max_width).cast("long")
-    h = F.least(F.coalesce(by_share_h, target_height), max_height).cast("long")
+    w = F.least(F.coalesce(by_share(width), target_width), max_width).cast("long")
+    h = F.least(F.coalesce(by_share(height), target_height), max_height).cast("long")
     aspect = width / F.greatest(height, F.lit(1))
     fit_by_width = aspect > w / h
     fit = F.when(

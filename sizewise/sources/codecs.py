@@ -53,30 +53,27 @@ register_codec("png", png_encode)
 def encode(images: DataFrame, codec: str, settings: list[int], keep_bytes: bool = False) -> DataFrame:
     """Encode every raster with every setting of a codec: one row per image and setting.
 
-    A failing encode becomes a row with an error; the others go on. The images are exploded by setting before the
-    shuffle on both, so one heavy image is spread over tasks.
+    A raster goes to a Python worker once and is encoded there with all settings; nothing is shuffled. A failing
+    encode becomes a row with an error and the others go on.
     """
     run = CODECS[codec]
-    levels = F.array(*[F.lit(s) for s in settings])
-    work = images.withColumn("setting", F.explode(levels)).repartition("image_id", "setting")
-    schema = "image_id long, setting int, size long, success boolean, error string" + (", content binary" if keep_bytes else "")
+    columns = ["image_id", "setting", "size", "success", "error"] + (["content"] if keep_bytes else [])
+    schema = "image_id long, setting int, size long, success boolean, error string"
+    schema += ", content binary" if keep_bytes else ""
+
+    def encode_one(image, setting: int) -> tuple:
+        try:
+            out = run(image.raster, int(image.width), int(image.height), setting)
+        except Exception as e:  # noqa: BLE001 - one failure must not end the batch
+            return (image.image_id, setting, None, False, f"{type(e).__name__}: {e}", None)[: len(columns)]
+        return (image.image_id, setting, len(out), True, None, out)[: len(columns)]
 
     def encode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                try:
-                    out, error = run(r.raster, int(r.width), int(r.height), int(r.setting)), None
-                except Exception as e:  # noqa: BLE001 - one failure must not end the batch
-                    out, error = None, f"{type(e).__name__}: {e}"
-                row = {"image_id": r.image_id, "setting": r.setting, "size": len(out) if out is not None else None}
-                row.update(success=error is None, error=error)
-                if keep_bytes:
-                    row["content"] = out
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return work.select("image_id", "width", "height", "raster", "setting").mapInPandas(encode_batches, schema)
+            for image in batch.itertuples(index=False):
+                yield pd.DataFrame([encode_one(image, s) for s in settings], columns=columns)
+
+    return images.select("image_id", "width", "height", "raster").mapInPandas(encode_batches, schema)
 
 
 def recompress_sweep(images: DataFrame, codec: str = "png", settings: list[int] | None = None) -> DataFrame:

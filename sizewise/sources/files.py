@@ -84,27 +84,42 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def explode_pixels(images: DataFrame, key: str = "path") -> DataFrame:
-    """Pixel rows of decoded rasters. Bytes are row-major BGR(A), one channel for grey; alpha defaults to 255.
+def explode_pixels(images: DataFrame, key: str = "path", side: int | None = None) -> DataFrame:
+    """Pixel rows of decoded rasters, of a preview of at most ``side`` pixels a side if given.
 
-    Only usable rasters are exploded. Each pixel reads its own bytes from the raster.
+    Bytes are row-major BGR(A), one channel for grey; alpha defaults to 255. The raster is cut into lines and the
+    lines into pixels inside arrays, so neither the raster nor a line is copied into the exploded rows. A preview
+    reads only the lines and columns it shows: target i shows source floor((i + 0.5) * length / target_length).
     """
-    usable = images.where("error IS NULL")
-    at = F.col("i") * F.col("channels") + 1
+    scale = F.lit(1.0) if side is None else F.least(F.lit(1.0), side / F.greatest("width", "height"))
+    usable = images.where("error IS NULL").select(
+        F.col(key).alias("image_id"), "width", "height", "channels", "data",
+        F.greatest(F.round(F.col("width") * scale), F.lit(1.0)).cast("int").alias("_tw"),
+        F.greatest(F.round(F.col("height") * scale), F.lit(1.0)).cast("int").alias("_th"),
+    )
 
-    def byte(offset: int) -> Column:
-        return F.conv(F.hex(F.substring(F.col("data"), at + offset, F.lit(1))), 16, 10).cast("int")
+    def source(i: Column, full: str, small: str) -> Column:
+        return F.floor((i + 0.5) * F.col(full) / F.col(small)).cast("int")
 
-    cells = usable.select(
-        key, "width", "channels", "data", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i")
+    stride = F.col("width") * F.col("channels")
+    lines = F.transform(
+        F.sequence(F.lit(0), F.col("_th") - 1),
+        lambda i: F.substring(F.col("data"), source(i, "height", "_th") * stride + 1, stride),
     )
+    rows = usable.select("image_id", "width", "channels", "_tw", F.posexplode(lines).alias("y", "_line"))
     gray = F.col("channels") == 1
-    return cells.select(
-        F.col(key).alias("image_id"),
-        (F.col("i") % F.col("width")).cast("int").alias("x"),
-        F.floor(F.col("i") / F.col("width")).cast("int").alias("y"),
-        F.when(gray, byte(0)).otherwise(byte(2)).alias("r"),
-        F.when(gray, byte(0)).otherwise(byte(1)).alias("g"),
-        byte(0).alias("b"),
-        F.when(F.col("channels") == 4, byte(3)).otherwise(255).alias("a"),
-    )
+
+    def byte(at: Column, offset: int) -> Column:
+        return F.conv(F.hex(F.substring(F.col("_line"), at + offset, F.lit(1))), 16, 10).cast("int")
+
+    def pixel(j: Column) -> Column:
+        at = source(j, "width", "_tw") * F.col("channels") + 1
+        return F.struct(
+            F.when(gray, byte(at, 0)).otherwise(byte(at, 2)).alias("r"),
+            F.when(gray, byte(at, 0)).otherwise(byte(at, 1)).alias("g"),
+            byte(at, 0).alias("b"),
+            F.when(F.col("channels") == 4, byte(at, 3)).otherwise(255).alias("a"),
+        )
+
+    cells = F.transform(F.sequence(F.lit(0), F.col("_tw") - 1), pixel)
+    return rows.select("image_id", "y", F.posexplode(cells).alias("x", "_p")).select("image_id", "x", "y", "_p.*")
