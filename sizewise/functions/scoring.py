@@ -51,22 +51,20 @@ def result_metrics(original: Column, output: Column, elapsed_ms: Column) -> dict
     }
 
 
-def _perceptual_adjustment(score: Column, perceptual: Column) -> Column:
-    adjusted = F.when(perceptual > 1.5, score * 0.9).when(perceptual < 0.5, score * 1.05).otherwise(score)
-    return F.least(adjusted, F.lit(1.0))
+def perceptual_factor(perceptual: Column) -> Column:
+    """Nudge of the quality by the perceptual measure, when there is one."""
+    return F.when(perceptual > 1.5, 0.9).when(perceptual < 0.5, 1.05).otherwise(1.0)
 
 
-def normalized_quality(ssim: Column, psnr: Column, perceptual: Column) -> Column:
-    """SSIM blended with PSNR, then nudged by the perceptual measure."""
-    psnr_share = clamp((psnr - 20.0) / 30.0, 0.0, 1.0)
-    blended = clamp(ssim, 0.0, 1.0) * (F.lit(0.85) + F.lit(0.15) * psnr_share)
-    return F.when(F.isnan(ssim) | F.isnan(psnr), F.lit(0.0)).otherwise(_perceptual_adjustment(blended, perceptual))
+def search_quality(ssim: Column, factor: Column) -> Column:
+    """Quality of a candidate found by the quality search: SSIM in [0, 1] and the factor, no PSNR."""
+    return F.when(F.isnan(ssim), F.lit(0.0)).otherwise(F.least(ssim * factor, F.lit(1.0)))
 
 
-def search_quality(ssim: Column, perceptual: Column) -> Column:
-    """Quality of a candidate found by the quality search: SSIM only, PSNR plays no part."""
-    score = _perceptual_adjustment(clamp(ssim, 0.0, 1.0), perceptual)
-    return F.when(F.isnan(ssim), F.lit(0.0)).otherwise(score)
+def normalized_quality(ssim: Column, psnr: Column, factor: Column) -> Column:
+    """SSIM in [0, 1] blended with PSNR, times the perceptual factor."""
+    share = F.when(F.isnan(psnr), F.lit(float("nan"))).otherwise(clamp((psnr - 20.0) / 30.0, 0.0, 1.0))
+    return search_quality(ssim * (F.lit(0.85) + F.lit(0.15) * share), factor)
 
 
 def photo_sensitive(probe_ssim: Column, photo_like: Column) -> Column:

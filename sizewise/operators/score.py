@@ -57,19 +57,24 @@ def gate_measurements(
     lossless, ssim, perceptual = F.col("is_lossless"), F.col("ssim"), F.col("perceptual")
     sensitive = S.photo_sensitive(F.col("lossy_probe_ssim"), F.col("photo_like"))
     estimate = S.estimated_quality(F.col("format"), F.col("quality"), sensitive)
-    rows = rows.withColumn(
-        "is_lossless", F.col("lossless") | F.coalesce(F.col("mse") == 0.0, F.lit(False))
-    ).withColumn(
-        "front_quality",
-        F.when(lossless, F.lit(1.0))
-        .when(ssim.isNull(), estimate)
-        .otherwise(S.normalized_quality(ssim, F.col("psnr"), perceptual)),
+    bounded, factor = F.col("_ssim"), F.col("_factor")
+    rows = (
+        rows.withColumn("is_lossless", F.col("lossless") | F.coalesce(F.col("mse") == 0.0, F.lit(False)))
+        # NaN is larger than any number for least(), so it is kept apart from the clamp.
+        .withColumn("_ssim", F.when(ssim.isNotNull() & ~F.isnan(ssim), S.clamp(ssim, 0.0, 1.0)).otherwise(ssim))
+        .withColumn("_factor", S.perceptual_factor(perceptual))
+        .withColumn(
+            "front_quality",
+            F.when(lossless, F.lit(1.0))
+            .when(ssim.isNull(), estimate)
+            .otherwise(S.normalized_quality(bounded, F.col("psnr"), factor)),
+        )
     )
     found_by_search = ~lossless & F.col("iterative") & ssim.isNotNull()
     rows = rows.withColumn(
         "quality_score",
-        F.when(found_by_search, S.search_quality(ssim, perceptual)).otherwise(F.col("front_quality")),
-    )
+        F.when(found_by_search, S.search_quality(bounded, factor)).otherwise(F.col("front_quality")),
+    ).drop("_ssim", "_factor")
     structural = F.when(F.col("gate"), F.coalesce(ssim, "quality_score")).otherwise(F.col("quality_score"))
     threshold = (
         F.when(F.col("gate"), S.PERCEPTUAL_FLOOR_SSIM)

@@ -31,8 +31,9 @@ def _candidate(kind: str, fmt: Column, quality: Column, lossless: bool, dominate
     )
 
 
-def _of_format(fmt: Column) -> Column:
-    """All candidates of one format, in order of priority."""
+def _of_format(entry: Column) -> Column:
+    """All candidates of one format and its quality range, in order of priority."""
+    fmt, r = entry["candidate_formats"], entry["quality_ranges"]
     no_q, no = F.lit(None), F.lit(False)
     lossy = F.col("include_lossy")
     searched = (
@@ -48,17 +49,28 @@ def _of_format(fmt: Column) -> Column:
             F.when(fmt.isin("PNG", "WEBP"), _candidate("lossless", fmt, no_q, True, no)),
         )
     )
-    levels = quality_levels(F.try_element_at("quality_ranges", fmt))
-    levels = F.when(searched, F.slice(levels, 1, ANCHOR_LEVELS)).otherwise(levels)
-    # Levels ascend, so a decade was seen before exactly when the level before it lies in the same decade.
-    ladder = F.transform(
-        levels,
-        lambda q, i: _candidate(
-            "level", fmt, q, False,
-            (fmt == "AVIF") & (i > 0) & (F.floor(q / 10) == F.floor(F.get(levels, i - 1) / 10)),
-        ),
-    )
-    return F.concat(fixed, F.coalesce(ladder, F.filter(fixed, lambda _: F.lit(False))))
+    # Levels ascend, so a decade was seen before exactly when the level below q lies in the same decade.
+    step = F.greatest(r["step"], F.lit(1))
+
+    def level(q: Column) -> Column:
+        below = r["low"] + F.floor((q - 1 - r["low"]) / step) * step
+        repeated = (fmt == "AVIF") & (q > r["low"]) & (F.floor(q / 10) == F.floor(below / 10))
+        return _candidate("level", fmt, q, False, repeated)
+
+    levels = F.slice(quality_levels(r), F.lit(1), F.when(searched, ANCHOR_LEVELS).otherwise(101))
+    ladder = F.transform(F.coalesce(levels, F.array().cast("array<int>")), level)
+    return F.concat(fixed, ladder)
+
+
+def _computed_once(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Fix the value of columns that array functions read for every element.
+
+    The optimizer merges neighbouring projections, which would move the expressions behind these columns into the
+    array functions and evaluate them once per element. A one-element explode stands in between.
+    """
+    others = [c for c in df.columns if c not in columns]
+    fixed = df.select(*others, F.explode(F.array(F.struct(*columns))).alias("_once"))
+    return fixed.select(*others, "_once.*")
 
 
 def generate_candidates(strategies: DataFrame) -> DataFrame:
@@ -66,7 +78,13 @@ def generate_candidates(strategies: DataFrame) -> DataFrame:
 
     ``position`` counts from 0 in order of generation. ``reason`` is NULL for candidates to be encoded.
     """
-    generated = strategies.withColumn("_all", F.flatten(F.transform("candidate_formats", _of_format)))
+    read_per_element = [
+        "format", "goal", "file_size", "pixel_count", "category", "characteristics", "has_alpha", "is_animated",
+        "include_lossy", "searches", "max_candidates", "candidate_formats", "quality_ranges",
+    ]
+    strategies = _computed_once(strategies, read_per_element)
+    entries = F.arrays_zip("candidate_formats", "quality_ranges")
+    generated = strategies.withColumn("_all", F.flatten(F.transform(entries, _of_format)))
     judged = generated.withColumn(
         "_all",
         F.transform(

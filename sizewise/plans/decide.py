@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +44,12 @@ def _first(order: list[Column], condition: Column) -> Column:
     return F.min(F.when(condition, F.struct(*order, payload.alias("row"))))["row"]
 
 
-def choose(annotated: DataFrame) -> DataFrame:
-    """Aggregate annotated candidates to one decision per image."""
+def choose(annotated: DataFrame, ranked: bool = False) -> DataFrame:
+    """Aggregate annotated candidates to one decision per image.
+
+    With ``ranked`` the rows carry ``_rank`` among the candidates that beat the original, and the decision gets the
+    runner-up: the best of them that is not the winner.
+    """
     beats, lossless = F.col("beats_original"), F.col("lossless")
     by_rank = [(-F.col("score")).alias("o1"), F.col("output_size").alias("o2"), F.col("candidate_id").alias("o3")]
     by_size = [F.col("output_size").alias("o1"), (-F.col("score")).alias("o2"), F.col("candidate_id").alias("o3")]
@@ -56,6 +62,7 @@ def choose(annotated: DataFrame) -> DataFrame:
         _first(by_rank, beats).alias("best"),
         _first(by_size, beats & ~lossless).alias("small_lossy"),
         _first(by_size, beats & lossless).alias("small_lossless"),
+        *([_first(by_rank, beats & (F.col("_rank") == 2)).alias("second")] if ranked else []),
     )
     prefer = F.col("small_lossless.output_size") <= F.col("small_lossy.output_size")
     chosen = F.when(F.coalesce(prefer, F.lit(False)), F.col("small_lossless")).otherwise(F.col("best"))
@@ -65,7 +72,7 @@ def choose(annotated: DataFrame) -> DataFrame:
         .when(F.col("n_survivors") == 0, "all_rejected")
         .otherwise("nothing_smaller")
     )
-    return (
+    decided = (
         grouped.withColumn("selected", chosen)
         .withColumn("outcome", outcome)
         .withColumn(
@@ -74,44 +81,61 @@ def choose(annotated: DataFrame) -> DataFrame:
         )
         .withColumn("final_size", F.coalesce("selected.output_size", "original_size"))
         .withColumn("kept_original", F.col("selected").isNull())
-        .drop("best", "small_lossy", "small_lossless")
     )
+    if ranked:
+        runner_up = F.when(F.col("preference_fired"), F.col("best")).otherwise(F.col("second"))
+        decided = decided.withColumn("runner_up", runner_up).drop("second")
+    return decided.drop("best", "small_lossy", "small_lossless")
 
 
 def decide(
     measurements: DataFrame,
     goals: DataFrame | None = None,
     max_output_size: int | None = None,
+    runner_up: bool = False,
     **hot: int,
 ) -> DataFrame:
-    """One row per image: the winner or the original, and why.
+    """One row per image: the winner or the original, and why; with ``runner_up`` also the next best.
 
     The best-ranked survivor that beats the original is chosen, unless the smallest lossless survivor is no
     larger than the smallest lossy one. Ordinary images need one shuffle on ``image_id`` for dominance and
     choice together; hot images are pre-aggregated on the map side.
     """
+
+    def finish(annotated: DataFrame, rank: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        return choose(rank(annotated), ranked=True) if runner_up else choose(annotated)
+
     return per_group(
         measurements,
         ["image_id"],
-        lambda rows: choose(_annotate_with(mark_dominated_small, rows, goals, max_output_size)),
-        lambda rows: choose(_annotate_with(mark_dominated_hot, rows, goals, max_output_size)),
+        lambda rows: finish(_annotate_with(mark_dominated_small, rows, goals, max_output_size), _rank_small),
+        lambda rows: finish(_annotate_with(mark_dominated_hot, rows, goals, max_output_size), _rank_hot),
         **hot,
     )
 
 
-def runners_up(annotated: DataFrame) -> DataFrame:
-    """The next best candidate that also beats the original, the winner itself left out.
+def _rank_order() -> list[Column]:
+    return [F.desc("beats_original"), F.desc("score"), F.asc("output_size"), F.asc("candidate_id")]
+
+
+def _rank_small(annotated: DataFrame) -> DataFrame:
+    """Rank by score, size and id among the candidates that beat the original; they come first in the window."""
+    window = Window.partitionBy("image_id").orderBy(*_rank_order())
+    return annotated.withColumn("_rank", F.row_number().over(window))
+
+
+def _rank_hot(annotated: DataFrame) -> DataFrame:
+    """The same for hot images, where only ranks 1 and 2 are wanted.
 
-    ``row_number() <= 1`` becomes a per-task top-k before the shuffle, so a hot image sends few rows.
+    ``row_number() <= 2`` becomes a top-2 per task before the shuffle, so a hot image sends few rows; the ranks are
+    joined back by candidate.
     """
-    winners = (
-        choose(annotated)
-        .where(~F.col("kept_original"))
-        .select("image_id", F.col("selected.candidate_id").alias("candidate_id"))
+    window = Window.partitionBy("image_id").orderBy(*_rank_order())
+    top = (
+        annotated.where("beats_original").withColumn("_rank", F.row_number().over(window)).where("_rank <= 2")
+        .select("image_id", "candidate_id", "_rank")
     )
-    others = annotated.where("beats_original").join(winners, ["image_id", "candidate_id"], "left_anti")
-    order = Window.partitionBy("image_id").orderBy(F.desc("score"), "output_size", "candidate_id")
-    return others.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    return annotated.join(top, ["image_id", "candidate_id"], "left")
 
 
 def rejections(annotated: DataFrame) -> DataFrame:

@@ -52,12 +52,11 @@ def rejection_counts(rejections: DataFrame) -> DataFrame:
     return rejections.groupBy("stage", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def explanations(decisions: DataFrame, runners_up: DataFrame) -> DataFrame:
-    """One sentence per decision, from its own numbers."""
-    next_best = runners_up.select(
-        "image_id", F.col("candidate_id").alias("next_id"), F.col("score").alias("next_score")
+def explanations(decisions: DataFrame) -> DataFrame:
+    """One sentence per decision (with its runner-up), from its own numbers."""
+    rows = decisions.withColumn("next_id", F.col("runner_up.candidate_id")).withColumn(
+        "next_score", F.col("runner_up.score")
     )
-    rows = decisions.join(next_best, "image_id", "left")
     saved = percentage_saved(F.col("original_size"), F.col("final_size"))
     chosen = F.concat_ws(
         "; ",

@@ -98,10 +98,7 @@ def assign_search_space(requests: DataFrame, goals: DataFrame | None = None) ->
         top = F.struct(r["high"].alias("low"), r["high"].alias("high"), F.lit(1).alias("step"))
         return F.when(P.is_very_large(F.col("file_size")), F.when(r.isNotNull(), top)).otherwise(r)
 
-    ranges = F.map_filter(
-        F.map_from_arrays("candidate_formats", F.transform("candidate_formats", narrowed)),
-        lambda f, r: r.isNotNull() & F.col("include_lossy"),
-    )
+    ranges = F.transform("candidate_formats", lambda f: F.when(F.col("include_lossy"), narrowed(f)))
     exceeds = (F.col("width") > F.col("max_width")) | (F.col("height") > F.col("max_height"))
     lossless_required = F.col("force_lossless") | (F.col("goal") == "LOSSLESS")
     none = F.lit(None)
@@ -117,7 +114,7 @@ def assign_search_space(requests: DataFrame, goals: DataFrame | None = None) ->
         rows.withColumn("photo_sensitive", sensitive)
         .withColumn("include_lossy", include_lossy)
         .withColumn("candidate_formats", formats)
-        .withColumn("quality_ranges", ranges)
+        .withColumn("quality_ranges", ranges)  # aligned with candidate_formats, NULL for none
         .withColumn("resize", resize)
         .withColumn("metadata_mode", F.when(strip, "RemoveAll").otherwise(F.col("goal_metadata_mode")))
         .withColumn("keep_color_profile", F.col("preserve_color_profile") & ~strip)

@@ -124,8 +124,8 @@ def score_custom_goal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def runner_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    annotated = decisions.annotate(D.measurements(spark, sf_dir))
-    return decisions.runners_up(annotated).select("image_id", "candidate_id", "output_size", _r("score"))
+    decided = decisions.decide(D.measurements(spark, sf_dir), runner_up=True).where("runner_up IS NOT NULL")
+    return decided.select("image_id", "runner_up.candidate_id", "runner_up.output_size", _r("runner_up.score"))
 
 
 @query
@@ -161,8 +161,7 @@ def outcome_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def decision_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    annotated = decisions.annotate(D.measurements(spark, sf_dir))
-    return reports.explanations(decisions.choose(annotated), decisions.runners_up(annotated))
+    return reports.explanations(decisions.decide(D.measurements(spark, sf_dir), runner_up=True))
 
 
 @query
@@ -242,8 +241,11 @@ def assign_search_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every image under every goal."""
     s = _strategies(spark, sf_dir)
     levels = F.transform(
-        F.array_sort(F.map_entries("quality_ranges")),
-        lambda e: F.format_string("%s:%d-%d/%d", e["key"], e["value"]["low"], e["value"]["high"], e["value"]["step"]),
+        F.array_sort(F.filter(F.arrays_zip("candidate_formats", "quality_ranges"), lambda e: e["quality_ranges"].isNotNull())),
+        lambda e: F.format_string(
+            "%s:%d-%d/%d", e["candidate_formats"], e["quality_ranges"]["low"], e["quality_ranges"]["high"],
+            e["quality_ranges"]["step"],
+        ),
     )
     return s.select(
         "image_id", "goal", F.concat_ws(",", "candidate_formats").alias("formats"), F.concat_ws(",", levels).alias("ranges"),
