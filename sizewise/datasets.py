@@ -42,8 +42,8 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
             _pick(
                 F.col("l_orderkey") % 6, ["LOSSLESS", "QUALITY", "BALANCED", "MAXIMUM", "WEB", "EXTREME"]
             ).alias("goal"),
-            F.floor(F.col("o_totalprice") * 10).cast("long").alias("original_size"),
-            F.floor(F.col("l_extendedprice") * (part % 40 + 3)).cast("long").alias("output_size"),
+            F.floor(F.col("o_totalprice") * 10).alias("original_size"),
+            F.floor(F.col("l_extendedprice") * (part % 40 + 3)).alias("output_size"),
             "format",
             "lossless",
             iterative.alias("iterative"),
@@ -53,7 +53,7 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(measured, 22.0 + 300.0 * F.col("l_tax")).alias("psnr"),
             F.lit(None).cast("double").alias("mse"),
             F.when(F.col("l_quantity").cast("int") % 3 != 0, 0.21 + F.col("l_quantity") / 17.0).alias("perceptual"),
-            (50 + (part * 31) % 9000).cast("long").alias("estimated_cost_ms"),
+            (50 + (part * 31) % 9000).alias("estimated_cost_ms"),
             (F.col("l_orderkey") % 2 == 0).alias("photo_like"),
             F.when(F.col("l_orderkey") % 5 != 0, 0.90 + (F.col("l_orderkey") % 13) * 0.0077).alias("lossy_probe_ssim"),
         )

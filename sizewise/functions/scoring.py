@@ -121,12 +121,12 @@ def marginal_saving_penalty(saved: Column, is_lossless: Column) -> Column:
 
 def final_score(quality: Column, saved_percent: Column, cost_ms: Column, is_lossless: Column) -> Column:
     """Weighted score over a row that carries the terms of its goal (``goal_terms``)."""
-    ratio = clamp(saved_percent / 100.0, -0.5, 1.0)
+    ratio = F.greatest(saved_percent / 100.0, F.lit(-0.5))  # a saving is never above 100 %
     weighted = (
         quality * F.col("wq") + compression_score(ratio) * F.col("wc") + speed_score(cost_ms) * F.col("ws")
     ) / F.col("wsum")
-    bonus = F.greatest((ratio - 0.80) / 0.20, F.lit(0.0)) * 0.20
-    raw = clamp(weighted + F.col("preference") + bonus, 0.0, 1.2)
+    bonus = F.greatest(ratio - 0.80, F.lit(0.0))  # from 0 at 80 % saved to 0.20 at 100 %
+    raw = F.least(weighted + F.col("preference") + bonus, F.lit(1.2))  # all terms are at least 0
     return raw * marginal_saving_penalty(saved_percent / 100.0, is_lossless)
 
 

@@ -19,19 +19,23 @@ MEASUREMENT_COLUMNS = [
     "quality", "success", "ssim", "psnr", "mse", "perceptual", "estimated_cost_ms", "photo_like",
     "lossy_probe_ssim",
 ]
-GOAL_TERMS = ["goal_valid", "gate", "min_quality", "gate_limit", "wq", "wc", "ws", "wsum", "preference"]
+GOAL_TERMS = [
+    "goal_valid", "gate", "floor", "search_floor", "gate_limit", "wq", "wc", "ws", "wsum", "preference",
+]
 
 
 def goal_terms(goals: DataFrame) -> DataFrame:
     """One row per goal and format with every term of the score that does not depend on the candidate."""
     formats = F.array(*[F.lit(f[0]) for f in FORMATS], F.lit("UNKNOWN"))
     total = F.col("quality_weight") + F.col("compression_weight") + F.col("speed_weight")
+    gate = F.col("perceptual_gate")
     return goals.select("*", F.explode(formats).alias("format")).select(
         "goal",
         "format",
-        F.coalesce(S.valid_weights(), F.lit(False)).alias("goal_valid"),
+        F.when(S.valid_weights(), True).alias("goal_valid"),  # NULL for an invalid goal, as for an unknown one
         F.col("perceptual_gate").alias("gate"),
-        F.col("min_quality_threshold").alias("min_quality"),
+        F.when(gate, S.PERCEPTUAL_FLOOR_SSIM).otherwise(F.col("min_quality_threshold")).alias("floor"),
+        F.when(gate, S.PERCEPTUAL_FLOOR_SSIM).otherwise(S.SEARCH_FLOOR_SSIM).alias("search_floor"),
         F.col("perceptual_target").alias("gate_limit"),
         F.col("quality_weight").alias("wq"),
         F.col("compression_weight").alias("wc"),
@@ -60,8 +64,8 @@ def gate_measurements(
     bounded, factor = F.col("_ssim"), F.col("_factor")
     rows = (
         rows.withColumn("is_lossless", F.col("lossless") | F.coalesce(F.col("mse") == 0.0, F.lit(False)))
-        # NaN is larger than any number for least(), so it is kept apart from the clamp.
-        .withColumn("_ssim", F.when(ssim.isNotNull() & ~F.isnan(ssim), S.clamp(ssim, 0.0, 1.0)).otherwise(ssim))
+        # NaN compares as larger than any number, so it is kept apart from the upper bound.
+        .withColumn("_ssim", F.when(ssim < 0.0, 0.0).when((ssim > 1.0) & ~F.isnan(ssim), 1.0).otherwise(ssim))
         .withColumn("_factor", S.perceptual_factor(perceptual))
         .withColumn(
             "front_quality",
@@ -76,24 +80,21 @@ def gate_measurements(
         F.when(found_by_search, S.search_quality(bounded, factor)).otherwise(F.col("front_quality")),
     ).drop("_ssim", "_factor")
     structural = F.when(F.col("gate"), F.coalesce(ssim, "quality_score")).otherwise(F.col("quality_score"))
-    threshold = (
-        F.when(F.col("gate"), S.PERCEPTUAL_FLOOR_SSIM)
-        .when(F.col("iterative"), S.SEARCH_FLOOR_SSIM)
-        .otherwise(F.col("min_quality"))
-    )
+    threshold = F.when(F.col("iterative"), F.col("search_floor")).otherwise(F.col("floor"))
     limit = F.when(F.col("iterative"), S.SEARCH_PERCEPTUAL_LIMIT).otherwise(F.col("gate_limit"))
     reason = F.when(~F.col("success"), "backend_error")
     if max_output_size is not None:
         reason = reason.when(F.col("output_size") > max_output_size, "output_too_large")
     reason = (
-        reason.when(~F.coalesce("goal_valid", F.lit(False)), "invalid_goal")
+        reason.when(F.col("goal_valid").isNull(), "invalid_goal")
         .when(lossless, None)
         .when(structural < threshold - S.QUALITY_TOLERANCE, "below_quality")
         .when(F.col("gate") & (perceptual > limit + S.PERCEPTUAL_TOLERANCE), "perceptual_limit")
     )
-    stage = F.when(F.col("reason").isin("backend_error", "output_too_large"), "failed").when(
-        F.col("reason").isNotNull(), "score"
-    )
+    unusable = ~F.col("success")
+    if max_output_size is not None:
+        unusable = unusable | (F.col("output_size") > max_output_size)
+    stage = F.when(unusable, "failed").when(F.col("reason").isNotNull(), "score")
     return rows.withColumn("reason", reason).withColumn("stage", stage)
 
 
