@@ -75,7 +75,8 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
     area = F.col("width").cast("long") * F.col("height")
     error = F.when(F.col("width") < 1, "undecodable").when(area > MAX_PIXELS, "too_many_pixels")
     return images.select(
-        F.col("origin").alias("path"),
+        # The decoder writes local paths with three slashes, the file scan with one; both must join.
+        F.regexp_replace("origin", "^([a-zA-Z0-9]+):///", "$1:/").alias("path"),
         "width",
         "height",
         F.col("nChannels").alias("channels"),

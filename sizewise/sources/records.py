@@ -62,7 +62,7 @@ def read_catalogs(spark: SparkSession, folder: str) -> DataFrame:
     Profiles of an unknown kind are dropped. A default that names no profile falls back to Web. A document that
     cannot be read at all gives a row with ``profiles`` NULL: the built-in presets stand in for it.
     """
-    documents = spark.read.option("wholetext", "true").text(folder).select(
+    documents = spark.read.text(folder, wholetext=True).select(
         F.input_file_name().alias("path"), F.from_json("value", CATALOG_SCHEMA).alias("c")
     )
     known = F.filter("c.profiles", lambda p: p["kind"].isin(PROFILE_KINDS))
