@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sizewise.functions.stages import unfused
+
 # Goal identifiers accepted as they are.
 GOAL_IDENTIFIERS = {
     "Lossless": "LOSSLESS",
@@ -60,13 +62,13 @@ def count_signals(text: Column, signals: list[str]) -> Column:
     return total
 
 
-def goal_from_text(text: Column) -> Column:
-    """Decide a goal from what the text asks for."""
-    plain = plain_text(text)
+def goal_of_plain_text(plain: Column) -> Column:
+    """Decide a goal from what a text asks for, the text being plain already (see ``plain_text``)."""
     light = count_signals(plain, LIGHT_SIGNALS) > 0
     quality = count_signals(plain, QUALITY_SIGNALS) > 0
     return (
-        F.when(text.isNull() | (F.trim(plain) == ""), "BALANCED")
+        F.when(unfused(plain.isNull()), "BALANCED")
+        .when(F.trim(plain) == "", "BALANCED")
         .when(count_signals(plain, BALANCE_SIGNALS) > 0, "BALANCED")
         .when(count_signals(plain, LOSSLESS_SIGNALS) > 0, "LOSSLESS")
         .when(quality & (light | (count_signals(plain, EXTREME_WORDS) > 0)), "EXTREME")
@@ -82,9 +84,15 @@ def _lookup(mapping: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
-def resolve_goal(text: Column) -> Column:
-    """An exact identifier wins; anything else is read as free text."""
-    return F.coalesce(_lookup(GOAL_IDENTIFIERS, text), goal_from_text(text))
+def add_goal(requests: DataFrame, text: str, output: str = "goal", identifiers: bool = True) -> DataFrame:
+    """Add the goal a text column asks for. An exact identifier wins; anything else is read as free text.
+
+    The plain form of the text is a column of its own, so it is made once and not for every signal.
+    """
+    goal = goal_of_plain_text(F.col("_plain"))
+    if identifiers:
+        goal = F.coalesce(_lookup(GOAL_IDENTIFIERS, F.col(text)), goal)
+    return requests.withColumn("_plain", plain_text(F.col(text))).withColumn(output, goal).drop("_plain")
 
 
 def forced_format(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sizewise.dims import extension_to_format, format_to_extension
+from sizewise.functions.stages import unfused
 
 # Extensions that count as images.
 SUPPORTED_EXTENSIONS = ["png", "jpg", "jpeg", "webp", "avif", "gif", "bmp", "tif", "tiff"]
@@ -92,7 +93,7 @@ def validation_issue(path: Column, length: Column, max_bytes: int = 0) -> Column
     """First problem of an input path; ``Ok`` for none. A limit of 0 means no limit."""
     ext = extension(path)
     issue = (
-        F.when(path.isNull() | (path == ""), "EmptyPath")
+        F.when(unfused(path.isNull() | (path == "")), "EmptyPath")
         .when(F.array_contains(F.split(path, "/"), ".."), "PathTraversal")
         .when(~is_supported(ext), "UnsupportedExtension")
     )
@@ -116,7 +117,7 @@ def output_path(
     custom = F.lit(None).cast("string") if custom_folder is None else custom_folder
     ext = extension(path)
     new_ext = ext if target_extension is None else F.coalesce(target_extension, ext)
-    pattern = F.when(template == "", F.lit(DEFAULT_TEMPLATE)).otherwise(template)
+    pattern = F.when(unfused(template == ""), F.lit(DEFAULT_TEMPLATE)).otherwise(template)
     name = F.replace(pattern, F.lit("{name}"), stem(path))
     name = F.replace(name, F.lit("{ext}"), F.concat(F.lit("."), ext))
     name = F.replace(name, F.lit("{format}"), F.concat(F.lit("."), new_ext))

@@ -15,22 +15,35 @@ RULES = [
 ]
 
 
+# Tags the rules look at.
+RULE_TAGS = ["predominantly_dark", "noisy", "highly_saturated", "large_flat_areas", "text_or_ui"]
+
+
+def tag_flags() -> list[Column]:
+    """One boolean column per tag, for ``rejection_reason`` with ``flags``."""
+    return [F.array_contains("characteristics", t).alias(f"is_{t}") for t in RULE_TAGS]
+
+
 def rejection_reason(
-    fmt: Column, quality: Column, lossless: Column, include_lossless: Column | None = None
+    fmt: Column,
+    quality: Column,
+    lossless: Column,
+    include_lossless: Column | None = None,
+    flags: bool = False,
 ) -> Column:
     """Reason of the first rule that applies to a candidate of the current profile row; NULL to go on.
 
-    A NULL quality never trips a rule on quality.
+    A NULL quality never trips a rule on quality. With ``flags`` the tags are read from boolean columns.
     """
     lossy = ~lossless
     include_lossless = F.lit(True) if include_lossless is None else include_lossless
     size, pixels, cat = F.col("file_size"), F.col("pixel_count"), F.col("category")
 
     def tagged(tag: str) -> Column:
-        return F.array_contains("characteristics", tag)
+        return F.col(f"is_{tag}") if flags else F.array_contains("characteristics", tag)
 
     def below(limit: int) -> Column:
-        return F.coalesce(quality < limit, F.lit(False))
+        return quality < limit
 
     jpeg, avif, png = fmt == "JPEG", fmt == "AVIF", fmt == "PNG"
     conditions = {

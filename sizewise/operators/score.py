@@ -1,8 +1,7 @@
 """Scoring: measurements joined with their goal, gated, scored.
 
-The expressions are kept small on purpose. Spark compiles one stage to one method, and the JVM does not optimize
-a method beyond 8000 bytes of code; everything that depends on the goal alone is therefore computed on the
-small goal table before the join.
+The expressions are kept small on purpose, see ``functions.stages``: everything that depends on the goal alone is
+computed on the small goal table before the join, and the gates are compiled apart from the scan.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sizewise.dims import FORMATS, goals_table
 from sizewise.functions import scoring as S
+from sizewise.functions.stages import unfused
 
 # What scoring needs to know about a measured candidate.
 MEASUREMENT_COLUMNS = [
@@ -82,7 +82,7 @@ def gate_measurements(
     structural = F.when(F.col("gate"), F.coalesce(ssim, "quality_score")).otherwise(F.col("quality_score"))
     threshold = F.when(F.col("iterative"), F.col("search_floor")).otherwise(F.col("floor"))
     limit = F.when(F.col("iterative"), S.SEARCH_PERCEPTUAL_LIMIT).otherwise(F.col("gate_limit"))
-    reason = F.when(~F.col("success"), "backend_error")
+    reason = F.when(unfused(~F.col("success")), "backend_error")
     if max_output_size is not None:
         reason = reason.when(F.col("output_size") > max_output_size, "output_too_large")
     reason = (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sizewise.functions import cost
 from sizewise.functions.profile import is_trivially_small, photo_like
-from sizewise.functions.rules import backend_applies, rejection_reason
+from sizewise.functions.rules import RULE_TAGS, backend_applies, rejection_reason, tag_flags
 
 ANCHOR_LEVELS = 3
 
@@ -78,8 +78,10 @@ def generate_candidates(strategies: DataFrame) -> DataFrame:
 
     ``position`` counts from 0 in order of generation. ``reason`` is NULL for candidates to be encoded.
     """
+    flags = [f"is_{t}" for t in RULE_TAGS]
+    strategies = strategies.select("*", *tag_flags())
     read_per_element = [
-        "format", "goal", "file_size", "pixel_count", "category", "characteristics", "has_alpha", "is_animated",
+        "format", "goal", "file_size", "pixel_count", "category", "has_alpha", "is_animated", *flags,
         "include_lossy", "searches", "max_candidates", "candidate_formats", "quality_ranges",
     ]
     strategies = _computed_once(strategies, read_per_element)
@@ -93,7 +95,7 @@ def generate_candidates(strategies: DataFrame) -> DataFrame:
                 i.alias("position"),
                 c.alias("c"),
                 F.when(c["same_decade"], "same_decade")
-                .otherwise(rejection_reason(c["target"], c["quality"], c["lossless"]))
+                .otherwise(rejection_reason(c["target"], c["quality"], c["lossless"], flags=True))
                 .alias("reason"),
             ),
         ),
@@ -101,7 +103,7 @@ def generate_candidates(strategies: DataFrame) -> DataFrame:
     accepted = judged.withColumn("_ok", F.filter("_all", lambda c: c["reason"].isNull()))
     # The last position that fits under the cap; later accepted candidates are dropped for priority.
     last = F.get(F.slice("_ok", F.col("max_candidates"), 1), F.lit(0))["position"]
-    rows = accepted.withColumn("_last", last).select("*", F.explode("_all").alias("_c")).drop("_all", "_ok")
+    rows = accepted.withColumn("_last", last).select("*", F.explode("_all").alias("_c")).drop("_all", "_ok", *flags)
     target, quality, lossless = F.col("target"), F.col("quality"), F.col("lossless")
     searched = F.col("kind") == "search"
     return (
@@ -133,7 +135,7 @@ def generate_candidates(strategies: DataFrame) -> DataFrame:
 
 
 def candidate_label(kind: Column, fmt: Column, quality: Column) -> Column:
-    return F.when(kind == "level", F.format_string("%s q%d", fmt, quality)).otherwise(F.concat_ws(" ", fmt, kind))
+    return F.when(kind == "level", F.concat(fmt, F.lit(" q"), quality.cast("string"))).otherwise(F.concat_ws(" ", fmt, kind))
 
 
 def first_occurrences(candidates: DataFrame, group: list[str], position: str) -> DataFrame:

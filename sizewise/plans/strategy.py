@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sizewise.dims import GOAL_COLUMNS, goals_table, range_lookup
 from sizewise.functions import profile as P
 from sizewise.functions.scoring import photo_sensitive
+from sizewise.functions.stages import unfused
 
 CONSTRAINTS = [
     "force_format", "force_lossless", "max_width", "max_height", "strip_all_metadata", "preserve_color_profile",
@@ -62,7 +63,7 @@ def target_size(
         F.when(w.isNull() & h.isNull(), None)
         .when(h.isNull(), _size(w, derived_h))
         .when(w.isNull(), _size(derived_w, h))
-        .when(mode == "Fit", fit)
+        .when(unfused(mode == "Fit"), fit)
         .otherwise(_size(w, h))
     )
 

@@ -545,9 +545,8 @@ def recent_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def goal_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = D.goal_requests(spark, sf_dir).select(
-        "request_id", goal_text.resolve_goal(F.col("prompt")).alias("goal"),
-        goal_text.forced_format(F.col("force_format_text")).alias("force_format"),
+    r = goal_text.add_goal(D.goal_requests(spark, sf_dir), "prompt").withColumn(
+        "force_format", goal_text.forced_format(F.col("force_format_text"))
     )
     weights = dims.goals_table(spark).select("goal", "max_candidates", F.concat_ws(",", "preferred_formats").alias("preferred"))
     return r.join(weights, "goal").select("request_id", "goal", "force_format", "max_candidates", "preferred")
@@ -558,8 +557,8 @@ def goals_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document and conversation turn read as a goal request."""
     documents = D.read(spark, sf_dir, "documents").select("text")
     turns = D.read(spark, sf_dir, "conversations").select("text")
-    goal = goal_text.goal_from_text(F.col("text"))
-    return documents.unionByName(turns).groupBy(goal.alias("goal")).agg(F.count(F.lit(1)).alias("n"))
+    read = goal_text.add_goal(documents.unionByName(turns), "text", identifiers=False)
+    return read.groupBy("goal").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query

@@ -52,7 +52,8 @@ def test_basename(spark, path):
      ("nothing of the kind", "BALANCED")],
 )
 def test_goal_from_text(spark, prompt, goal):
-    assert one(spark, goals.resolve_goal(F.lit(prompt))) == goal
+    df = spark.createDataFrame([(prompt,)], "prompt string")
+    assert goals.add_goal(df, "prompt").first().goal == goal
 
 
 @pytest.mark.parametrize("name, fmt", [("png", "PNG"), (".JPG", "JPEG"), (" WebP ", "WEBP"), ("heic", None), ("", None)])
