@@ -220,5 +220,5 @@ best AS (
 SELECT c.image_id, coalesce(b.q, m.q) AS q, coalesce(b.size, m.size) AS size, round(coalesce(b.damage, m.damage), 6) AS damage, n_tried,
   b.q IS NOT NULL AS converged
 FROM counted c LEFT JOIN best b USING (image_id) LEFT JOIN measured m ON m.image_id = c.image_id AND m.q = c.top AND b.q IS NULL""",
-    "png_headers": "SELECT vec_id AS image_id, 8 AS width, 8 AS height, 256 AS raw_size FROM embeddings",
+    "png_headers": "SELECT vec_id AS image_id, CAST(8 AS BIGINT) AS width, CAST(8 AS BIGINT) AS height, CAST(256 AS BIGINT) AS raw_size FROM embeddings",
 }
