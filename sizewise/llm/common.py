@@ -69,3 +69,16 @@ def connected_components(links: DataFrame) -> DataFrame:
     if labels is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return labels
+
+
+def utf8(column) -> tuple:
+    """The bytes of an Arrow string column, and where each value begins; a null is an empty value."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = pc.fill_null(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, "")
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
+    return (data[offsets[0]:offsets[-1]], offsets - offsets[0]) if len(column) else (data[:0], np.zeros(1, np.int64))

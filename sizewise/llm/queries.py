@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from sizewise.llm.common import table
 from sizewise.llm.decontaminate import contamination
+from sizewise.llm.language import detect_language
 from sizewise.llm.line_dedup import dedup_lines
+from sizewise.llm.minhash import near_duplicates
 from sizewise.llm.mixing import mix_to_weights
+from sizewise.llm.toxicity import judge_toxicity
 from sizewise.llm.url_rules import judge_urls
 from sizewise.session import inline_table
 
@@ -21,6 +24,25 @@ URL_RULES = [
 ]
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+    found = detect_language(docs.select("doc_id", "text"), docs.where(~held_out), "text", "lang", "doc_id")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label columns as categories of the chain, the deciding one last."""
+    labels = table(spark, sf_dir, "labels")
+    return labels.select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = judge_toxicity(docs, toxicity_labels(spark, sf_dir), ["junk", "toxic"], "doc_id", "text")
+    return found.select("doc_id", "p_junk", "p_toxic", F.col("rejected").alias("toxic"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contamination(docs, table(spark, sf_dir, "benchmark"), "doc_id", "text")
@@ -38,6 +60,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_weights(docs, category_col="source", id_col="doc_id")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rules = inline_table(spark, ["host", "path", "verdict"], URL_RULES)
@@ -45,8 +71,11 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language": op2_language,
+    "op3_toxicity": op3_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op6_line_dedup": op6_line_dedup,
     "op7_mix_sources": op7_mix_sources,
+    "op8_minhash": op8_minhash,
     "op10_url_rules": op10_url_rules,
 }

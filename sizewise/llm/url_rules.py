@@ -5,7 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -103,19 +103,22 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
                         F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
     rows = rows.withColumn("_key", host_key(F.col("host"))).sortWithinPartitions("_key")
     for at in range(0, len(listed), rules_per_pass):
-        rows = rows.mapInPandas(_sweep(listed[at:at + rules_per_pass]), rows.schema)
+        rows = rows.mapInArrow(_sweep(listed[at:at + rules_per_pass]), rows.schema)
     return rows.select(*keep, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def _sweep(rules: list[tuple[str, str, str, str]]):
-    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = RuleSweep(rules)
         for batch in batches:
-            rule, verdict = list(batch["rule"]), list(batch["verdict"])
-            for i, (key, path) in enumerate(zip(batch["_key"], batch["path"], strict=True)):
+            rule, verdict = batch.column("rule").to_pylist(), batch.column("verdict").to_pylist()
+            keys, paths = batch.column("_key").to_pylist(), batch.column("path").to_pylist()
+            for i, (key, path) in enumerate(zip(keys, paths, strict=True)):
                 found = state.best(key, path)
                 if found and (rule[i] is None or len(found[0]) >= len(rule[i])):  # later passes hold longer hosts
                     rule[i], verdict[i] = found
-            yield batch.assign(rule=rule, verdict=verdict)
+            new = {"rule": pa.array(rule, pa.string()), "verdict": pa.array(verdict, pa.string())}
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
 
     return sweep
