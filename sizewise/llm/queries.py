@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sizewise.llm.common import table
 from sizewise.llm.decontaminate import contamination
+from sizewise.llm.embeddings import near_duplicate_vectors
+from sizewise.llm.html_text import extract_main_text
 from sizewise.llm.language import detect_language
 from sizewise.llm.line_dedup import dedup_lines
 from sizewise.llm.minhash import near_duplicates
@@ -24,6 +26,10 @@ URL_RULES = [
 ]
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
@@ -43,6 +49,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "p_junk", "p_toxic", F.col("rejected").alias("toxic"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contamination(docs, table(spark, sf_dir, "benchmark"), "doc_id", "text")
@@ -71,8 +82,10 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_language": op2_language,
     "op3_toxicity": op3_toxicity,
+    "op4_html_text": op4_html_text,
     "op5_decontaminate": op5_decontaminate,
     "op6_line_dedup": op6_line_dedup,
     "op7_mix_sources": op7_mix_sources,
