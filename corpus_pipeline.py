@@ -10,11 +10,20 @@ from pyspark.sql import functions as F
 from sizewise.llm.common import staged, table
 from sizewise.llm.decontaminate import without_contaminated
 from sizewise.llm.line_dedup import dedup_lines
+from sizewise.llm.minhash import near_duplicates
 from sizewise.llm.mixing import mix_to_weights
+from sizewise.llm.queries import toxicity_labels
+from sizewise.llm.toxicity import judge_toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain rejects go."""
+    judged = judge_toxicity(docs, toxicity_labels(spark, sf_dir), ["junk", "toxic"], "doc_id", "text")
+    return judged.where("NOT rejected").select(*docs.columns)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat earlier ones go; ``n_chars`` follows the text. Every document stays, if need be empty."""
     cut = dedup_lines(docs, "doc_id", "text")
@@ -22,6 +31,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.withColumn("n_chars", F.coalesce(n_chars, "n_chars")).select(*docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays, with all its rows."""
+    gone = near_duplicates(docs, "doc_id", "text").where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of the benchmark go."""
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"), "doc_id", "text")
@@ -33,7 +48,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
     ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
     ("mixing", mixing),
 ]

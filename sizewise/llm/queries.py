@@ -13,6 +13,7 @@ from sizewise.llm.language import detect_language
 from sizewise.llm.line_dedup import dedup_lines
 from sizewise.llm.minhash import near_duplicates
 from sizewise.llm.mixing import mix_to_weights
+from sizewise.llm.substrings import cut_repeats
 from sizewise.llm.toxicity import judge_toxicity
 from sizewise.llm.url_rules import judge_urls
 from sizewise.session import inline_table
@@ -75,6 +76,11 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cut_repeats(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rules = inline_table(spark, ["host", "path", "verdict"], URL_RULES)
@@ -90,5 +96,6 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op8_minhash": op8_minhash,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_rules": op10_url_rules,
 }
