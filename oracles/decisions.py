@@ -125,8 +125,10 @@ goals AS (
 
 KEYED = MEASUREMENTS + """,
 keyed AS (
-  SELECT *, format || '|' || coalesce(CAST(quality AS VARCHAR), '-') || '|' || CAST(lossless AS VARCHAR) AS encode_key
-  FROM measurements
+  SELECT *, concat_ws('|', format, coalesce(CAST(quality AS VARCHAR), '-'), CAST(lossless AS VARCHAR),
+    CASE WHEN format = 'AVIF' THEN CAST(60 + c % 2 AS VARCHAR) ELSE '-' END, CASE WHEN c % 5 = 0 THEN '30000' ELSE '-' END,
+    ['keep', 'strip_private', 'strip_all'][1 + c % 3], CAST(c % 4 = 0 AS VARCHAR), CASE WHEN c % 7 = 0 THEN 'fit|800' ELSE '-|-' END, '-') AS encode_key
+  FROM (SELECT *, CAST(estimated_cost_ms AS BIGINT) AS c FROM measurements)
 )"""
 
 SQL = {

@@ -1,6 +1,6 @@
 """Oracle SQL for pixel statistics, distortion and ladders."""
 
-from oracles.tables import IMAGE_FILES, PIXELS, RUNGS, STRIPS, with_tables
+from oracles.tables import IMAGE_FILES, PIXELS, RUNGS, SMALL_PIXELS, STRIPS, with_tables
 
 D = "CAST({} AS DOUBLE)".format
 LUMA = "(CAST(0.299 AS DOUBLE) * r + CAST(0.587 AS DOUBLE) * g + CAST(0.114 AS DOUBLE) * b)"
@@ -187,8 +187,8 @@ SELECT image_id, round(avg({SSIM}), 6) AS ssim, count(*) AS n_blocks FROM (
   SELECT image_id, {MOMENTS} FROM pairs GROUP BY image_id, y // 8, x // 8 HAVING count(*) = 64) GROUP BY image_id""",
     "ssim_gauss": with_tables(PAIRS, KERNEL) + f"""
 SELECT image_id, round(ssim, 6) AS ssim, n_windows FROM ({gauss('pairs')})""",
-    "ssim_global": with_tables(PAIRS) + f"""
-SELECT image_id, round({SSIM}, 6) AS ssim FROM (SELECT image_id, {MOMENTS} FROM pairs WHERE x < 8 AND y < 8 GROUP BY image_id)""",
+    "ssim_global": with_tables(SMALL_PIXELS, "pairs AS (SELECT * FROM " + lumas(quantized_copy("16")) + ")") + f"""
+SELECT image_id, round({SSIM}, 6) AS ssim FROM (SELECT image_id, {MOMENTS} FROM pairs GROUP BY image_id)""",
     "evaluate_outputs": with_tables(
         PIXELS, "pairs AS (SELECT * FROM " + lumas(quantized_copy("32")) + ")", KERNEL
     ) + f""",
@@ -220,5 +220,13 @@ best AS (
 SELECT c.image_id, coalesce(b.q, m.q) AS q, coalesce(b.size, m.size) AS size, round(coalesce(b.damage, m.damage), 6) AS damage, n_tried,
   b.q IS NOT NULL AS converged
 FROM counted c LEFT JOIN best b USING (image_id) LEFT JOIN measured m ON m.image_id = c.image_id AND m.q = c.top AND b.q IS NULL""",
-    "png_headers": "SELECT vec_id AS image_id, CAST(8 AS BIGINT) AS width, CAST(8 AS BIGINT) AS height, CAST(256 AS BIGINT) AS raw_size FROM embeddings",
+    "png_headers": """
+WITH heads AS (
+  SELECT doc_id AS image_id, doc_id % 5000 AS w, 1 + doc_id % 3000 AS h, [8, 16, 1][1 + doc_id % 3] AS depth, [0, 2, 3, 4, 6, 5][1 + doc_id % 6] AS kind,
+    doc_id % 11 <> 0 AND doc_id % 13 <> 0 AS whole FROM documents),
+read_heads AS (
+  SELECT *, CASE kind WHEN 0 THEN 1 WHEN 3 THEN 1 WHEN 2 THEN 3 WHEN 4 THEN 2 WHEN 6 THEN 4 END AS channels FROM heads)
+SELECT image_id, CASE WHEN ok THEN w END AS width, CASE WHEN ok THEN h END AS height,
+  CASE WHEN ok THEN w * h * channels * ((depth + 7) // 8) END AS raw_size
+FROM (SELECT *, whole AND w > 0 AND channels IS NOT NULL AS ok FROM read_heads)""",
 }

@@ -3,6 +3,10 @@
 from oracles.tables import (
     FILE_BLOBS, GOAL_REQUESTS, GOALS, HISTORY, JOB_EVENTS, LATEST, LOGS, PATHS, TAGS, with_tables,
 )
+from sizewise.functions import goals
+from sizewise.functions.paths import HEIF_BRANDS
+
+BRANDS = ", ".join(f"'{b.encode().hex().upper()}'" for b in HEIF_BRANDS)
 
 STATS = LATEST + """,
 stats AS (
@@ -44,18 +48,14 @@ def goal(text: str, identifiers: bool) -> str:
     """Decision tree of the free-text goal over a column ``plain``."""
     exact = f"""WHEN {text} IN ('Lossless') THEN 'LOSSLESS' WHEN {text} = 'Quality' THEN 'QUALITY' WHEN {text} = 'Balanced' THEN 'BALANCED'
     WHEN {text} IN ('Compress', 'MaximumCompression') THEN 'MAXIMUM' WHEN {text} = 'Web' THEN 'WEB' WHEN {text} = 'ExtremeLightweight' THEN 'EXTREME'"""
-    light = has("ligero ligera light small peque comprim compress tiny minimo reduce reduc ahorra menor".split() + ["save bytes", "file size"])
-    quality = has("calidad quality visual identico manten preserve preserv look sharp fidel igual".split()
-                  + ["no perder", "sin perder", "no cambie", "no camb", "casi igual"])
-    lossless = has("lossless exact bit-exact perfect perfecto 100%".split() + ["sin perdida", "sin perder nada", "bit exact"])
-    speed = has("rapido fast quick speed web internet online browser navegador".split())
-    balance = has("balance equilibr balanced medium medio default".split() + ["por defecto"])
+    light, quality, lossless = has(goals.LIGHT_SIGNALS), has(goals.QUALITY_SIGNALS), has(goals.LOSSLESS_SIGNALS)
+    speed, balance = has(goals.SPEED_SIGNALS), has(goals.BALANCE_SIGNALS)
     return f"""CASE {exact if identifiers else ''} WHEN trim(plain) = '' THEN 'BALANCED' WHEN {balance} THEN 'BALANCED' WHEN {lossless} THEN 'LOSSLESS'
-    WHEN {quality} AND ({light} OR {has(['extreme', 'extremo'])}) THEN 'EXTREME' WHEN {light} THEN 'MAXIMUM' WHEN {quality} THEN 'QUALITY'
+    WHEN {quality} AND ({light} OR {has(goals.EXTREME_WORDS)}) THEN 'EXTREME' WHEN {light} THEN 'MAXIMUM' WHEN {quality} THEN 'QUALITY'
     WHEN {speed} THEN 'WEB' ELSE 'BALANCED' END"""
 
 
-PLAIN = "translate(lower({}), 'áéíóúüñ', 'aeiouun')".format
+PLAIN = f"translate(lower({{}}), '{goals.ACCENTED}', '{goals.PLAIN}')".format
 
 PATH_PARTS = PATHS + r""",
 named AS (
@@ -86,17 +86,33 @@ def format_of(ext: str) -> str:
     WHEN lower({ext}) IN ('tif','tiff') THEN 'TIFF' ELSE 'UNKNOWN' END"""
 
 
-SNIFFED = FILE_BLOBS + r""",
+SNIFFED = FILE_BLOBS + rf""",
 sniffed AS (
   SELECT *, CASE WHEN h LIKE '89504E470D0A1A0A%' THEN 'PNG' WHEN h LIKE 'FFD8FF%' THEN 'JPEG'
     WHEN h LIKE '52494646________57454250%' THEN 'WEBP'
-    WHEN h LIKE '________66747970%' AND substr(h, 17, 8) IN ('61766966','61766973','6D696631','68656963','68656978','6865696D','68656973','68657663','68657678') THEN 'AVIF'
+    WHEN h LIKE '________66747970%' AND substr(h, 17, 8) IN ({BRANDS}) THEN 'AVIF'
     WHEN h LIKE '474946383761%' OR h LIKE '474946383961%' THEN 'GIF' WHEN h LIKE '424D%' THEN 'BMP'
     WHEN h LIKE '49492A00%' OR h LIKE '4D4D002A%' THEN 'TIFF' ELSE 'UNKNOWN' END AS real_format,
     regexp_extract(path, '\.([^.]*)$', 1) AS ext
   FROM (SELECT *, substr(content_hex, 1, 24) AS h FROM file_blobs)
 )"""
 
+AUDIT = TAGS + """,
+read_tags AS (
+  SELECT image_id, true AS has_exif, bool_or(tag = 'GPS') AS has_gps, arg_max(value, pos) FILTER (WHERE tag = 'Make') AS camera_make,
+    arg_max(value, pos) FILTER (WHERE tag = 'Model') AS camera_model, arg_max(value, pos) FILTER (WHERE tag = 'Software') AS software,
+    arg_min(value, pos) FILTER (WHERE tag LIKE 'DateTime%') AS first_datetime,
+    arg_max(value, pos) FILTER (WHERE tag = 'Orientation') AS orientation,
+    arg_max(TRY_CAST(value AS INTEGER), pos) FILTER (WHERE tag IN ('PixelXDimension', 'ImageWidth') AND TRY_CAST(value AS INTEGER) IS NOT NULL) AS exif_width,
+    arg_max(TRY_CAST(value AS INTEGER), pos) FILTER (WHERE tag IN ('PixelYDimension', 'ImageLength') AND TRY_CAST(value AS INTEGER) IS NOT NULL) AS exif_height
+  FROM tags GROUP BY image_id
+),
+audit AS (
+  SELECT c_custkey AS image_id, ['JPEG', 'TIFF', 'PNG'][1 + c_custkey % 3] AS format, coalesce(has_exif, false) AS has_exif,
+    coalesce(has_gps, false) AS has_gps, camera_make, camera_model, software, first_datetime, orientation, exif_width, exif_height
+  FROM customer LEFT JOIN read_tags ON image_id = c_custkey
+)"""
+
 SQL = {
     "latest_job_status": LATEST_SQL,
     "stream_latest_status": LATEST_SQL,
@@ -122,7 +138,7 @@ FROM v""",
     "job_outcome": OUTCOME_SQL,
     "stream_outcomes": OUTCOME_SQL,
     "retry_jobs": with_tables(LATEST) + """
-SELECT job_id, CASE WHEN status IN ('Failed','Cancelled') THEN 2 ELSE 1 END AS attempt,
+SELECT job_id, CAST(CASE WHEN job_id % 4 <> 0 THEN job_id % 3 + 1 ELSE 1 END + CASE WHEN status IN ('Failed','Cancelled') THEN 1 ELSE 0 END AS INTEGER) AS attempt,
   CASE WHEN status IN ('Failed','Cancelled') THEN 'Queued' ELSE status END AS status,
   CASE WHEN status IN ('Failed','Cancelled') THEN 0 ELSE original_size END AS original_size,
   CASE WHEN status IN ('Failed','Cancelled') THEN 0 ELSE final_size END AS final_size,
@@ -142,6 +158,11 @@ FROM history""",
 SELECT log_id, (CASE WHEN "timestamp" LIKE 'at %' THEN "timestamp" ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END)
   || ' [' || level || '] [' || source || '] ' || message AS line
 FROM logs ORDER BY ts DESC, log_id DESC LIMIT 5000""",
+    "stream_recent_logs": with_tables(LOGS) + " SELECT log_id, level, message FROM logs ORDER BY ts DESC, log_id DESC LIMIT 5000",
+    "stream_arrivals": with_tables(PATH_PARTS) + f"""
+SELECT path AS source, folder || '/' || stem || '_optimized.' || ext AS destination, {format_of('ext')} AS input_format, 'Queued' AS status,
+  'QUALITY' AS goal
+FROM parts WHERE ({ISSUE} ELSE 'Ok' END) = 'Ok'""",
     "goal_from_text": with_tables(GOAL_REQUESTS, GOALS) + f""",
 decided AS (SELECT request_id, {goal('prompt', True)} AS goal, lower(ltrim(trim(force_format_text), '.')) AS ff
   FROM (SELECT *, {PLAIN('prompt')} AS plain FROM goal_requests))
@@ -165,10 +186,13 @@ split AS (
 SELECT file_id, destination, dname AS name, CASE WHEN picked IS NULL OR {format_of('dext')} = picked THEN destination
   ELSE ofolder || '/' || dstem || CASE picked WHEN 'WEBP' THEN '.webp' ELSE '.jpg' END END AS final_path
 FROM split""",
-    "enqueue_jobs": with_tables(PATH_PARTS) + f"""
-SELECT file_id, path AS source, destination, {format_of('ext')} AS input_format, 'Queued' AS status,
-  ['LOSSLESS', 'QUALITY', 'MAXIMUM', 'EXTREME', 'QUALITY'][1 + file_id % 5] AS goal
-FROM dests WHERE ({ISSUE} ELSE 'Ok' END) = 'Ok' AND destination <> path""",
+    "enqueue_jobs": with_tables(PATH_PARTS) + f""",
+issues AS (
+  SELECT *, {ISSUE} WHEN destination = path THEN 'SameFile' END AS issue FROM dests)
+SELECT file_id, path AS source, CASE WHEN issue IS NULL THEN destination END AS destination,
+  CASE WHEN issue IS NULL THEN {format_of('ext')} END AS input_format, CASE WHEN issue IS NULL THEN 'Queued' END AS status,
+  CASE WHEN issue IS NULL THEN ['LOSSLESS', 'QUALITY', 'MAXIMUM', 'EXTREME', 'QUALITY'][1 + file_id % 5] END AS goal, issue
+FROM issues""",
     "sniff_formats": with_tables(SNIFFED) + " SELECT file_id, real_format FROM sniffed",
     "extension_audit": with_tables(SNIFFED) + f""",
 a AS (SELECT *, {format_of('ext')} AS ext_format FROM sniffed)
@@ -176,13 +200,9 @@ SELECT file_id, ext_format, real_format, ext_format = real_format AND real_forma
   CASE WHEN real_format <> 'UNKNOWN' AND ext_format <> real_format THEN substr(path, 1, length(path) - length(ext))
     || CASE real_format WHEN 'JPEG' THEN 'jpg' WHEN 'TIFF' THEN 'tif' ELSE lower(real_format) END END AS renamed_path
 FROM a""",
-    "metadata_audit": with_tables(TAGS) + """
-SELECT image_id, format, true AS has_exif, bool_or(tag = 'GPS') AS has_gps, arg_max(value, pos) FILTER (WHERE tag = 'Make') AS camera_make,
-  arg_max(value, pos) FILTER (WHERE tag = 'Model') AS camera_model, arg_max(value, pos) FILTER (WHERE tag = 'Software') AS software,
-  arg_min(value, pos) FILTER (WHERE tag = 'DateTime') AS first_datetime, arg_max(value, pos) FILTER (WHERE tag = 'Orientation') AS orientation
-FROM tags GROUP BY image_id, format""",
-    "metadata_fleet": with_tables(TAGS) + """,
-audit AS (SELECT image_id, format, bool_or(tag = 'GPS') AS gps, bool_or(tag = 'Make') AS make FROM tags GROUP BY image_id, format)
-SELECT format, count(*) AS images, count(*) AS with_exif, count(*) FILTER (WHERE gps) AS with_gps, count(*) FILTER (WHERE make) AS with_make
+    "metadata_audit": with_tables(AUDIT) + " SELECT * FROM audit",
+    "metadata_fleet": with_tables(AUDIT) + """
+SELECT format, count(*) AS images, count(*) FILTER (WHERE has_exif) AS with_exif, count(*) FILTER (WHERE has_gps) AS with_gps,
+  count(*) FILTER (WHERE camera_make IS NOT NULL) AS with_make
 FROM audit GROUP BY format""",
 }

@@ -1,5 +1,12 @@
 """The derived tables again, as SQL common table expressions for the oracle engine."""
 
+from sizewise.datasets import PROMPTS
+
+
+def texts(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
 MEASUREMENTS = """
 measurements AS (
   SELECT l_orderkey AS image_id,
@@ -135,11 +142,22 @@ strips AS (
   FROM lineitem
 )"""
 
+SMALL_PIXELS = """
+small_cells AS (
+  SELECT vec_id AS image_id, CAST(unnest(embedding) AS DOUBLE) * 300 AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings
+),
+pixels AS (
+  SELECT image_id, CAST(pos % 8 AS INTEGER) AS x, CAST(pos // 8 AS INTEGER) AS y,
+    CAST(least(greatest(round(128 + v), 0), 255) AS INTEGER) AS r, CAST(least(greatest(round(128 + v * CAST(0.5 AS DOUBLE)), 0), 255) AS INTEGER) AS g,
+    CAST(least(greatest(round(128 - v * CAST(0.5 AS DOUBLE)), 0), 255) AS INTEGER) AS b, CASE WHEN pos % 5 = 0 THEN 128 ELSE 255 END AS a
+  FROM small_cells
+)"""
+
 IMAGE_FILES = """
 image_files AS (
   SELECT i AS image_id, CASE i % 3 WHEN 0 THEN 'PNG' WHEN 1 THEN 'JPEG' ELSE 'WEBP' END AS format,
     16 AS width, 16 AS height, 1000 + (i * 7919) % 90000 AS file_size
-  FROM (SELECT vec_id // 4 AS i FROM embeddings WHERE vec_id % 4 = 0)
+  FROM (SELECT DISTINCT vec_id // 4 AS i FROM embeddings)
 )"""
 
 RUNGS = """
@@ -180,12 +198,10 @@ history AS (
   FROM orders
 )"""
 
-GOAL_REQUESTS = """
+GOAL_REQUESTS = f"""
 goal_requests AS (
   SELECT c_custkey AS request_id,
-    ['', 'Lossless', 'lo más ligero posible sin perder calidad', 'comprimir al máximo', 'tiny file size', 'sin pérdida',
-     'calidad máxima', 'rápido para la web', 'balanceado', 'Compress', 'extremely sharp look', 'make it fast',
-     'something else entirely', '   ', 'ExtremeLightweight', 'Preserve quality, smaller please'][1 + c_custkey % 16] AS prompt,
+    {texts(PROMPTS)}[1 + c_custkey % 16] AS prompt,
     [NULL, 'png', '.JPG', ' webp ', 'heic', '', 'AVIF'][1 + c_custkey % 7] AS force_format_text
   FROM customer
 )"""
@@ -218,8 +234,9 @@ file_blobs AS (
 TAGS = """
 tags AS (
   SELECT user_id AS image_id, event_id AS pos,
-    ['Make', 'Model', 'Software', 'DateTime', 'Orientation', 'GPS'][1 + event_id % 6] AS tag, props AS value,
-    ['JPEG', 'TIFF', 'PNG'][1 + user_id % 3] AS format
+    ['Make', 'Model', 'Software', 'DateTime', 'Orientation', 'GPS', 'DateTimeOriginal', 'DateTimeDigitized', 'PixelXDimension',
+     'PixelYDimension', 'ImageWidth', 'ImageLength'][1 + event_id % 12] AS tag,
+    CASE WHEN event_id % 12 >= 8 THEN CAST(event_id % 4000 AS VARCHAR) ELSE props END AS value
   FROM events
 )"""
 

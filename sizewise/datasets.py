@@ -157,10 +157,10 @@ def strips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the file scan knows about each image of ``pixels``."""
-    ids = read(spark, sf_dir, "embeddings").where("vec_id % 4 = 0")
-    i = F.floor(F.col("vec_id") / 4).cast("long")
+    i = F.col("image_id")
+    ids = read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 4).cast("long").alias("image_id")).distinct()
     return ids.select(
-        i.alias("image_id"),
+        i,
         _pick(i % 3, ["PNG", "JPEG", "WEBP"]).alias("format"),
         F.lit(16).alias("width"),
         F.lit(16).alias("height"),
@@ -225,9 +225,9 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # One prompt per way the goal can be decided.
 PROMPTS = [
-    "", "Lossless", "lo más ligero posible sin perder calidad", "comprimir al máximo", "tiny file size", "sin pérdida",
-    "calidad máxima", "rápido para la web", "balanceado", "Compress", "extremely sharp look", "make it fast",
-    "something else entirely", "   ", "ExtremeLightweight", "Preserve quality, smaller please",
+    "", "Lossless", "que pese menor sin perder nada", "comprimir todo el álbum", "reduce the gallery", "copia sin perdida",
+    "buena calidad, por favor", "quick thumbnails", "un resultado equilibrado", "Compress", "extreme but sharp", "for the browser",
+    "holiday pictures", "   ", "ExtremeLightweight", "keep the look, save bytes",
 ]
 FORCED = [None, "png", ".JPG", " webp ", "heic", "", "AVIF"]
 
@@ -246,8 +246,13 @@ PAGE_EXTENSIONS = [".png", ".JPG", ".jpeg", ".webp", ".avif", ".gif", "", ".txt"
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_paths(read(spark, sf_dir, "pages"))
+
+
+def as_paths(pages: DataFrame) -> DataFrame:
+    """Paths of image files made of the addresses of pages; also used on the streaming read."""
     k = F.col("page_id")
-    return read(spark, sf_dir, "pages").select(
+    return pages.select(
         k.alias("file_id"),
         F.concat(
             F.when(k % 17 == 0, "../").otherwise(""),
@@ -287,7 +292,10 @@ def file_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-TAG_NAMES = ["Make", "Model", "Software", "DateTime", "Orientation", "GPS"]
+TAG_NAMES = [
+    "Make", "Model", "Software", "DateTime", "Orientation", "GPS", "DateTimeOriginal", "DateTimeDigitized", "PixelXDimension",
+    "PixelYDimension", "ImageWidth", "ImageLength",
+]
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,16 +303,27 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(
         F.col("user_id").alias("image_id"),
         F.col("event_id").alias("pos"),
-        _pick(F.col("event_id") % 6, TAG_NAMES).alias("tag"),
-        F.col("props").alias("value"),
-        _pick(F.col("user_id") % 3, ["JPEG", "TIFF", "PNG"]).alias("format"),
+        _pick(F.col("event_id") % len(TAG_NAMES), TAG_NAMES).alias("tag"),
+        F.when(F.col("event_id") % len(TAG_NAMES) >= 8, (F.col("event_id") % 4000).cast("string")).otherwise(F.col("props")).alias("value"),
+    )
+
+
+def tagged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The image files that ``tags`` were read from; many have none."""
+    k = F.col("c_custkey")
+    return read(spark, sf_dir, "customer").select(
+        k.alias("image_id"), _pick(k % 3, ["JPEG", "TIFF", "PNG"]).alias("format")
     )
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log rows: one per event. Every tenth timestamp is text that is not a time."""
+    return as_logs(read(spark, sf_dir, "events"))
+
+
+def as_logs(events: DataFrame) -> DataFrame:
     level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "click", "WARN").otherwise("INFO")
-    return read(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("log_id"),
         "ts",
         F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("at "), F.col("event_id").cast("string")))
@@ -316,17 +335,53 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tile_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RGBA rasters of 8 x 8 pixels, one per embedding vector, built inside the row."""
+def small_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RGBA pixels of images of 8 x 8: one embedding vector each."""
+    cells = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v"))
 
-    def byte(v: Column, k: float) -> Column:
-        value = F.least(F.greatest(F.round(128.0 + 300.0 * k * v.cast("double")), F.lit(0.0)), F.lit(255.0))
-        return F.lpad(F.hex(value.cast("long")), 2, "0")
+    def channel(k: float) -> Column:
+        value = F.round(128.0 + 300.0 * k * F.col("v").cast("double"))
+        return F.least(F.greatest(value, F.lit(0.0)), F.lit(255.0)).cast("int")
 
-    cells = F.transform("embedding", lambda v: F.concat(byte(v, 1.0), byte(v, 0.5), byte(v, -0.5), F.lit("FF")))
-    return read(spark, sf_dir, "embeddings").select(
+    return cells.select(
         F.col("vec_id").alias("image_id"),
-        F.lit(8).alias("width"),
-        F.lit(8).alias("height"),
-        F.unhex(F.array_join(cells, "")).alias("raster"),
+        (F.col("pos") % 8).cast("int").alias("x"),
+        F.floor(F.col("pos") / 8).cast("int").alias("y"),
+        channel(1.0).alias("r"),
+        channel(0.5).alias("g"),
+        channel(-0.5).alias("b"),
+        F.when(F.col("pos") % 5 == 0, 128).otherwise(255).alias("a"),
+    )
+
+
+def header_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first bytes of PNG files, one per document, of all colour types; some are cut off or of another kind."""
+    k = F.col("doc_id")
+
+    def big_endian(v: Column, digits: int) -> Column:
+        return F.lpad(F.hex(v.cast("long")), digits, "0")
+
+    kind = _pick(k % 6, ["00", "02", "03", "04", "06", "05"])
+    head = F.concat(
+        F.when(k % 11 == 0, "FFD8FFE000104A46").otherwise("89504E470D0A1A0A"), F.lit("0000000D49484452"),
+        big_endian(k % 5000, 8), big_endian(1 + k % 3000, 8), _pick(k % 3, ["08", "10", "01"]), kind, F.lit("000000"),
+    )
+    content = F.concat(F.unhex(head), F.col("text").cast("binary"))
+    return read(spark, sf_dir, "documents").select(
+        k.alias("image_id"), F.when(k % 13 == 0, F.substring(content, 1, 20)).otherwise(content).alias("content")
+    )
+
+
+def encode_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measured candidates with the settings of the encoder that also shape the bytes; some are not set."""
+    c = F.col("estimated_cost_ms")
+    return measurements(spark, sf_dir).select(
+        "*",
+        F.when(F.col("format") == "AVIF", 60 + c % 2).cast("int").alias("alpha_quality"),
+        F.when(c % 5 == 0, 30000).cast("long").alias("time_budget_ms"),
+        _pick(c % 3, ["keep", "strip_private", "strip_all"]).alias("metadata_mode"),
+        (c % 4 == 0).alias("preserve_color_profile"),
+        F.when(c % 7 == 0, "fit").alias("resize_mode"),
+        F.when(c % 7 == 0, 800).cast("int").alias("resize_width"),
+        F.lit(None).cast("int").alias("resize_height"),
     )

@@ -1,4 +1,4 @@
-"""Dominance (the size-quality front) inside each image."""
+"""Dominance (the size-quality front) inside each group, such as an image under one goal."""
 
 from __future__ import annotations
 
@@ -16,9 +16,9 @@ def _is_dominated(quality: Column, smaller: Column, same: Column) -> Column:
     )
 
 
-def mark_dominated_small(df: DataFrame, key: str, size: str, quality: str, eligible: Column) -> DataFrame:
+def mark_dominated_small(df: DataFrame, keys: list[str], size: str, quality: str, eligible: Column) -> DataFrame:
     """One window per group: the best quality over smaller sizes and over the same size."""
-    by_size = Window.partitionBy(key).orderBy(size)
+    by_size = Window.partitionBy(*keys).orderBy(size)
     q = F.when(eligible, F.col(quality))
     return (
         df.withColumn("_smaller", F.max(q).over(by_size.rangeBetween(Window.unboundedPreceding, -1)))
@@ -28,27 +28,27 @@ def mark_dominated_small(df: DataFrame, key: str, size: str, quality: str, eligi
     )
 
 
-def mark_dominated_hot(df: DataFrame, key: str, size: str, quality: str, eligible: Column) -> DataFrame:
+def mark_dominated_hot(df: DataFrame, keys: list[str], size: str, quality: str, eligible: Column) -> DataFrame:
     """The same flags for groups of any size: one row per size first, then digit-wise prefix maxima."""
-    best = df.where(eligible).groupBy(key, size).agg(F.max(quality).alias("_same"))
-    smaller = prefix_max(best, [key], size, "_same").withColumnRenamed("prefix", "_smaller")
-    front = best.join(smaller, [key, size])
+    best = df.where(eligible).groupBy(*keys, size).agg(F.max(quality).alias("_same"))
+    smaller = prefix_max(best, keys, size, "_same").withColumnRenamed("prefix", "_smaller")
+    front = best.join(smaller, [*keys, size])
     return (
-        df.join(front, [key, size], "left")
+        df.join(front, [*keys, size], "left")
         .withColumn("dominated", eligible & _is_dominated(F.col(quality), F.col("_smaller"), F.col("_same")))
         .drop("_smaller", "_same")
     )
 
 
 def mark_dominated(
-    df: DataFrame, key: str, size: str, quality: str, eligible: Column | None = None, **hot: int
+    df: DataFrame, keys: list[str], size: str, quality: str, eligible: Column | None = None, hot: DataFrame | None = None
 ) -> DataFrame:
-    """Add ``dominated``. Only eligible rows dominate or are dominated."""
+    """Add ``dominated``. Only eligible rows dominate or are dominated, those with the same ``keys``."""
     eligible = F.lit(True) if eligible is None else eligible
     return per_group(
         df,
-        [key],
-        lambda rows: mark_dominated_small(rows, key, size, quality, eligible),
-        lambda rows: mark_dominated_hot(rows, key, size, quality, eligible),
-        **hot,
+        keys,
+        lambda rows: mark_dominated_small(rows, keys, size, quality, eligible),
+        lambda rows: mark_dominated_hot(rows, keys, size, quality, eligible),
+        hot,
     )

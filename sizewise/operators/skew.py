@@ -1,9 +1,9 @@
 """Ordered work inside groups without a single task per group.
 
 Ordinary groups (the candidates of one image, the events of one job) are small, and one window per group is
-the cheapest plan. A few groups may hold a large share of all rows. They are found with a count per key,
-which combines on the map side, and take another exact way: positions are cut into fixed-width digits, so no
-window partition ever holds more than ``2 ** DIGIT_BITS`` distinct positions.
+the cheapest plan. A caller who knows of groups that hold a large share of all rows names their keys; those take
+another exact way: positions are cut into fixed-width digits, so no window partition ever holds more than
+``2 ** DIGIT_BITS`` distinct positions. Nothing is counted or collected to find out.
 """
 
 from __future__ import annotations
@@ -14,35 +14,17 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key is hot when it has more rows than both of these. The second bounds the number of hot keys, and thereby
-# what ``split_hot`` brings to the driver: no more than HOT_SHARE keys can each hold over 1/HOT_SHARE of the rows.
-HOT_MIN_ROWS = 1_000_000
-HOT_SHARE = 65_536
 DIGIT_BITS = 12
 DIGIT_LEVELS = 4
 
 
-def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_MIN_ROWS, share: int = HOT_SHARE) -> DataFrame | None:
-    """The keys of hot groups as a local table of at most ``share`` rows, or None when there are none.
-
-    This runs one job now: a count per key over the key columns only. Knowing the answer keeps the plan of the
-    common case, no hot group at all, to a single window.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n").isNotNull())
-    total = counts.agg(F.sum("_n"))
-    hot = counts.where((F.col("_n") > min_rows) & (F.col("_n") * share > total.scalar())).select(*keys)
-    found = hot.collect()
-    return df.sparkSession.createDataFrame(found, hot.schema) if found else None
-
-
-def split_hot(df: DataFrame, keys: list[str], **hot: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary groups, and rows of hot groups or None. The parts share no key; together they are ``df``."""
-    found = hot_keys(df, keys, **hot)
-    if found is None:
+def split_hot(df: DataFrame, keys: list[str], hot: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary groups, and rows of the groups in ``hot`` or None. The parts share no key; together they are ``df``."""
+    if hot is None:
         return df, None
-    found = F.broadcast(found)  # at most ``share`` keys, see above
+    named = hot.select(*keys).distinct()
     same = reduce(lambda a, b: a & b, [F.col(f"_rows.{k}").eqNullSafe(F.col(f"_hot.{k}")) for k in keys])
-    rows, large = df.alias("_rows"), found.alias("_hot")
+    rows, large = df.alias("_rows"), named.alias("_hot")
     return rows.join(large, same, "left_anti"), rows.join(large, same, "left_semi")
 
 
@@ -51,10 +33,13 @@ def per_group(
     keys: list[str],
     ordinary: Callable[[DataFrame], DataFrame],
     large: Callable[[DataFrame], DataFrame],
-    **hot: int,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Apply the plain form to ordinary groups and the digit-wise form to hot ones."""
-    small_rows, hot_rows = split_hot(df, keys, **hot)
+    """Apply the plain form to ordinary groups and the digit-wise form to those whose keys ``hot`` names.
+
+    Both forms give the same rows; without ``hot`` there is one plan, whatever the size of the table.
+    """
+    small_rows, hot_rows = split_hot(df, keys, hot)
     done = ordinary(small_rows)
     return done if hot_rows is None else done.unionByName(large(hot_rows))
 
@@ -87,7 +72,7 @@ def prefix_max(df: DataFrame, keys: list[str], position: str, value: str) -> Dat
 
 
 def previous_value(
-    df: DataFrame, keys: list[str], position: str, tie: str, value: str, output: str, **hot: int
+    df: DataFrame, keys: list[str], position: str, tie: str, value: str, output: str, hot: DataFrame | None = None
 ) -> DataFrame:
     """``value`` of the row just before, by position then tie, inside each key (a lag)."""
 
@@ -107,4 +92,4 @@ def previous_value(
             .drop("_first", "_lag", "prefix")
         )
 
-    return per_group(df, keys, plain, digits, **hot)
+    return per_group(df, keys, plain, digits, hot)

@@ -57,7 +57,8 @@ def _of_format(entry: Column) -> Column:
         repeated = (fmt == "AVIF") & (q > r["low"]) & (F.floor(q / 10) == F.floor(below / 10))
         return _candidate("level", fmt, q, False, repeated)
 
-    levels = F.slice(quality_levels(r), F.lit(1), F.when(searched, ANCHOR_LEVELS).otherwise(101))
+    every = quality_levels(r)
+    levels = F.when(searched, F.slice(every, 1, ANCHOR_LEVELS)).otherwise(every)
     ladder = F.transform(F.coalesce(levels, F.array().cast("array<int>")), level)
     return F.concat(fixed, ladder)
 
@@ -102,7 +103,9 @@ def generate_candidates(strategies: DataFrame) -> DataFrame:
     )
     accepted = judged.withColumn("_ok", F.filter("_all", lambda c: c["reason"].isNull()))
     # The last position that fits under the cap; later accepted candidates are dropped for priority.
-    last = F.get(F.slice("_ok", F.col("max_candidates"), 1), F.lit(0))["position"]
+    # A cap of 0 or less leaves none, no cap leaves all.
+    cap = F.col("max_candidates")
+    last = F.when(cap <= 0, F.lit(-1)).otherwise(F.get(F.col("_ok"), cap - 1)["position"])
     rows = accepted.withColumn("_last", last).select("*", F.explode("_all").alias("_c")).drop("_all", "_ok", *flags)
     target, quality, lossless = F.col("target"), F.col("quality"), F.col("lossless")
     searched = F.col("kind") == "search"

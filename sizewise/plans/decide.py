@@ -1,4 +1,4 @@
-"""From measured candidates to one decision per image and a reason for every rejected candidate."""
+"""From measured candidates to one decision per image and goal and a reason for every rejected candidate."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from sizewise.operators.dominance import mark_dominated_hot, mark_dominated_smal
 from sizewise.operators.score import add_score, gate_measurements
 from sizewise.operators.skew import per_group
 
+# What one decision is about: an image can be planned under several goals.
+KEYS = ["image_id", "goal"]
 # Columns of the winning candidate that travel with the decision.
 WINNER = ["candidate_id", "format", "quality", "lossless", "iterative", "output_size", "score", "is_lossless",
           "ssim", "psnr"]
@@ -19,22 +21,23 @@ WINNER = ["candidate_id", "format", "quality", "lossless", "iterative", "output_
 def _annotate_with(mark, rows: DataFrame, goals: DataFrame | None, max_output_size: int | None) -> DataFrame:
     accepted = F.col("reason").isNull()
     gated = gate_measurements(rows, goals, max_output_size)
-    marked = mark(gated, "image_id", "output_size", "front_quality", accepted)
+    marked = mark(gated, KEYS, "output_size", "front_quality", accepted)
     return add_score(marked).withColumn("survives", accepted & ~F.col("dominated")).withColumn(
         "beats_original", F.col("survives") & (F.col("output_size") < F.col("original_size"))
     )
 
 
 def annotate(
-    measurements: DataFrame, goals: DataFrame | None = None, max_output_size: int | None = None, **hot: int
+    measurements: DataFrame, goals: DataFrame | None = None, max_output_size: int | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Scored measurements with ``dominated``, ``survives`` and ``beats_original``."""
     return per_group(
         measurements,
-        ["image_id"],
+        KEYS,
         lambda rows: _annotate_with(mark_dominated_small, rows, goals, max_output_size),
         lambda rows: _annotate_with(mark_dominated_hot, rows, goals, max_output_size),
-        **hot,
+        hot,
     )
 
 
@@ -45,7 +48,7 @@ def _first(order: list[Column], condition: Column) -> Column:
 
 
 def choose(annotated: DataFrame, ranked: bool = False) -> DataFrame:
-    """Aggregate annotated candidates to one decision per image.
+    """Aggregate annotated candidates to one decision per image and goal.
 
     With ``ranked`` the rows carry ``_rank`` among the candidates that beat the original, and the decision gets the
     runner-up: the best of them that is not the winner.
@@ -53,9 +56,8 @@ def choose(annotated: DataFrame, ranked: bool = False) -> DataFrame:
     beats, lossless = F.col("beats_original"), F.col("lossless")
     by_rank = [(-F.col("score")).alias("o1"), F.col("output_size").alias("o2"), F.col("candidate_id").alias("o3")]
     by_size = [F.col("output_size").alias("o1"), (-F.col("score")).alias("o2"), F.col("candidate_id").alias("o3")]
-    grouped = annotated.groupBy("image_id").agg(
-        F.first("original_size").alias("original_size"),
-        F.first("goal").alias("goal"),
+    grouped = annotated.groupBy(*KEYS).agg(
+        F.max("original_size").alias("original_size"),
         F.count(F.lit(1)).alias("n_candidates"),
         F.count_if("success").alias("n_measured"),
         F.count_if("survives").alias("n_survivors"),
@@ -93,13 +95,13 @@ def decide(
     goals: DataFrame | None = None,
     max_output_size: int | None = None,
     runner_up: bool = False,
-    **hot: int,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per image: the winner or the original, and why; with ``runner_up`` also the next best.
+    """One row per image and goal: the winner or the original, and why; with ``runner_up`` also the next best.
 
     The best-ranked survivor that beats the original is chosen, unless the smallest lossless survivor is no
-    larger than the smallest lossy one. Ordinary images need one shuffle on ``image_id`` for dominance and
-    choice together; hot images are pre-aggregated on the map side.
+    larger than the smallest lossy one. One shuffle on image and goal serves dominance and choice together. ``hot``
+    names groups too large for one window; they are pre-aggregated on the map side.
     """
 
     def finish(annotated: DataFrame, rank: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -107,10 +109,10 @@ def decide(
 
     return per_group(
         measurements,
-        ["image_id"],
+        KEYS,
         lambda rows: finish(_annotate_with(mark_dominated_small, rows, goals, max_output_size), _rank_small),
         lambda rows: finish(_annotate_with(mark_dominated_hot, rows, goals, max_output_size), _rank_hot),
-        **hot,
+        hot,
     )
 
 
@@ -120,7 +122,7 @@ def _rank_order() -> list[Column]:
 
 def _rank_small(annotated: DataFrame) -> DataFrame:
     """Rank by score, size and id among the candidates that beat the original; they come first in the window."""
-    window = Window.partitionBy("image_id").orderBy(*_rank_order())
+    window = Window.partitionBy(*KEYS).orderBy(*_rank_order())
     return annotated.withColumn("_rank", F.row_number().over(window))
 
 
@@ -130,12 +132,12 @@ def _rank_hot(annotated: DataFrame) -> DataFrame:
     ``row_number() <= 2`` becomes a top-2 per task before the shuffle, so a hot image sends few rows; the ranks are
     joined back by candidate.
     """
-    window = Window.partitionBy("image_id").orderBy(*_rank_order())
+    window = Window.partitionBy(*KEYS).orderBy(*_rank_order())
     top = (
         annotated.where("beats_original").withColumn("_rank", F.row_number().over(window)).where("_rank <= 2")
-        .select("image_id", "candidate_id", "_rank")
+        .select(*KEYS, "candidate_id", "_rank")
     )
-    return annotated.join(top, ["image_id", "candidate_id"], "left")
+    return annotated.join(top, [*KEYS, "candidate_id"], "left")
 
 
 def rejections(annotated: DataFrame) -> DataFrame:

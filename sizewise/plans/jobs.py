@@ -9,7 +9,7 @@ from sizewise.functions import goals as G
 from sizewise.functions import paths as X
 from sizewise.functions.scoring import percentage_saved
 from sizewise.functions.text import format_bytes, format_duration, format_percent
-from sizewise.operators.skew import per_group, previous_value
+from sizewise.operators.skew import previous_value
 
 # Job states.
 STATUSES = ["Queued", "Processing", "Completed", "Failed", "Cancelled", "Skipped"]
@@ -77,58 +77,53 @@ def batch_summary(live: DataFrame) -> DataFrame:
     return live.select(text.alias("summary"))
 
 
-def job_alerts(events: DataFrame, **hot: int) -> DataFrame:
+def job_alerts(events: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """One alert per failure; a further failure alerts only after the job completed or was cancelled.
 
     Among the events that matter, a failure is announced exactly when the event before it is not a failure.
     """
     relevant = events.where(F.col("status").isin("Failed", *REARMING)).select("job_id", "event_id", "ts", "status")
     relevant = relevant.withColumn("_ts", F.unix_micros(F.col("ts").cast("timestamp")))
-    seen = previous_value(relevant, ["job_id"], "_ts", "event_id", "status", "_before", **hot)
+    seen = previous_value(relevant, ["job_id"], "_ts", "event_id", "status", "_before", hot)
     alert = (F.col("status") == "Failed") & (F.coalesce("_before", F.lit("none")) != "Failed")
     return seen.where(alert).select("job_id", "event_id", "ts")
 
 
-def job_outcome(events: DataFrame, **hot: int) -> DataFrame:
+def job_outcome(events: DataFrame) -> DataFrame:
     """Final state of each job under the rule that a cancel wins over a later result.
 
     A cancel only acts on a job that is queued or processing, that is, before its first result. A new Queued event
-    starts the job over, so only the events since the last one count.
+    starts the job over, so only the events since the last one count. Both steps are aggregates that combine before
+    the shuffle, and the join between them has one row per job on one side, so adaptive execution can split a hot job.
     """
-    at = F.struct("ts", "event_id")
-    terminal = F.col("status").isin("Completed", "Failed", "Cancelled")
+    return settled(events, F.struct("ts", "event_id"))
 
-    def starts(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("job_id").agg(F.max(F.when(F.col("status") == "Queued", at)).alias("_start"))
-
-    def settle(rows: DataFrame, started: DataFrame) -> DataFrame:
-        current = rows.join(started, "job_id").where(F.col("_start").isNull() | (at >= F.col("_start")))
-        return current.groupBy("job_id").agg(
-            F.min_by("status", F.when(terminal, at)).alias("_final"), F.max_by("status", at).alias("_last")
-        ).select("job_id", F.coalesce("_final", "_last").alias("status"))
-
-    # Hot jobs are few, so their starts are broadcast and their events are aggregated where they are.
-    return per_group(
-        events,
-        ["job_id"],
-        lambda rows: settle(rows, starts(rows)),
-        lambda rows: settle(rows, F.broadcast(starts(rows))),
-        **hot,
-    )
+
+def settled(events: DataFrame, at: Column) -> DataFrame:
+    """The same for events in the order of ``at``."""
+    terminal = F.col("status").isin("Completed", "Failed", "Cancelled")
+    started = events.groupBy("job_id").agg(F.max(F.when(F.col("status") == "Queued", at)).alias("_start"))
+    current = events.join(started, "job_id").where(F.col("_start").isNull() | (at >= F.col("_start")))
+    return current.groupBy("job_id").agg(
+        F.min_by("status", F.when(terminal, at)).alias("_final"), F.max_by("status", at).alias("_last")
+    ).select("job_id", F.coalesce("_final", "_last").alias("status"))
 
 
 def retry_jobs(jobs: DataFrame, new_id: Column | None = None) -> DataFrame:
     """Queue after a retry: failed and cancelled jobs are replaced by fresh queued ones with results zeroed.
 
-    ``new_id`` gives the id of the new job; by default the old id is kept with a higher attempt number.
+    ``new_id`` gives the id of the new job; by default the old id is kept. A fresh job counts one attempt more than the
+    one it replaces, a table without ``attempt`` being at its first; the attempts of the other jobs stay as they are.
     """
-    again = F.col("status").isin(RETRYABLE)
+    again = F.coalesce(F.col("status").isin(RETRYABLE), F.lit(False))
+    tried = F.coalesce("attempt", F.lit(1)) if "attempt" in jobs.columns else F.lit(1)
+    jobs = jobs.withColumn("attempt", tried.cast("int"))
     fresh = jobs.where(again)
     results = {c: F.lit(0).cast("long") for c in ("original_size", "final_size", "processing_time_ms") if c in jobs.columns}
-    fresh = fresh.withColumns({**results, "status": F.lit("Queued"), "attempt": F.lit(2)})
+    fresh = fresh.withColumns({**results, "status": F.lit("Queued"), "attempt": F.col("attempt") + 1})
     if new_id is not None:
         fresh = fresh.withColumn("job_id", new_id)
-    return jobs.where(~again).withColumn("attempt", F.lit(1)).unionByName(fresh)
+    return jobs.where(~again).unionByName(fresh)
 
 
 def clear_jobs(jobs: DataFrame) -> DataFrame:
@@ -158,22 +153,30 @@ def job_results(jobs: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def enqueue(files: DataFrame, mode: Column | None = None, max_bytes: int = 0) -> DataFrame:
-    """Job rows for valid files (path, length, and the output columns of ``paths.output_path``)."""
+    """One row per file (path, length, and the output columns of ``paths.output_path``).
+
+    A file that can be worked on becomes a queued job. Any other row says in ``issue`` what is wrong with its path, or that
+    the output would overwrite it, and has no status.
+    """
     destination = X.output_path(
         F.col("path"), F.col("output_mode"), F.col("custom_folder"), F.col("preserve_structure"), F.col("template"),
         F.col("target_extension"),
     )
     goal = G.goal_of_mode(F.lit("Quality") if mode is None else mode)
-    return (
-        files.where(X.validation_issue(F.col("path"), F.col("length"), max_bytes) == "Ok")
-        .withColumn("destination", destination)
-        .where(F.col("destination") != F.col("path"))
-        .select(
-            "file_id",
-            F.col("path").alias("source"),
-            "destination",
-            X.format_of_extension(X.extension(F.col("path"))).alias("input_format"),
-            F.lit("Queued").alias("status"),
-            goal.alias("goal"),
-        )
+    issue = X.validation_issue(F.col("path"), F.col("length"), max_bytes)
+    rows = files.withColumn("_issue", issue).withColumn("_destination", destination)
+    issue = F.when(F.col("_issue") != "Ok", F.col("_issue")).when(F.col("_destination") == F.col("path"), "SameFile")
+    rows = rows.withColumn("_issue", issue)
+
+    def queued(value: Column) -> Column:
+        return F.when(F.col("_issue").isNull(), value)
+
+    return rows.select(
+        "file_id",
+        F.col("path").alias("source"),
+        queued(F.col("_destination")).alias("destination"),
+        queued(X.format_of_extension(X.extension(F.col("path")))).alias("input_format"),
+        queued(F.lit("Queued")).alias("status"),
+        queued(goal).alias("goal"),
+        F.col("_issue").alias("issue"),
     )

@@ -13,17 +13,20 @@ from sizewise.operators.sweep import lossy_probe
 def build_profiles(files: DataFrame, pixels: DataFrame) -> DataFrame:
     """Profiles of all files (image_id, format, width, height, file_size).
 
-    Images over the pixel guard are dropped before any pixel work, the rest is measured on a preview. Files
-    without decoded pixels keep the default measures.
+    Images within the pixel guard are measured on a preview. Files over it, of unknown size or without decoded pixels
+    keep the default measures; ``error`` names the first two and is NULL otherwise.
     """
-    usable = files.where(P.pixel_count(F.col("width"), F.col("height")) <= MAX_PIXELS)
+    count = P.pixel_count(F.col("width"), F.col("height"))
+    error = F.when(count.isNull(), "unknown_size").when(count > MAX_PIXELS, "too_many_pixels")
+    files = files.withColumn("error", error)
+    usable = files.where("error IS NULL")
     # One preview feeds three aggregates; each needs its own grouping, and none reads more than four channels.
     small = preview(pixels, usable.select("image_id", "width", "height"))
     stats, neighbours, probe = pixel_stats(small), neighbour_stats(small), lossy_probe(small)
     rows = (
-        usable.join(stats, "image_id", "left").join(neighbours, "image_id", "left").join(probe, "image_id", "left")
+        files.join(stats, "image_id", "left").join(neighbours, "image_id", "left").join(probe, "image_id", "left")
     )
-    measured = (F.col("width") >= 2) & (F.col("height") >= 2)
+    measured = F.col("error").isNull() & (F.col("width") >= 2) & (F.col("height") >= 2)
 
     def measure(name: str, default):
         return F.when(measured, F.coalesce(F.col(name), F.lit(default))).otherwise(F.lit(default)).alias(name)
@@ -31,7 +34,7 @@ def build_profiles(files: DataFrame, pixels: DataFrame) -> DataFrame:
     side = F.greatest("width", "height")
     preview_rows = F.greatest(F.round(F.col("height") * F.least(F.lit(1.0), 256 / side)), F.lit(1.0))
     base = rows.select(
-        "image_id", "format", "width", "height", "file_size",
+        "image_id", "format", "width", "height", "file_size", "error",
         *[
             measure(n, 0.0)
             for n in (

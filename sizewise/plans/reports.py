@@ -135,11 +135,17 @@ def log_lines(logs: DataFrame) -> DataFrame:
     return logs.select("log_id", line.alias("line"))
 
 
+# Every setting of an encoder that changes the bytes it writes.
+ENCODE_SETTINGS = [
+    "format", "quality", "lossless", "alpha_quality", "time_budget_ms", "metadata_mode", "preserve_color_profile", "resize_mode",
+    "resize_width", "resize_height",
+]
+
+
 def encode_key(measurements: DataFrame) -> DataFrame:
     """Add the key under which two encodes of one image give the same bytes. NULL settings keep their place."""
-    parts = ["format", "quality", "lossless"]
     return measurements.withColumn(
-        "encode_key", F.concat_ws("|", *[F.coalesce(F.col(p).cast("string"), F.lit("-")) for p in parts])
+        "encode_key", F.concat_ws("|", *[F.coalesce(F.col(p).cast("string"), F.lit("-")) for p in ENCODE_SETTINGS])
     )
 
 
@@ -161,21 +167,33 @@ def reuse_ratio(runs: DataFrame) -> DataFrame:
     return runs.agg((total - misses).alias("hits"), misses.alias("misses"), ((total - misses) / total).alias("hit_ratio"))
 
 
-def metadata_audit(tags: DataFrame) -> DataFrame:
-    """Metadata summary per image: last make, model and software, first date, last orientation, GPS present."""
+def metadata_audit(tags: DataFrame, files: DataFrame) -> DataFrame:
+    """Metadata summary of every file (image_id, format), with or without tags (image_id, pos, tag, value).
+
+    The last make, model, software, orientation and dimensions count, the first date of any kind, and whether there is a
+    position. Dimensions that are no numbers are left out.
+    """
+
+    def of(*names: str) -> Column:
+        return F.when(F.col("tag").isin(*names), F.col("pos"))
 
-    def of(name: str) -> Column:
-        return F.when(F.col("tag") == name, F.col("pos"))
+    def number(*names: str) -> Column:
+        value = F.expr("try_cast(value AS INT)")
+        return F.max_by(value, F.when(value.isNotNull(), of(*names)))
 
-    return tags.groupBy("image_id", "format").agg(
+    read = tags.groupBy("image_id").agg(
         F.lit(True).alias("has_exif"),
         F.bool_or(F.col("tag") == "GPS").alias("has_gps"),
         F.max_by("value", of("Make")).alias("camera_make"),
         F.max_by("value", of("Model")).alias("camera_model"),
         F.max_by("value", of("Software")).alias("software"),
-        F.min_by("value", of("DateTime")).alias("first_datetime"),
+        F.min_by("value", of("DateTime", "DateTimeOriginal", "DateTimeDigitized")).alias("first_datetime"),
         F.max_by("value", of("Orientation")).alias("orientation"),
+        number("PixelXDimension", "ImageWidth").alias("exif_width"),
+        number("PixelYDimension", "ImageLength").alias("exif_height"),
     )
+    flags = {c: F.coalesce(c, F.lit(False)) for c in ("has_exif", "has_gps")}
+    return files.select("image_id", "format").join(read, "image_id", "left").withColumns(flags)
 
 
 def metadata_fleet(audit: DataFrame) -> DataFrame:

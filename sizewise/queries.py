@@ -22,7 +22,7 @@ from sizewise.plans import candidates, jobs, reports, strategy
 from sizewise.plans import decide as decisions
 from sizewise.plans import profiles as profile_plan
 from sizewise.session import checkpoint_dir
-from sizewise.sources import codecs, files
+from sizewise.sources import files
 from sizewise.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,7 +73,7 @@ def pareto_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The front of size and raw SSIM over everything measured."""
     rows = D.measurements(spark, sf_dir).where(F.col("ssim").isNotNull())
     return (
-        mark_dominated(rows, "image_id", "output_size", "ssim")
+        mark_dominated(rows, ["image_id"], "output_size", "ssim")
         .where(~F.col("dominated"))
         .select("image_id", "candidate_id", "output_size", _r("ssim"))
     )
@@ -183,19 +183,19 @@ def metric_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def encode_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.encodes_to_run(reports.encode_key(D.measurements(spark, sf_dir)))
+    return reports.encodes_to_run(reports.encode_key(D.encode_settings(spark, sf_dir)))
 
 
 @query
 def encode_reuse_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = reports.encodes_to_run(reports.encode_key(D.measurements(spark, sf_dir)))
+    runs = reports.encodes_to_run(reports.encode_key(D.encode_settings(spark, sf_dir)))
     return reports.reuse_ratio(runs).select("hits", "misses", _r("hit_ratio"))
 
 
 @query
 def share_encodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate with the size measured once for its encode key."""
-    keyed = reports.encode_key(D.measurements(spark, sf_dir))
+    keyed = reports.encode_key(D.encode_settings(spark, sf_dir))
     measured = keyed.groupBy("image_id", "encode_key").agg(
         F.min_by("output_size", "candidate_id").alias("shared_size")
     )
@@ -376,8 +376,11 @@ def build_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_copy(D.pixels(spark, sf_dir))
+
+
+def _with_copy(original: DataFrame) -> DataFrame:
     """Originals joined with a distorted copy, quantized to steps of 16."""
-    original = D.pixels(spark, sf_dir)
     copy = original.select("image_id", "x", "y", *[sweep.quantized(c, F.lit(16)).alias(c) for c in ("r", "g", "b")], "a")
     return quality.pair_pixels(original, copy)
 
@@ -401,9 +404,8 @@ def ssim_gauss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ssim_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images cropped to 8 x 8 have no whole window; the general form falls back to the global similarity."""
-    pairs = _pairs(spark, sf_dir).where("x < 8 AND y < 8")
-    return quality.ssim(pairs).select("image_id", _r("ssim"))
+    """Images of 8 x 8 pixels have no whole window; the general form falls back to the global similarity."""
+    return quality.ssim(_with_copy(D.small_pixels(spark, sf_dir))).select("image_id", _r("ssim"))
 
 
 @query
@@ -448,18 +450,13 @@ def ladder_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def recompress_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Smallest PNG of every raster over row filters and levels, written by the codec plug-in."""
-    return codecs.recompress_sweep(D.tile_rasters(spark, sf_dir))
-
-
 @query
 def png_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dimensions read back from the header of every encoded raster."""
-    encoded = codecs.consistent_sizes(codecs.encode(D.tile_rasters(spark, sf_dir), "png", [6], keep_bytes=True))
+    """Dimensions read back from the header of every image; broken and foreign heads have none."""
     head = paths.png_header(F.col("content"))
-    return encoded.where("success").select("image_id", head.alias("h")).select("image_id", "h.width", "h.height", "h.raw_size")
+    return D.header_blobs(spark, sf_dir).select("image_id", head.alias("h")).select(
+        "image_id", "h.width", "h.height", "h.raw_size"
+    )
 
 
 # Jobs and history -----------------------------------------------------------------------------------------
@@ -503,7 +500,8 @@ def job_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def retry_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.retry_jobs(_jobs(spark, sf_dir)).select(
+    tried = F.when(F.col("job_id") % 4 != 0, F.col("job_id") % 3 + 1).cast("int")
+    return jobs.retry_jobs(_jobs(spark, sf_dir).withColumn("attempt", tried)).select(
         "job_id", "attempt", "status", "original_size", "final_size", "processing_time_ms"
     )
 
@@ -600,21 +598,25 @@ def extension_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def metadata_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.metadata_audit(D.tags(spark, sf_dir))
+    return reports.metadata_audit(D.tags(spark, sf_dir), D.tagged_files(spark, sf_dir))
 
 
 @query
 def metadata_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.metadata_fleet(reports.metadata_audit(D.tags(spark, sf_dir)))
+    return reports.metadata_fleet(reports.metadata_audit(D.tags(spark, sf_dir), D.tagged_files(spark, sf_dir)))
 
 
 # Streams: the same tables read as a stream, run until all available rows are processed ---------------------
 
 
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream. The pattern lets the table be one file or a folder of part files."""
+    schema = D.read(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = D.read(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return D.as_job_events(raw)
+    return D.as_job_events(_stream(spark, sf_dir, "events"))
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -624,8 +626,8 @@ def _scratch(spark: SparkSession) -> str:
 @query
 def stream_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _scratch(spark)
-    streams.stream_latest_status(_event_stream(spark, sf_dir), f"{base}/out", f"{base}/state").awaitTermination()
-    rows = streams.latest_epoch_rows(spark, f"{base}/out", "job_id")
+    streams.stream_latest_status(_event_stream(spark, sf_dir), f"{base}/state", f"{base}/log").awaitTermination()
+    rows = streams.newest_epoch(spark, f"{base}/state")
     return rows.select("job_id", "event_id", "status", "original_size", "final_size", "processing_time_ms")
 
 
@@ -633,22 +635,37 @@ def stream_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_queue_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _scratch(spark)
     streams.stream_queue_stats(
-        _event_stream(spark, sf_dir), f"{base}/jobs", f"{base}/stats", f"{base}/state"
+        _event_stream(spark, sf_dir), f"{base}/state", f"{base}/stats", f"{base}/log"
     ).awaitTermination()
-    stats = spark.read.parquet(f"{base}/stats")
-    payload = F.struct(*[c for c in stats.columns if c != "epoch"])
-    return stats.agg(F.max_by(payload, "epoch").alias("s")).select("s.*")
+    return streams.newest_epoch(spark, f"{base}/stats")
 
 
 @query
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _scratch(spark)
-    streams.stream_alerts(_event_stream(spark, sf_dir), f"{base}/out", f"{base}/state").awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("job_id", "event_id")
+    streams.stream_alerts(_event_stream(spark, sf_dir), f"{base}/state", f"{base}/alerts", f"{base}/log").awaitTermination()
+    return spark.read.parquet(f"{base}/alerts").select("job_id", "event_id")
 
 
 @query
 def stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _scratch(spark)
-    streams.stream_outcomes(_event_stream(spark, sf_dir), f"{base}/out", f"{base}/state").awaitTermination()
-    return streams.latest_epoch_rows(spark, f"{base}/out", "job_id")
+    streams.stream_outcomes(_event_stream(spark, sf_dir), f"{base}/state", f"{base}/log").awaitTermination()
+    return streams.newest_epoch(spark, f"{base}/state").select("job_id", "status")
+
+
+@query
+def stream_recent_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _scratch(spark)
+    logs = D.as_logs(_stream(spark, sf_dir, "events"))
+    streams.stream_recent_logs(logs, f"{base}/kept", f"{base}/log").awaitTermination()
+    return streams.newest_epoch(spark, f"{base}/kept").select("log_id", "level", "message")
+
+
+@query
+def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that arrive, listed by the pages table, as queued jobs."""
+    base = _scratch(spark)
+    arrived = D.as_paths(_stream(spark, sf_dir, "pages")).select("path", "length")
+    streams.stream_arrivals(arrived, f"{base}/jobs", f"{base}/log").awaitTermination()
+    return spark.read.parquet(f"{base}/jobs").select("source", "destination", "input_format", "status", "goal")

@@ -1,12 +1,9 @@
-"""Codec and metric plug-ins, run per Arrow batch, and a lossless recompression sweep that uses them."""
+"""Slots for codec and metric plug-ins, run per Arrow batch."""
 
 from __future__ import annotations
 
-import struct
-import zlib
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,32 +21,6 @@ def register_codec(name: str, codec: Codec) -> None:
     CODECS[name] = codec
 
 
-def png_encode(raster: bytes, width: int, height: int, setting: int) -> bytes:
-    """A plain PNG writer for RGBA rasters. The setting is the compression level plus ten times the row filter."""
-    level, row_filter = setting % 10, setting // 10
-    rows = np.frombuffer(raster, dtype=np.uint8).reshape(height, width * 4)
-    left = np.zeros_like(rows)
-    left[:, 4:] = rows[:, :-4]
-    up = np.zeros_like(rows)
-    up[1:] = rows[:-1]
-    if row_filter == 1:
-        rows = rows - left
-    elif row_filter == 2:
-        rows = rows - up
-    elif row_filter == 3:
-        rows = rows - ((left.astype(np.uint16) + up) // 2).astype(np.uint8)
-    lines = np.hstack([np.full((height, 1), row_filter, dtype=np.uint8), rows]).tobytes()
-
-    def chunk(kind: bytes, body: bytes) -> bytes:
-        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-
-    head = struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines, level)) + chunk(b"IEND", b"")
-
-
-register_codec("png", png_encode)
-
-
 def encode(images: DataFrame, codec: str, settings: list[int], keep_bytes: bool = False) -> DataFrame:
     """Encode every raster with every setting of a codec: one row per image and setting.
 
@@ -76,18 +47,6 @@ def encode(images: DataFrame, codec: str, settings: list[int], keep_bytes: bool
     return images.select("image_id", "width", "height", "raster").mapInPandas(encode_batches, schema)
 
 
-def recompress_sweep(images: DataFrame, codec: str = "png", settings: list[int] | None = None) -> DataFrame:
-    """Smallest lossless encode of each raster over row filters and levels."""
-    settings = settings or [f * 10 + level for f in range(4) for level in (4, 5, 6)]
-    tried = encode(images, codec, settings)
-    best = F.min(F.when(F.col("success"), F.struct("size", "setting")))
-    return (
-        tried.groupBy("image_id")
-        .agg(best.alias("b"), F.count(F.lit(1)).alias("n_tried"), F.count_if(~F.col("success")).alias("n_failed"))
-        .select("image_id", F.col("b.size").alias("size"), F.col("b.setting").alias("setting"), "n_tried", "n_failed")
-    )
-
-
 def consistent_sizes(results: DataFrame) -> DataFrame:
     """A result whose reported size differs from its bytes is turned into a failure."""
     wrong = F.col("success") & (F.length("content") != F.col("size"))

@@ -6,13 +6,11 @@ overwrites, so a batch that is replayed after a failure leaves the same result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sizewise.plans import jobs as J
 from sizewise.plans.reports import LOGS_KEEP, recent_logs
@@ -32,101 +30,96 @@ def _write_epochs(stream: DataFrame, folder: str, checkpoint: str, mode: str) ->
     )
 
 
-def latest_epoch_rows(spark: SparkSession, folder: str, key: str) -> DataFrame:
-    """Newest version of each key out of the per-batch folders."""
-    rows = spark.read.parquet(folder)
-    payload = F.struct(*[c for c in rows.columns if c not in (key, "epoch")])
-    return rows.groupBy(key).agg(F.max_by(payload, "epoch").alias("_p")).select(key, "_p.*")
+def newest_epoch(spark: SparkSession, folder: str) -> DataFrame:
+    """The table as the last micro-batch left it. The folder of an epoch is a partition, so only one is read."""
+    epochs = spark.read.parquet(folder)
+    return epochs.where(F.col("epoch") == epochs.agg(F.max("epoch")).scalar()).drop("epoch")
 
 
-def stream_latest_status(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Keep the current row of each job. Each batch writes only the jobs it changed."""
-    return _write_epochs(J.latest_status(events), folder, checkpoint, "update")
-
-
-def stream_queue_stats(events: DataFrame, state: str, stats: str, checkpoint: str) -> StreamingQuery:
-    """After each batch, statistics over the current state of all jobs.
+def _fold(
+    events: DataFrame, state: str, checkpoint: str, fold: Callable[[DataFrame | None, DataFrame], DataFrame],
+    also: Callable[[DataFrame | None, DataFrame, DataFrame, int], None] | None = None,
+) -> StreamingQuery:
+    """Keep one table of state: each micro-batch writes ``fold(state so far, its events)`` as the next epoch.
 
-    A second aggregate on a changing one cannot be chained in a stream, so the batch writes the changed jobs and
-    then aggregates the state table.
+    ``also`` sees the old state, the events and the new state. A batch reads the last epoch only and overwrites its own
+    folder, so its cost does not grow with the number of batches and a replay changes nothing.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(batch_folder(state, epoch))
-        current = latest_epoch_rows(spark, state, "job_id")
-        J.queue_stats(current).write.mode("overwrite").parquet(batch_folder(stats, epoch))
+        before = spark.read.parquet(batch_folder(state, epoch - 1)) if epoch > 0 else None
+        fold(before, batch).write.mode("overwrite").parquet(batch_folder(state, epoch))
+        if also is not None:
+            also(before, batch, spark.read.parquet(batch_folder(state, epoch)), epoch)
 
     return (
-        J.latest_status(events).writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        events.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
 
 
-def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """Events of one job in one micro-batch, in event order; the trigger's batch size bounds it."""
-    return pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"])
-
-
-def _timeout(state: GroupState) -> bool:
-    if state.hasTimedOut:
-        state.remove()
-        return True
-    return False
-
-
-def _alerts_of_job(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if _timeout(state):
-        return
-    armed = state.get[0] if state.exists else True
-    alerts = []
-    for e in _ordered(batches).itertuples(index=False):
-        if e.status == "Failed":
-            if armed:
-                alerts.append((key[0], e.event_id, e.ts))
-            armed = False
-        elif e.status in J.REARMING:
-            armed = True
-    state.update((armed,))
-    if alerts:
-        yield pd.DataFrame(alerts, columns=["job_id", "event_id", "ts"])
-
-
-def alerts(events: DataFrame) -> DataFrame:
-    """One alert per failure, armed again when the job completes or is cancelled."""
-    relevant = events.where(F.col("status").isin("Failed", *J.REARMING)).select("job_id", "event_id", "ts", "status")
-    ts = relevant.schema["ts"].dataType.simpleString()
-    return relevant.groupBy("job_id").applyInPandasWithState(
-        _alerts_of_job, f"job_id long, event_id long, ts {ts}", "armed boolean", "append", GroupStateTimeout.NoTimeout
-    )
+def _after(before: DataFrame | None, events: DataFrame) -> DataFrame:
+    """Events behind the remembered one of each job; ``arrival`` puts what was remembered first."""
+    rows = events.withColumn("arrival", F.lit(1))
+    return rows if before is None else before.withColumn("arrival", F.lit(0)).unionByName(rows)
 
 
-def stream_alerts(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    return _write_epochs(alerts(events), folder, checkpoint, "append")
+def _latest(before: DataFrame | None, events: DataFrame) -> DataFrame:
+    rows = events if before is None else before.unionByName(events.select(*before.columns))
+    return J.latest_status(rows).select(*events.columns)
 
 
-def _outcome_of_job(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if _timeout(state):
-        return
-    status = state.get[0] if state.exists else None
-    for e in _ordered(batches).itertuples(index=False):
-        finished = status in ("Completed", "Failed", "Cancelled")
-        if e.status == "Queued" or not finished:
-            status = e.status
-    state.update((status,))
-    yield pd.DataFrame([(key[0], status)], columns=["job_id", "status"])
+def stream_latest_status(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Keep the current row of each job."""
+    return _fold(events, folder, checkpoint, _latest)
 
 
-def outcomes(events: DataFrame) -> DataFrame:
-    """State of each job under the cancel rule: the first result stands until the job is queued again."""
-    rows = events.select("job_id", "event_id", "ts", "status")
-    return rows.groupBy("job_id").applyInPandasWithState(
-        _outcome_of_job, "job_id long, status string", "status string", "update", GroupStateTimeout.NoTimeout
-    )
+def stream_queue_stats(events: DataFrame, state: str, stats: str, checkpoint: str) -> StreamingQuery:
+    """After each batch, statistics over the current state of all jobs."""
+
+    def report(before: DataFrame | None, batch: DataFrame, current: DataFrame, epoch: int) -> None:
+        J.queue_stats(current).write.mode("overwrite").parquet(batch_folder(stats, epoch))
+
+    return _fold(events, state, checkpoint, _latest, report)
+
+
+def stream_alerts(events: DataFrame, state: str, folder: str, checkpoint: str) -> StreamingQuery:
+    """One alert per failure, armed again when the job completes or is cancelled; each epoch of ``folder`` has its alerts.
+
+    The state is the last event that matters of each job. With it in front, the rule of the batch form holds within the batch.
+    """
+    columns = ["job_id", "event_id", "ts", "status"]
+    relevant = events.where(F.col("status").isin("Failed", *J.REARMING)).select(*columns)
+
+    def report(before: DataFrame | None, batch: DataFrame, current: DataFrame, epoch: int) -> None:
+        order = Window.partitionBy("job_id").orderBy("arrival", "ts", "event_id")
+        seen = _after(before, batch).withColumn("_before", F.lag("status").over(order))
+        alert = (F.col("arrival") == 1) & (F.col("status") == "Failed") & (F.coalesce("_before", F.lit("none")) != "Failed")
+        seen.where(alert).select("job_id", "event_id", "ts").write.mode("overwrite").parquet(batch_folder(folder, epoch))
+
+    def last(before: DataFrame | None, batch: DataFrame) -> DataFrame:
+        at = F.struct("arrival", "ts", "event_id")
+        newest = _after(before, batch).groupBy("job_id").agg(F.max_by(F.struct("event_id", "ts", "status"), at).alias("e"))
+        return newest.select("job_id", "e.*")
+
+    return _fold(relevant, state, checkpoint, last, report)
 
 
 def stream_outcomes(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    return _write_epochs(outcomes(events), folder, checkpoint, "update")
+    """State of each job under the cancel rule: the first result stands until the job is queued again.
+
+    The outcome so far stands in front of the events of a batch like an event of its own.
+    """
+
+    def settle(before: DataFrame | None, batch: DataFrame) -> DataFrame:
+        rows = _after(before, batch)
+        at = F.struct("arrival", "ts", "event_id")
+        return J.settled(rows, at).join(
+            rows.groupBy("job_id").agg(F.max_by(F.struct("event_id", "ts"), at).alias("e")), "job_id"
+        ).select("job_id", "e.*", "status")
+
+    return _fold(events.select("job_id", "event_id", "ts", "status"), folder, checkpoint, settle)
 
 
 def stream_arrivals(files: DataFrame, folder: str, checkpoint: str, output_mode: str = "same_folder") -> StreamingQuery:
@@ -136,7 +129,8 @@ def stream_arrivals(files: DataFrame, folder: str, checkpoint: str, output_mode:
         F.lit(None).cast("string").alias("custom_folder"), F.lit(False).alias("preserve_structure"),
         F.lit("").alias("template"), F.lit(None).cast("string").alias("target_extension"),
     )
-    return _write_epochs(J.enqueue(ready), folder, checkpoint, "append")
+    queued = J.enqueue(ready).where("issue IS NULL").drop("issue")
+    return _write_epochs(queued, folder, checkpoint, "append")
 
 
 def stream_recent_logs(logs: DataFrame, folder: str, checkpoint: str, n: int = LOGS_KEEP) -> StreamingQuery:

@@ -7,13 +7,10 @@ from pyspark.sql import functions as F
 
 from sizewise import datasets as D
 from sizewise.operators.dominance import mark_dominated
-from sizewise.operators.skew import hot_keys, prefix_max, previous_value, split_hot
+from sizewise.operators.skew import prefix_max, previous_value, split_hot
 from sizewise.plans import decide as decisions
 from sizewise.plans import jobs
 
-# Every image with more than three rows counts as hot.
-HOT = {"min_rows": 3, "share": 10**9}
-
 
 def rows_of(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
@@ -21,16 +18,10 @@ def rows_of(df, *columns):
 
 def test_split_keeps_every_row_once(spark):
     df = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 1), (None, 5)], "k long, v long")
-    ordinary, large = split_hot(df, ["k"], min_rows=10, share=100)
-    assert {r.k for r in large.collect()} == {1}
+    ordinary, large = split_hot(df, ["k"], spark.createDataFrame([(1,), (1,), (None,), (9,)], "k long"))
+    assert {r.k for r in large.collect()} == {1, None}
     assert ordinary.count() + large.count() == df.count()
-    assert split_hot(df, ["k"], min_rows=100, share=100)[1] is None
-
-
-def test_hot_keys_are_bounded_by_the_share(spark):
-    df = spark.range(1000).select((F.col("id") % 100).alias("k"))
-    assert hot_keys(df, ["k"], min_rows=0, share=99) is None
-    assert hot_keys(df, ["k"], min_rows=0, share=101).count() == 100
+    assert split_hot(df, ["k"], None)[1] is None
 
 
 @pytest.mark.parametrize("scale", [1, 5000, 3 * 10**8])
@@ -49,7 +40,7 @@ def test_previous_value_in_hot_groups(spark):
     rows = [(k, rng.randrange(9000), i, rng.choice("abc")) for k in (1, 2, 3) for i in range(60)]
     df = spark.createDataFrame(rows, "k long, p long, t long, v string")
     plain = rows_of(previous_value(df, ["k"], "p", "t", "v", "before"), "k", "p", "t", "before")
-    assert plain == rows_of(previous_value(df, ["k"], "p", "t", "v", "before", min_rows=5, share=10**9), "k", "p", "t", "before")
+    assert plain == rows_of(previous_value(df, ["k"], "p", "t", "v", "before", df.select("k")), "k", "p", "t", "before")
 
 
 def test_dominance_against_all_pairs(spark):
@@ -61,8 +52,8 @@ def test_dominance_against_all_pairs(spark):
         for g, i, s, q in rows
         if any(g == h and ((t < s and r >= q) or (t <= s and r > q)) for h, _, t, r in rows)
     }
-    for hot in ({}, HOT):
-        marked = mark_dominated(df, "g", "size", "q", **hot).where("dominated")
+    for hot in (None, df.select("g"), df.select("g").where("g = 2")):
+        marked = mark_dominated(df, ["g"], "size", "q", hot=hot).where("dominated")
         assert {(r.g, r.i) for r in marked.collect()} == expected
 
 
@@ -71,20 +62,43 @@ def test_decisions_do_not_depend_on_the_plan(spark, sf_dir):
     columns = ["image_id", "outcome", "final_size", "preference_fired", "n_survivors", "selected.candidate_id",
                "runner_up.candidate_id"]
     plain = decisions.decide(m, runner_up=True)
-    assert rows_of(plain, *columns) == rows_of(decisions.decide(m, runner_up=True, **HOT), *columns)
+    assert rows_of(plain, *columns) == rows_of(decisions.decide(m, runner_up=True, hot=m.where("image_id % 2 = 0")), *columns)
     assert rows_of(plain, *columns) == rows_of(decisions.decide(m.repartition(7), runner_up=True), *columns)
 
 
-def test_job_rules_in_hot_groups(spark, sf_dir):
+def test_alerts_of_hot_jobs(spark, sf_dir):
     events = D.job_events(spark, sf_dir)
-    hot = {"min_rows": 20, "share": 10**9}
-    assert rows_of(jobs.job_alerts(events), "job_id", "event_id") == rows_of(jobs.job_alerts(events, **hot), "job_id", "event_id")
-    assert rows_of(jobs.job_outcome(events), "job_id", "status") == rows_of(jobs.job_outcome(events, **hot), "job_id", "status")
+    named = jobs.job_alerts(events, events.select("job_id").where("job_id % 2 = 0"))
+    assert rows_of(jobs.job_alerts(events), "job_id", "event_id") == rows_of(named, "job_id", "event_id")
+
+
+def test_building_a_query_runs_no_job(spark, sf_dir):
+    m, events = D.measurements(spark, sf_dir), D.job_events(spark, sf_dir)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "no job may run here")
+    decisions.decide(m, runner_up=True)
+    decisions.rejections(decisions.annotate(m))
+    jobs.job_alerts(events)
+    jobs.job_outcome(events)
+    assert not tracker.getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_goals_of_one_image_are_decided_apart(spark, sf_dir):
+    one = D.measurements(spark, sf_dir).where("image_id % 5 = 0")
+    both = one.withColumn("goal", F.explode(F.array(F.lit("WEB"), F.lit("LOSSLESS"))))
+    columns = ["image_id", "outcome", "final_size", "n_candidates", "n_survivors", "selected.candidate_id"]
+    decided = decisions.decide(both)
+    assert decided.count() == 2 * one.select("image_id").distinct().count()
+    for goal in ("WEB", "LOSSLESS"):
+        alone = decisions.decide(one.withColumn("goal", F.lit(goal)))
+        assert rows_of(decided.where(F.col("goal") == goal), *columns) == rows_of(alone, *columns)
 
 
 def test_one_image_with_a_third_of_all_rows(spark):
     rng = random.Random(3)
     rows = [(0 if i % 3 == 0 else i, str(i), rng.randrange(10**6), rng.random()) for i in range(3000)]
     df = spark.createDataFrame(rows, "image_id long, candidate_id string, size long, q double")
-    plain = rows_of(mark_dominated(df, "image_id", "size", "q").where("dominated"), "candidate_id")
-    assert plain == rows_of(mark_dominated(df, "image_id", "size", "q", min_rows=100).where("dominated"), "candidate_id")
+    plain = rows_of(mark_dominated(df, ["image_id"], "size", "q").where("dominated"), "candidate_id")
+    named = mark_dominated(df, ["image_id"], "size", "q", hot=spark.createDataFrame([(0,)], "image_id long"))
+    assert plain == rows_of(named.where("dominated"), "candidate_id")

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from sizewise import datasets as D
 from sizewise.plans import jobs, reports
-from sizewise.sources import codecs, files
+from sizewise.sources import files
 from sizewise.streaming import jobs as streams
+from tests.png_files import png_bytes
 
 
 @pytest.fixture(scope="module")
@@ -37,20 +38,20 @@ def rows_of(df, *columns):
 def test_latest_status(spark, sf_dir, arrivals, tmp_path):
     streams.stream_latest_status(stream(spark, arrivals), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).select("epoch").distinct().count() == 5
-    got = streams.latest_epoch_rows(spark, str(tmp_path / "out"), "job_id")
+    got = streams.newest_epoch(spark, str(tmp_path / "out"))
     expected = jobs.latest_status(D.job_events(spark, sf_dir))
     assert rows_of(got, "job_id", "event_id", "status") == rows_of(expected, "job_id", "event_id", "status")
 
 
 def test_alerts(spark, sf_dir, arrivals, tmp_path):
-    streams.stream_alerts(stream(spark, arrivals), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    streams.stream_alerts(stream(spark, arrivals), str(tmp_path / "state"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert rows_of(got, "job_id", "event_id") == rows_of(jobs.job_alerts(D.job_events(spark, sf_dir)), "job_id", "event_id")
 
 
 def test_outcomes(spark, sf_dir, arrivals, tmp_path):
     streams.stream_outcomes(stream(spark, arrivals), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = streams.latest_epoch_rows(spark, str(tmp_path / "out"), "job_id")
+    got = streams.newest_epoch(spark, str(tmp_path / "out"))
     assert rows_of(got, "job_id", "status") == rows_of(jobs.job_outcome(D.job_events(spark, sf_dir)), "job_id", "status")
 
 
@@ -78,9 +79,22 @@ def test_recent_logs(spark, sf_dir, arrivals, tmp_path):
     assert rows_of(kept, "log_id") == rows_of(expected, "log_id")
 
 
+def test_a_hot_job_over_several_batches_and_a_folder_of_parts(spark, tmp_path):
+    kinds = ["Queued", "Processing", "Failed", "Cancelled", "Completed", "Failed"]
+    rows = [(1 if i % 3 else i, i, kinds[(i * 7 + i // 5) % 6]) for i in range(900)]
+    df = spark.createDataFrame(rows, "job_id long, event_id long, status string").withColumn("ts", F.timestamp_seconds(F.floor(F.col("event_id") / 4)))
+    for i in range(3):
+        df.where(F.floor(F.col("event_id") / 300) == i).coalesce(1).write.parquet(str(tmp_path / "events.parquet" / f"p{i}"))
+    read = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "events.parque[t]"))
+    streams.stream_alerts(read(), str(tmp_path / "s1"), str(tmp_path / "alerts"), str(tmp_path / "c1")).awaitTermination()
+    streams.stream_outcomes(read(), str(tmp_path / "s2"), str(tmp_path / "c2")).awaitTermination()
+    assert rows_of(spark.read.parquet(str(tmp_path / "alerts")), "job_id", "event_id") == rows_of(jobs.job_alerts(df), "job_id", "event_id")
+    assert rows_of(streams.newest_epoch(spark, str(tmp_path / "s2")), "job_id", "status") == rows_of(jobs.job_outcome(df), "job_id", "status")
+
+
 def test_arrivals_become_jobs_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.png").write_bytes(codecs.png_encode(bytes(16), 2, 2, 6))
+    (tmp_path / "in" / "a.png").write_bytes(png_bytes(bytes(16), 2, 2))
     (tmp_path / "in" / "b.txt").write_text("no")
     run = lambda: streams.stream_arrivals(files.stream_files(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     run()
