@@ -1,6 +1,8 @@
 """Oracle SQL for scoring, dominance, decisions and reports."""
 
-from oracles.tables import GOALS, LATEST, MEASUREMENTS, with_tables
+from oracles.pixels import MOMENTS, MSE, SSIM, lumas, quantized_copy
+from oracles.planning import APPLIES, CANDIDATES, LABEL
+from oracles.tables import GOALS, LATEST, MEASUREMENTS, PIXELS, with_tables
 
 
 def scored(goals: str = GOALS) -> str:
@@ -72,34 +74,35 @@ SCORED = scored()
 ANNOTATED = SCORED + """,
 accepted AS (SELECT * FROM scored WHERE reason IS NULL),
 losers AS (
-  SELECT DISTINCT a.image_id, a.candidate_id FROM accepted a JOIN accepted b ON a.image_id = b.image_id
+  SELECT DISTINCT a.image_id, a.goal, a.candidate_id FROM accepted a JOIN accepted b ON a.image_id = b.image_id AND a.goal = b.goal
   WHERE (b.output_size < a.output_size AND b.front_quality >= a.front_quality - CAST(2.220446049250313e-16 AS DOUBLE))
      OR (b.output_size <= a.output_size AND b.front_quality > a.front_quality + CAST(2.220446049250313e-16 AS DOUBLE))
 ),
 annotated AS (
   SELECT s.*, l.candidate_id IS NOT NULL AS dominated, reason IS NULL AND l.candidate_id IS NULL AS survives,
     reason IS NULL AND l.candidate_id IS NULL AND output_size < original_size AS beats
-  FROM scored s LEFT JOIN losers l ON s.image_id = l.image_id AND s.candidate_id = l.candidate_id
+  FROM scored s LEFT JOIN losers l ON s.image_id = l.image_id AND s.goal = l.goal AND s.candidate_id = l.candidate_id
 )"""
 
 DECIDED = ANNOTATED + """,
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, output_size, candidate_id) AS by_score,
-    row_number() OVER (PARTITION BY image_id, lossless ORDER BY output_size, score DESC, candidate_id) AS by_size
+  SELECT *, row_number() OVER (PARTITION BY image_id, goal ORDER BY score DESC, output_size, candidate_id) AS by_score,
+    row_number() OVER (PARTITION BY image_id, goal, lossless ORDER BY output_size, score DESC, candidate_id) AS by_size
   FROM annotated WHERE beats
 ),
 best AS (SELECT * FROM ranked WHERE by_score = 1),
 small_lossy AS (SELECT * FROM ranked WHERE by_size = 1 AND NOT lossless),
 small_lossless AS (SELECT * FROM ranked WHERE by_size = 1 AND lossless),
 winners AS (
-  SELECT b.image_id, b.candidate_id AS best_id,
+  SELECT b.image_id, b.goal, b.candidate_id AS best_id,
     CASE WHEN ll.output_size <= ly.output_size THEN ll.candidate_id ELSE b.candidate_id END AS winner_id
-  FROM best b LEFT JOIN small_lossy ly ON b.image_id = ly.image_id LEFT JOIN small_lossless ll ON b.image_id = ll.image_id
+  FROM best b LEFT JOIN small_lossy ly ON b.image_id = ly.image_id AND b.goal = ly.goal
+  LEFT JOIN small_lossless ll ON b.image_id = ll.image_id AND b.goal = ll.goal
 ),
 images AS (
-  SELECT image_id, any_value(original_size) AS original_size, any_value(goal) AS goal, count(*) AS n_candidates,
+  SELECT image_id, goal, any_value(original_size) AS original_size, count(*) AS n_candidates,
     count(*) FILTER (WHERE success) AS n_measured, count(*) FILTER (WHERE survives) AS n_survivors
-  FROM annotated GROUP BY image_id
+  FROM annotated GROUP BY image_id, goal
 ),
 decided AS (
   SELECT i.*, a.candidate_id, a.format, a.quality, a.lossless, a.iterative, a.score, a.is_lossless, a.ssim, a.psnr, a.output_size,
@@ -107,8 +110,8 @@ decided AS (
       WHEN n_survivors = 0 THEN 'all_rejected' ELSE 'nothing_smaller' END AS outcome,
     coalesce(w.winner_id <> w.best_id, false) AS preference_fired,
     coalesce(a.output_size, i.original_size) AS final_size, w.winner_id IS NULL AS kept_original
-  FROM images i LEFT JOIN winners w USING (image_id)
-  LEFT JOIN annotated a ON a.image_id = i.image_id AND a.candidate_id = w.winner_id
+  FROM images i LEFT JOIN winners w USING (image_id, goal)
+  LEFT JOIN annotated a ON a.image_id = i.image_id AND a.goal = i.goal AND a.candidate_id = w.winner_id
 )"""
 
 CUSTOM_GOALS = """
@@ -131,7 +134,46 @@ keyed AS (
   FROM (SELECT *, CAST(estimated_cost_ms AS BIGINT) AS c FROM measurements)
 )"""
 
+# Candidates of the planned library measured on pixels, in place of the given measurements.
+LIBRARY = "measurements AS (WITH " + CANDIDATES + "," + PIXELS + """,
+measurable AS (
+  SELECT *, CASE WHEN ll THEN 100 ELSE coalesce(q, 75) END AS lq, """ + LABEL + """ AS label, """ + APPLIES + """ AS applies
+  FROM costed WHERE reason IS NULL),
+rung AS (SELECT DISTINCT image_id AS i, lq AS q, 1 + (100 - lq) // 4 AS step FROM measurable WHERE applies),
+pairs AS (SELECT * FROM """ + lumas(quantized_copy("step", ", q", "pixels JOIN rung ON i = image_id")) + """),
+e AS (SELECT image_id, q, """ + MSE + """ AS mse FROM pairs GROUP BY image_id, q),
+s AS (SELECT image_id, q, avg(""" + SSIM + """) AS ssim FROM (
+  SELECT image_id, q, """ + MOMENTS + """ FROM pairs GROUP BY image_id, q, y // 8, x // 8 HAVING count(*) = 64) GROUP BY image_id, q),
+values AS (SELECT image_id, q, c, CAST(round(v / CAST(step AS DOUBLE)) AS INTEGER) AS value
+  FROM (SELECT image_id, unnest([r, g, b]) AS v, unnest([0, 1, 2]) AS c FROM pixels) JOIN rung ON i = image_id),
+counts AS (SELECT image_id, q, c, value, count(*) AS n FROM values GROUP BY ALL),
+totals AS (SELECT image_id, q, c, CAST(sum(n) AS BIGINT) AS nn FROM counts GROUP BY ALL),
+sizes AS (SELECT image_id, q, greatest(sum(-k.n * log2(k.n / CAST(t.nn AS DOUBLE))), 0) AS bits
+  FROM counts k JOIN totals t USING (image_id, q, c) GROUP BY image_id, q)
+SELECT p.image_id, printf('%03d', p.position) || '-' || replace(label, ' ', '-') AS candidate_id, goal, file_size AS original_size,
+  CASE WHEN applies THEN CAST(64 + ceil(round(bits, 6) / 8) AS BIGINT) END AS output_size, f AS format, ll AS lossless, kind = 'search' AS iterative,
+  p.q AS quality, applies AND bits IS NOT NULL AS success, CASE WHEN applies THEN ssim END AS ssim,
+  CASE WHEN applies AND mse > 0 THEN 10 * log10(CAST(65025 AS DOUBLE) / mse) END AS psnr, CASE WHEN applies THEN mse END AS mse,
+  CAST(NULL AS DOUBLE) AS perceptual, cost AS estimated_cost_ms, category IN ('Photograph', 'HighlyDetailed', 'Unknown') AS photo_like, lossy_probe_ssim
+FROM measurable p LEFT JOIN e ON e.image_id = p.image_id AND e.q = lq LEFT JOIN s ON s.image_id = p.image_id AND s.q = lq
+  LEFT JOIN sizes z ON z.image_id = p.image_id AND z.q = lq)"""
+LIBRARY_DECIDED = with_tables(DECIDED.replace(MEASUREMENTS, LIBRARY, 1))
+
 SQL = {
+    "optimize_library": LIBRARY_DECIDED + """
+SELECT image_id, goal, outcome, kept_original, preference_fired, original_size, final_size, candidate_id, format, quality,
+  lossless, n_candidates, n_measured, n_survivors FROM decided""",
+    "library_totals": LIBRARY_DECIDED + """
+SELECT goal, count(*) AS images, count(*) FILTER (WHERE outcome = 'selected') AS selected, count(*) FILTER (WHERE outcome = 'all_failed') AS failed,
+  CAST(sum(original_size) AS BIGINT) AS original_bytes, CAST(sum(final_size) AS BIGINT) AS final_bytes FROM decided GROUP BY goal""",
+    "library_rejections": with_tables(ANNOTATED.replace(MEASUREMENTS, LIBRARY, 1)) + """
+SELECT goal, stage, reason, format, count(*) AS n FROM (
+  SELECT goal, CASE WHEN dominated THEN 'front' ELSE stage END AS stage, CASE WHEN dominated THEN 'dominated' ELSE reason END AS reason, format
+  FROM annotated WHERE NOT survives
+  UNION ALL
+  SELECT goal, CASE reason WHEN 'same_decade' THEN 'ex_ante' WHEN 'over_cap' THEN 'cap' ELSE 'rule' END, reason, f FROM (
+    WITH """ + CANDIDATES + """ SELECT * FROM candidates) WHERE reason IS NOT NULL)
+GROUP BY ALL""",
     "decide": with_tables(DECIDED) + """
 SELECT image_id, goal, outcome, kept_original, preference_fired, original_size, final_size, candidate_id, format, quality,
   lossless, round(score, 6) AS score, n_candidates, n_measured, n_survivors

@@ -35,14 +35,14 @@ neighbour_stats AS (
 )"""
 
 
-def quantized_copy(step: str, extra: str = "") -> str:
+def quantized_copy(step: str, extra: str = "", source: str = "pixels") -> str:
     """Premultiplied original and quantized copy of every pixel, side by side."""
     pm = ", ".join(
         f"CAST(round({c} * a / CAST(255 AS DOUBLE)) AS INTEGER) AS {c}1, "
         f"CAST(round(least(CAST(round({c} / CAST({step} AS DOUBLE)) * {step} AS INTEGER), 255) * a / CAST(255 AS DOUBLE)) AS INTEGER) AS {c}2"
         for c in "rgb"
     )
-    return f"SELECT image_id, x, y, a AS a1, a AS a2, {pm}{extra} FROM pixels"
+    return f"SELECT image_id, x, y, a AS a1, a AS a2, {pm}{extra} FROM {source}"
 
 
 def lumas(source: str) -> str:
@@ -197,7 +197,9 @@ s AS ({gauss('pairs')})
 SELECT image_id, 'b' AS candidate_id, round(mse, 6) AS mse, {PSNR} AS psnr, round(ssim, 6) AS ssim, mse = 0 AS is_lossless
 FROM e JOIN s USING (image_id)
 UNION ALL SELECT image_id, 'a', CAST(0 AS DOUBLE), NULL, CAST(1 AS DOUBLE), true FROM e""",
-    "quantize_sweep": with_tables(PIXELS, RUNG_STEPS, "pairs AS (SELECT * FROM " + lumas(raw_sweep()) + ")") + f""",
+    "quantize_sweep": with_tables(
+        PIXELS, RUNG_STEPS, "pairs AS (SELECT * FROM " + lumas(quantized_copy("step", ", q", "pixels, rung")) + ")"
+    ) + f""",
 e AS (SELECT image_id, q, {MSE} AS mse FROM pairs GROUP BY image_id, q),
 s AS (SELECT image_id, q, avg({SSIM}) AS ssim FROM (
   SELECT image_id, q, {MOMENTS} FROM pairs GROUP BY image_id, q, y // 8, x // 8 HAVING count(*) = 64) GROUP BY image_id, q)

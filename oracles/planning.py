@@ -119,6 +119,10 @@ costed AS (
   FROM candidates
 )"""
 
+LABEL = "CASE WHEN kind = 'level' THEN f || ' q' || q ELSE f || ' ' || kind END"
+APPLIES = """CASE WHEN f = 'JPEG' THEN CASE WHEN ll THEN false WHEN q IS NULL THEN format = 'JPEG' ELSE NOT has_alpha END
+    WHEN f = 'AVIF' THEN format <> 'AVIF' AND NOT ll WHEN f IN ('PNG','WEBP') THEN true ELSE NOT ll END"""
+
 SQL = {
     "classify_images": with_tables(PROFILES) + """
 SELECT image_id, category, pixel_count, round(file_size / CAST(greatest(pixel_count, 1) AS DOUBLE), 6) AS bytes_per_pixel,
@@ -163,9 +167,7 @@ SELECT image_id, goal, coalesce(formats, '') AS formats, coalesce(ranges, '') AS
 FROM blocked LEFT JOIN lists USING (image_id, goal)""",
     "generate_candidates": with_tables(CANDIDATES) + """
 SELECT image_id, goal, CAST(position AS INTEGER) AS position, kind, f AS format, CAST(q AS INTEGER) AS quality, ll AS lossless,
-  CASE WHEN kind = 'level' THEN f || ' q' || q ELSE f || ' ' || kind END AS label, reason,
-  CASE WHEN f = 'JPEG' THEN CASE WHEN ll THEN false WHEN q IS NULL THEN format = 'JPEG' ELSE NOT has_alpha END
-    WHEN f = 'AVIF' THEN format <> 'AVIF' AND NOT ll WHEN f IN ('PNG','WEBP') THEN true ELSE NOT ll END AS applies,
+  """ + LABEL + """ AS label, reason, """ + APPLIES + """ AS applies,
   round(effort, 6) AS effort, cost AS estimated_cost_ms
 FROM costed""",
     "prune_candidates": with_tables(CANDIDATES) + """

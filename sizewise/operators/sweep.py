@@ -29,14 +29,26 @@ def expand_ladder(pixels: DataFrame, ladder: list[int]) -> DataFrame:
     return pixels.withColumn("q", F.explode(levels)).withColumn("step", step_of_quality(F.col("q")))
 
 
-def quantized_pairs(pixels: DataFrame, ladder: list[int]) -> DataFrame:
-    """Pair table of the original and its quantized copy; both sides come from one row, so nothing is joined."""
-    rows = expand_ladder(pixels, ladder)
+def quantized_pairs(pixels: DataFrame, ladder: list[int], weighted: bool = True) -> DataFrame:
+    return pairs_of(expand_ladder(pixels, ladder), weighted)
+
+
+def pairs_of(rows: DataFrame, weighted: bool = True) -> DataFrame:
+    """Pair table of pixels and their copies quantized by ``step``; both sides come from one row, so nothing is joined.
+
+    ``weighted`` premultiplies colour by alpha on both sides, as in every measurement, so that what cannot be seen does
+    not count.
+    """
+
+    def seen(value: Column) -> Column:
+        return F.round(value * F.col("a") / 255.0).cast("int") if weighted else value
+
     step = F.col("step")
     sides = rows.select(
         "image_id", "q", "x", "y",
-        *[F.col(c).alias(f"{c}1") for c in ("r", "g", "b", "a")],
-        *[quantized(c, step).alias(f"{c}2") for c in ("r", "g", "b")],
+        *[seen(F.col(c)).alias(f"{c}1") for c in ("r", "g", "b")],
+        *[seen(quantized(c, step)).alias(f"{c}2") for c in ("r", "g", "b")],
+        F.col("a").alias("a1"),
         F.col("a").alias("a2"),
     )
     l1 = luma(F.col("r1"), F.col("g1"), F.col("b1"))
@@ -56,7 +68,11 @@ def rung_entropy(pixels: DataFrame, ladder: list[int] | None = None) -> DataFram
 
     With n the count of a value and N the number of pixels, a channel takes N log2 N - sum(n log2 n) bits.
     """
-    rows = expand_ladder(pixels, ladder or LADDER)
+    return entropy_of(expand_ladder(pixels, ladder or LADDER))
+
+
+def entropy_of(rows: DataFrame) -> DataFrame:
+    """The same for pixels with a quality ``q`` and a quantization ``step`` each."""
     values = F.array(*[F.round(F.col(c) / F.col("step")).cast("int") for c in ("r", "g", "b")])
     cells = rows.select("image_id", "q", F.posexplode(values).alias("channel", "value"))
     counts = cells.groupBy("image_id", "q", "channel", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -69,7 +85,7 @@ def rung_entropy(pixels: DataFrame, ladder: list[int] | None = None) -> DataFram
 
 def lossy_probe(pixels: DataFrame, q: int = PROBE_QUALITY) -> DataFrame:
     """How an image reacts to one fixed quantization: block similarity and bits per pixel."""
-    pairs = quantized_pairs(pixels, [q])
+    pairs = quantized_pairs(pixels, [q], weighted=False)  # the probe looks at raw colour
     bits = rung_entropy(pixels, [q])
     return (
         bits.join(ssim_block(pairs, ["image_id", "q"]), ["image_id", "q"], "left")

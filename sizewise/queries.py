@@ -18,7 +18,7 @@ from sizewise.operators import ladder, quality, sweep
 from sizewise.operators import pixels as pixel_ops
 from sizewise.operators.dominance import mark_dominated
 from sizewise.operators.score import score_measurements
-from sizewise.plans import candidates, jobs, reports, strategy
+from sizewise.plans import candidates, jobs, library, reports, strategy
 from sizewise.plans import decide as decisions
 from sizewise.plans import profiles as profile_plan
 from sizewise.session import checkpoint_dir
@@ -263,6 +263,28 @@ def generate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def optimize_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From profiles and pixels to one decision per image and goal."""
+    d = library.optimize_library(_strategies(spark, sf_dir), D.pixels(spark, sf_dir))
+    return d.select(
+        "image_id", "goal", "outcome", "kept_original", "preference_fired", "original_size", "final_size", "selected.candidate_id",
+        "selected.format", "selected.quality", "selected.lossless", "n_candidates", "n_measured", "n_survivors",
+    )
+
+
+@query
+def library_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of the candidates that were not kept, from rules to scores."""
+    r = library.library_rejections(_strategies(spark, sf_dir), D.pixels(spark, sf_dir))
+    return r.groupBy("goal", "stage", "reason", "format").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def library_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.library_totals(library.optimize_library(_strategies(spark, sf_dir), D.pixels(spark, sf_dir)))
+
+
 @query
 def prune_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many candidates each rule removes, by goal; files that are trivially small are not planned at all."""
