@@ -1,6 +1,7 @@
 """Oracle SQL for pixel statistics, distortion and ladders."""
 
-from oracles.tables import IMAGE_FILES, PIXELS, RUNGS, SMALL_PIXELS, STRIPS, with_tables
+from oracles.planning import TARGET_FACTORS
+from oracles.tables import IMAGE_FILES, PIXELS, PROFILES, RUNGS, SMALL_PIXELS, STRIPS, with_tables
 
 D = "CAST({} AS DOUBLE)".format
 LUMA = "(CAST(0.299 AS DOUBLE) * r + CAST(0.587 AS DOUBLE) * g + CAST(0.114 AS DOUBLE) * b)"
@@ -102,12 +103,20 @@ probe_ssim AS (SELECT image_id, avg(""" + SSIM + """) AS s FROM (
   SELECT image_id, """ + MOMENTS + """ FROM probe_pairs GROUP BY image_id, y // 8, x // 8 HAVING count(*) = 64) GROUP BY image_id),
 probe AS (SELECT image_id, s AS lossy_probe_ssim, bits / n_pixels AS lossy_probe_bpp FROM entropy JOIN probe_ssim USING (image_id) WHERE q = 75)"""
 
-SEARCH = RUNGS + """,
-ladder AS (SELECT r.* FROM rungs r WHERE q IN (95, 85, 75, 65, 55, 45, 35)),
-firsts AS (SELECT image_id, max(q) FILTER (WHERE damage >= CAST(1.5 AS DOUBLE)) AS first_miss FROM ladder GROUP BY image_id),
+# One search per image and format: a number made of both stands for the image until the end.
+SEARCH = RUNGS.replace("rungs AS (", "plain_rungs AS (", 1) + "," + PROFILES + """,
+wanted AS (
+  SELECT image_id, least(greatest(CAST(1.5 AS DOUBLE) * """ + TARGET_FACTORS + """, CAST(0.5 AS DOUBLE)), CAST(3 AS DOUBLE)) AS target FROM profiles),
+rungs AS (
+  SELECT r.image_id * 2 AS image_id, q, size, damage, target FROM plain_rungs r JOIN wanted w ON w.image_id = r.image_id
+  UNION ALL
+  SELECT r.image_id * 2 + 1, q, CAST(floor(size * CAST(0.7 AS DOUBLE)) AS BIGINT), damage * CAST(0.9 AS DOUBLE), target
+  FROM plain_rungs r JOIN wanted w ON w.image_id = r.image_id),
+ladder AS (SELECT r.* FROM rungs r WHERE CASE WHEN image_id % 2 = 1 THEN q IN (80, 60, 40, 20) ELSE q IN (95, 85, 75, 65, 55, 45, 35) END),
+firsts AS (SELECT image_id, max(q) FILTER (WHERE damage >= target) AS first_miss FROM ladder GROUP BY image_id),
 reached AS (SELECT l.*, first_miss FROM ladder l JOIN firsts USING (image_id) WHERE first_miss IS NULL OR q >= first_miss),
 scan AS (
-  SELECT image_id, first_miss, min(q) FILTER (WHERE damage < CAST(1.5 AS DOUBLE)) AS lowest_pass, CAST(count(*) AS INTEGER) AS n_reached
+  SELECT image_id, first_miss, min(q) FILTER (WHERE damage < target) AS lowest_pass, CAST(count(*) AS INTEGER) AS n_reached
   FROM reached GROUP BY image_id, first_miss
 )"""
 
@@ -118,12 +127,12 @@ def _bisect(n: int) -> str:
     return f"""
 step{n} AS (
   SELECT image_id, first_miss, lowest_pass, {"n_reached" if n == 1 else "n_reached"}, mid{n} AS m{n}, {"" if n == 1 else ", ".join(f"m{i}" for i in range(1, n)) + ","}
-    ok AS go, CASE WHEN ok AND r.damage >= CAST(1.5 AS DOUBLE) THEN mid{n} ELSE lo0 END AS lo,
-    CASE WHEN ok AND r.damage < CAST(1.5 AS DOUBLE) THEN mid{n} ELSE hi0 END AS hi
+    ok AS go, CASE WHEN ok AND r.damage >= r.target THEN mid{n} ELSE lo0 END AS lo,
+    CASE WHEN ok AND r.damage < r.target THEN mid{n} ELSE hi0 END AS hi
   FROM (SELECT *, {lo} AS lo0, {hi} AS hi0, ({lo} + {hi}) // 2 AS mid0,
       CASE WHEN {go} AND ({lo} + {hi}) // 2 > {lo} THEN ({lo} + {hi}) // 2 END AS mid{n}, {go} AND ({lo} + {hi}) // 2 > {lo} AS ok
     FROM (SELECT * {"" if n == 1 else "RENAME (lo AS lo, hi AS hi)"} FROM {prev})) s
-  LEFT JOIN (SELECT image_id AS rid, q AS rq, damage FROM rungs) r ON rid = image_id AND rq = mid{n})"""
+  LEFT JOIN (SELECT image_id AS rid, q AS rq, damage, target FROM rungs) r ON rid = image_id AND rq = mid{n})"""
 
 
 SQL = {
@@ -207,19 +216,20 @@ SELECT image_id, q, round(mse, 6) AS mse, {PSNR} AS psnr, round(ssim, 6) AS ssim
     "rung_entropy": with_tables(ENTROPY) + " SELECT image_id, q, round(bits, 4) AS bits, n_pixels FROM entropy",
     "lossy_probe": with_tables(PROBE) + """
 SELECT image_id, round(lossy_probe_ssim, 6) AS lossy_probe_ssim, round(lossy_probe_bpp, 6) AS lossy_probe_bpp FROM probe""",
-    "ladder_scan": with_tables(SEARCH) + " SELECT image_id, first_miss, lowest_pass, n_reached FROM scan",
+    "ladder_scan": with_tables(SEARCH) + """
+SELECT image_id // 2 AS image_id, CASE WHEN image_id % 2 = 1 THEN 'AVIF' ELSE 'JPEG' END AS format, first_miss, lowest_pass, n_reached FROM scan""",
     "ladder_search": with_tables(SEARCH, _bisect(1), _bisect(2), _bisect(3)) + """,
 tried AS (
   SELECT image_id, q FROM reached
   UNION ALL SELECT image_id, unnest([m1, m2, m3]) FROM step3
 ),
-measured AS (SELECT t.image_id, r.q, r.size, r.damage FROM tried t JOIN rungs r ON r.image_id = t.image_id AND r.q = t.q),
-counted AS (SELECT image_id, CAST(count(*) AS INTEGER) AS n_tried, max(q) AS top FROM measured GROUP BY image_id),
+measured AS (SELECT t.image_id, r.q, r.size, r.damage, r.target FROM tried t JOIN rungs r ON r.image_id = t.image_id AND r.q = t.q),
+counted AS (SELECT image_id, CAST(count(*) AS INTEGER) AS n_tried, max(q) AS top, min(target) AS target FROM measured GROUP BY image_id),
 best AS (
   SELECT image_id, q, size, damage FROM (
-    SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY size, damage) AS rn FROM measured WHERE damage < CAST(1.5 AS DOUBLE)) WHERE rn = 1
+    SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY size, damage) AS rn FROM measured WHERE damage < target) WHERE rn = 1
 )
-SELECT c.image_id, coalesce(b.q, m.q) AS q, coalesce(b.size, m.size) AS size, round(coalesce(b.damage, m.damage), 6) AS damage, n_tried,
+SELECT c.image_id // 2 AS image_id, CASE WHEN c.image_id % 2 = 1 THEN 'AVIF' ELSE 'JPEG' END AS format, round(c.target, 6) AS target, coalesce(b.q, m.q) AS q, coalesce(b.size, m.size) AS size, round(coalesce(b.damage, m.damage), 6) AS damage, n_tried,
   b.q IS NOT NULL AS converged
 FROM counted c LEFT JOIN best b USING (image_id) LEFT JOIN measured m ON m.image_id = c.image_id AND m.q = c.top AND b.q IS NULL""",
     "png_headers": """

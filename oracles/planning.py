@@ -119,6 +119,10 @@ costed AS (
   FROM candidates
 )"""
 
+TARGET_FACTORS = """(CASE WHEN noise_estimate > CAST(0.4 AS DOUBLE) THEN CAST(1.3 AS DOUBLE) ELSE 1 END)
+  * (CASE WHEN complexity < CAST(0.15 AS DOUBLE) THEN CAST(0.8 AS DOUBLE) ELSE 1 END)
+  * (CASE WHEN dark_region_ratio > CAST(0.4 AS DOUBLE) THEN CAST(0.85 AS DOUBLE) ELSE 1 END)
+  * (CASE WHEN edge_density > CAST(0.12 AS DOUBLE) THEN CAST(0.75 AS DOUBLE) ELSE 1 END)"""
 LABEL = "CASE WHEN kind = 'level' THEN f || ' q' || q ELSE f || ' ' || kind END"
 APPLIES = """CASE WHEN f = 'JPEG' THEN CASE WHEN ll THEN false WHEN q IS NULL THEN format = 'JPEG' ELSE NOT has_alpha END
     WHEN f = 'AVIF' THEN format <> 'AVIF' AND NOT ll WHEN f IN ('PNG','WEBP') THEN true ELSE NOT ll END"""
@@ -198,10 +202,7 @@ SELECT image_id, width, height,
 FROM boxed""",
     "adaptive_target": with_tables(PROFILES, GOALS) + """
 SELECT image_id, goal, round(CASE WHEN target = 0 THEN CAST(0 AS DOUBLE) ELSE least(greatest(target
-  * (CASE WHEN noise_estimate > CAST(0.4 AS DOUBLE) THEN CAST(1.3 AS DOUBLE) ELSE 1 END)
-  * (CASE WHEN complexity < CAST(0.15 AS DOUBLE) THEN CAST(0.8 AS DOUBLE) ELSE 1 END)
-  * (CASE WHEN dark_region_ratio > CAST(0.4 AS DOUBLE) THEN CAST(0.85 AS DOUBLE) ELSE 1 END)
-  * (CASE WHEN edge_density > CAST(0.12 AS DOUBLE) THEN CAST(0.75 AS DOUBLE) ELSE 1 END), CAST(0.5 AS DOUBLE)), CAST(3 AS DOUBLE)) END, 6) AS target
+  * """ + TARGET_FACTORS + """, CAST(0.5 AS DOUBLE)), CAST(3 AS DOUBLE)) END, 6) AS target
 FROM profiles, goals""",
     "format_catalog": with_tables(PROFILES) + """,
 catalog AS (

@@ -188,6 +188,26 @@ def rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def format_rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rungs of every image as JPEG and as AVIF, with the target that suits its profile."""
+    wanted = profiles(spark, sf_dir).select(
+        "image_id",
+        P.adaptive_target(
+            F.lit(1.5), F.col("noise_estimate"), F.col("complexity"), F.col("dark_region_ratio"), F.col("edge_density")
+        ).alias("target"),
+        F.explode(F.array(F.lit("JPEG"), F.lit("AVIF"))).alias("format"),
+    )
+    avif = F.col("format") == "AVIF"
+    return rungs(spark, sf_dir).join(wanted, "image_id").select(
+        "image_id",
+        "format",
+        "q",
+        "target",
+        F.when(avif, F.floor(F.col("size") * 0.7)).otherwise(F.col("size")).cast("long").alias("size"),
+        F.when(avif, F.col("damage") * 0.9).otherwise(F.col("damage")).alias("damage"),
+    )
+
+
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_job_events(read(spark, sf_dir, "events"))
 

@@ -7,20 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sizewise.dims import BISECT_GAP, BISECT_STEPS, LADDER
+from sizewise.dims import AVIF_LADDER, BISECT_GAP, BISECT_STEPS, LADDER
 from sizewise.session import cut_lineage
 
 
-def ladder_scan(rungs: DataFrame, target: Column | float, ladder: list[int] | None = None) -> DataFrame:
+def _array(ladder: list[int] | Column | None) -> Column:
+    return ladder if isinstance(ladder, Column) else F.array(*[F.lit(q) for q in ladder or LADDER])
+
+
+def ladder_of_format(fmt: Column) -> Column:
+    """The rungs tried for an output format, from the top."""
+    return F.when(fmt == "AVIF", _array(AVIF_LADDER)).otherwise(_array(LADDER))
+
+
+def ladder_scan(
+    rungs: DataFrame, target: Column | float, ladder: list[int] | Column | None = None, keys: tuple[str, ...] = ("image_id",)
+) -> DataFrame:
     """Boundary of the descending scan: the first missing rung, the lowest passing one above it, rungs reached.
 
     The scan stops at the first miss, so the rungs reached are those at or above the highest miss. Plain
-    aggregates give the same as walking down, without ordering anything.
+    aggregates give the same as walking down, without ordering anything. ``keys`` name one search, such as image and
+    format; target and ladder may differ between searches. The rungs are shuffled once, by those keys.
     """
     target = F.lit(target) if isinstance(target, (int, float)) else target
-    rows = rungs.where(F.col("q").isin(ladder or LADDER)).withColumn("_pass", F.col("damage") < target)
-    marked = rows.groupBy("image_id", "q").agg(F.bool_or("_pass").alias("_pass"))
-    per_image = marked.groupBy("image_id").agg(
+    rows = rungs.where(F.array_contains(_array(ladder), F.col("q"))).withColumn("_pass", F.col("damage") < target)
+    marked = rows.repartition(*keys).groupBy(*keys, "q").agg(F.bool_or("_pass").alias("_pass"))
+    per_image = marked.groupBy(*keys).agg(
         F.max(F.when(~F.col("_pass"), F.col("q"))).alias("first_miss"),
         F.sort_array(F.collect_list(F.when(F.col("_pass"), F.col("q")))).alias("_passing"),
         F.sort_array(F.collect_list("q")).alias("_all"),
@@ -28,22 +40,24 @@ def ladder_scan(rungs: DataFrame, target: Column | float, ladder: list[int] | No
     above = F.filter("_passing", lambda q: q > F.coalesce(F.col("first_miss"), F.lit(-1)))
     reached = F.filter("_all", lambda q: q >= F.coalesce(F.col("first_miss"), F.lit(-1)))
     return per_image.select(
-        "image_id",
+        *keys,
         "first_miss",
         F.array_min(above).alias("lowest_pass"),
         F.size(reached).alias("n_reached"),
     )
 
 
-def ladder_search(rungs: DataFrame, target: Column | float, ladder: list[int] | None = None) -> DataFrame:
-    """Winning rung per image: scan, up to three bisection steps, then the smallest measured rung that passes.
+def ladder_search(
+    rungs: DataFrame, target: Column | float, ladder: list[int] | Column | None = None, keys: tuple[str, ...] = ("image_id",)
+) -> DataFrame:
+    """Winning rung per search: scan, up to three bisection steps, then the smallest measured rung that passes.
 
-    ``rungs`` (image_id, q, size, damage) holds every quality that may be asked for. The rungs of one image are a
-    map of at most 101 entries, so after one aggregation the whole search is a projection.
+    ``rungs`` (the keys, q, size, damage) holds every quality that may be asked for. The rungs of one search are a
+    map of at most 101 entries, so after one aggregation the whole search is a projection. For ``keys`` see ``ladder_scan``.
     """
     target = F.lit(target) if isinstance(target, (int, float)) else target
-    levels = F.array(*[F.lit(q) for q in (ladder or LADDER)])
-    per_image = _rung_maps(rungs, target)
+    levels = F.col("_levels")
+    per_image = _rung_maps(rungs, target, _array(ladder), keys)
 
     def damage(q: Column) -> Column:
         return F.try_element_at("_m", q)["damage"]
@@ -73,7 +87,7 @@ def ladder_search(rungs: DataFrame, target: Column | float, ladder: list[int] |
             .withColumn("_lo", F.when(F.col("_go") & ~F.col("_ok"), F.col("_mid")).otherwise(F.col("_lo")))
         )
     return state.withColumn("_best", best_passing(F.col("_tried"), F.col("_m"), F.col("target"))).select(
-        "image_id",
+        *keys,
         "target",
         F.coalesce(F.col("_best.q"), F.col("first_miss")).alias("q"),
         F.coalesce(F.col("_best.size"), F.try_element_at("_m", F.col("first_miss"))["size"]).alias("size"),
@@ -83,16 +97,15 @@ def ladder_search(rungs: DataFrame, target: Column | float, ladder: list[int] |
     )
 
 
-def _rung_maps(rungs: DataFrame, target: Column) -> DataFrame:
-    """One row per image with its target and a map from quality to size and damage."""
+def _rung_maps(rungs: DataFrame, target: Column, levels: Column, keys: tuple[str, ...]) -> DataFrame:
+    """One row per search with its target, its ladder and a map from quality to size and damage."""
+    constant = [F.min("target").alias("target"), F.min("_levels").alias("_levels")]
     unique = (
-        rungs.withColumn("target", target)
-        .groupBy("image_id", "q")
-        .agg(F.min(F.struct("size", "damage")).alias("m"), F.min("target").alias("target"))
-    )
-    return unique.groupBy("image_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("q", "m"))).alias("_m"), F.min("target").alias("target")
+        rungs.withColumn("target", target).withColumn("_levels", levels).repartition(*keys)
+        .groupBy(*keys, "q")
+        .agg(F.min(F.struct("size", "damage")).alias("m"), *constant)
     )
+    return unique.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("q", "m"))).alias("_m"), *constant)
 
 
 def best_passing(tried: Column, rungs: Column, target: Column) -> Column:

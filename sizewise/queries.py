@@ -462,14 +462,15 @@ def lossy_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ladder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ladder.ladder_scan(D.rungs(spark, sf_dir), 1.5)
+    rungs = D.format_rungs(spark, sf_dir)
+    return ladder.ladder_scan(rungs, F.col("target"), ladder.ladder_of_format(F.col("format")), ("image_id", "format"))
 
 
 @query
 def ladder_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ladder.ladder_search(D.rungs(spark, sf_dir), 1.5).select(
-        "image_id", "q", "size", _r("damage"), "n_tried", "converged"
-    )
+    rungs = D.format_rungs(spark, sf_dir)
+    found = ladder.ladder_search(rungs, F.col("target"), ladder.ladder_of_format(F.col("format")), ("image_id", "format"))
+    return found.select("image_id", "format", "q", "size", _r("damage"), _r("target"), "n_tried", "converged")
 
 
 @query
