@@ -11,38 +11,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.column import Column
 
 #: Labelled texts that the chain is fitted on, at most.
-TRAINING_TEXTS = 12_000
-#: Words that tell any category apart: how many, in how many training texts at least, and from which chi-square on.
-WORDS, WORD_TEXTS, WORD_CHI2 = 2_000, 8, 30.0
+TRAINING_TEXTS = 10_000
+#: Words that tell any category apart: how many, in how many training texts at least, from which chi-square on, and how
+#: much more often than usual their texts are of the category. Common words would add up to a bias in long texts.
+WORDS, WORD_TEXTS, WORD_CHI2, WORD_LIFT = 400, 8, 30.0, 3.0
 FOLDS = 5
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 WORD = re.compile(r"[^\W\d_]+")
+#: Words also count by these numbers of first letters, so that inflected and compound forms are known by their stem.
+STEMS = (4, 5, 6)
+#: Words whose features a worker remembers.
+REMEMBERED = 200_000
 
 
 class LinearModel:
-    """Logistic regression on sparse rows, fitted by accelerated gradient steps with an L2 penalty."""
+    """Logistic regression with an L2 penalty, fitted by Newton steps; the rows of a bounded sample are held densely."""
 
-    def __init__(self, width: int, penalty: float = 2e-4, steps: int = 400):
+    def __init__(self, width: int, penalty: float = 0.1, steps: int = 30):
         self.weights, self.bias, self.penalty, self.steps = np.zeros(width), 0.0, penalty, steps
 
     def fit(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray) -> LinearModel:
         n, width = len(y), len(self.weights)
-        squares = 1.0 + np.bincount(rows, weights=values * values, minlength=n)
-        rate = 1.0 / (0.25 * np.percentile(squares, 99) + self.penalty)
-        w, b = np.zeros(width), 0.0
-        ahead_w, ahead_b, t = w, b, 1.0
+        x = np.zeros((n, width + 1))
+        x[rows, cols] = values
+        x[:, width] = 1.0
+        penalty = np.append(np.full(width, self.penalty), 1e-6)
+        w = np.zeros(width + 1)
+
+        def loss(w: np.ndarray) -> float:
+            z = x @ w
+            return float(np.logaddexp(0.0, z).sum() - z @ y + 0.5 * (penalty * w * w).sum())
+
+        now = loss(w)
         for _ in range(self.steps):
-            miss = _sigmoid(np.bincount(rows, weights=values * ahead_w[cols], minlength=n) + ahead_b) - y
-            new_w = ahead_w - rate * (np.bincount(cols, weights=values * miss[rows], minlength=width) / n * 8
-                                      + self.penalty * ahead_w)
-            new_b = ahead_b - rate * miss.mean() * 8
-            t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-            ahead_w = new_w + (t - 1) / t_new * (new_w - w)
-            ahead_b = new_b + (t - 1) / t_new * (new_b - b)
-            w, b, t = new_w, new_b, t_new
-        self.weights, self.bias = w, float(b)
+            p = _sigmoid(x @ w)
+            hessian = (x * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ x + np.diag(penalty)
+            step = np.linalg.solve(hessian, x.T @ (p - y) + penalty * w)
+            size = 1.0
+            while size > 1e-4 and loss(w - size * step) > now:
+                size /= 2
+            w = w - size * step
+            before, now = now, loss(w)
+            if before - now < 1e-7 * max(1.0, abs(now)):
+                break
+        self.weights, self.bias = w[:width], float(w[width])
         return self
 
     def predict(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -59,10 +74,27 @@ class ClassifierChain:
     def __init__(self, vocabulary: dict[str, int], categories: list[str]):
         self.vocabulary, self.categories = vocabulary, categories
         self.models: list[LinearModel] = []
+        self.remembered: dict[str, tuple[int, ...]] = {}
+
+    def _of_word(self, word: str) -> tuple[int, ...]:
+        keys = [word, *["^" + word[:k] for k in STEMS if len(word) > k]]
+        found = tuple(self.vocabulary[k] for k in keys if k in self.vocabulary)
+        if len(self.remembered) >= REMEMBERED:
+            self.remembered.clear()
+        self.remembered[word] = found
+        return found
 
     def count(self, text: str | None) -> Counter:
-        known = self.vocabulary
-        return Counter(known[w] for w in WORD.findall((text or "").lower()) if w in known)
+        """How often each feature occurs in a whole text."""
+        out: Counter = Counter()
+        known = self.remembered
+        for word in WORD.findall((text or "").lower()):
+            found = known.get(word)
+            if found is None:
+                found = self._of_word(word)
+            for f in found:
+                out[f] += 1
+        return out
 
     def features(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows, cols, values = [], [], []
@@ -108,6 +140,11 @@ class ClassifierChain:
         return out
 
 
+def _stems(words: Column, letters: int) -> Column:
+    longer = F.filter(words, lambda w: F.length(w) > letters)
+    return F.transform(longer, lambda w: F.concat(F.lit("^"), F.substring(w, 1, letters)))
+
+
 def fit_toxicity(texts: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "prompt_id",
                  text_col: str = "prompt", training_texts: int = TRAINING_TEXTS) -> ClassifierChain | None:
     """Fits the chain on at most ``training_texts`` labelled texts, drawn by a hash of the id.
@@ -125,13 +162,17 @@ def fit_toxicity(texts: DataFrame, labels: DataFrame, categories: list[str], id_
     if not n:
         return None
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))
-    counts = rows.select(F.explode_outer(words).alias("word"), *categories).where("word IS NOT NULL").groupBy("word").agg(
+    stems = [_stems(F.col("words"), k) for k in STEMS]
+    listed = rows.select(words.alias("words"), *categories).select(
+        F.array_distinct(F.concat("words", *stems)).alias("keys"), *categories)
+    counts = listed.select(F.explode_outer("keys").alias("word"), *categories).where("word IS NOT NULL").groupBy("word").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]).where(F.col("n") >= WORD_TEXTS)
 
     def chi2(c: str):
         a, m, k = F.col(c).cast("double"), F.col("n").cast("double"), float(totals[c] or 0)
         over = n * a - m * k
-        return F.when((F.lit(k) > 0) & (F.lit(k) < n) & (m < n), n * over * over / (m * (n - m) * k * (n - k))).otherwise(0.0)
+        telling = (F.lit(k) > 0) & (F.lit(k) < n) & (m < n) & (n * a >= WORD_LIFT * m * k)
+        return F.when(telling, n * over * over / (m * (n - m) * k * (n - k))).otherwise(0.0)
 
     best = F.greatest(F.lit(0.0), *[chi2(c) for c in categories])
     chosen = counts.select("word", best.alias("score")).where(F.col("score") >= WORD_CHI2)
@@ -163,7 +204,7 @@ def judge_toxicity(texts: DataFrame, labels: DataFrame, categories: list[str], i
 
     Runs on goal prompts (``prompt_id``, ``prompt``) as on any table of texts. Categories are predicted in the given order;
     a later linear model also sees the probabilities of earlier categories, which in training come from models that have
-    not seen the text. Features are the words of the whole text that tell some category apart, with their counts.
+    not seen the text. Features are the words of the whole text, and their first letters, that tell some category apart, with their counts.
 
     A null text, or one without words, is never rejected; its probabilities are those of a text without known words.
     Without labelled texts all probabilities are null and nothing is rejected. Repeated rows are judged alike; columns
