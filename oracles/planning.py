@@ -176,6 +176,11 @@ SELECT image_id, goal, CAST(position AS INTEGER) AS position, kind, f AS format,
 FROM costed""",
     "prune_candidates": with_tables(CANDIDATES) + """
 SELECT goal, coalesce(reason, 'accepted') AS reason, count(*) AS n FROM candidates WHERE file_size >= 4096 GROUP BY 1, 2""",
+    "preset_costs": with_tables(PROFILES) + """
+SELECT format, name, mode AS metadata_mode, CASE format WHEN 'JPEG' THEN jq WHEN 'WEBP' THEN wq ELSE aq END AS quality,
+  count(*) AS images, CAST(sum(pixel_count) AS BIGINT) AS pixels
+FROM profiles, (VALUES ('Web', 'RemoveSafe', 85, 82, 60), ('Lossless', 'Keep', 100, 100, 100), ('Custom', 'RemoveSafe', 85, 82, 60)) t(name, mode, jq, wq, aq)
+WHERE format IN ('JPEG', 'WEBP', 'AVIF') GROUP BY ALL""",
     "trivial_files": with_tables(PROFILES) + """
 SELECT image_id, file_size AS original_size, file_size AS final_size, 'trivially_small' AS outcome, true AS kept_original
 FROM profiles WHERE file_size < 4096""",

@@ -158,6 +158,18 @@ FROM history""",
 SELECT log_id, (CASE WHEN "timestamp" LIKE 'at %' THEN "timestamp" ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END)
   || ' [' || level || '] [' || source || '] ' || message AS line
 FROM logs ORDER BY ts DESC, log_id DESC LIMIT 5000""",
+    "history_kept": with_tables(HISTORY) + """
+SELECT id, profile_name, files_failed, original_size, output_size, duration_ms FROM history WHERE id % 5 <> 0 ORDER BY "timestamp" DESC, id DESC LIMIT 500""",
+    "catalogues_read": """
+WITH p AS (
+  SELECT s_suppkey AS k, unnest([0, 1, 2]) AS i FROM supplier WHERE s_suppkey % 7 <> 0)
+SELECT 'p' || i || '-' || k AS name, kind, CAST(50 + (k * 7 + i) % 50 AS INTEGER) AS jpeg_quality,
+  i = 1 AND k % 3 = 0 AS is_default
+FROM (SELECT *, ['Web', 'Lossless', 'Custom', 'Other'][1 + (k + i) % 4] AS kind FROM p) WHERE kind <> 'Other'""",
+    "logs_exported": with_tables(LOGS) + """
+SELECT line, length(line) AS n_chars FROM (SELECT (CASE WHEN "timestamp" LIKE 'at %' THEN "timestamp" ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END)
+  || ' [' || level || '] [' || source || '] ' || message AS line FROM logs)""",
+    "jobs_by_id": with_tables(LATEST) + " SELECT job_id, status, original_size, final_size FROM latest",
     "stream_recent_logs": with_tables(LOGS) + " SELECT log_id, level, message FROM logs ORDER BY ts DESC, log_id DESC LIMIT 5000",
     "stream_arrivals": with_tables(PATH_PARTS) + f"""
 SELECT path AS source, folder || '/' || stem || '_optimized.' || ext AS destination, {format_of('ext')} AS input_format, 'Queued' AS status,

@@ -178,9 +178,3 @@ def preview(pixels: DataFrame, sizes: DataFrame, side: int = PREVIEW_SIDE) -> Da
 def premultiplied(c: str) -> Column:
     """Channel weighted by its alpha, rounded to whole values."""
     return F.round(F.col(c) * F.col("a") / 255.0).cast("int")
-
-
-def over_white(c: str) -> Column:
-    """Channel composed over a white background."""
-    share = F.col("a") / 255.0
-    return F.round(F.col(c) * share + 255.0 * (1.0 - share)).cast("int")

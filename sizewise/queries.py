@@ -22,7 +22,7 @@ from sizewise.plans import candidates, jobs, library, reports, strategy
 from sizewise.plans import decide as decisions
 from sizewise.plans import profiles as profile_plan
 from sizewise.session import checkpoint_dir
-from sizewise.sources import files
+from sizewise.sources import files, records
 from sizewise.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -692,3 +692,77 @@ def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrived = D.as_paths(_stream(spark, sf_dir, "pages")).select("path", "length")
     streams.stream_arrivals(arrived, f"{base}/jobs", f"{base}/log").awaitTermination()
     return spark.read.parquet(f"{base}/jobs").select("source", "destination", "input_format", "status", "goal")
+
+
+# Sources and sinks: derived rows are written to the shared folder and read back ------------------------------
+
+
+@query
+def history_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs appended in two parts, with broken lines between, some removed, the newest kept."""
+    base, runs = _scratch(spark), D.history(spark, sf_dir)
+    for odd in (0, 1):
+        records.append_history(runs.where(F.col("id") % 2 == odd), f"{base}/runs")
+    broken = runs.select(F.concat(F.lit('{"id": '), F.col("id").cast("string")).alias("line"))
+    broken.write.mode("append").text(f"{base}/runs")
+    records.remove_history(spark, f"{base}/runs", f"{base}/fewer", runs.where("id % 5 = 0"))
+    records.compact_history(spark, f"{base}/fewer", f"{base}/kept", 500)
+    kept = records.read_history(spark, f"{base}/kept")
+    return kept.select("id", "profile_name", "files_failed", "original_size", "output_size", "duration_ms")
+
+
+@query
+def catalogues_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profile catalogues of suppliers, one JSON document per file, read leniently with their defaults."""
+    base, k = _scratch(spark), F.col("s_suppkey")
+    kinds = F.array(F.lit("Web"), F.lit("Lossless"), F.lit("Custom"), F.lit("Other"))
+
+    def profile(i: int):
+        return F.struct(
+            F.concat(F.lit(f"p{i}-"), k.cast("string")).alias("name"), F.get(kinds, ((k + i) % 4).cast("int")).alias("kind"),
+            (50 + (k * 7 + i) % 50).cast("int").alias("jpeg_quality"),
+        )
+
+    document = F.to_json(F.struct(
+        F.array(*[profile(i) for i in range(3)]).alias("profiles"),
+        F.when(k % 3 == 0, F.concat(F.lit("p1-"), k.cast("string"))).when(k % 3 == 1, "nobody").alias("default_name"),
+    ))
+    document = F.when(k % 7 == 0, F.lit("no json")).otherwise(document)
+    files = D.read(spark, sf_dir, "supplier").select(k.alias("supplier"), document.alias("value"))
+    files.write.partitionBy("supplier").text(f"{base}/catalogues")
+    read = records.catalog_profiles(records.read_catalogs(spark, f"{base}/catalogues"))
+    return read.select("name", "kind", "jpeg_quality", "is_default")
+
+
+@query
+def decisions_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions published once and read back."""
+    base = _scratch(spark)
+    records.write_decisions(decisions.decide(D.measurements(spark, sf_dir)), f"{base}/decisions")
+    return spark.read.parquet(f"{base}/decisions").select("image_id", "goal", "outcome", "final_size", "selected.candidate_id")
+
+
+@query
+def logs_exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log rows exported as text and read back, with their number of characters."""
+    base = _scratch(spark)
+    records.export_logs(D.logs(spark, sf_dir), f"{base}/lines")
+    return spark.read.text(f"{base}/lines").select(F.col("value").alias("line"), F.length("value").alias("n_chars"))
+
+
+@query
+def jobs_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All jobs in order of their ids, numbered."""
+    listed = jobs.list_jobs(_jobs(spark, sf_dir))
+    return listed.select("job_id", "status", "original_size", "final_size")
+
+
+@query
+def preset_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each preset would ask of the images of each format: its quality and how many images."""
+    presets = dims.presets_table(spark).select(
+        "name", "metadata_mode", F.explode(F.map_from_arrays(
+            F.array(F.lit("JPEG"), F.lit("WEBP"), F.lit("AVIF")), F.array("jpeg_quality", "webp_quality", "avif_quality")
+        )).alias("format", "quality"))
+    images = D.profiles(spark, sf_dir).groupBy("format").agg(F.count(F.lit(1)).alias("images"), F.sum("pixel_count").alias("pixels"))
+    return images.join(presets, "format").select("format", "name", "metadata_mode", "quality", "images", "pixels")

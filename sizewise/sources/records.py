@@ -47,9 +47,9 @@ def compact_history(spark: SparkSession, folder: str, target: str, n: int = HIST
     newest(read_history(spark, folder), n).orderBy("timestamp", "id").write.mode("overwrite").json(target)
 
 
-def remove_history(spark: SparkSession, folder: str, target: str, ids: list[int]) -> None:
-    """Write the history without the given runs to a new folder."""
-    read_history(spark, folder).where(~F.col("id").isin(ids)).write.mode("overwrite").json(target)
+def remove_history(spark: SparkSession, folder: str, target: str, ids: DataFrame) -> None:
+    """Write the history without the runs in ``ids`` (id) to a new folder."""
+    read_history(spark, folder).join(ids.select("id"), "id", "left_anti").write.mode("overwrite").json(target)
 
 
 def clear_history(spark: SparkSession, target: str) -> None:

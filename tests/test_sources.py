@@ -107,7 +107,7 @@ def test_history_round_trip(spark, tmp_path):
     assert records.read_history(spark, log).count() == 31
     records.compact_history(spark, log, str(tmp_path / "compact"), 10)
     assert sorted(r.id for r in records.read_history(spark, str(tmp_path / "compact")).collect()) == [*range(21, 30), 99]
-    records.remove_history(spark, log, str(tmp_path / "removed"), [0, 1])
+    records.remove_history(spark, log, str(tmp_path / "removed"), spark.createDataFrame([(0,), (1,)], "id long"))
     assert records.read_history(spark, str(tmp_path / "removed")).count() == 29
     records.clear_history(spark, str(tmp_path / "empty"))
     assert records.read_history(spark, str(tmp_path / "empty")).count() == 0
