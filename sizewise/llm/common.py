@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from sizewise.session import checkpoint_dir, cut_lineage
+from sizewise.session import checkpoint_dir
 
+#: Pointers followed in one round of connected components.
+JUMPS = 3
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -23,7 +25,11 @@ def ascii_lower(text: Column) -> Column:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """The rows as a written table in the shared folder, which survives lost executors and is read column by column."""
+    """The rows as a written table in the shared folder.
+
+    It survives lost executors and ends the plan. Unlike a checkpoint, whose size Spark still estimates from the plan
+    behind it, a file has the size it has: loops of joins stay cheap to plan, and joins are chosen by true sizes.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -36,39 +42,35 @@ def connected_components(links: DataFrame) -> DataFrame:
     ``links`` has the columns ``a`` and ``b`` (long). Returns ``id`` and ``component`` for each id in a link; an id in
     no link has no row. Null ends are no links, an empty table gives an empty result.
 
-    Each round points every root to the smallest root it is linked to, follows the pointers to their ends and draws
-    the links between the new roots, so that the number of roots with a link at least halves. Minima are combined
-    before each shuffle and the links of a hub are dealt by an ordinary join, which adaptive execution can split; no
-    round collects an id. Rounds are written to the shared folder.
+    Each round points every id to the smallest id it is linked to, follows the pointers a few steps and draws the links
+    between the ids reached; a hub takes one round, a chain shrinks to a quarter. Minima are combined before each shuffle
+    and the links of a hub are dealt by an ordinary join, which adaptive execution can split; no round collects an id.
+    Rounds are written to the shared folder.
     """
     both = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     )
-    edges = cut_lineage(both.distinct())
-    labels = None
+    edges = staged(both.distinct())
+    rounds = []
     while not edges.isEmpty():
         ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = cut_lineage(ends.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("p")).select(
-            "id", F.least("id", "p").alias("p")))
-        while True:
-            over = up.alias("x").join(up.alias("y"), F.col("x.p") == F.col("y.id")).select(
-                "x.id", F.col("y.p").alias("p"), (F.col("x.p") != F.col("y.p")).alias("moved"))
-            over = cut_lineage(over)
-            up = over.select("id", "p")
-            if over.where("moved").isEmpty():
-                break
-        one = edges.join(up.withColumnRenamed("id", "a").withColumnRenamed("p", "pa"), "a").select("pa", "b")
-        two = one.join(up.withColumnRenamed("id", "b").withColumnRenamed("p", "pb"), "b").where("pa <> pb")
-        edges = cut_lineage(two.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
-        if labels is None:
-            labels = up.withColumnRenamed("p", "component")
-        else:
-            moved = up.select(F.col("id").alias("component"), F.col("p").alias("q"))
-            labels = labels.join(moved, "component", "left").select("id", F.coalesce("q", "component").alias("component"))
-        labels = cut_lineage(labels)
-    if labels is None:
+        up = ends.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("p")).select("id", F.least("id", "p").alias("p"))
+        up = staged(up)
+        ahead = up.select(F.col("id").alias("p"), F.col("p").alias("next"))
+        for _ in range(JUMPS):
+            up = up.join(ahead, "p").select("id", F.col("next").alias("p"))
+        up = staged(up)
+        one = edges.join(up.select(F.col("id").alias("a"), F.col("p").alias("pa")), "a").select("pa", "b")
+        two = one.join(up.select(F.col("id").alias("b"), F.col("p").alias("pb")), "b").where("pa <> pb")
+        edges = staged(two.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        rounds.append(up)
+    if not rounds:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return labels
+    labels = rounds[0].select("id", F.col("p").alias("component"))
+    for up in rounds[1:]:
+        moved = up.select(F.col("id").alias("component"), F.col("p").alias("q"))
+        labels = labels.join(moved, "component", "left").select("id", F.coalesce("q", "component").alias("component"))
+    return staged(labels) if len(rounds) > 1 else labels
 
 
 def utf8(column) -> tuple:
