@@ -68,7 +68,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     at = np.searchsorted(starts, offsets)  # the words of text i are at[i]:at[i + 1]
     counts = np.diff(at)
     full = np.zeros(len(word), dtype=np.uint64)
-    for k in range(SHINGLE):
+    for k in range(min(SHINGLE, len(word))):
         full[: len(word) - k] += word[k:] * _PLACE[k]
     full = mixed(full)
     pieces, sizes = [], np.zeros(n_texts, dtype=np.int64)
