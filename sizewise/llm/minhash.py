@@ -220,7 +220,8 @@ def near_duplicates(texts: DataFrame, id_col: str = "log_id", text_col: str = "m
     the group. So all pairs of a group are decided unless already connected, and only a forest of links is written.
 
     A text of fewer words has one shingle, all its words; a null text or one without words has none and links with nothing.
-    Rows that repeat an id are one document, linked where any of its rows is. A row with a null id links with nothing; its
+    Repeated rows get equal answers. Rows with one id and different
+    texts follow their own texts, but texts whose classes that id stands for are linked. A row with a null id links with nothing; its
     component is null and it is kept. An empty table gives an empty result; further columns are ignored.
     """
     rows = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
