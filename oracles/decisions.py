@@ -161,7 +161,7 @@ LIBRARY_DECIDED = with_tables(DECIDED.replace(MEASUREMENTS, LIBRARY, 1))
 
 SQL = {
     "decisions_written": with_tables(DECIDED) + " SELECT image_id, goal, outcome, final_size, candidate_id FROM decided",
-    "optimize_library": LIBRARY_DECIDED + """
+    "library_decisions": LIBRARY_DECIDED + """
 SELECT image_id, goal, outcome, kept_original, preference_fired, original_size, final_size, candidate_id, format, quality,
   lossless, n_candidates, n_measured, n_survivors FROM decided""",
     "library_totals": LIBRARY_DECIDED + """

@@ -264,7 +264,7 @@ def generate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def optimize_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+def library_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From profiles and pixels to one decision per image and goal."""
     d = library.optimize_library(_strategies(spark, sf_dir), D.pixels(spark, sf_dir))
     return d.select(
