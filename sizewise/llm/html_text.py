@@ -393,8 +393,10 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", id_col: str = "p
     stands in controls are no text. Repeated rows are read alike; columns named like the results are replaced. An empty table gives an empty result.
     """
     rows = pages.drop("text", "n_chars")
-    drawn = rows.where(F.length(html_col) > 0).orderBy(F.xxhash64(F.col(id_col).cast("string")), html_col).limit(training_pages)
-    drawn = [r["html"] for r in drawn.select(F.col(html_col).alias("html")).collect()]
+    # The hashes alone find the sample, so that its pages, and no others, come to the driver.
+    ranked = rows.where(F.length(html_col) > 0).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(html_col).alias("html"))
+    last = ranked.select("h").orderBy("h").limit(training_pages).agg(F.max("h")).first()[0]
+    drawn = [r["html"] for r in ranked.where(F.col("h") <= last).limit(training_pages).collect()] if last is not None else []
     shared = pages.sparkSession.sparkContext.broadcast(fit_trees(drawn))  # TREES small arrays
     names = rows.columns
 
