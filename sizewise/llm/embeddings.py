@@ -8,13 +8,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.column import Column
 
 from sizewise.llm.common import connected_components, staged
-from sizewise.session import cut_lineage
 
 COSINE = 0.9
 #: Orders tried, how many of them one job sorts, and how many neighbours each vector meets in an order.
@@ -149,14 +148,18 @@ def window_links(vectors: DataFrame, passes: int = PASSES, window: int = WINDOW,
         edges = met.where("edge IS NOT NULL").repartition("edge").sortWithinPartitions("edge", "at")
         found.append(edges.mapInArrow(_across_edges(window, cosine), "a long, b long"))
     both = reduce(DataFrame.unionByName, found).where("a <> b")
-    return cut_lineage(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return staged(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
-def _unit(vec: Column) -> Column:
-    wide = F.transform(vec, lambda x: x.cast("double"))
-    scaled = F.transform(wide, lambda x: x / F.array_max(F.transform(wide, F.abs)))
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(scaled, lambda x: x / norm)
+def _with_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        dims = np.asarray(pa.compute.list_value_length(batch.column("vec")))
+        for dim in np.unique(dims):
+            own = batch.filter(pa.array(dims == dim))
+            unit = matrix(own.column("vec"))
+            ends = pa.array(np.arange(len(own) + 1, dtype=np.int32) * int(dim))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(ends, pa.array(unit.ravel()))],
+                                             names=[*own.schema.names, "unit"])
 
 
 def _count_links(least: float):
@@ -183,19 +186,20 @@ def link_counts(vectors: DataFrame, components: DataFrame, cosine: float = COSIN
     linked without a look at the pair, so those within half of it, the core, are only counted. The others meet all vectors of their component in blocks.
     """
     half = math.acos(cosine) / 2 - 1e-7
+    vec = vectors.schema["vec"].dataType.simpleString()
     members = vectors.join(components.withColumnRenamed("id", "rep"), "rep").select(
-        F.col("rep").alias("id"), "component", "copies", "vec", _unit(F.col("vec")).alias("unit"))
-    members = staged(members)
+        F.col("rep").alias("id"), "component", "copies", "vec")
+    members = staged(members.mapInArrow(_with_unit, f"id long, component long, copies long, vec {vec}, unit array<double>"))
     sums = members.select("component", F.posexplode("unit").alias("k", "x")).groupBy("component", "k").agg(F.sum("x").alias("x"))
     centre = sums.groupBy("component").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("centre"))
-    centre = cut_lineage(centre)
+    centre = staged(centre)
     joined = members.join(centre, "component")
     dot = F.aggregate(F.zip_with("unit", "centre", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(F.aggregate("centre", F.lit(0.0), lambda s, x: s + x * x))
     core = F.coalesce(F.acos(F.least(F.lit(1.0), dot / norm)) <= half, F.lit(False))
     members = staged(joined.select("id", "component", "copies", "vec", core.alias("core")))
-    sizes = cut_lineage(members.groupBy("component").agg(
+    sizes = staged(members.groupBy("component").agg(
         F.sum(F.when(F.col("core"), F.col("copies")).otherwise(0)).alias("core_copies"),
         F.count(F.lit(1)).alias("n"), F.sum((~F.col("core")).cast("long")).alias("n_outer")))
     counted = members.where("core").join(sizes, "component").select("id", F.col("core_copies").alias("links"))
@@ -239,7 +243,7 @@ def near_duplicate_vectors(images: DataFrame, id_col: str = "image_id", vector_c
     real = rows.where("good AND id IS NOT NULL")
     chosen = real.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("id", "h.h1", "h.h2")
     classes = chosen.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = cut_lineage(classes)
+    classes = staged(classes)
     vectors = staged(real.join(classes, ["h1", "h2"]).where("id = rep").select(
         "rep", "copies", F.size("vec").alias("dim"), "vec").dropDuplicates(["rep"]))
 
@@ -248,7 +252,7 @@ def near_duplicate_vectors(images: DataFrame, id_col: str = "image_id", vector_c
     classes = classes.join(components.withColumnRenamed("id", "rep"), "rep", "left").join(
         counts.withColumnRenamed("id", "rep"), "rep", "left").select(
         "h1", "h2", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", "copies") - 1).alias("n_links"))
-    per_id = chosen.join(cut_lineage(classes), ["h1", "h2"])
+    per_id = chosen.join(staged(classes), ["h1", "h2"])
     # One row of each id and vector carries the links; a repeated row says the same.
     found = rows.select("id", "h1", "h2", "good").join(per_id, ["id", "h1", "h2"], "left")
     component = F.when(F.col("good"), F.coalesce("component_id", "id")).otherwise(F.col("id"))
