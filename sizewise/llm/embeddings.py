@@ -1,4 +1,4 @@
-"""Near-duplicate vectors by sorted projection passes."""
+"""Near-duplicate vectors by sorted projection passes, as many as it takes to find planted pairs at the threshold."""
 
 from __future__ import annotations
 
@@ -18,6 +18,9 @@ from sizewise.llm.common import connected_components, staged
 COSINE = 0.9
 #: Orders tried, how many of them one job sorts, and how many neighbours each vector meets in an order.
 PASSES, PASSES_PER_JOB, WINDOW = 24, 3, 24
+#: Share of probe pairs, which lie exactly at the threshold, that the orders must bring together; how many probes, and at
+#: most one for how many vectors, so that probes take no places from vectors.
+RECALL, PROBES, VECTORS_PER_PROBE = 0.99, 1_000, 20
 #: Bits of an order: signs of random projections, the first the most significant.
 BITS = 63
 #: Vectors of a piece when links within a component are counted.
@@ -133,22 +136,81 @@ def _pieces(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(piece)
 
 
-def window_links(vectors: DataFrame, passes: int = PASSES, window: int = WINDOW, cosine: float = COSINE) -> DataFrame:
-    """Verified links ``a``, ``b`` between neighbours of any order. ``vectors``: ``rep``, ``dim``, ``vec``."""
-    vec = vectors.schema["vec"].dataType.simpleString()
+def _probes(vectors: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """Planted partners of vectors drawn by a hash of the id, as further vectors, and ``probe``, ``base``: their ids.
+
+    A partner lies at ``cosine`` from its vector, in a random direction. Its id is below all ids of ``vectors``.
+    """
+    n, least = vectors.agg(F.count(F.lit(1)), F.min("rep")).first()
+    count = min(PROBES, n // VECTORS_PER_PROBE)
+    drawn = vectors.where("dim > 1").select("rep", "dim", "vec").orderBy(F.xxhash64("rep"), "rep").limit(count).collect() if count else []
+    rng, rows = np.random.default_rng(17), []
+    for k, r in enumerate(drawn):  # at most PROBES
+        unit = np.array(r["vec"], np.float64)
+        unit /= np.abs(unit).max()
+        unit /= np.sqrt(unit @ unit)
+        away = rng.standard_normal(len(unit))
+        away -= (away @ unit) * unit
+        inside = min(1.0, cosine + 1e-6)  # not lost to rounding
+        vec = inside * unit + math.sqrt(1 - inside * inside) * away / np.sqrt(away @ away)
+        rows.append((min(least, 0) - 1 - k, r["rep"], r["dim"], vec.tolist()))
+    spark = vectors.sparkSession
+    made = spark.createDataFrame(rows, "probe long, base long, dim int, vec array<double>")
+    vec = F.col("vec").cast(vectors.schema["vec"].dataType)
+    return made.select(F.col("probe").alias("rep"), "dim", vec.alias("vec")), made.select("probe", "base")
+
+
+def _recall(links: DataFrame, ids: DataFrame, least: float) -> float:
+    """The share of probes that links bring to their vector, or else into its component; 1 without probes."""
+    total = ids.count()
+    if not total:
+        return 1.0
+    share = links.join(F.broadcast(ids), [F.col("a") == F.col("probe"), F.col("b") == F.col("base")]).count() / total
+    if share >= least:
+        return share
+    # Among many near copies a vector meets others of its component rather than its own partner.
+    parts = connected_components(links)
+    of = lambda c: F.broadcast(ids).join(parts, F.col("id") == F.col(c)).select("probe", "component")
+    return of("probe").join(of("base"), ["probe", "component"]).count() / total
+
+
+def window_links(vectors: DataFrame, passes: int = PASSES, window: int = WINDOW, cosine: float = COSINE,
+                 recall: float = RECALL) -> DataFrame:
+    """Verified links ``a``, ``b`` between neighbours of any order. ``vectors``: ``rep``, ``dim``, ``vec``.
+
+    At least ``passes`` orders are tried. How likely an order brings a pair together falls with the number of vectors and
+    with how alike they all are, so planted pairs at ``cosine`` go through the same orders, and further orders are
+    tried until ``recall`` of them are found. Links of the planted vectors are left out.
+    """
+    probes, ids = _probes(vectors, cosine)
+    ids = staged(ids)
+    rows = staged(vectors.select("rep", "dim", "vec").unionByName(probes))
+    links, done, wanted = None, 0, passes
+    while done < wanted:
+        found = [links] if links is not None else []
+        for lo in range(done, wanted, PASSES_PER_JOB):
+            found += _links_of(rows, range(lo, min(lo + PASSES_PER_JOB, wanted)), window, cosine)
+        both = reduce(DataFrame.unionByName, found).where("a <> b")
+        links = staged(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        done, share = wanted, _recall(links, ids, recall)
+        if share < recall:  # as many more as the share found so far lets expect, at most as many as there were
+            more = done * (math.log(1 - recall) / math.log(1 - share) - 1) if 0 < share else done
+            wanted += PASSES_PER_JOB * max(1, math.ceil(min(more, done) / PASSES_PER_JOB))
+    if links is None:
+        return rows.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    return links.join(F.broadcast(ids), F.col("a") == F.col("probe"), "left_anti").join(
+        F.broadcast(ids), F.col("b") == F.col("probe"), "left_anti")
+
+
+def _links_of(rows: DataFrame, numbers: range, window: int, cosine: float) -> list[DataFrame]:
+    """Links that some orders bring, within partitions and across their edges."""
+    vec = rows.schema["vec"].dataType.simpleString()
     schema = f"a long, b long, edge long, at long, pass int, dim int, rep long, vec {vec}"
-    found = []
-    for lo in range(0, passes, PASSES_PER_JOB):
-        numbers = range(lo, min(lo + PASSES_PER_JOB, passes))
-        ordered = vectors.select("rep", "dim", "vec").mapInArrow(
-            _orders(numbers), f"pass int, dim int, key long, rep long, vec {vec}")
-        ordered = ordered.repartitionByRange("pass", "dim", "key", "rep").sortWithinPartitions("pass", "dim", "key", "rep")
-        met = staged(ordered.mapInArrow(_neighbours(window, cosine), schema))
-        found.append(met.where("a IS NOT NULL").select("a", "b"))
-        edges = met.where("edge IS NOT NULL").repartition("edge").sortWithinPartitions("edge", "at")
-        found.append(edges.mapInArrow(_across_edges(window, cosine), "a long, b long"))
-    both = reduce(DataFrame.unionByName, found).where("a <> b")
-    return staged(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ordered = rows.mapInArrow(_orders(numbers), f"pass int, dim int, key long, rep long, vec {vec}")
+    ordered = ordered.repartitionByRange("pass", "dim", "key", "rep").sortWithinPartitions("pass", "dim", "key", "rep")
+    met = staged(ordered.mapInArrow(_neighbours(window, cosine), schema))
+    edges = met.where("edge IS NOT NULL").repartition("edge").sortWithinPartitions("edge", "at")
+    return [met.where("a IS NOT NULL").select("a", "b"), edges.mapInArrow(_across_edges(window, cosine), "a long, b long")]
 
 
 def _with_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +290,8 @@ def near_duplicate_vectors(images: DataFrame, id_col: str = "image_id", vector_c
 
     Equal vectors are one class, stood for by its smallest id. In each pass the classes are sorted by concatenated hashes,
     signs of random projections, and each is compared in double precision with its ``window`` neighbours before, over the
-    edges of partitions as well. Components are those of the links of all passes. Links inside a component are then counted
+    edges of partitions as well; ``passes`` is the least number, and more follow until RECALL of planted pairs at ``cosine``
+    are found. Components are those of the links of all passes. Links inside a component are then counted
     exactly, also between vectors that no window brought together; no list of pairs of a component is made.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing, nor do vectors of

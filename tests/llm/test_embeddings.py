@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from sizewise.llm.embeddings import link_counts, near_duplicate_vectors
+from sizewise.llm.embeddings import link_counts, near_duplicate_vectors, window_links
 
 
 def brute(rows, least=0.9):
@@ -66,3 +66,19 @@ def test_null_ids_repeats_clashes_and_empty_table(spark):
     assert sorted(((r.image_id, r.n_links, r.component_id, r.kept) for r in got), key=repr) == sorted(
         [(4, 1, 4, True), (4, 1, 4, True), (6, 1, 4, False), (None, 0, None, True)], key=repr)
     assert near_duplicate_vectors(images.limit(0)).count() == 0
+
+
+def test_passes_follow_the_recall_of_pairs_at_the_threshold(spark):
+    rng = np.random.default_rng(11)
+    shared = np.ones(32) / np.sqrt(32)  # a mean cosine of 0.5, so that few orders part the vectors
+    base = np.sqrt(0.5) * shared + np.sqrt(0.5) * rng.standard_normal((4000, 32)) / np.sqrt(32)
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    away = rng.standard_normal((200, 32))
+    away -= (away * base[:200]).sum(1)[:, None] * base[:200]
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    pairs = 0.905 * base[:200] + np.sqrt(1 - 0.905**2) * away
+    rows = [(i, 32, [float(x) for x in v]) for i, v in enumerate(np.concatenate([base, pairs]))]
+    vectors = spark.createDataFrame(rows, "rep long, dim int, vec array<double>")
+    links = {(r.a, r.b) for r in window_links(vectors, passes=3, window=8).collect()}
+    assert all(0 <= a < b < len(rows) for a, b in links)
+    assert sum((i, 4000 + i) in links for i in range(200)) >= 190
