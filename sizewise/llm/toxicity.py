@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +15,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.column import Column
 
+from sizewise.llm.common import staged
+
 #: Labelled texts that the chain is fitted on, at most.
 TRAINING_TEXTS = 10_000
-#: Words that tell any category apart: how many, in how many training texts at least, from which chi-square on, and how
-#: much more often than usual their texts are of the category. Common words would add up to a bias in long texts.
-WORDS, WORD_TEXTS, WORD_CHI2, WORD_LIFT = 400, 8, 30.0, 3.0
+#: Words that tell a category apart: how many for each, how many standard errors their smoothed log odds lie above zero at
+#: least, and how much more often than usual their texts are of the category. Common words would add up to a bias in long texts.
+WORDS, WORD_ERRORS, WORD_LIFT = 400, 2.0, 3.0
+#: A word stands in this share of the texts of its category, or more, within these numbers of texts.
+WORD_SHARE, WORD_TEXTS = 0.05, (2, 3)
+#: Column of the number of labels that a drawn one stands for.
+WEIGHT = "_weight"
 FOLDS = 5
 THRESHOLD = 0.4
 WORD = re.compile(r"[^\W\d_]+")
@@ -33,8 +41,10 @@ class LinearModel:
     def __init__(self, width: int, penalty: float = 0.1, steps: int = 30):
         self.weights, self.bias, self.penalty, self.steps = np.zeros(width), 0.0, penalty, steps
 
-    def fit(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray) -> LinearModel:
+    def fit(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray,
+            weight: np.ndarray | None = None) -> LinearModel:
         n, width = len(y), len(self.weights)
+        weight = np.ones(n) if weight is None else weight
         x = np.zeros((n, width + 1))
         x[rows, cols] = values
         x[:, width] = 1.0
@@ -43,13 +53,13 @@ class LinearModel:
 
         def loss(w: np.ndarray) -> float:
             z = x @ w
-            return float(np.logaddexp(0.0, z).sum() - z @ y + 0.5 * (penalty * w * w).sum())
+            return float(weight @ (np.logaddexp(0.0, z) - z * y) + 0.5 * (penalty * w * w).sum())
 
         now = loss(w)
         for _ in range(self.steps):
             p = _sigmoid(x @ w)
-            hessian = (x * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ x + np.diag(penalty)
-            step = np.linalg.solve(hessian, x.T @ (p - y) + penalty * w)
+            hessian = (x * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + np.diag(penalty)
+            step = np.linalg.solve(hessian, x.T @ (weight * (p - y)) + penalty * w)
             size = 1.0
             while size > 1e-4 and loss(w - size * step) > now:
                 size /= 2
@@ -115,11 +125,12 @@ class ClassifierChain:
             values = np.concatenate([values, np.log(p / (1 - p)) / 4])
         return rows, cols, values
 
-    def fit(self, x: tuple, labels: np.ndarray, fold: np.ndarray) -> ClassifierChain:
-        """``labels``: a column of 0 and 1 per category. A later model is trained on probabilities that earlier ones gave
+    def fit(self, x: tuple, labels: np.ndarray, fold: np.ndarray, weight: np.ndarray | None = None) -> ClassifierChain:
+        """``labels``: a column of 0 and 1 per category; ``weight``: how many texts each stands for. A later model is trained on probabilities that earlier ones gave
         for texts outside their own training folds."""
         earlier: list[np.ndarray] = []
         n = len(labels)
+        weight = np.ones(n) if weight is None else weight
         for k in range(len(self.categories)):
             rows, cols, values = self._with(x, earlier)
             width = len(self.vocabulary) + k
@@ -127,9 +138,10 @@ class ClassifierChain:
             for f in range(FOLDS) if k + 1 < len(self.categories) else []:
                 used = fold[rows] != f
                 place = np.cumsum(fold != f) - 1
-                model = LinearModel(width).fit(place[rows[used]], cols[used], values[used], labels[fold != f, k])
+                model = LinearModel(width).fit(place[rows[used]], cols[used], values[used], labels[fold != f, k],
+                                               weight[fold != f])
                 held_out = np.where(fold == f, model.predict(rows, cols, values, n), held_out)
-            self.models.append(LinearModel(width).fit(rows, cols, values, labels[:, k]))
+            self.models.append(LinearModel(width).fit(rows, cols, values, labels[:, k], weight))
             earlier.append(held_out)
         return self
 
@@ -145,57 +157,82 @@ def _stems(words: Column, letters: int) -> Column:
     return F.transform(longer, lambda w: F.concat(F.lit("^"), F.substring(w, 1, letters)))
 
 
+def _drawn(known: DataFrame, categories: list[str], id_col: str, most: int) -> DataFrame:
+    """At most ``most`` labels, drawn by a hash of the id within each combination of categories: the rare combinations whole,
+    the others in equal numbers. WEIGHT says how many labels of its combination a drawn one stands for."""
+    there = {tuple(r[c] for c in categories): r["count"] for r in known.groupBy(*categories).count().collect()}  # combinations of categories
+    if sum(there.values()) <= most:
+        return known.withColumn(WEIGHT, F.lit(1.0))
+    left, parts = most, []
+    order = sorted(there, key=lambda k: (there[k], k))
+    for i, kind in enumerate(order):
+        quota = min(there[kind], left // (len(order) - i))
+        left -= quota
+        same = reduce(lambda a, b: a & b, [F.col(c) == v for c, v in zip(categories, kind, strict=True)])
+        part = known.where(same).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(quota)
+        parts.append(part.withColumn(WEIGHT, F.lit(there[kind] / max(1, quota))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fit_toxicity(texts: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "prompt_id",
                  text_col: str = "prompt", training_texts: int = TRAINING_TEXTS) -> ClassifierChain | None:
-    """Fits the chain on at most ``training_texts`` labelled texts, drawn by a hash of the id.
+    """Fits the chain on at most ``training_texts`` labelled texts, drawn by a hash of the id, rare categories first.
 
     ``labels`` has ``id_col`` and a 0/1 column per category; rows with a null are left out, of several for an id the maxima
-    count. The words that tell a category apart are counted on the executors. None without labelled texts.
+    count. The words that tell a category apart are counted on the executors; what a word
+    needs for it follows the number of texts of the category. None without labelled texts.
     """
     known = labels.dropna(subset=[id_col, *categories]).groupBy(id_col).agg(*[F.max(c).alias(c) for c in categories])
-    drawn = known.orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(training_texts)
+    drawn = _drawn(known, categories, id_col, training_texts)
     rows = texts.select(id_col, F.col(text_col).alias("text")).where("text IS NOT NULL").join(
         F.broadcast(drawn), id_col)  # bounded by training_texts
     rows = rows.dropDuplicates([id_col])
-    totals = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
+    mass = F.col(WEIGHT)
+    totals = rows.agg(F.count(F.lit(1)).alias("texts"), F.sum(mass).alias("n"), *[F.sum(c).alias(f"texts_{c}") for c in categories],
+                      *[F.sum(F.col(c) * mass).alias(c) for c in categories]).first()
     n = totals["n"]
-    if not n:
+    if not totals["texts"]:
         return None
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))
     stems = [_stems(F.col("words"), k) for k in STEMS]
-    listed = rows.select(words.alias("words"), *categories).select(
-        F.array_distinct(F.concat("words", *stems)).alias("keys"), *categories)
-    counts = listed.select(F.explode_outer("keys").alias("word"), *categories).where("word IS NOT NULL").groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]).where(F.col("n") >= WORD_TEXTS)
-
-    def chi2(c: str):
-        a, m, k = F.col(c).cast("double"), F.col("n").cast("double"), float(totals[c] or 0)
-        over = n * a - m * k
-        telling = (F.lit(k) > 0) & (F.lit(k) < n) & (m < n) & (n * a >= WORD_LIFT * m * k)
-        return F.when(telling, n * over * over / (m * (n - m) * k * (n - k))).otherwise(0.0)
-
-    best = F.greatest(F.lit(0.0), *[chi2(c) for c in categories])
-    chosen = counts.select("word", best.alias("score")).where(F.col("score") >= WORD_CHI2)
-    vocabulary = [r["word"] for r in chosen.orderBy(F.desc("score"), "word").limit(WORDS).collect()]
-    chain = ClassifierChain({w: i for i, w in enumerate(vocabulary)}, categories)
+    listed = rows.select(words.alias("words"), WEIGHT, *categories).select(
+        F.array_distinct(F.concat("words", *stems)).alias("keys"), WEIGHT, *categories)
+    counts = listed.select(F.explode_outer("keys").alias("word"), WEIGHT, *categories).where("word IS NOT NULL").groupBy("word").agg(
+        F.sum(mass).alias("n"), *[F.sum(c).alias(f"texts_{c}") for c in categories],
+        *[F.sum(F.col(c) * mass).alias(c) for c in categories])
+    counts = staged(counts)  # words of the bounded sample, read once per category
+    vocabulary: dict[str, int] = {}
+    for c in categories:
+        k = float(totals[c] or 0)
+        if not 0 < k < n:
+            continue
+        a, m, seen = F.col(c).cast("double"), F.col("n"), F.col(f"texts_{c}")
+        odds = F.log((a + 0.5) / (k - a + 0.5)) - F.log((m - a + 0.5) / (n - k - (m - a) + 0.5))
+        errors = odds / F.sqrt(1 / (a + 0.5) + 1 / (m - a + 0.5))
+        least = min(max(WORD_TEXTS[0], math.ceil(WORD_SHARE * totals[f"texts_{c}"])), WORD_TEXTS[1])
+        telling = (seen >= least) & (n * a >= WORD_LIFT * m * k)
+        chosen = counts.where(telling).select("word", errors.alias("score")).where(F.col("score") >= WORD_ERRORS)
+        for r in chosen.orderBy(F.desc("score"), "word").limit(WORDS).collect():
+            vocabulary.setdefault(r["word"], len(vocabulary))
+    chain = ClassifierChain(vocabulary, categories)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [chain.count(t) for t in batch.column("text").to_pylist()]
-            columns = [batch.column("h"), *[batch.column(c) for c in categories],
+            columns = [batch.column("h"), batch.column(WEIGHT), *[batch.column(c) for c in categories],
                        pa.array([list(f) for f in found], pa.list_(pa.int32())),
                        pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["h", *categories, "words", "counts"])
+            yield pa.RecordBatch.from_arrays(columns, names=["h", WEIGHT, *categories, "words", "counts"])
 
-    schema = ", ".join(["h long", *[f"{c} int" for c in categories], "words array<int>", "counts array<int>"])
+    schema = ", ".join(["h long", f"{WEIGHT} double", *[f"{c} int" for c in categories], "words array<int>", "counts array<int>"])
     flags = [F.col(c).cast("int").alias(c) for c in categories]
-    sample = rows.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), *flags, "text").mapInArrow(
+    sample = rows.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), WEIGHT, *flags, "text").mapInArrow(
         count, schema).toPandas().sort_values("h")  # bounded by training_texts and WORDS
     fold = np.random.default_rng(7).integers(0, FOLDS, len(sample))
     lengths = sample["words"].map(len).to_numpy()
     x = (np.repeat(np.arange(len(sample)), lengths), np.concatenate([*sample["words"], []]).astype(np.int64),
          np.log1p(np.concatenate([*sample["counts"], []])))
-    return chain.fit(x, sample[categories].to_numpy(np.float64), fold)
+    return chain.fit(x, sample[categories].to_numpy(np.float64), fold, sample[WEIGHT].to_numpy(np.float64))
 
 
 def judge_toxicity(texts: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "prompt_id",
@@ -215,7 +252,7 @@ def judge_toxicity(texts: DataFrame, labels: DataFrame, categories: list[str], i
     chain = fit_toxicity(rows, labels, categories, id_col, text_col, training_texts)
     if chain is None:
         return rows.select("*", *[F.lit(None).cast("double").alias(c) for c in results], F.lit(False).alias("rejected"))
-    shared = texts.sparkSession.sparkContext.broadcast(chain)  # at most WORDS words
+    shared = texts.sparkSession.sparkContext.broadcast(chain)  # at most WORDS words per category
 
     names = rows.columns
 

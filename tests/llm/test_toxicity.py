@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from sizewise.llm.toxicity import ClassifierChain, LinearModel, judge_toxicity
+from sizewise.llm.toxicity import ClassifierChain, LinearModel, fit_toxicity, judge_toxicity
 
 BAD = ["grumbo", "snarfle", "blecht"]
 
@@ -56,3 +56,27 @@ def test_later_models_use_earlier_probabilities():
     assert len(chain.models[1].weights) == 2 and chain.models[1].weights[1] > 0
     model = LinearModel(1).fit(*x, first)
     assert ((model.predict(*x, n) > 0.5) == first).all()
+
+
+def test_few_positives_are_told_apart(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(600):
+        toxic = int(i % 60 == 0 or i >= 540)  # of the labelled first 300 five are toxic
+        text = [f"word{chr(97 + rng.randint(0, 25))}{chr(97 + rng.randint(0, 25))}" for _ in range(rng.randint(20, 60))]
+        rows.append((i, " ".join(text + (BAD if toxic else [])), 0, toxic))
+    texts = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "prompt_id long, prompt string")
+    labels = spark.createDataFrame([(i, j, x) for i, _, j, x in rows[:300]], "prompt_id long, junk int, toxic int")
+    got = {r.prompt_id: r.rejected for r in judge_toxicity(texts, labels, ["junk", "toxic"]).collect()}
+    held_out = [(got[i], bool(x)) for i, _, _, x in rows[300:]]
+    assert sum(g for g, x in held_out if x) >= 0.9 * sum(x for _, x in held_out)
+    assert not any(g for g, x in held_out if not x)
+
+
+def test_a_bounded_sample_keeps_rare_labels(spark):
+    rows = [(i, f"common{chr(97 + i % 26)} text" + (" grumbo snarfle" if i % 200 == 0 else ""), 0, int(i % 200 == 0)) for i in range(2000)]
+    texts = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "prompt_id long, prompt string")
+    labels = spark.createDataFrame([(i, j, x) for i, _, j, x in rows], "prompt_id long, junk int, toxic int")
+    chain = fit_toxicity(texts, labels, ["junk", "toxic"], training_texts=100)
+    assert {"grumbo", "snarfle"} <= set(chain.vocabulary)
+    assert chain.predict(["what a grumbo snarfle"])[-1][0] >= 0.4 > chain.predict(["common text"])[-1][0]
