@@ -16,6 +16,10 @@ from pyspark.sql import types as T
 
 #: Pages that the trees are fitted on, at most, and how many layouts are made from their texts.
 TRAINING_PAGES, LAYOUTS = 400, 900
+#: Further layouts whose main text stands in the body itself.
+BARE_LAYOUTS = 300
+#: A run of text outside all blocks.
+RUN = "#text"
 TREES, DEPTH, BINS, RATE = 60, 4, 32, 0.25
 
 # Elements of HTML by what they do to the text.
@@ -45,7 +49,7 @@ _GROUP = {word: i for i, words in enumerate(TOKENS.values()) for word in words.s
 _BLOCK = {tag: i for i, tag in enumerate(BLOCKS)}
 _BAD_TAGS = {"nav", "aside", "header", "footer", "form", "menu", "dialog"}
 _GOOD_TAGS = {"article", "main"}
-_TAG_KINDS = ("div section article main aside nav header footer form p h1 h2 ul li table td blockquote body".split())
+_TAG_KINDS = ("div section article main aside nav header footer form p h1 h2 ul li table td blockquote body".split() + [RUN])
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|([^>]*)>)|<[!?/][^>]*>"
                     r"|<[a-zA-Z!?/][^>]*\Z", re.S)
@@ -61,22 +65,29 @@ class Node:
     texts: list[tuple[int, str]] = field(default_factory=list)  # where in the page, and the raw text
     links: int = 0
     mark: str = ""
+    start: int = 0  # how many texts of the page are read when it begins
+    runs: list[tuple[int, str]] = field(default_factory=list)  # of the root: letters in links and mark of each of its texts
 
 
 def parse_page(page: str) -> list[Node]:
     """The block elements of a page in document order; text belongs to the nearest one, inline markup is transparent."""
     nodes = [Node("html", -1, set())]
     stack = [0]
-    links = place = at = 0
+    links = place = at = counted = 0
+    run_mark = ""
     pending: list[str] = []
 
     def flush() -> None:
-        nonlocal place
+        nonlocal place, counted, run_mark
         text = " ".join(html.unescape("".join(pending)).split()) if pending else ""
         pending.clear()
         if text:
             nodes[stack[-1]].texts.append((place, text))
             place += 1
+        if stack[-1] == 0:
+            if text:
+                nodes[0].runs.append((nodes[0].links - counted, run_mark))
+            counted, run_mark = nodes[0].links, ""
 
     def leave(depth: int) -> None:
         flush()
@@ -146,12 +157,35 @@ def parse_page(page: str) -> list[Node]:
                     groups |= {_GROUP[w.lower()] for w in _WORDS.findall(value) if w.lower() in _GROUP}
                 if "data-mark" in attributes:
                     mark = "c" if 'data-mark="c"' in attributes else "x"
-            nodes.append(Node(tag, stack[-1], groups, mark=mark))
+            nodes.append(Node(tag, stack[-1], groups, mark=mark, start=place))
             stack.append(len(nodes) - 1)
+        elif stack[-1] == 0 and "data-mark" in attributes:
+            run_mark = "c" if 'data-mark="c"' in attributes else "x"
     flush()
     return nodes
 
 
+def with_runs(nodes: list[Node]) -> list[Node]:
+    """The nodes with each text of the root as a node of its own, at its place in the page; others stay as they are."""
+    root = nodes[0]
+    if not root.texts:
+        return nodes
+    out, to, waiting = [Node(root.tag, -1, root.groups, mark=root.mark)], {-1: -1, 0: 0}, list(zip(root.texts, root.runs, strict=True))[::-1]
+
+    def add_run() -> None:
+        piece, (links, mark) = waiting.pop()
+        out.append(Node(RUN, 0, set(), [piece], links, mark))
+
+    for i, x in enumerate(nodes[1:], 1):
+        while x.parent == 0 and waiting and waiting[-1][0][0] < x.start:
+            add_run()
+        to[i] = len(out)
+        out.append(Node(x.tag, to[x.parent], x.groups, x.texts, x.links, x.mark, x.start))
+    while waiting:
+        add_run()
+    return out
+
+
 def node_features(nodes: list[Node]) -> np.ndarray:
     """A row per node: tag, attribute words, depth, subtree density, siblings, place, and the like of its ancestors."""
     n = len(nodes)
@@ -284,8 +318,9 @@ def marked(nodes: list[Node]) -> list[bool]:
     return out
 
 
-def layout(rng: random.Random, prose: list[str], short: list[str]) -> str:
-    """A page of random layout with ``data-mark`` c on what is main text and x on what is not, made of given texts."""
+def layout(rng: random.Random, prose: list[str], short: list[str], bare_body: bool = False) -> str:
+    """A page of random layout with ``data-mark`` c on what is main text and x on what is not, made of given texts.
+    With ``bare_body`` the main text stands in the body itself, in runs and in blocks."""
     names = {k: v.split() for k, v in TOKENS.items()}
 
     def attrs(*groups: str, mark: str, bare: float = 0.15) -> str:
@@ -337,6 +372,34 @@ def layout(rng: random.Random, prose: list[str], short: list[str]) -> str:
                  lambda: box("form", ["form", "form", "div"], 1, 1), lambda: box("share", ["div"], 0, 1, False), menu]
         return "".join(rng.choice(kinds)() for _ in range(n))
 
+    def run(text: str, mark: str) -> str:
+        tag = rng.choice(["span", "font", "b", "my-text"])
+        return f'<hr><{tag} data-mark="{mark}">{text}</{tag}><hr>'
+
+    def content_run() -> str:
+        lines = [escape(rng.choice(prose)) for _ in range(rng.choice([1, 1, 2, 4, 8]))]
+        if rng.random() < 0.2:
+            lines[0] = f'<a href="/x">{lines[0][:30]}</a>{lines[0][30:]}'
+        return run(rng.choice(["<br>", "<br><br>", " "]).join(lines), "c")
+
+    def other_run() -> str:
+        names = [escape(rng.choice(short))[:24] for _ in range(rng.randint(1, 6))]
+        if rng.random() < 0.3:
+            return run("&copy; " + names[0], "x")
+        return run(rng.choice([" | ", " ", "<br>"]).join(f'<a href="/x">{t}</a>' for t in names), "x")
+
+    if bare_body:
+        n = rng.choice([1, 1, 2, 3, 6])
+        parts = [content_run() if rng.random() < 0.8 else paragraphs(rng.randint(1, 3), "c") for _ in range(n)]
+        if not any(p.startswith("<hr>") for p in parts):
+            parts.append(content_run())
+        if rng.random() < 0.4:
+            parts.insert(0, f'<h1 data-mark="c">{escape(rng.choice(prose))[:60]}</h1>')
+        if rng.random() < 0.3:
+            parts.insert(rng.randint(0, len(parts)), boxes(1))
+        first, last = (rng.choice(["", "", other_run(), menu(), boxes(1)]) for _ in range(2))
+        return first + "".join(parts) + last + rng.choice(["", other_run(), f'<footer data-mark="x">&copy; {escape(rng.choice(short))[:80]}</footer>'])
+
     head = rng.choice(["", f'<header{attrs("head", mark="x", bare=0.6)}>{"<h1 data-mark=x>" + escape(rng.choice(short))[:20] + "</h1>" if rng.random() < 0.5 else escape(rng.choice(short))[:30]}{menu() if rng.random() < 0.5 else ""}</header>'])
     title = rng.choice(["h1", "h1", "h2"])
     title = f'<{title} data-mark="c">{escape(rng.choice(prose))[:60]}</{title}>'
@@ -359,7 +422,7 @@ def layout(rng: random.Random, prose: list[str], short: list[str]) -> str:
 def fit_trees(sample: list[str]) -> BoostedTrees:
     """Fits the trees on sampled pages, labelled by their semantic elements, and on layouts made of their texts."""
     rng = random.Random(11)
-    parsed = [parse_page(p) for p in sample]
+    parsed = [with_runs(parse_page(p)) for p in sample]
     prose = [t for x in parsed for node in x for _, t in node.texts if len(t) > 60]
     short = [t for x in parsed for node in x for _, t in node.texts if len(t) <= 60]
     prose, short = prose or short or ["text, and more text."], short or [t[:30] for t in prose] or ["text"]
@@ -376,6 +439,10 @@ def fit_trees(sample: list[str]) -> BoostedTrees:
     for _ in range(LAYOUTS):
         nodes = parse_page(layout(rng, prose, short))
         add(nodes, [n.mark == "c" for n in nodes])
+    bare = random.Random(12)
+    for _ in range(BARE_LAYOUTS):
+        nodes = with_runs(parse_page(layout(bare, prose, short, bare_body=True)))
+        add(nodes, [n.mark == "c" for n in nodes])
     return BoostedTrees().fit(np.concatenate(x), np.concatenate(y), np.concatenate(w))
 
 
@@ -387,7 +454,8 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", id_col: str = "p
     out. Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed.
 
     The trees are fitted on at most ``training_pages`` pages, drawn by a hash of ``id_col``, that have one article or main
-    element, and on LAYOUTS pages of random layout made of their texts, whose labels are known. Reading covers all pages and whole texts.
+    element, and on LAYOUTS and BARE_LAYOUTS pages of random layout made of their texts, whose labels are known. Each run of text outside all
+    blocks is judged like a block. Reading covers all pages and whole texts.
 
     A null or empty page, or one without main text, gives an empty text. Scripts, styles, comments of the markup and what
     stands in controls are no text. Repeated rows are read alike; columns named like the results are replaced. An empty table gives an empty result.
@@ -404,7 +472,7 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", id_col: str = "p
         for whole in batches:
             for lo in range(0, len(whole), 500):
                 batch = whole.slice(lo, 500)
-                parsed = [parse_page(p or "") for p in batch.column(html_col).to_pylist()]
+                parsed = [with_runs(parse_page(p or "")) for p in batch.column(html_col).to_pylist()]
                 odds = shared.value.log_odds(np.concatenate([node_features(x) for x in parsed]))
                 ends = np.cumsum([0, *[len(x) for x in parsed]])
                 texts = [text_of(x, decode(x, odds[a:b])) for x, a, b in zip(parsed, ends, ends[1:])]

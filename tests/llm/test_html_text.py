@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from sizewise.llm.html_text import decode, extract_main_text, fit_trees, layout, node_features, parse_page, text_of
+from sizewise.llm.html_text import decode, extract_main_text, fit_trees, layout, node_features, parse_page, text_of, with_runs
 
 PROSE = [f"Sentence number {i}, which is long enough to be a paragraph of its own; it has commas, too. And it ends." for i in range(40)]
 PAGE = ("<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>More"
@@ -78,3 +78,14 @@ def test_special_pages(spark):
     assert next(r.text for r in got if r.page_id == 102).count("\n") == 19_999
     assert next(r.text for r in got if r.page_id == 5).startswith(PROSE[5])
     assert extract_main_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("body, text", [
+    ("{0}<br>{1}<br><br>{2}", "{0} {1} {2}"),
+    ("<font>{0}</font> <span>{1}</span>", "{0} {1}"),
+    ("<my-article>{0} {1}</my-article>", "{0} {1}"),
+    ("<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>More</a></li></ul></nav>{0} {1}<p>{2}</p>{3} {4}<footer>&copy; me</footer>", "{0} {1}\n{2}\n{3} {4}"),
+])
+def test_text_that_stands_in_the_body_itself(trees, body, text):
+    nodes = with_runs(parse_page(f"<html><body>{body.format(*PROSE)}</body></html>"))
+    assert text_of(nodes, decode(nodes, trees.log_odds(node_features(nodes)))) == text.format(*PROSE)
