@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,9 @@ from sizewise.llm.language import detect_language
 from sizewise.llm.line_dedup import dedup_lines
 from sizewise.llm.minhash import near_duplicates
 from sizewise.llm.mixing import mix_to_weights
+from sizewise.llm.spellings import group_spellings
 from sizewise.llm.substrings import cut_repeats
+from sizewise.llm.token_files import new_folder, read_tokens, write_tokens
 from sizewise.llm.toxicity import judge_toxicity
 from sizewise.llm.url_rules import judge_urls
 from sizewise.session import inline_table
@@ -87,6 +90,18 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return group_spellings(docs, "doc_id", "text").select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = new_folder(spark)
+    write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), 2, "doc_id", "text")
+    return read_tokens(spark, path, "doc_id").select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_language": op2_language,
@@ -98,4 +113,6 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_rules": op10_url_rules,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_token_files": op13_token_files,
 }
