@@ -14,6 +14,7 @@ from sizewise.llm.language import detect_language
 from sizewise.llm.line_dedup import dedup_lines
 from sizewise.llm.minhash import near_duplicates
 from sizewise.llm.mixing import mix_to_weights
+from sizewise.llm.phrases import mine_phrases
 from sizewise.llm.spellings import group_spellings
 from sizewise.llm.substrings import cut_repeats
 from sizewise.llm.token_files import new_folder, read_tokens, write_tokens
@@ -90,6 +91,11 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    return mine_phrases(docs, "lang", "text").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return group_spellings(docs, "doc_id", "text").select("word", "form", "root", "n", "n_near", "form_n")
@@ -113,6 +119,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_rules": op10_url_rules,
+    "op11_phrases": op11_phrases,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_token_files": op13_token_files,
 }
