@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sizewise.llm.common import staged
+from sizewise.llm.common import staged, utf8
 from sizewise.session import checkpoint_dir
 
 MAGIC = b"STK1"
@@ -28,8 +28,8 @@ WORD = np.uint64(32)
 LANES, BLOCK_TOKENS, CHECK_STEPS = 32, 1 << 15, 512
 #: A frame is closed at so many tokens; a text is never cut. Tokens of a partition of files, about.
 FRAME_TOKENS, PART_TOKENS = 1 << 20, 1 << 22
-#: Characters encoded in one call, about; texts of more are encoded in pieces.
-CALL_CHARS = 1 << 20
+#: Bytes of text encoded together, about, pieces of text whose ids a worker remembers, and new ones put together in a call.
+CALL_BYTES, REMEMBERED, TOGETHER = 16 << 20, 600_000, 64
 _HEADER = struct.Struct("<4sIIIIIQII")
 
 
@@ -185,56 +185,142 @@ class Frame:
         return found[first - shift:after - shift]
 
 
-_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: What may stand on both sides of a blank where a text is cut: visible ASCII and the first bytes of letters up to U+07FF.
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[0x21:0x7F] = _VISIBLE[0xC3:0xE0] = True
 
 
-def _pieces(text: str, most: int = CALL_CHARS) -> list[str]:
-    """A very long text in pieces, cut before single spaces between letters, where no token of a byte-level vocabulary spans."""
-    out, at = [], 0
-    while len(text) - at > most:
-        cut = _CUT.search(text, at + most)
-        if not cut:
-            break
-        out.append(text[at:cut.start()])
-        at = cut.start()
-    return [*out, text[at:]]
+def pieces_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces of texts begin: at each text, and at single blanks between visible characters, which always begin a token of a
+    byte-level vocabulary. Texts are cut nowhere else."""
+    blank = np.flatnonzero(data[1:-1] == 32) + 1 if len(data) > 2 else np.zeros(0, np.int64)
+    before = data[blank - 1]
+    ends = (before >= 0x21) & (before < 0x7F) | (before >= 0x80) & _VISIBLE[data[blank - 2]] & (data[blank - 2] >= 0xC3) & (blank > 1)
+    inner = blank[ends & _VISIBLE[data[blank + 1]]]
+    head = np.zeros(len(data), bool)
+    head[inner] = True
+    head[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(head)
+
+
+class PieceTokenizer:
+    """Encodes texts piece by piece, each distinct piece once as long as it is remembered; other vocabularies text by text."""
+
+    def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(vocabulary)
+        pre = self.tokenizer.pre_tokenizer
+        self.cuts = (type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and pre.use_regex and self.tokenizer.normalizer is None
+                     and not any(t.lstrip or t.rstrip or " " in t.content for t in self.tokenizer.get_added_tokens_decoder().values()))
+        vocabulary_ids = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.widths = np.zeros(max(vocabulary_ids.values(), default=0) + 1, np.int64)  # a character of a byte-level token is a byte
+        self.widths[list(vocabulary_ids.values())] = [len(t) for t in vocabulary_ids]
+        for number, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.widths[number] = len(token.content.encode())
+        self.known: dict[bytes, int] = {}
+        self.ids, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, "<u4") for e in found]
+
+    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces and how many each has. Pieces that begin with a blank and end with a visible character are put together for
+        a call, and told apart by the bytes that ids stand for."""
+        inner = [p[0] == 32 and (0x21 <= p[-1] < 0x7F or p[-1] >= 0x80 and 0xC3 <= p[-2] < 0xE0) for p in pieces] if self.cuts else []
+        together = [p for p, i in zip(pieces, inner) if i]
+        alone = [p for p, i in zip(pieces, inner) if not i] if self.cuts else pieces
+        found = self._encode([b"".join(together[k:k + TOGETHER]) for k in range(0, len(together), TOGETHER)] + alone)
+        n_calls = len(found) - len(alone)
+        sizes = np.zeros(len(pieces), np.int64)
+        mask = np.array(inner, bool) if self.cuts else np.zeros(len(pieces), bool)
+        sizes[~mask] = [len(f) for f in found[n_calls:]]
+        ids = np.concatenate(found)
+        if n_calls:
+            ends = np.cumsum(self.widths[np.concatenate(found[:n_calls])])
+            want = np.cumsum(np.fromiter(map(len, together), np.int64, len(together)))
+            after = np.minimum(np.searchsorted(ends, want), len(ends) - 1) + 1
+            if ends[-1] != want[-1] or (ends[after - 1] != want).any():
+                raise ValueError("the ids of pieces do not add up to their bytes")
+            sizes[mask] = np.diff(after, prepend=0)
+        # From the order of calls to that of pieces.
+        order = np.concatenate([np.flatnonzero(mask), np.flatnonzero(~mask)])
+        begin = np.empty(len(pieces), np.int64)
+        begin[order] = sizes[order].cumsum() - sizes[order]
+        return ids[np.arange(len(ids)) + np.repeat(begin - (sizes.cumsum() - sizes), sizes)], sizes
+
+    def _found(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces: all ids one after another, and where those of each piece begin and end. New pieces are remembered while there is room."""
+        known = self.known
+        number = np.fromiter((known.get(p, -1) for p in pieces), np.int64, len(pieces))
+        missing = np.flatnonzero(number < 0)
+        ids, ends = self.ids, self.ends
+        if len(missing):
+            new = [pieces[k] for k in missing]
+            more, sizes = self._encoded(new)
+            ids = np.concatenate([ids, more])
+            ends = np.concatenate([ends, ends[-1] + sizes.cumsum()])
+            number[missing] = len(known) + np.arange(len(new))
+            if room := max(0, min(len(new), REMEMBERED - len(known))):
+                known.update(zip(new[:room], range(len(known), len(known) + room)))
+                self.ids, self.ends = ids[:ends[len(known)]], ends[:len(known) + 1]
+        return ids, ends[number], ends[number + 1]
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with ``end_id``, and where those of each text begin."""
+        begin = pieces_of(data, offsets) if self.cuts else offsets[:-1][np.diff(offsets) > 0]
+        ends = pa.py_buffer(np.append(begin, len(data)).astype(np.int64))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, ends, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        ids, first, after = self._found(pieces.dictionary.to_pylist())
+        of = pieces.indices.to_numpy()
+        start, size = first[of], (after - first)[of]
+        total = np.concatenate([[0], size.cumsum()])
+        cut = total[np.searchsorted(begin, offsets)] + np.arange(len(offsets))
+        out = np.full(cut[-1], end_id, "<u4")
+        inside = np.ones(len(out), bool)
+        inside[cut[1:] - 1] = False
+        out[inside] = ids[np.arange(size.sum()) + np.repeat(start - (size.cumsum() - size), size)]
+        return out, cut
+
+
+@lru_cache(maxsize=1)
+def _remembering(vocabulary: str) -> PieceTokenizer:
+    """One tokenizer per Python worker, for all its tasks."""
+    return PieceTokenizer(vocabulary)
 
 
 def _tokenized(texts: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """``id``, ``h``, ``n`` and the compressed ids of each text, the end id included."""
+    """``id``, ``h``, ``n`` and the compressed ids of each text, the end id included; and a row per task with ``counts`` alone, the
+    compressed numbers of its ids."""
     with open(vocabulary, encoding="utf-8") as f:
         shared = texts.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task per core
-        from tokenizers import Tokenizer
-
-        tokenizer, pack = Tokenizer.from_str(shared.value), zstandard.ZstdCompressor(level=3).compress
-        cuts = type(tokenizer.pre_tokenizer).__name__ == "ByteLevel" and tokenizer.normalizer is None
-
-        def ids_of(group: list[str]) -> Iterator[np.ndarray]:
-            pieces = [_pieces(t) if cuts else [t] for t in group]
-            found = iter(tokenizer.encode_batch_fast([p for ps in pieces for p in ps], add_special_tokens=False))
-            for ps in pieces:
-                yield np.array([i for _ in ps for i in next(found).ids] + [end_id], "<u4")
-
+        tokenizer, pack = _remembering(shared.value), zstandard.ZstdCompressor(level=3).compress
+        counts = np.zeros(0, np.int64)
         for batch in batches:
-            given = [t or "" for t in batch.column("text").to_pylist()]
-            packed, sizes, at = [], [], 0
-            while at < len(given):
-                stop, chars = at, 0
-                while stop < len(given) and (stop == at or chars + len(given[stop]) <= CALL_CHARS):
-                    chars += len(given[stop])
-                    stop += 1
-                for ids in ids_of(given[at:stop]):
-                    sizes.append(len(ids))
-                    packed.append(pack(ids.astype("<u2") if ids.max() < 1 << 16 else ids))
-                at = stop
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("h"), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())],
-                names=["id", "h", "n", "packed"])
-
-    return texts.mapInArrow(tokenize, "id long, h long, n long, packed binary")
+            data, offsets = utf8(batch.column("text"))
+            lo = 0
+            while lo < len(batch):
+                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CALL_BYTES, side="right")) - 1)
+                ids, cut = tokenizer(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], end_id)
+                found = np.bincount(ids, minlength=len(counts))
+                found[:len(counts)] += counts
+                counts = found
+                narrow = ids.astype("<u2") if ids.max() < 1 << 16 else ids
+                packed = [pack(narrow[a:b].tobytes()) for a, b in zip(cut, cut[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(lo, hi - lo), batch.column("h").slice(lo, hi - lo), pa.array(np.diff(cut)), pa.array(packed, pa.binary()),
+                     pa.nulls(hi - lo, pa.binary())], names=["id", "h", "n", "packed", "counts"])
+                lo = hi
+        if len(counts):
+            none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([pack(counts.astype("<i8").tobytes())], pa.binary())],
+                                             names=["id", "h", "n", "packed", "counts"])
+
+    return texts.mapInArrow(tokenize, "id long, h long, n long, packed binary, counts binary")
 
 
 def _unpacked(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -245,14 +331,17 @@ def _unpacked(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(0, np.int64)
+    """The sums of the counts of tasks, one row per id."""
+    total = np.zeros(0, np.int64)
     for batch in batches:
-        for ids in _unpacked(batch):
-            if ids.max() >= len(counts):
-                counts = np.concatenate([counts, np.zeros(int(ids.max()) + 1 - len(counts), np.int64)])
-            counts += np.bincount(ids, minlength=len(counts))
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["token", "n"])
+        for packed in batch.column("counts"):
+            found = np.frombuffer(zstandard.decompress(packed.as_buffer()), "<i8").copy()
+            if len(found) < len(total):
+                found, total = total, found
+            found[:len(total)] += total
+            total = found
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["token", "n"])
 
 
 def write_tokens(requests: DataFrame, path: str, vocabulary: str, end_id: int, request_id: str = "request_id", prompt: str = "prompt",
@@ -274,7 +363,7 @@ def write_tokens(requests: DataFrame, path: str, vocabulary: str, end_id: int, r
     text = F.coalesce(F.col(prompt), F.lit(""))
     given = requests.select(F.col(request_id).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     tokens = staged(_tokenized(given, vocabulary, end_id))
-    counts = tokens.select("n", "packed").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    counts = tokens.where("counts IS NOT NULL").select("counts").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     dense = np.zeros(int(counts["token"].max()) + 1 if len(counts) else 1, np.int64)  # one entry per id of the vocabulary
     dense[counts["token"].to_numpy(np.int64)] = counts["n"]
     table = FrequencyTable.of_counts(dense)
@@ -299,7 +388,7 @@ def write_tokens(requests: DataFrame, path: str, vocabulary: str, end_id: int, r
         if held:
             yield frame()
 
-    ordered = tokens.repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h").select("id", "n", "packed")
+    ordered = tokens.where("packed IS NOT NULL").repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h").select("id", "n", "packed")
     frames = ordered.mapInArrow(encode, "part long, before long, n_tokens long, packed binary")
     frames.write.option("compression", "none").parquet(f"{path}/frames")  # packed already
     spark.createDataFrame([(k, int(f)) for k, f in enumerate(table.freq) if f], "token long, freq long").coalesce(1).write.parquet(f"{path}/table")
