@@ -26,9 +26,9 @@ MIN_COUNT, TOP = 30, 2_000
 WITHIN = 80
 UNKNOWN = "und"
 #: Bytes of text in one shard, n-grams that a task holds before it sends them on, and bytes of text per range of prefixes.
-SHARD_BYTES, HELD, RANGE_BYTES = 8 << 20, 1 << 21, 8 << 20
+SHARD_BYTES, HELD, RANGE_BYTES = 4 << 20, 1 << 20, 8 << 20
 #: Bits of the filter that tells which n-grams may be frequent.
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 25
 #: Texts are looked at in at most so many places, of so many characters, to find bounds between ranges.
 PLACES, PLACE_CHARS, BOUND_CHOICE = 64, 200, 64
 

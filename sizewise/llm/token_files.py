@@ -29,7 +29,7 @@ LANES, BLOCK_TOKENS, CHECK_STEPS = 32, 1 << 15, 512
 #: A frame is closed at so many tokens; a text is never cut. Tokens of a partition of files, about.
 FRAME_TOKENS, PART_TOKENS = 1 << 20, 1 << 22
 #: Bytes of text encoded together, about, pieces of text whose ids a worker remembers, and new ones put together in a call.
-CALL_BYTES, REMEMBERED, TOGETHER = 16 << 20, 600_000, 64
+CALL_BYTES, REMEMBERED, TOGETHER = 8 << 20, 500_000, 64
 _HEADER = struct.Struct("<4sIIIIIQII")
 
 

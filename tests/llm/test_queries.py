@@ -16,6 +16,7 @@ COLUMNS = {
     "op4_html_text": ["page_id", "url", "text", "n_chars"],
     "op8_minhash": ["doc_id", "n_shingles", "component_id", "kept"],
     "op9_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    "op13_token_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
 }
 TABLE = {"op1_embedding_dedup": "embeddings", "op4_html_text": "pages"}
 
@@ -38,4 +39,4 @@ def test_query_covers_its_whole_table(spark, sf_dir, name):
 def test_every_operator_is_registered():
     found = (re.match(r"op(\d+)_", name) for name in entry.queries())
     numbers = sorted(int(m[1]) for m in found if m)
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries()
