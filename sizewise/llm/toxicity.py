@@ -19,15 +19,17 @@ from sizewise.llm.common import staged
 
 #: Labelled texts that the chain is fitted on, at most.
 TRAINING_TEXTS = 10_000
-#: Words that tell a category apart: how many for each, how many standard errors their smoothed log odds lie above zero at
-#: least, and how much more often than usual their texts are of the category. Common words would add up to a bias in long texts.
-WORDS, WORD_ERRORS, WORD_LIFT = 400, 2.0, 3.0
-#: A word stands in this share of the texts of its category, or more, within these numbers of texts.
-WORD_SHARE, WORD_TEXTS = 0.05, (2, 3)
+#: Words and stems that tell a category apart: how many for each, in how many texts of it each stands at least, and how much more often
+#: than usual its texts are of the category. Common words would add up to a bias in long texts.
+WORDS, WORD_TEXTS, WORD_LIFT = 400, 3, 3.0
+#: How many words may be chosen though they tell nothing: of many rare ones, some stand in texts of one kind by chance.
+CHANCE_WORDS = 1.0
 #: Column of the number of labels that a drawn one stands for.
 WEIGHT = "_weight"
 FOLDS = 5
-THRESHOLD = 0.4
+#: A text is rejected from this probability on. Log odds are shifted so that it parts out-of-fold texts best, where a text of the
+#: category counts as much as so many others, as shares of each.
+THRESHOLD, OTHERS_WEIGHT = 0.5, 4.0
 WORD = re.compile(r"[^\W\d_]+")
 #: Words also count by these numbers of first letters, so that inflected and compound forms are known by their stem.
 STEMS = (4, 5, 6)
@@ -38,7 +40,7 @@ REMEMBERED = 200_000
 class LinearModel:
     """Logistic regression with an L2 penalty, fitted by Newton steps; the rows of a bounded sample are held densely."""
 
-    def __init__(self, width: int, penalty: float = 0.1, steps: int = 30):
+    def __init__(self, width: int, penalty: float = 0.02, steps: int = 30):
         self.weights, self.bias, self.penalty, self.steps = np.zeros(width), 0.0, penalty, steps
 
     def fit(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray,
@@ -78,12 +80,32 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _log_odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    return np.log(p / (1 - p))
+
+
+def _best_cut(odds: np.ndarray, of_category: np.ndarray, weight: np.ndarray) -> float:
+    """The log odds that part texts of the category from others with the least loss of shares, in the middle of the gap; 0 without both."""
+    if of_category.all() or not of_category.any():
+        return 0.0
+    order = np.argsort(-odds, kind="stable")
+    value, yes = odds[order], of_category[order]
+    caught = np.cumsum(weight[order] * yes) / (weight * of_category).sum()
+    lost = np.cumsum(weight[order] * ~yes) / (weight * ~of_category).sum()
+    ends = np.flatnonzero(np.append(value[1:] != value[:-1], True))  # equal odds go together
+    best = int(np.argmax((caught - OTHERS_WEIGHT * lost)[ends]))
+    after = value[ends[best] + 1] if ends[best] + 1 < len(value) else value[ends[best]] - 2.0
+    return float((value[ends[best]] + max(after, value[ends[best]] - 4.0)) / 2)
+
+
 class ClassifierChain:
     """One linear model per category, in order; each also sees the probabilities of the categories before it."""
 
     def __init__(self, vocabulary: dict[str, int], categories: list[str]):
         self.vocabulary, self.categories = vocabulary, categories
         self.models: list[LinearModel] = []
+        self.shift = 0.0
         self.remembered: dict[str, tuple[int, ...]] = {}
 
     def _of_word(self, word: str) -> tuple[int, ...]:
@@ -113,7 +135,7 @@ class ClassifierChain:
             rows += [i] * len(found)
             cols += found.keys()
             values += found.values()
-        return np.array(rows, np.int64), np.array(cols, np.int64), np.log1p(np.array(values, np.float64))
+        return np.array(rows, np.int64), np.array(cols, np.int64), 1.0 + np.log(np.array(values, np.float64))
 
     def _with(self, x: tuple, earlier: list[np.ndarray]) -> tuple:
         """Earlier probabilities as further features, on the scale of log odds."""
@@ -135,7 +157,7 @@ class ClassifierChain:
             rows, cols, values = self._with(x, earlier)
             width = len(self.vocabulary) + k
             held_out = np.zeros(n)
-            for f in range(FOLDS) if k + 1 < len(self.categories) else []:
+            for f in range(FOLDS):
                 used = fold[rows] != f
                 place = np.cumsum(fold != f) - 1
                 model = LinearModel(width).fit(place[rows[used]], cols[used], values[used], labels[fold != f, k],
@@ -143,12 +165,14 @@ class ClassifierChain:
                 held_out = np.where(fold == f, model.predict(rows, cols, values, n), held_out)
             self.models.append(LinearModel(width).fit(rows, cols, values, labels[:, k], weight))
             earlier.append(held_out)
+        self.shift = _best_cut(_log_odds(earlier[-1]), labels[:, -1] > 0, weight)
         return self
 
     def predict(self, texts) -> list[np.ndarray]:
         x, out = self.features(texts), []
         for model in self.models:
             out.append(model.predict(*self._with(x, out), len(texts)))
+        out[-1] = _sigmoid(_log_odds(out[-1]) - self.shift)
         return out
 
 
@@ -176,44 +200,42 @@ def _drawn(known: DataFrame, categories: list[str], id_col: str, most: int) -> D
 
 def fit_toxicity(texts: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "prompt_id",
                  text_col: str = "prompt", training_texts: int = TRAINING_TEXTS) -> ClassifierChain | None:
-    """Fits the chain on at most ``training_texts`` labelled texts, drawn by a hash of the id, rare categories first.
+    """Fits the chain on the texts of at most ``training_texts`` labels, drawn by a hash of the id, rare categories first.
 
     ``labels`` has ``id_col`` and a 0/1 column per category; rows with a null are left out, of several for an id the maxima
-    count. The words that tell a category apart are counted on the executors; what a word
-    needs for it follows the number of texts of the category. None without labelled texts.
+    count, and every text of an id has its labels. The words and stems that tell a category apart are found in all labelled texts,
+    by counts combined before the shuffle: a word needs more evidence than the luckiest of as many words that tell nothing. None
+    without labelled texts.
     """
-    known = labels.dropna(subset=[id_col, *categories]).groupBy(id_col).agg(*[F.max(c).alias(c) for c in categories])
-    drawn = _drawn(known, categories, id_col, training_texts)
-    rows = texts.select(id_col, F.col(text_col).alias("text")).where("text IS NOT NULL").join(
-        F.broadcast(drawn), id_col)  # bounded by training_texts
-    rows = rows.dropDuplicates([id_col])
-    mass = F.col(WEIGHT)
-    totals = rows.agg(F.count(F.lit(1)).alias("texts"), F.sum(mass).alias("n"), *[F.sum(c).alias(f"texts_{c}") for c in categories],
-                      *[F.sum(F.col(c) * mass).alias(c) for c in categories]).first()
+    known = labels.dropna(subset=[id_col, *categories]).groupBy(id_col).agg(*[F.max(c).cast("int").alias(c) for c in categories])
+    given = texts.select(id_col, F.col(text_col).alias("text")).where("text IS NOT NULL")
+    labelled = given.join(known, id_col)
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))
+    stems = [F.array_distinct(_stems(F.col("words"), k)) for k in STEMS]
+    listed = labelled.select(words.alias("words"), *categories).select(F.explode(F.concat("words", *stems)).alias("word"), *categories)
+    ones = [F.sum(c).alias(c) for c in categories]
+    counts = staged(listed.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *ones).where(F.col("n") >= WORD_TEXTS))  # read once per category
+    totals = labelled.agg(F.count(F.lit(1)).alias("n"), *ones).first()
     n = totals["n"]
-    if not totals["texts"]:
+    if not n:
         return None
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))
-    stems = [_stems(F.col("words"), k) for k in STEMS]
-    listed = rows.select(words.alias("words"), WEIGHT, *categories).select(
-        F.array_distinct(F.concat("words", *stems)).alias("keys"), WEIGHT, *categories)
-    counts = listed.select(F.explode_outer("keys").alias("word"), WEIGHT, *categories).where("word IS NOT NULL").groupBy("word").agg(
-        F.sum(mass).alias("n"), *[F.sum(c).alias(f"texts_{c}") for c in categories],
-        *[F.sum(F.col(c) * mass).alias(c) for c in categories])
-    counts = staged(counts)  # words of the bounded sample, read once per category
+    rivals = counts.count()
     vocabulary: dict[str, int] = {}
     for c in categories:
         k = float(totals[c] or 0)
         if not 0 < k < n:
             continue
-        a, m, seen = F.col(c).cast("double"), F.col("n"), F.col(f"texts_{c}")
-        odds = F.log((a + 0.5) / (k - a + 0.5)) - F.log((m - a + 0.5) / (n - k - (m - a) + 0.5))
-        errors = odds / F.sqrt(1 / (a + 0.5) + 1 / (m - a + 0.5))
-        least = min(max(WORD_TEXTS[0], math.ceil(WORD_SHARE * totals[f"texts_{c}"])), WORD_TEXTS[1])
-        telling = (seen >= least) & (n * a >= WORD_LIFT * m * k)
-        chosen = counts.where(telling).select("word", errors.alias("score")).where(F.col("score") >= WORD_ERRORS)
+        a, m = F.col(c).cast("double"), F.col("n").cast("double")
+        share, usual = a / m, F.lit(k / n)
+        # A bound of the chance that a word of m texts stands in a or more of the category.
+        rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - usual))).otherwise(0.0)
+        evidence = m * (share * F.log(share / usual) + rest)
+        telling = (a >= WORD_TEXTS) & (n * a >= WORD_LIFT * m * k)
+        chosen = counts.where(telling).select("word", evidence.alias("score")).where(F.col("score") >= math.log(max(rivals, 1) / CHANCE_WORDS))
         for r in chosen.orderBy(F.desc("score"), "word").limit(WORDS).collect():
             vocabulary.setdefault(r["word"], len(vocabulary))
+    drawn = _drawn(known.join(given.select(id_col).distinct(), id_col, "left_semi"), categories, id_col, training_texts)
+    rows = given.join(F.broadcast(drawn), id_col)  # bounded by training_texts
     chain = ClassifierChain(vocabulary, categories)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +253,7 @@ def fit_toxicity(texts: DataFrame, labels: DataFrame, categories: list[str], id_
     fold = np.random.default_rng(7).integers(0, FOLDS, len(sample))
     lengths = sample["words"].map(len).to_numpy()
     x = (np.repeat(np.arange(len(sample)), lengths), np.concatenate([*sample["words"], []]).astype(np.int64),
-         np.log1p(np.concatenate([*sample["counts"], []])))
+         1.0 + np.log(np.concatenate([*sample["counts"], []])))
     return chain.fit(x, sample[categories].to_numpy(np.float64), fold, sample[WEIGHT].to_numpy(np.float64))
 
 

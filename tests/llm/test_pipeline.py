@@ -16,11 +16,26 @@ def test_stages_keep_columns_and_take_effect(spark, sf_dir):
         assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
 
 
-def test_insults_go_and_clean_documents_stay(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    left = {r.doc_id for r in corpus_pipeline.toxicity(spark, docs, sf_dir).select("doc_id").collect()}
-    clean = {r.doc_id for r in table(spark, sf_dir, "labels").where("toxic = 0 AND quality = 1").collect()}
-    assert len(clean - left) <= 0.02 * len(clean)
+def test_insults_go_and_clean_documents_stay(spark):
+    """On the given labels of a larger table, of which the stage itself may learn; held-out labels are in test_toxicity."""
+    folder = "/root/testdata/sf0.1"
+    docs = table(spark, folder, "documents")
+    left = {r.doc_id for r in corpus_pipeline.toxicity(spark, docs, folder).select("doc_id").collect()}
+    labels = table(spark, folder, "labels").where("quality = 1").collect()
+    toxic, clean = ({r.doc_id for r in labels if r.toxic == k} for k in (1, 0))
+    assert len(toxic & left) <= 0.05 * len(toxic)
+    assert len(clean - left) <= 0.01 * len(clean)
+
+
+def test_odd_documents_pass_through(spark, sf_dir):
+    rows = [(1, None, 5, "a"), (1, "two rows of one id", 5, "b"), (None, "no id\nline\nline", 7, "c"), (3, "", 0, None), (3, "", 0, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rejected int, source string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        if name != "near_dedup":
+            assert sorted(out.collect(), key=repr) == sorted(docs.collect(), key=repr), name
+    assert corpus_pipeline.mixing(spark, docs, sf_dir).columns == [*docs.columns, "copy", "shuffle_key"]
 
 
 def test_line_dedup_sets_the_length(spark, sf_dir):

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sizewise.llm.toxicity import ClassifierChain, LinearModel, fit_toxicity, judge_toxicity
 
@@ -79,4 +80,32 @@ def test_a_bounded_sample_keeps_rare_labels(spark):
     labels = spark.createDataFrame([(i, j, x) for i, _, j, x in rows], "prompt_id long, junk int, toxic int")
     chain = fit_toxicity(texts, labels, ["junk", "toxic"], training_texts=100)
     assert {"grumbo", "snarfle"} <= set(chain.vocabulary)
-    assert chain.predict(["what a grumbo snarfle"])[-1][0] >= 0.4 > chain.predict(["common text"])[-1][0]
+    assert chain.predict(["what a grumbo snarfle"])[-1][0] >= 0.5 > chain.predict(["common text"])[-1][0]
+
+
+def test_held_out_labels_of_the_given_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 0
+    chain_labels = labels.where(~held_out).select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
+    judged = judge_toxicity(docs, chain_labels, ["junk", "toxic"], "doc_id", "text").select("doc_id", "rejected")
+    found = judged.join(labels.where(held_out), "doc_id").groupBy("quality", "toxic").agg(F.avg(F.col("rejected").cast("int")).alias("r")).collect()
+    rate = {(r.quality, r.toxic): r.r for r in found}
+    # Labels of documents of low quality are noisy: half of the toxic ones hold no insult that any other document holds.
+    assert rate[1, 1] >= 0.9 and rate[1, 0] <= 0.03 and rate[0, 0] <= 0.03 and rate[0, 1] >= 0.4
+
+
+def test_rare_words_do_not_pass_for_insults(spark):
+    """Insults in a few per cent of texts, several of them inflected, among many words that are as rare."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(3000):
+        toxic = int(i % 31 == 0)
+        text = [f"w{chr(97 + rng.randint(0, 25))}{rng.randint(0, 3000):x}" for _ in range(rng.randint(20, 60))]
+        rows.append((i, " ".join(text + ([rng.choice(BAD) + rng.choice(["", "en", "ou", "que"])] * rng.randint(1, 2) if toxic else [])), 0, toxic))
+    texts = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "prompt_id long, prompt string")
+    labels = spark.createDataFrame([(i, j, x) for i, _, j, x in rows if i % 3], "prompt_id long, junk int, toxic int")
+    got = {r.prompt_id: r.rejected for r in judge_toxicity(texts, labels, ["junk", "toxic"]).collect()}
+    held_out = [(got[i], x) for i, _, _, x in rows if i % 3 == 0]
+    assert sum(g for g, x in held_out if x) >= 0.9 * sum(x for _, x in held_out)
+    assert sum(g for g, x in held_out if not x) <= 0.01 * len(held_out)
+    assert len(fit_toxicity(texts, labels, ["junk", "toxic"]).vocabulary) <= 40
