@@ -19,14 +19,20 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain rejects go."""
-    judged = judge_toxicity(docs, toxicity_labels(spark, sf_dir), ["junk", "toxic"], "doc_id", "text")
-    return judged.where("NOT rejected").select(*docs.columns)
+    """Documents that the classifier chain rejects go; a null or empty text, repeated rows and null ids are judged as they are.
+
+    Columns of any name pass unchanged, also those named like the results of the operator.
+    """
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("document"))
+    judged = judge_toxicity(rows, toxicity_labels(spark, sf_dir), ["junk", "toxic"], "doc_id", "text")
+    return judged.where("NOT rejected").select("document.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat earlier ones go; ``n_chars`` follows the text. Every document stays, if need be empty."""
+    """Lines that repeat earlier ones go; ``n_chars``, where there is one, follows the text. Every document stays, if need be empty."""
     cut = dedup_lines(docs, "doc_id", "text")
+    if "n_chars" not in docs.columns:
+        return cut.select(*docs.columns)
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.withColumn("n_chars", F.coalesce(n_chars, "n_chars")).select(*docs.columns)
 
@@ -55,7 +61,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("mixing", mixing),
 ]
 
-#: The toxicity and near-duplicate stages have no SQL form; tests hold the stages against brute force.
+#: The toxicity and near-duplicate stages have no SQL form; tests hold each stage against its operator's brute force or held-out labels.
 ORACLE_SQL: str | None = None
 
 
