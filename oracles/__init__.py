@@ -1,7 +1,7 @@
 """SQL twins of the queries, for the oracle engine."""
 
-from oracles import decisions, pixels, planning, records
+from oracles import decisions, library, pixels, planning, records
 
 ORACLES: dict[str, str] = {}
-for _module in (decisions, planning, pixels, records):
+for _module in (decisions, library, planning, pixels, records):
     ORACLES.update(_module.SQL)

@@ -106,8 +106,12 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles with the user's constraints, before a goal is attached."""
+    return with_constraints(profiles(spark, sf_dir))
+
+
+def with_constraints(profiles: DataFrame) -> DataFrame:
     k = F.col("image_id")
-    return profiles(spark, sf_dir).select(
+    return profiles.select(
         "*",
         F.when(k % 10 == 3, "JPEG").when(k % 10 == 7, "WEBP").when(k % 50 == 9, "AVIF").alias("force_format"),
         (k % 13 == 0).alias("force_lossless"),
@@ -168,6 +172,41 @@ def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def library_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RGBA pixels of larger images: 64 embedding vectors, a line each, make one of 64 x 64; every eighth vector begins one.
+
+    Some are noisy, some nearly flat, some have a slope across.
+    """
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    last = F.floor(F.col("vec_id") / 8).cast("long")
+    first = F.floor(F.greatest(F.col("vec_id") - 56, F.lit(0)) / 8).cast("long")
+    lines = vectors.select("vec_id", "embedding", F.explode(F.sequence(first, last)).alias("image_id"))
+    whole = vectors.where("vec_id % 8 = 7 AND vec_id >= 63").select(F.floor((F.col("vec_id") - 63) / 8).cast("long").alias("image_id"))
+    cells = lines.join(whole, "image_id", "left_semi").select(
+        "image_id", (F.col("vec_id") - 8 * F.col("image_id")).cast("int").alias("y"), F.posexplode("embedding").alias("x", "v"))
+    i, x = F.col("image_id"), F.col("x")
+    gain = F.when(i % 7 == 0, 1200.0).when(i % 5 == 0, 60.0).when(i % 3 == 1, 20.0).otherwise(300.0)
+    base = F.when(i % 5 == 0, 20.0).otherwise(128.0)
+    slope = F.when(i % 2 == 0, 1.5).otherwise(0.0) * (x - 32)
+
+    def channel(k: float) -> Column:
+        value = F.round(base + slope + gain * k * F.col("v").cast("double"))
+        return F.least(F.greatest(value, F.lit(0.0)), F.lit(255.0)).cast("int")
+
+    return cells.select("image_id", x.alias("x"), "y", channel(1.0).alias("r"), channel(0.5).alias("g"), channel(-0.5).alias("b"),
+                        F.when((i % 4 == 3) & (x < 4), 128).otherwise(255).alias("a"))
+
+
+def library_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the file scan knows about each image of ``library_pixels``."""
+    i = F.col("image_id")
+    ids = read(spark, sf_dir, "embeddings").where("vec_id % 8 = 7 AND vec_id >= 63").select(
+        F.floor((F.col("vec_id") - 63) / 8).cast("long").alias("image_id"))
+    return ids.select(
+        i, _pick(i % 5, ["PNG", "JPEG", "WEBP", "BMP", "TIFF"]).alias("format"), F.lit(64).alias("width"), F.lit(64).alias("height"),
+        (2000 + (i * 7919) % 30000).alias("file_size"))
+
+
 def rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and damage of every part image at every quality from 20 to 95."""
     k, q = F.col("p_partkey"), F.col("q")

@@ -167,3 +167,67 @@ def search_with_codec(
         "n_tried",
         F.col("_best").isNotNull().alias("converged"),
     )
+
+
+def search_frontier(
+    searches: DataFrame, measure: Callable[[DataFrame], DataFrame], keys: tuple[str, ...], by: tuple[str, ...]
+) -> DataFrame:
+    """Many searches at once, each with its own ladder and target, measuring only the rungs that are asked for.
+
+    ``searches`` has the ``keys``, a ``target`` and a ``ladder`` (descending array). ``by`` names the keys that a measurement depends
+    on; ``measure`` takes distinct rows (``by``, q) and returns (``by``, q, size, damage). The open searches are a table of brackets
+    with the rung that each wants next; a round measures the rungs that nobody has asked for before, joins them once and moves every
+    bracket. Rounds are checkpointed, at most one per rung of the longest ladder and bisection step.
+
+    Returns the keys, q, size, damage, ``n_tried`` and ``converged``. Without any rung under the target it is the first miss; a search
+    whose rung is not measured ends with what it has, without anything it has a NULL q.
+    """
+    rung = F.struct("size", "damage", F.col("q").alias("q"))
+    no_rung = F.lit(None).cast("struct<size: bigint, damage: double, q: int>")
+    no_q = F.lit(None).cast("int")
+    active = searches.select(
+        *keys, "target", "ladder", F.lit(0).alias("pos"), F.get("ladder", F.lit(0)).cast("int").alias("q"), no_q.alias("lo"), no_q.alias("hi"),
+        no_rung.alias("best"), no_rung.alias("miss"), F.lit(0).alias("n_tried"), F.lit(0).alias("steps"),
+    )
+    active = cut_lineage(active)
+    known, done = None, []
+    while not active.isEmpty():
+        asked = active.where("q IS NOT NULL").select(*by, "q").distinct()
+        new = asked if known is None else asked.join(known, [*by, "q"], "left_anti")
+        new = cut_lineage(measure(new).select(*by, "q", F.col("size").cast("long").alias("size"), F.col("damage").cast("double").alias("damage")))
+        known = new if known is None else known.unionByName(new)
+        active = cut_lineage(_next_rung(active.join(known, [*by, "q"], "left"), keys, rung))
+        done.append(active.where("q IS NULL"))
+        active = active.where("q IS NOT NULL")
+    if not done:
+        done = [active]
+    every = done[0]
+    for part in done[1:]:
+        every = every.unionByName(part)
+    found = F.coalesce("best", "miss")
+    return every.select(
+        *keys, found["q"].alias("q"), found["size"].alias("size"), found["damage"].alias("damage"), "n_tried",
+        F.col("best").isNotNull().alias("converged"),
+    )
+
+
+def _next_rung(rows: DataFrame, keys: tuple[str, ...], rung: Column) -> DataFrame:
+    """Brackets after a measurement (size, damage) of rung ``q``: what is wanted next, NULL if nothing."""
+    measured, ok = F.col("damage").isNotNull(), F.coalesce(F.col("damage") < F.col("target"), F.lit(False))
+    scanning, miss = F.col("steps") == 0, measured & ~ok
+    after = (
+        rows.withColumn("best", F.when(ok, F.least("best", rung)).otherwise(F.col("best")))
+        .withColumn("miss", F.when(miss & scanning, rung).otherwise(F.col("miss")))
+        .withColumn("n_tried", F.col("n_tried") + measured.cast("int"))
+        .withColumn("hi", F.when(ok, F.col("q")).otherwise(F.col("hi")))
+        .withColumn("lo", F.when(miss, F.col("q")).otherwise(F.col("lo")))
+        .withColumn("pos", F.when(scanning & ok, F.col("pos") + 1).otherwise(F.col("pos")))
+    )
+    mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+    room = F.when(scanning, F.col("hi") > F.col("lo") + BISECT_GAP).otherwise((mid > F.col("lo")) & (F.col("steps") < BISECT_STEPS))
+    further = F.when(scanning & ok, F.get("ladder", F.col("pos")).cast("int")).when(measured & room, mid)
+    bisecting = measured & ~(scanning & ok)
+    return after.select(
+        *keys, "target", "ladder", "pos", further.alias("q"), "lo", "hi", "best", "miss", "n_tried",
+        F.when(bisecting, F.col("steps") + 1).otherwise(F.col("steps")).alias("steps"),
+    )

@@ -167,3 +167,27 @@ def evaluate(candidates: DataFrame, original: DataFrame, outputs: DataFrame) ->
         F.when(marker, F.lit(1.0)).otherwise(F.col("ssim")).alias("ssim"),
         (marker | F.coalesce(F.col("mse") == 0, F.lit(False))).alias("is_lossless"),
     )
+
+
+#: Scales of the perceptual measure, each of half the side of the one before, and its value for pictures without any likeness.
+SCALES, DAMAGE_RANGE = 3, 100.0
+
+
+def perceptual_damage(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Damage that the eye sees at several viewing distances: 0 for equal pictures, growing as the similarity of blocks falls.
+
+    The similarity of 8 x 8 blocks, partial ones included, is taken of the lumas and of their means over 2 x 2 and 4 x 4 pixels. Each
+    scale is an aggregate of the one before, a quarter of its rows.
+    """
+    keys = keys or ["image_id"]
+    scale, parts = pairs.select(*keys, "x", "y", "l1", "l2"), []
+    for s in range(SCALES):
+        if s:
+            half = [F.floor(F.col(c) / 2).cast("int").alias(c) for c in ("x", "y")]
+            scale = scale.groupBy(*keys, *half).agg(F.avg("l1").alias("l1"), F.avg("l2").alias("l2"))
+        block = [F.floor(F.col("y") / BLOCK).alias("by"), F.floor(F.col("x") / BLOCK).alias("bx")]
+        parts.append(scale.groupBy(*keys, *block).agg(*_moments()).groupBy(*keys).agg(F.avg(_similarity_of_moments()).alias("s")))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy(*keys).agg(F.round(DAMAGE_RANGE * (1.0 - F.avg("s")), 9).alias("damage"))

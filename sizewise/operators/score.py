@@ -52,7 +52,7 @@ def gate_measurements(
 ) -> DataFrame:
     """Join the goal, add the qualities and the verdict of the gates.
 
-    ``stage`` and ``reason`` are NULL for accepted rows. ``front_quality`` is the quality used for dominance,
+    ``stage`` and ``reason`` are NULL for accepted rows; a failed row has its ``error``, where there is such a column, as reason. ``front_quality`` is the quality used for dominance,
     which ignores how the candidate was found. User-defined goals are rows of ``goals``; how that side is joined
     is left to Spark, since only the built-in table has a known size.
     """
@@ -82,7 +82,8 @@ def gate_measurements(
     structural = F.when(F.col("gate"), F.coalesce(ssim, "quality_score")).otherwise(F.col("quality_score"))
     threshold = F.when(F.col("iterative"), F.col("search_floor")).otherwise(F.col("floor"))
     limit = F.when(F.col("iterative"), S.SEARCH_PERCEPTUAL_LIMIT).otherwise(F.col("gate_limit"))
-    reason = F.when(unfused(~F.col("success")), "backend_error")
+    cause = F.coalesce("error", F.lit("backend_error")) if "error" in measurements.columns else F.lit("backend_error")
+    reason = F.when(unfused(~F.col("success")), cause)
     if max_output_size is not None:
         reason = reason.when(F.col("output_size") > max_output_size, "output_too_large")
     reason = (

@@ -2,54 +2,111 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sizewise.operators.quality import mse_psnr, ssim_block
-from sizewise.operators.sweep import entropy_of, pairs_of, step_of_quality
+from sizewise.dims import goals_table
+from sizewise.functions.profile import adaptive_target
+from sizewise.functions.scoring import needs_perceptual_metric
+from sizewise.operators.ladder import ladder_of_format, search_frontier
+from sizewise.operators.quality import mse_psnr, perceptual_damage, ssim_block
+from sizewise.operators.rates import block_coefficients, lossless_bits, lossy_bits
+from sizewise.operators.sweep import pairs_of, step_of_quality
 from sizewise.plans.candidates import generate_candidates
 from sizewise.plans.decide import annotate, choose, rejections
+from sizewise.session import cut_lineage
 
-# An encoder that finds its own quality is measured as if at this one.
-SEARCHED_QUALITY = 75
 # Bytes that a file has besides its pixels.
 HEADER_BYTES = 64
+# A lossy candidate without a quality is measured at this one.
+SOURCE_QUALITY = 90
+
+
+def bytes_of(bits: Column) -> Column:
+    return (HEADER_BYTES + F.ceil(bits / 8)).cast("long")
+
+
+def distortions(pixels: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Pairs of pixels and their quantized copies for each distinct (image_id, step) of ``wanted``, the step also as ``q``."""
+    return pairs_of(pixels.join(wanted.select("image_id", "step").distinct(), "image_id").withColumn("q", F.col("step")))
+
+
+def search_qualities(planned: DataFrame, pixels: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The quality that each searching candidate ends with: (image_id, goal, target, q, damage, n_tried, converged).
+
+    Every image, goal and format is one search down the ladder of the format, for the damage that the goal allows for such an image.
+    Qualities with one quantization step share a measurement.
+    """
+    goals = goals_table(planned.sparkSession).select("goal", F.col("perceptual_target").alias("_base"))
+    limit = adaptive_target(F.col("_base"), F.col("noise_estimate"), F.col("complexity"), F.col("dark_region_ratio"), F.col("edge_density"))
+    searches = planned.where("iterative").join(goals, "goal").select(
+        "image_id", "goal", F.col("target").alias("format"), limit.alias("target"), ladder_of_format(F.col("target")).alias("ladder"))
+
+    def measure(asked: DataFrame) -> DataFrame:
+        stepped = asked.withColumn("step", step_of_quality(F.col("q")))
+        sizes = lossy_bits(blocks, stepped.select("image_id", "format", "step").distinct())
+        damage = perceptual_damage(distortions(pixels, stepped), ["image_id", "q"]).withColumnRenamed("q", "step")
+        rows = stepped.join(sizes, ["image_id", "format", "step"]).join(damage, ["image_id", "step"])
+        return rows.select("image_id", "format", "q", bytes_of(F.col("bits")).alias("size"), "damage")
+
+    found = search_frontier(searches, measure, ("image_id", "goal", "format"), ("image_id", "format"))
+    return found.withColumnRenamed("format", "target")
 
 
 def measure_candidates(candidates: DataFrame, pixels: DataFrame) -> DataFrame:
     """Measure planned candidates on the pixels of their images, as ``score.MEASUREMENT_COLUMNS``.
 
-    A quality stands for a quantization step, a lossless candidate for step 1; the size is the entropy of the quantized
-    channels. Candidates of one image with the same step share a measurement. A candidate that no encoder applies to, or
-    whose image has no pixels, becomes a failed row with the cause in ``error``.
+    Searching candidates first find their quality. A quality stands for a quantization step; the size follows the rate model of the
+    format, for lossless candidates the best scanline filter. Candidates of one image with the same step share the comparison, those of
+    one format also the size. The perceptual damage is measured only where a gate asks for it, a search did, or the similarity leaves doubt.
+    A candidate that no encoder applies to, or whose image has no pixels, becomes a failed row with the cause in ``error``.
     """
-    level = F.when(F.col("lossless"), 100).otherwise(F.coalesce("quality", F.lit(SEARCHED_QUALITY))).cast("int")
-    planned = candidates.withColumn("q", level).withColumn(
-        "candidate_id", F.concat_ws("-", F.format_string("%03d", "position"), F.translate("label", " ", "-"))
+    keys = ["image_id", "goal", "candidate_id"]
+    planned = candidates.withColumn(
+        "candidate_id", F.concat_ws("-", F.format_string("%03d", "position"), F.translate("label", " ", "-")))
+    # Coefficients are asked for in every round of the search: they are computed once and survive a lost executor.
+    blocks = cut_lineage(block_coefficients(pixels.join(planned.where("(applies OR iterative) AND NOT lossless").select("image_id").distinct(), "image_id", "left_semi")))
+    searched = search_qualities(planned, pixels, blocks).select("image_id", "goal", "target", F.col("q").alias("_q"), F.col("damage").alias("_found"))
+    level = F.when(~F.col("lossless"), F.coalesce("quality", F.when(F.col("iterative"), F.col("_q")).otherwise(F.lit(SOURCE_QUALITY))))
+    # A search needs no backend. One that found nothing is an ordinary candidate and fails as such.
+    found = F.col("iterative") & F.col("_q").isNotNull()
+    planned = planned.join(searched, ["image_id", "goal", "target"], "left").withColumn("q", level.cast("int"))
+    planned = planned.withColumn("applies", F.col("applies") | found).withColumn("iterative", found)
+    planned = planned.withColumn("_found", F.when(found, F.col("_found")))  # the other candidates of the format have their own damage
+    planned = planned.withColumn("step", F.when(F.col("lossless"), 1).otherwise(step_of_quality(F.col("q"))))
+
+    lossy = planned.where("applies AND NOT lossless").select("image_id", F.col("target").alias("format"), "step").distinct()
+    sizes = lossy_bits(blocks, lossy).unionByName(
+        lossless_bits(pixels).select("image_id", "format", F.lit(None).cast("int").alias("step"), "bits"))
+    sizes = sizes.select("image_id", F.col("format").alias("target"), F.col("step").isNull().alias("lossless"), F.coalesce("step", F.lit(1)).alias("step"), "bits")
+    pairs = distortions(pixels, planned.where("applies").select("image_id", "step"))
+    compared = mse_psnr(pairs, ["image_id", "q"]).join(ssim_block(pairs, ["image_id", "q"]), ["image_id", "q"], "left").withColumnRenamed("q", "step")
+    goals = goals_table(planned.sparkSession).select("goal", F.col("perceptual_gate").alias("_gate"))
+    rows = planned.join(sizes, ["image_id", "target", "lossless", "step"], "left").join(compared, ["image_id", "step"], "left").join(goals, "goal", "left")
+    is_lossless = F.col("lossless") | F.coalesce(F.col("mse") == 0, F.lit(False))
+    doubt = F.col("applies") & needs_perceptual_metric(is_lossless, F.col("ssim"), F.col("_found"), F.coalesce("_gate", F.lit(False)))
+    rows = cut_lineage(rows.withColumn("_doubt", F.coalesce(doubt, F.lit(False))))
+    damage = perceptual_damage(distortions(pixels, rows.where("_doubt AND _found IS NULL")), ["image_id", "q"]).withColumnRenamed("q", "step")
+    rows = rows.join(damage, ["image_id", "step"], "left")
+
+    error = (
+        F.when(~F.col("applies"), "not_applicable").when(F.col("mse").isNull(), "no_pixels").when(F.col("bits").isNull(), "no_size")
     )
-    needed = planned.where("applies").select("image_id", "q").distinct()
-    rows = pixels.join(needed, "image_id").withColumn("step", step_of_quality(F.col("q")))
-    keys, pairs = ["image_id", "q"], pairs_of(rows)
-    measured = mse_psnr(pairs, keys).join(ssim_block(pairs, keys), keys, "left").join(entropy_of(rows), keys)
-    size = (HEADER_BYTES + F.ceil(F.col("bits") / 8)).cast("long")
-    error = F.when(~F.col("applies"), "not_applicable").when(F.col("bits").isNull(), "no_pixels")
-    joined = planned.join(measured, keys, "left").withColumn("error", error)
+    rows = rows.withColumn("error", error)
     ok = F.col("error").isNull()
-    return joined.select(
-        "image_id",
-        "candidate_id",
-        "goal",
+    return rows.select(
+        *keys,
         F.col("file_size").alias("original_size"),
-        F.when(ok, size).alias("output_size"),
+        F.when(ok, bytes_of(F.col("bits"))).alias("output_size"),
         F.col("target").alias("format"),
         "lossless",
         "iterative",
-        "quality",
+        F.col("q").alias("quality"),
         ok.alias("success"),
         F.when(ok, F.col("ssim")).alias("ssim"),
         F.when(ok & (F.col("mse") > 0), F.col("psnr")).alias("psnr"),
         F.when(ok, F.col("mse")).alias("mse"),
-        F.lit(None).cast("double").alias("perceptual"),
+        F.when(ok, F.coalesce("_found", F.when(F.col("_doubt"), F.col("damage")))).alias("perceptual"),
         "estimated_cost_ms",
         "photo_like",
         "lossy_probe_ssim",
@@ -70,14 +127,17 @@ def optimize_library(strategies: DataFrame, pixels: DataFrame) -> DataFrame:
 
 
 def library_rejections(strategies: DataFrame, pixels: DataFrame) -> DataFrame:
-    """Every candidate that was given up, whether by a rule, ahead of encoding, by the cap, in measurement or by score."""
+    """Every candidate that was given up, whether by a rule, ahead of encoding, by the cap, in measurement or by score.
+
+    A candidate that could not be measured has the cause as its reason.
+    """
     planned = plan_library(strategies)
     early = planned.where("stage IS NOT NULL").select(
         "image_id", "goal", F.concat_ws("-", F.format_string("%03d", "position"), F.translate("label", " ", "-")).alias("candidate_id"),
         F.col("target").alias("format"), "stage", "reason",
     )
     late = rejections(annotate(measure_candidates(planned.where("stage IS NULL"), pixels)))
-    return early.unionByName(late)
+    return early.unionByName(late.select(*early.columns))
 
 
 def library_totals(decisions: DataFrame) -> DataFrame:

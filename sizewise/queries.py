@@ -14,14 +14,14 @@ from sizewise.functions import goals as goal_text
 from sizewise.functions import paths, text
 from sizewise.functions import profile as P
 from sizewise.functions import scoring as S
-from sizewise.operators import ladder, quality, sweep
+from sizewise.operators import ladder, quality, rates, sweep
 from sizewise.operators import pixels as pixel_ops
 from sizewise.operators.dominance import mark_dominated
 from sizewise.operators.score import score_measurements
 from sizewise.plans import candidates, jobs, library, reports, strategy
 from sizewise.plans import decide as decisions
 from sizewise.plans import profiles as profile_plan
-from sizewise.session import checkpoint_dir
+from sizewise.session import checkpoint_dir, cut_lineage
 from sizewise.sources import files, records
 from sizewise.streaming import jobs as streams
 
@@ -263,10 +263,20 @@ def generate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every image of the library under every goal, planned from its own pixels."""
+    pixels = D.library_pixels(spark, sf_dir)
+    profiles = profile_plan.build_profiles(D.library_files(spark, sf_dir), pixels)
+    goals = F.array(*[F.lit(g[0]) for g in dims.GOALS])
+    # Profiles feed the plan and the search: they are measured once.
+    requests = cut_lineage(D.with_constraints(profiles))
+    return strategy.assign_search_space(requests.withColumn("goal", F.explode(goals))), pixels
+
+
 @query
 def library_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From profiles and pixels to one decision per image and goal."""
-    d = library.optimize_library(_strategies(spark, sf_dir), D.pixels(spark, sf_dir))
+    """From files and pixels to one decision per image and goal, searches included."""
+    d = library.optimize_library(*_library(spark, sf_dir))
     return d.select(
         "image_id", "goal", "outcome", "kept_original", "preference_fired", "original_size", "final_size", "selected.candidate_id",
         "selected.format", "selected.quality", "selected.lossless", "n_candidates", "n_measured", "n_survivors",
@@ -276,13 +286,51 @@ def library_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def library_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of the candidates that were not kept, from rules to scores."""
-    r = library.library_rejections(_strategies(spark, sf_dir), D.pixels(spark, sf_dir))
+    r = library.library_rejections(*_library(spark, sf_dir))
     return r.groupBy("goal", "stage", "reason", "format").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def library_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return library.library_totals(library.optimize_library(_strategies(spark, sf_dir), D.pixels(spark, sf_dir)))
+    return library.library_totals(library.optimize_library(*_library(spark, sf_dir)))
+
+
+@query
+def library_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality that each search of the library ends with, and how many rungs it measured."""
+    strategies, pixels = _library(spark, sf_dir)
+    planned = library.plan_library(strategies).where("stage IS NULL AND iterative")
+    found = library.search_qualities(planned, pixels, cut_lineage(rates.block_coefficients(pixels)))
+    return found.select("image_id", "goal", F.col("target").alias("format"), F.col("q").cast("int").alias("quality"), "size", _r("damage"), "n_tried", "converged")
+
+
+@query
+def scanline_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits of each image under every line filter."""
+    return rates.scanline_sweep(D.pixels(spark, sf_dir)).select("image_id", "filter", _r("bits", 4))
+
+
+@query
+def lossless_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest lossless form of each image in either format, and the filter that gives it."""
+    return rates.lossless_bits(D.library_pixels(spark, sf_dir)).select("image_id", "format", _r("bits", 4), "filter")
+
+
+@query
+def lossy_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits of each image in each lossy format at the qualities of the long ladder."""
+    pixels = D.library_pixels(spark, sf_dir)
+    formats = F.explode(F.array(*[F.lit(f) for f in rates.LOSSY_FORMATS])).alias("format")
+    steps = F.explode(F.array(*[sweep.step_of_quality(q) for q in dims.LADDER])).alias("step")
+    wanted = D.library_files(spark, sf_dir).select("image_id", formats).select("image_id", "format", steps)
+    return rates.lossy_bits(rates.block_coefficients(pixels), wanted).select("image_id", "format", "step", _r("bits", 4))
+
+
+@query
+def perceptual_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage at several scales of every rung of every image."""
+    pairs = sweep.quantized_pairs(D.pixels(spark, sf_dir), dims.LADDER)
+    return quality.perceptual_damage(pairs, ["image_id", "q"]).select("image_id", "q", _r("damage"))
 
 
 @query
