@@ -3,14 +3,18 @@
 from pyspark.sql import functions as F
 
 from sizewise import datasets as D
-from sizewise.operators.ladder import ladder_scan, ladder_search, search_with_codec
+from sizewise.operators.ladder import ladder_of_format, ladder_scan, ladder_search, search_frontier, search_with_codec
 
 LADDER = [95, 85, 75, 65, 55, 45, 35]
 
 
 def by_hand(rungs, target):
+    return by_hand_on(rungs, target, LADDER)
+
+
+def by_hand_on(rungs, target, ladder):
     tried, lowest, bad = [], None, None
-    for q in LADDER:
+    for q in ladder:
         tried.append(q)
         if rungs[q][1] < target:
             lowest = q
@@ -86,3 +90,31 @@ def test_search_with_a_codec_measures_only_what_it_needs(spark, sf_dir):
     expected = {i: by_hand(t, 1.5) for i, t in table.items()}
     assert got == expected
     assert sum(asked) == sum(n for _, _, n in expected.values())
+
+
+def test_frontier_of_searches_with_ladders_and_targets_of_their_own(spark, sf_dir):
+    rows, table = rung_table(spark, sf_dir)
+    formats = {"AVIF": [80, 60, 40, 20], "JPEG": LADDER}
+    searches = rows.select("image_id").distinct().crossJoin(
+        spark.createDataFrame([("a", "JPEG", 1.5), ("b", "JPEG", 2.4), ("b", "AVIF", 0.9), ("c", "AVIF", 1.5)], "goal string, format string, target double"))
+    searches = searches.withColumn("ladder", ladder_of_format(F.col("format")))
+    asked = []
+
+    def measure(wanted):
+        asked.extend((r.image_id, r.format, r.q) for r in wanted.collect())
+        return wanted.join(rows, ["image_id", "q"])
+
+    got = search_frontier(searches, measure, ("image_id", "goal", "format"), ("image_id", "format")).collect()
+    for goal, fmt, target in (("a", "JPEG", 1.5), ("b", "JPEG", 2.4), ("b", "AVIF", 0.9), ("c", "AVIF", 1.5)):
+        found = {r.image_id: (r.q, r.converged, r.n_tried) for r in got if (r.goal, r.format) == (goal, fmt)}
+        assert found == {i: by_hand_on(t, target, formats[fmt]) for i, t in table.items()}
+    assert len(asked) == len(set(asked))  # nothing is measured twice
+    assert all(r["size"] == table[r.image_id][r.q][0] for r in got)
+
+
+def test_frontier_without_measurements_or_searches(spark):
+    searches = spark.createDataFrame([(1, 1.0)], "image_id long, target double").withColumn("ladder", F.array(F.lit(9), F.lit(5)))
+    nothing = lambda wanted: wanted.where("false").selectExpr("image_id", "q", "0L AS size", "0D AS damage")
+    row = search_frontier(searches, nothing, ("image_id",), ("image_id",)).first()
+    assert (row.q, row.converged, row.n_tried) == (None, False, 0)
+    assert search_frontier(searches.limit(0), nothing, ("image_id",), ("image_id",)).count() == 0
