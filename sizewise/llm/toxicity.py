@@ -17,8 +17,8 @@ from pyspark.sql.column import Column
 
 from sizewise.llm.common import staged
 
-#: Labelled texts that the chain is fitted on, at most.
-TRAINING_TEXTS = 10_000
+#: Labelled texts that the chain is fitted on, and those that words are counted in to choose features, at most.
+TRAINING_TEXTS, COUNTED_TEXTS = 10_000, 40_000
 #: Words and stems that tell a category apart: how many for each, in how many texts of it each stands at least, and how much more often
 #: than usual its texts are of the category. Common words would add up to a bias in long texts.
 WORDS, WORD_TEXTS, WORD_LIFT = 400, 3, 3.0
@@ -199,17 +199,18 @@ def _drawn(known: DataFrame, categories: list[str], id_col: str, most: int) -> D
 
 
 def fit_toxicity(texts: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "prompt_id",
-                 text_col: str = "prompt", training_texts: int = TRAINING_TEXTS) -> ClassifierChain | None:
+                 text_col: str = "prompt", training_texts: int = TRAINING_TEXTS,
+                 counted_texts: int = COUNTED_TEXTS) -> ClassifierChain | None:
     """Fits the chain on the texts of at most ``training_texts`` labels, drawn by a hash of the id, rare categories first.
 
     ``labels`` has ``id_col`` and a 0/1 column per category; rows with a null are left out, of several for an id the maxima
-    count, and every text of an id has its labels. The words and stems that tell a category apart are found in all labelled texts,
-    by counts combined before the shuffle: a word needs more evidence than the luckiest of as many words that tell nothing. None
+    count, and every text of an id has its labels. The words and stems that tell a category apart are found in the texts of at most
+    ``counted_texts`` labels, drawn alike, by counts combined before the shuffle: a word needs more evidence than the luckiest of as many words that tell nothing. None
     without labelled texts.
     """
     known = labels.dropna(subset=[id_col, *categories]).groupBy(id_col).agg(*[F.max(c).cast("int").alias(c) for c in categories])
     given = texts.select(id_col, F.col(text_col).alias("text")).where("text IS NOT NULL")
-    labelled = given.join(known, id_col)
+    labelled = given.join(F.broadcast(_drawn(known, categories, id_col, counted_texts)), id_col)  # bounded by counted_texts
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))
     stems = [F.array_distinct(_stems(F.col("words"), k)) for k in STEMS]
     listed = labelled.select(words.alias("words"), *categories).select(F.explode(F.concat("words", *stems)).alias("word"), *categories)
@@ -234,8 +235,7 @@ def fit_toxicity(texts: DataFrame, labels: DataFrame, categories: list[str], id_
         chosen = counts.where(telling).select("word", evidence.alias("score")).where(F.col("score") >= math.log(max(rivals, 1) / CHANCE_WORDS))
         for r in chosen.orderBy(F.desc("score"), "word").limit(WORDS).collect():
             vocabulary.setdefault(r["word"], len(vocabulary))
-    drawn = _drawn(known.join(given.select(id_col).distinct(), id_col, "left_semi"), categories, id_col, training_texts)
-    rows = given.join(F.broadcast(drawn), id_col)  # bounded by training_texts
+    rows = given.join(F.broadcast(_drawn(known, categories, id_col, training_texts)), id_col)  # bounded by training_texts
     chain = ClassifierChain(vocabulary, categories)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
