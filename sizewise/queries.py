@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sizewise import datasets as D
 from sizewise import dims
 from sizewise.functions import goals as goal_text
-from sizewise.functions import paths, text
+from sizewise.functions import headers, paths, text
 from sizewise.functions import profile as P
 from sizewise.functions import scoring as S
 from sizewise.operators import ladder, quality, rates, sweep
@@ -530,6 +530,14 @@ def png_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dimensions of images of every format from their first bytes."""
+    heads = D.image_heads(spark, sf_dir).select("image_id", paths.sniff_format(F.col("content")).alias("format"), "content")
+    sized = heads.select("image_id", "format", headers.image_size(F.col("content"), F.col("format")).alias("s"))
+    return sized.select("image_id", "format", "s.width", "s.height")
+
+
 # Jobs and history -----------------------------------------------------------------------------------------
 
 

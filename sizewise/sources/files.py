@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sizewise.functions import paths as X
+from sizewise.functions.headers import image_size
 from sizewise.operators.pixels import MAX_PIXELS
 
 BINARY_SCHEMA = T.StructType(
@@ -63,18 +66,28 @@ def extension_audit(files: DataFrame) -> DataFrame:
     return rows.withColumn("matches", matches).withColumn("renamed_path", fixed)
 
 
-def read_images(spark: SparkSession, folder: str) -> DataFrame:
+def image_sizes(files: DataFrame) -> DataFrame:
+    """Files (path, content) with ``width`` and ``height`` from their first bytes, whatever the extension says."""
+    return files.select("path", image_size(F.col("content")).alias("_s")).select("path", "_s.width", "_s.height")
+
+
+def read_images(spark: SparkSession, folder: str, max_pixels: int = MAX_PIXELS) -> DataFrame:
     """Decoded images: one row per file with its raster, or with an error.
 
-    The pixel guard is applied here, before anything can explode the raster.
+    The pixel guard looks at the first bytes: files over it are left out of the scan that decodes, by name, as they are of the list of files
+    that the driver holds for any scan. Formats without known dimensions are decoded first and guarded then.
     """
-    images = (
-        spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(folder)
-        .select("image.*")
-    )
+    sized = image_sizes(read_files(spark, folder))
+    refused = sized.where(F.col("width") * F.col("height") > max_pixels)
+    large = refused.collect()  # few: each is a file over the guard
+    names = [r["path"] for r in large]
+    images = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(folder)
+    if names:
+        images = images.where(~F.col("_metadata.file_path").isin(names + [_three_slashes(n) for n in names]))
+    images = images.select("image.*")
     area = F.col("width").cast("long") * F.col("height")
-    error = F.when(F.col("width") < 1, "undecodable").when(area > MAX_PIXELS, "too_many_pixels")
-    return images.select(
+    error = F.when(F.col("width") < 1, "undecodable").when(area > max_pixels, "too_many_pixels")
+    decoded = images.select(
         # The decoder writes local paths with three slashes, the file scan with one; both must join.
         F.regexp_replace("origin", "^([a-zA-Z0-9]+):///", "$1:/").alias("path"),
         "width",
@@ -83,6 +96,16 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
         F.when(error.isNull(), F.col("data")).alias("data"),
         error.alias("error"),
     )
+    if not names:
+        return decoded
+    none = [F.lit(None).cast("int").alias("channels"), F.lit(None).cast("binary").alias("data"), F.lit("too_many_pixels").alias("error")]
+    # From what is known of them, so that their bytes are not read again.
+    rows = spark.createDataFrame([(r["path"], r["width"], r["height"]) for r in large], "path string, width int, height int")
+    return decoded.unionByName(rows.select("path", "width", "height", *none))
+
+
+def _three_slashes(path: str) -> str:
+    return re.sub("^([a-zA-Z0-9]+):/(?=[^/])", r"\1:///", path)
 
 
 def explode_pixels(images: DataFrame, key: str = "path", side: int | None = None) -> DataFrame:

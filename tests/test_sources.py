@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from sizewise import datasets as D
-from sizewise.functions import paths
+from sizewise.functions import headers, paths
 from sizewise.plans import decide as decisions
 from sizewise.plans import profiles, reports
 from sizewise.sources import codecs, files, records
@@ -173,3 +173,41 @@ def test_backend_registry(spark):
     codecs.register_codec("png", lambda raster, width, height, setting: raster)
     rows = codecs.backends(spark).collect()
     assert [r.format for r in rows] == ["PNG", "JPEG", "WEBP", "AVIF", "GIF", "BMP", "TIFF"] and rows[0].plugged_in
+
+
+def test_sizes_of_all_formats_and_odd_bytes(spark):
+    box = lambda kind, body: (8 + len(body)).to_bytes(4, "big") + kind + body
+    side = lambda w, h: b"\0\0\0\0" + w.to_bytes(4, "big") + h.to_bytes(4, "big")
+    frame = b"\xff\xc0\x00\x11\x08\x00\x07\x00\x09"
+    heads = {
+        "many segments": (b"\xff\xd8" + b"\xff\xe1\x00\x04ab" * 80 + frame, (9, 7)),
+        "too many segments": (b"\xff\xd8" + b"\xff\xe1\x00\x04ab" * 200 + frame, None),
+        "no length": (b"\xff\xd8\xff\xe1\x00\x00" + frame, None),
+        "scan first": (b"\xff\xd8\xff\xda\x00\x04ab" + frame, None),
+        "restart marker": (b"\xff\xd8\xff\xd0" + frame, (9, 7)),
+        "cut off": (b"\xff\xd8" + frame[:-1], None),
+        "big tiff": (b"MM\0\x2a\0\0\0\x08\0\x02\x01\x00\0\x04\0\0\0\x01\0\x01\0\0\x01\x01\0\x03\0\0\0\x01\0\x05\0\0", (65536, 5)),
+        "tiff without height": (b"MM\0\x2a\0\0\0\x08\0\x01\x01\x00\0\x04\0\0\0\x01\0\x01\0\0", None),
+        "tiff without directory": (b"II\x2a\0\x08\0\0\0\0\0", None),
+        "old bmp": (b"BM" + bytes(12) + b"\x0c\0\0\0\x05\0\x06\0", (5, 6)),
+        "long box": (box(b"ftyp", b"avif") + b"\0\0\0\x01free" + (20).to_bytes(8, "big") + b"1234"
+                     + box(b"meta", b"\0\0\0\0" + box(b"iprp", box(b"ipco", box(b"ispe", side(3, 4)) + box(b"ispe", side(1, 2))))), (3, 4)),
+        "box of no size": (box(b"ftyp", b"avif") + b"\0\0\0\0mdat", None),
+        "no side": (b"GIF89a\0\0\x05\0", None),
+        "empty": (b"", None),
+        "text": (b"just text", None),
+    }
+    df = spark.createDataFrame([(k, bytearray(v)) for k, (v, _) in heads.items()] + [("null", None)], "name string, content binary")
+    got = {r.name: (r.s.width, r.s.height) if r.s else None for r in df.select("name", headers.image_size(F.col("content")).alias("s")).collect()}
+    assert got == {k: v for k, (_, v) in heads.items()} | {"null": None}
+
+
+def test_files_over_the_guard_are_not_decoded(spark, folder):
+    root, _ = folder
+    rows = {r.path.rsplit("/", 1)[1]: r for r in files.read_images(spark, str(root), max_pixels=1000).collect()}
+    assert (rows["B.PNG"].error, rows["B.PNG"].width, rows["B.PNG"].data) == ("too_many_pixels", 300, None)
+    assert rows["a.png"].error is None and rows["a.png"].data and len(rows) == 5 and rows["broken.png"].error == "undecodable"
+    (root / "huge.png").write_bytes(b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR\0\1\0\0\0\1\0\0\x08\x06\0\0\0")
+    rows = {r.path.rsplit("/", 1)[1]: r for r in files.read_images(spark, str(root)).collect()}
+    assert (rows["huge.png"].error, rows["huge.png"].width) == ("too_many_pixels", 65536)  # the decoder would have called it undecodable
+    assert rows["B.PNG"].error is None and len(rows) == 6
