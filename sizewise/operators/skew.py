@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGIT_BITS = 12
@@ -93,3 +93,23 @@ def previous_value(
         )
 
     return per_group(df, keys, plain, digits, hot)
+
+
+def previous_by_bucket(df: DataFrame, keys: list[str], order: list[str], value: str, output: str, bucket: Column) -> DataFrame:
+    """``value`` of the row just before in ``order`` inside each key, without a window over a whole key.
+
+    ``bucket`` cuts the order into stretches: it must never fall along it. The last value of each stretch is an aggregate that combines
+    before the shuffle; it is carried over the stretches of a key, whose number does not depend on how many rows they hold, to the next
+    one that has rows. Inside a stretch it is an ordinary lag. A NULL value is a value.
+    """
+    rows = df.withColumn("_bucket", bucket)
+    last = F.max(F.struct(*order, F.struct(value).alias("v")))["v"].alias("_last")
+    ends = rows.groupBy(*keys, "_bucket").agg(last)
+    along = Window.partitionBy(*keys).orderBy("_bucket")
+    carried = ends.select(*keys, "_bucket", F.lag("_last").over(along).alias("_carried"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    lagged = rows.withColumn("_inside", F.lag(F.struct(value)).over(inside))
+    same = reduce(lambda a, b: a & b, [F.col(f"_rows.{k}").eqNullSafe(F.col(f"_ends.{k}")) for k in [*keys, "_bucket"]])
+    joined = lagged.alias("_rows").join(carried.alias("_ends"), same)
+    before = F.coalesce("_rows._inside", "_ends._carried")[value].alias(output)
+    return joined.select(*[F.col(f"_rows.{c}") for c in df.columns], before)

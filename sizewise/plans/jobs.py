@@ -9,7 +9,7 @@ from sizewise.functions import goals as G
 from sizewise.functions import paths as X
 from sizewise.functions.scoring import percentage_saved
 from sizewise.functions.text import format_bytes, format_duration, format_percent
-from sizewise.operators.skew import previous_value
+from sizewise.operators.skew import previous_by_bucket
 
 # Job states.
 STATUSES = ["Queued", "Processing", "Completed", "Failed", "Cancelled", "Skipped"]
@@ -17,6 +17,8 @@ FINISHED = ["Completed", "Failed", "Cancelled", "Skipped"]
 RETRYABLE = ["Failed", "Cancelled"]
 REARMING = ["Completed", "Cancelled"]
 RECENT_JOBS = 8
+#: Stretch of time in which the events of a job are looked at together.
+ALERT_BUCKET_SECONDS = 3600
 
 
 def latest_status(events: DataFrame) -> DataFrame:
@@ -77,16 +79,22 @@ def batch_summary(live: DataFrame) -> DataFrame:
     return live.select(text.alias("summary"))
 
 
-def job_alerts(events: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def job_alerts(events: DataFrame, bucket_seconds: int = ALERT_BUCKET_SECONDS) -> DataFrame:
     """One alert per failure; a further failure alerts only after the job completed or was cancelled.
 
-    Among the events that matter, a failure is announced exactly when the event before it is not a failure.
+    Among the events that matter, a failure is announced exactly when the event before it is not a failure. The event before is
+    looked for by stretches of ``bucket_seconds``, so that a job with very many events is no single task.
     """
     relevant = events.where(F.col("status").isin("Failed", *REARMING)).select("job_id", "event_id", "ts", "status")
     relevant = relevant.withColumn("_ts", F.unix_micros(F.col("ts").cast("timestamp")))
-    seen = previous_value(relevant, ["job_id"], "_ts", "event_id", "status", "_before", hot)
-    alert = (F.col("status") == "Failed") & (F.coalesce("_before", F.lit("none")) != "Failed")
-    return seen.where(alert).select("job_id", "event_id", "ts")
+    bucket = F.floor(F.col("_ts") / (bucket_seconds * 1_000_000))
+    seen = previous_by_bucket(relevant, ["job_id"], ["_ts", "event_id"], "status", "_before", bucket)
+    return seen.where(is_alert(F.col("_before"))).select("job_id", "event_id", "ts")
+
+
+def is_alert(before: Column) -> Column:
+    """A failure that does not follow a failure."""
+    return (F.col("status") == "Failed") & (F.coalesce(before, F.lit("none")) != "Failed")
 
 
 def job_outcome(events: DataFrame) -> DataFrame:

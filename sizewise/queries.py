@@ -706,7 +706,7 @@ def _scratch(spark: SparkSession) -> str:
 def stream_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _scratch(spark)
     streams.stream_latest_status(_event_stream(spark, sf_dir), f"{base}/state", f"{base}/log").awaitTermination()
-    rows = streams.newest_epoch(spark, f"{base}/state")
+    rows = streams.current_state(spark, f"{base}/state")
     return rows.select("job_id", "event_id", "status", "original_size", "final_size", "processing_time_ms")
 
 
@@ -730,7 +730,7 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _scratch(spark)
     streams.stream_outcomes(_event_stream(spark, sf_dir), f"{base}/state", f"{base}/log").awaitTermination()
-    return streams.newest_epoch(spark, f"{base}/state").select("job_id", "status")
+    return streams.current_state(spark, f"{base}/state").select("job_id", "status")
 
 
 @query

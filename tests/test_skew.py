@@ -66,10 +66,31 @@ def test_decisions_do_not_depend_on_the_plan(spark, sf_dir):
     assert rows_of(plain, *columns) == rows_of(decisions.decide(m.repartition(7), runner_up=True), *columns)
 
 
-def test_alerts_of_hot_jobs(spark, sf_dir):
+def alerts_by_loop(events):
+    out, last = [], {}
+    for e in sorted(events.where("status IN ('Failed', 'Completed', 'Cancelled')").collect(), key=lambda e: (e.ts, e.event_id)):
+        if e.status == "Failed" and last.get(e.job_id) != "Failed":
+            out.append((e.job_id, e.event_id))
+        last[e.job_id] = e.status
+    return sorted(out)
+
+
+def test_alerts_against_a_loop(spark, sf_dir):
     events = D.job_events(spark, sf_dir)
-    named = jobs.job_alerts(events, events.select("job_id").where("job_id % 2 = 0"))
-    assert rows_of(jobs.job_alerts(events), "job_id", "event_id") == rows_of(named, "job_id", "event_id")
+    for seconds in (1, 3600, 10**9):
+        assert sorted((r.job_id, r.event_id) for r in jobs.job_alerts(events, seconds).collect()) == alerts_by_loop(events)
+
+
+def test_a_job_with_a_third_of_all_events_is_looked_at_in_stretches(spark):
+    rng = random.Random(5)
+    kinds = ["Failed", "Failed", "Completed", "Cancelled", "Processing"]
+    rows = [(0 if i % 3 == 0 else rng.randint(1, 50), i, rng.choice(kinds), i // 7) for i in range(6000)]
+    events = spark.createDataFrame(rows, "job_id long, event_id long, status string, at long").withColumn("ts", F.timestamp_seconds("at"))
+    assert sorted((r.job_id, r.event_id) for r in jobs.job_alerts(events, 60).collect()) == alerts_by_loop(events)
+    # No window is over a whole job but the one along its stretches, which has a row for each.
+    plan = jobs.job_alerts(events, 60)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert len(windows) == 2 and sum("_bucket" in w.split("], [")[1] for w in windows) == 1
 
 
 def test_building_a_query_runs_no_job(spark, sf_dir):
