@@ -28,7 +28,9 @@ BLOCKS = (
     "thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary hgroup center menu dialog"
 ).split()
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template svg math iframe object textarea select button title head canvas audio video".split())
+#: Elements whose content is no text of the page. An unclosed one of the second kind hides nothing.
+RAW = set("script style iframe textarea title".split())
+HIDDEN = set("template select".split())
 CLOSES_P = set(BLOCKS) - {"html", "body"}
 #: An open element of the first kind ends where one of the others begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
@@ -119,7 +121,7 @@ def parse_page(page: str) -> list[Node]:
                         break
                 else:
                     flush()
-            elif tag in RAW:
+            elif tag in RAW or tag in HIDDEN:
                 pending.append(" ")
             continue
         attributes = m[3] or m[4] or ""
@@ -129,11 +131,12 @@ def parse_page(page: str) -> list[Node]:
             flush()
         elif tag == "a":
             links += 1
-        elif tag in RAW:
-            if tag == "head" or attributes.endswith("/"):
-                continue  # what stands in the head is read and dropped by itself
+        elif tag in RAW or tag in HIDDEN:
+            if attributes.endswith("/"):
+                continue
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if end or tag in RAW:
+                at = end.end() if end else len(page)
             pending.append(" ")
         elif tag in _BLOCK and tag not in ("html", "body"):
             if tag in CLOSES_P:

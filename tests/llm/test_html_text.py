@@ -89,3 +89,19 @@ def test_special_pages(spark):
 def test_text_that_stands_in_the_body_itself(trees, body, text):
     nodes = with_runs(parse_page(f"<html><body>{body.format(*PROSE)}</body></html>"))
     assert text_of(nodes, decode(nodes, trees.log_odds(node_features(nodes)))) == text.format(*PROSE)
+
+
+def test_inline_content_and_unclosed_elements_keep_the_article():
+    """Formulas, fallback text and labels are text; only scripts, styles, frames, templates and form controls hide what they hold."""
+    from sizewise.llm.html_text import parse_page
+
+    def text_of(page):
+        return "\n".join(t for n in parse_page(page) for _, t in sorted(n.texts))
+
+    page = ("<article><p>press <button>the red key</button> now</p><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>"
+            "<p><object>a drawing</object> <svg><text>label</text></svg> <video>a film</video> <noscript>plain</noscript> <canvas>chart</canvas></p>"
+            "<p>a<select><option>no</option></select>b<template>no</template>c<textarea>no</textarea>d<iframe>no</iframe>e<script>no</script>f</p></article>")
+    assert text_of(page) == "press the red key now\nso x=2 holds\na drawing label a film plain chart\na b c d e f"
+    for tag in ("button", "object", "video", "svg", "math", "noscript", "template", "select", "canvas"):
+        assert text_of(f"<article><p>one <{tag}>two</p><p>three</p></article>") == ("one two\nthree" if tag not in ("template", "select") else "one two\nthree")
+    assert text_of("<article><p>one <script>two</p><p>three</p></article>") == "one"
