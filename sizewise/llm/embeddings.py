@@ -58,36 +58,37 @@ def _orders(passes: range):
 
 
 def _neighbours(window: int, least: float):
-    """Links of neighbours in a sorted partition, and the rows at its edges, which have neighbours in other partitions."""
-    names = ["a", "b", "edge", "at", "pass", "dim", "rep", "vec"]
+    """Links of neighbours in a sorted partition; its first and last rows, with their places in it; and how many rows it has."""
+    names = ["a", "b", "part", "at", "pass", "dim", "rep", "vec"]
 
-    def edge(rows: pa.Table, number: int, first: int) -> pa.RecordBatch:
+    def row_of(rows: pa.Table, part: int, first: int) -> pa.RecordBatch:
         n = len(rows)
         none = pa.nulls(n, pa.int64())
-        vec = rows.column("vec").combine_chunks()
-        return pa.RecordBatch.from_arrays(
-            [none, none, pa.array(np.full(n, number, np.int64)), pa.array(np.arange(first, first + n)),
-             rows.column("pass").combine_chunks(), rows.column("dim").combine_chunks(),
-             rows.column("rep").combine_chunks(), vec], names=names)
+        columns = [rows.column(c).combine_chunks() for c in names[4:]]
+        places = [pa.array(np.full(n, part, np.int64)), pa.array(np.arange(first, first + n))]
+        return pa.RecordBatch.from_arrays([none, none, *places, *columns], names=names)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = TaskContext.get().partitionId()
-        tail, head = None, 0
+        tail, n = None, 0
         for batch in batches:
             if not len(batch):
                 continue
             new = pa.Table.from_batches([batch])
-            if head < window:
-                yield edge(new.slice(0, window - head), here - 1, window + head)
-                head += min(len(new), window - head)
+            if n < window:
+                yield row_of(new.slice(0, window - n), here, n)
             rows = new if tail is None else pa.concat_tables([tail, new])
             a, b = pairs_in_order(rows, window, least, 0 if tail is None else len(tail))
             if len(a):
-                blank = [pa.nulls(len(a), f.type) for f in edge(new.slice(0, 0), 0, 0).schema][2:]
+                blank = [pa.nulls(len(a), f.type) for f in row_of(new.slice(0, 0), 0, 0).schema][2:]
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *blank], names=names)
+            n += len(new)
             tail = rows.slice(max(0, len(rows) - window))
         if tail is not None:
-            yield edge(tail, here, 0)
+            told = max(0, min(window, n) - (n - len(tail)))  # rows of the end that are rows of the beginning
+            yield row_of(tail.slice(told), here, n - len(tail) + told)
+            blank = [pa.nulls(1, f.type) for f in row_of(tail.slice(0, 0), 0, 0).schema]
+            yield pa.RecordBatch.from_arrays([*blank[:2], pa.array([here], pa.int64()), pa.array([n], pa.int64()), *blank[4:]], names=names)
 
     return neighbours
 
@@ -107,10 +108,34 @@ def pairs_in_order(rows: pa.Table, window: int, least: float, since: int = 0) ->
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
+def _at_borders(sizes: dict[int, int], window: int):
+    """Rows near the borders between partitions, once for each border at most ``window`` places away, with their place in the whole order.
+
+    Partitions may be smaller than the window, or empty: what counts is the place in the whole order.
+    """
+    parts = np.array(sorted(sizes), np.int64)
+    count = np.array([sizes[p] for p in parts], np.int64)
+    begin = count.cumsum() - count
+    borders = begin[1:]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = begin[np.searchsorted(parts, batch.column("part").to_numpy())] + batch.column("at").to_numpy()
+            lo, hi = np.searchsorted(borders, at - window, side="right"), np.searchsorted(borders, at + window, side="right")
+            times = hi - lo
+            row = np.repeat(np.arange(len(at)), times)
+            border = borders[np.arange(times.sum()) + np.repeat(lo - (times.cumsum() - times), times)]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(border), pa.array(at[row]), *[batch.column(c).take(take) for c in ("pass", "dim", "rep", "vec")]],
+                                             names=["edge", "at", "pass", "dim", "rep", "vec"])
+
+    return place
+
+
 def _across_edges(window: int, least: float):
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _pieces(batches, ["edge"]):
-            split = int((piece.column("at").to_numpy() < window).sum())
+            split = int((piece.column("at").to_numpy() < piece.column("edge")[0].as_py()).sum())
             a, b = pairs_in_order(piece, window, least, split)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -205,11 +230,14 @@ def window_links(vectors: DataFrame, passes: int = PASSES, window: int = WINDOW,
 def _links_of(rows: DataFrame, numbers: range, window: int, cosine: float) -> list[DataFrame]:
     """Links that some orders bring, within partitions and across their edges."""
     vec = rows.schema["vec"].dataType.simpleString()
-    schema = f"a long, b long, edge long, at long, pass int, dim int, rep long, vec {vec}"
+    schema = f"a long, b long, part long, at long, pass int, dim int, rep long, vec {vec}"
     ordered = rows.mapInArrow(_orders(numbers), f"pass int, dim int, key long, rep long, vec {vec}")
     ordered = ordered.repartitionByRange("pass", "dim", "key", "rep").sortWithinPartitions("pass", "dim", "key", "rep")
     met = staged(ordered.mapInArrow(_neighbours(window, cosine), schema))
-    edges = met.where("edge IS NOT NULL").repartition("edge").sortWithinPartitions("edge", "at")
+    sizes = {r["part"]: r["at"] for r in met.where("part IS NOT NULL AND rep IS NULL").select("part", "at").collect()}  # a row per partition
+    near = met.where("rep IS NOT NULL").select("part", "at", "pass", "dim", "rep", "vec").mapInArrow(
+        _at_borders(sizes, window), f"edge long, at long, pass int, dim int, rep long, vec {vec}")
+    edges = near.repartition("edge").sortWithinPartitions("edge", "at")
     return [met.where("a IS NOT NULL").select("a", "b"), edges.mapInArrow(_across_edges(window, cosine), "a long, b long")]
 
 

@@ -82,3 +82,26 @@ def test_passes_follow_the_recall_of_pairs_at_the_threshold(spark):
     links = {(r.a, r.b) for r in window_links(vectors, passes=3, window=8).collect()}
     assert all(0 <= a < b < len(rows) for a, b in links)
     assert sum((i, 4000 + i) in links for i in range(200)) >= 190
+
+
+def test_links_do_not_depend_on_partitions(spark):
+    """Isolated pairs at the threshold; with many partitions most hold fewer rows than the window, and some none."""
+    rng = np.random.default_rng(13)
+    base = rng.standard_normal((500, 24))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    away = rng.standard_normal(base.shape)
+    away -= (away * base).sum(1)[:, None] * base
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    rows = [(i, 24, [float(x) for x in v]) for i, v in enumerate(np.concatenate([base, 0.905 * base + np.sqrt(1 - 0.905**2) * away]))]
+    vectors = spark.createDataFrame(rows, "rep long, dim int, vec array<double>")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    found = []
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in ("1", "7", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append({(r.a, r.b) for r in window_links(vectors, passes=3, recall=0.0).collect()})
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert found[0] == found[1] == found[2] and len(found[0]) > 200
