@@ -243,6 +243,14 @@ SELECT image_id, encode_key, min(candidate_id) AS candidate_id, count(*) AS n_ca
 runs AS (SELECT image_id, encode_key, count(*) AS n FROM keyed GROUP BY image_id, encode_key)
 SELECT CAST(sum(n) - count(*) AS BIGINT) AS hits, count(*) AS misses,
   round(CAST(sum(n) - count(*) AS DOUBLE) / CAST(sum(n) AS DOUBLE), 6) AS hit_ratio FROM runs""",
+    "reused_encodes": with_tables(KEYED) + """,
+kept AS (SELECT *, first_value(output_size) OVER (PARTITION BY image_id, encode_key ORDER BY candidate_id) AS shared FROM keyed),
+counted AS (
+  SELECT count(DISTINCT (image_id, encode_key)) AS every, count(DISTINCT (image_id, encode_key)) FILTER (WHERE image_id % 3 = 0) AS early,
+    count(*) AS n, count(*) FILTER (WHERE image_id % 3 = 0) AS n_early, CAST(sum(shared) AS BIGINT) AS b,
+    CAST(sum(shared) FILTER (WHERE image_id % 3 = 0) AS BIGINT) AS b_early FROM kept)
+SELECT 'first' AS run, CAST(0 AS BIGINT) AS known, early AS measured, n_early AS candidates, b_early AS bytes FROM counted
+UNION ALL SELECT 'second', early, every - early, n, b FROM counted""",
     "share_encodes": with_tables(KEYED) + """
 SELECT image_id, candidate_id, encode_key,
   first_value(output_size) OVER (PARTITION BY image_id, encode_key ORDER BY candidate_id) AS shared_size FROM keyed""",

@@ -242,6 +242,8 @@ SELECT image_id, CASE WHEN ok THEN w END AS width, CASE WHEN ok THEN h END AS he
   CASE WHEN ok THEN w * h * channels * ((depth + 7) // 8) END AS raw_size
 FROM (SELECT *, whole AND w > 0 AND channels IS NOT NULL AS ok FROM read_heads)""",
     # A head that is cut off has lost its dimensions, but for PNG; of AVIF the smaller ones before them are left.
+    "pixels_over_white": with_tables(PIXELS) + " SELECT image_id, x, y, " + ", ".join(
+        f"CAST(round(({c} * a + 255 * (255 - a)) / CAST(255 AS DOUBLE)) AS INTEGER) AS {c}" for c in "rgb") + " FROM pixels",
     "image_sizes": """
 SELECT doc_id AS image_id, ['PNG', 'JPEG', 'WEBP', 'WEBP', 'WEBP', 'AVIF', 'GIF', 'BMP', 'TIFF'][1 + kind] AS format,
   CASE WHEN known THEN w WHEN kind = 5 THEN least(w, 8) END AS width, CASE WHEN known THEN h WHEN kind = 5 THEN least(h, 8) END AS height

@@ -44,6 +44,9 @@ def has(words: list[str]) -> str:
     return "(" + " OR ".join(f"contains(plain, '{w}')" for w in words) + ")"
 
 
+SIGNALS = " + ".join(f"CAST(contains(plain, '{w}') AS INTEGER)" for w in goals.LIGHT_SIGNALS + goals.QUALITY_SIGNALS)
+
+
 def goal(text: str, identifiers: bool) -> str:
     """Decision tree of the free-text goal over a column ``plain``."""
     exact = f"""WHEN {text} IN ('Lossless') THEN 'LOSSLESS' WHEN {text} = 'Quality' THEN 'QUALITY' WHEN {text} = 'Balanced' THEN 'BALANCED'
@@ -182,8 +185,9 @@ SELECT request_id, goal, CASE WHEN ff IN ('jpg','jpeg') THEN 'JPEG' WHEN ff IN (
   WHEN ff IN ('png','webp','avif','gif','bmp') THEN upper(ff) END AS force_format, maxc AS max_candidates, array_to_string(pref, ',') AS preferred
 FROM decided JOIN goals USING (goal)""",
     "goals_in_documents": f"""
-SELECT {goal('text', False)} AS goal, count(*) AS n
-FROM (SELECT text, {PLAIN('text')} AS plain FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)) GROUP BY 1""",
+SELECT source, {goal('text', False)} AS goal, CAST(coalesce({SIGNALS}, 0) AS INTEGER) AS signals, count(*) AS n
+FROM (SELECT source, text, {PLAIN('text')} AS plain FROM (
+  SELECT source, text FROM documents UNION ALL SELECT 'turn of ' || role, text FROM conversations)) GROUP BY 1, 2, 3""",
     "validate_paths": with_tables(PATH_PARTS) + f"""
 SELECT file_id, {ISSUE} WHEN length > 4000 THEN 'TooLarge' ELSE 'Ok' END AS issue FROM parts""",
     "output_paths": with_tables(PATH_PARTS) + rf""",

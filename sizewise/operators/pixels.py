@@ -178,3 +178,8 @@ def preview(pixels: DataFrame, sizes: DataFrame, side: int = PREVIEW_SIDE) -> Da
 def premultiplied(c: str) -> Column:
     """Channel weighted by its alpha, rounded to whole values."""
     return F.round(F.col(c) * F.col("a") / 255.0).cast("int")
+
+
+def over_white(c: str) -> Column:
+    """Channel as seen on a white page, rounded to whole values."""
+    return F.round((F.col(c) * F.col("a") + 255 * (255 - F.col("a"))) / 255.0).cast("int")

@@ -22,7 +22,7 @@ from sizewise.plans import candidates, jobs, library, reports, strategy
 from sizewise.plans import decide as decisions
 from sizewise.plans import profiles as profile_plan
 from sizewise.session import checkpoint_dir, cut_lineage
-from sizewise.sources import files, records
+from sizewise.sources import files, records, results
 from sizewise.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,6 +202,21 @@ def share_encodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.share_encodes(keyed, measured).select("image_id", "candidate_id", "encode_key", "shared_size")
 
 
+@query
+def reused_encodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over one store of results: the second measures only keys that the first did not have."""
+    keyed = reports.encode_key(D.encode_settings(spark, sf_dir)).select("image_id", "candidate_id", "encode_key", "output_size")
+    store = f"{_scratch(spark)}/results"
+    measure = lambda rows: rows.withColumn("shared_size", F.col("output_size"))  # noqa: E731 - in place of an encoder
+    runs = []
+    for run, rows in (("first", keyed.where("image_id % 3 = 0")), ("second", keyed)):
+        found, counts = results.measure_once(rows, store, "shared_size long", measure)
+        totals = found.agg(F.count("shared_size").alias("candidates"), F.sum("shared_size").alias("bytes"))
+        runs.append(totals.select(F.lit(run).alias("run"), F.lit(counts["known"]).cast("long").alias("known"),
+                                  F.lit(counts["measured"]).cast("long").alias("measured"), "candidates", "bytes"))
+    return runs[0].unionByName(runs[1])
+
+
 @query
 def first_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = D.measurements(spark, sf_dir)
@@ -304,6 +319,13 @@ def library_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("image_id", "goal", F.col("target").alias("format"), F.col("q").cast("int").alias("quality"), "size", _r("damage"), "n_tried", "converged")
 
 
+@query
+def pixels_over_white(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours as seen on a white page."""
+    shown = [pixel_ops.over_white(c).alias(c) for c in ("r", "g", "b")]
+    return D.pixels(spark, sf_dir).select("image_id", "x", "y", *shown)
+
+
 @query
 def scanline_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bits of each image under every line filter."""
@@ -631,11 +653,13 @@ def goal_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def goals_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole document and conversation turn read as a goal request."""
-    documents = D.read(spark, sf_dir, "documents").select("text")
-    turns = D.read(spark, sf_dir, "conversations").select("text")
+    """Every whole document and conversation turn read as a goal request, by where it comes from and how often it asks for quality or size."""
+    documents = D.read(spark, sf_dir, "documents").select("source", "text")
+    turns = D.read(spark, sf_dir, "conversations").select(F.concat(F.lit("turn of "), "role").alias("source"), "text")
     read = goal_text.add_goal(documents.unionByName(turns), "text", identifiers=False)
-    return read.groupBy("goal").agg(F.count(F.lit(1)).alias("n"))
+    plain = goal_text.plain_text(F.col("text"))
+    signals = goal_text.count_signals(plain, goal_text.LIGHT_SIGNALS) + goal_text.count_signals(plain, goal_text.QUALITY_SIGNALS)
+    return read.groupBy("source", "goal", F.coalesce(signals, F.lit(0)).alias("signals")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -808,7 +832,7 @@ def logs_exported(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def jobs_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All jobs in order of their ids, numbered."""
+    """All jobs in order of their ids."""
     listed = jobs.list_jobs(_jobs(spark, sf_dir))
     return listed.select("job_id", "status", "original_size", "final_size")
 

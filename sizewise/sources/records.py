@@ -36,10 +36,12 @@ def latest_history(spark: SparkSession, folder: str, n: int = HISTORY_KEEP) -> D
 
 
 def append_history(rows: DataFrame, folder: str) -> None:
-    """Append runs. A missing time becomes now; ids come from the caller."""
+    """Append runs. A missing time becomes now, a missing id a number made of the run, its place and the time."""
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     at = F.coalesce(F.nullif(F.col("timestamp").cast("string"), F.lit("")), now)
-    rows.withColumn("timestamp", at).write.mode("append").json(folder)
+    given = F.col("id") if "id" in rows.columns else F.lit(None)
+    made = F.pmod(F.xxhash64(*rows.columns, F.unix_micros(F.current_timestamp()), F.monotonically_increasing_id()), F.lit(1 << 62))
+    rows.withColumn("id", F.coalesce(given.cast("long"), made)).withColumn("timestamp", at).write.mode("append").json(folder)
 
 
 def compact_history(spark: SparkSession, folder: str, target: str, n: int = HISTORY_KEEP) -> None:

@@ -12,7 +12,7 @@ from sizewise import datasets as D
 from sizewise.functions import headers, paths
 from sizewise.plans import decide as decisions
 from sizewise.plans import profiles, reports
-from sizewise.sources import codecs, files, records
+from sizewise.sources import codecs, files, records, results
 from tests.png_files import png_bytes
 
 
@@ -211,3 +211,39 @@ def test_files_over_the_guard_are_not_decoded(spark, folder):
     rows = {r.path.rsplit("/", 1)[1]: r for r in files.read_images(spark, str(root)).collect()}
     assert (rows["huge.png"].error, rows["huge.png"].width) == ("too_many_pixels", 65536)  # the decoder would have called it undecodable
     assert rows["B.PNG"].error is None and len(rows) == 6
+
+
+def test_runs_without_an_id_are_kept(spark, tmp_path):
+    runs = [(None, "2024-01-01T00:00:00Z", "a"), (None, "2024-01-01T00:00:00Z", "a"), (7, None, "b")]
+    rows = spark.createDataFrame(runs, "id long, timestamp string, profile_name string")
+    records.append_history(rows, str(tmp_path / "h"))
+    records.append_history(rows.drop("id"), str(tmp_path / "h"))
+    kept = records.read_history(spark, str(tmp_path / "h")).collect()
+    assert len(kept) == 6 and len({r.id for r in kept}) == 6 and sum(r.id == 7 for r in kept) == 1
+
+
+def test_a_store_of_results_measures_each_key_once_and_goes_on_after_a_failure(spark, tmp_path):
+    store, asked = str(tmp_path / "store"), []
+    rows = [(i % 40, f"c{i}", f"JPEG|{i % 3}", i) for i in range(300)]
+    keyed = spark.createDataFrame(rows, "image_id long, candidate_id string, encode_key string, size long")
+
+    def measure(wanted):
+        asked.append([(r.image_id, r.encode_key) for r in wanted.collect()])
+        if len(asked) == 2:
+            raise RuntimeError("the run is ended")
+        return wanted.withColumn("bytes", F.col("size") * 10)
+
+    with pytest.raises(RuntimeError):
+        results.measure_once(keyed, store, "bytes long", measure, waves=3)
+    done = len(asked[0])
+    found, counts = results.measure_once(keyed, store, "bytes long", measure, waves=3)
+    assert counts == {"known": done, "measured": 120 - done} and 0 < done < 120
+    measured = asked[0] + [k for wave in asked[2:] for k in wave]
+    assert len(measured) == len(set(measured)) == 120  # the wave that failed was measured again, the first one was not
+    first = {}
+    for i, c, k, s in rows:
+        first.setdefault((i, k), (c, s)) if (i, k) not in first or first[i, k][0] <= c else first.update({(i, k): (c, s)})
+    assert {(r.image_id, r.encode_key, r.candidate_id): r.bytes for r in found.collect()} == {(i, k, c): first[i, k][1] * 10 for i, c, k, _ in rows}
+    again, counts = results.measure_once(keyed, store, "bytes long", measure)
+    assert counts == {"known": 120, "measured": 0} and again.count() == 300
+    assert results.measure_once(keyed.limit(0), str(tmp_path / "none"), "bytes long", measure)[1] == {"known": 0, "measured": 0}

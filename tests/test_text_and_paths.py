@@ -46,10 +46,10 @@ def test_basename(spark, path):
 
 @pytest.mark.parametrize(
     "prompt, goal",
-    [("", "BALANCED"), ("Lossless", "LOSSLESS"), ("Compress", "MAXIMUM"), ("lo más ligero posible sin perder calidad", "EXTREME"),
-     ("comprimir al máximo", "MAXIMUM"), ("tiny file size", "MAXIMUM"), ("sin pérdida", "LOSSLESS"), ("calidad máxima", "QUALITY"),
-     ("rápido", "WEB"), ("balanceado", "BALANCED"), ("extreme", "BALANCED"), ("extremely lightweight maintaining quality", "EXTREME"),
-     ("nothing of the kind", "BALANCED")],
+    [("", "BALANCED"), ("Lossless", "LOSSLESS"), ("Compress", "MAXIMUM"), ("fotos más ligeras, pero que se vean con la misma calidad", "EXTREME"),
+     ("reduce every scan of the archive", "MAXIMUM"), ("un peso mínimo para el correo", "MAXIMUM"), ("a BIT-EXACT copy, please", "LOSSLESS"),
+     ("que quede idéntico a la vista", "QUALITY"), ("shown in a browser", "WEB"), ("algo intermedio, equilibrado", "BALANCED"), ("extreme", "BALANCED"),
+     ("extreme care for how it looks", "EXTREME"), ("nothing of the kind", "BALANCED")],
 )
 def test_goal_from_text(spark, prompt, goal):
     df = spark.createDataFrame([(prompt,)], "prompt string")
