@@ -247,3 +247,32 @@ def test_a_store_of_results_measures_each_key_once_and_goes_on_after_a_failure(s
     again, counts = results.measure_once(keyed, store, "bytes long", measure)
     assert counts == {"known": 120, "measured": 0} and again.count() == 300
     assert results.measure_once(keyed.limit(0), str(tmp_path / "none"), "bytes long", measure)[1] == {"known": 0, "measured": 0}
+
+
+def test_candidates_are_dispatched_to_the_backend_that_takes_them(spark, monkeypatch):
+    monkeypatch.setattr(codecs, "BACKENDS", {})
+
+    def half(content, candidate):
+        return content[:len(content) // 2]
+
+    def broken(content, candidate):
+        raise OSError(f"cannot write {candidate['target']}")
+
+    for backend in (codecs.Backend("z-small", 1, lambda c: c["target"] == "WEBP" and c["quality"] is not None, half),
+                    codecs.Backend("any", 5, lambda c: c["target"] in ("WEBP", "PNG"), lambda content, c: content + b"!"),
+                    codecs.Backend("a-broken", 5, lambda c: c["target"] == "AVIF" or c["quality"] / 1 > 99, broken)):
+        codecs.register_backend(backend)
+    candidates = [(1, "a", "WEBP", 80), (1, "b", "WEBP", None), (1, "c", "PNG", 90), (1, "d", "AVIF", 50), (1, "e", "GIF", 10),
+                  (2, "f", "PNG", 1), (3, "g", "WEBP", 7), (3, "h", "GIF", None)]
+    rows = spark.createDataFrame(candidates, "image_id long, candidate_id string, target string, quality int")
+    files_table = spark.createDataFrame([(1, bytearray(b"12345678")), (3, bytearray(b"xy"))], "image_id long, content binary")
+    got = {r.candidate_id: (r.backend, r.size, r.success, r.error) for r in codecs.dispatch(rows, files_table).collect()}
+    assert got == {
+        "a": ("z-small", 4, True, None), "b": (None, None, False, got["b"][3]), "c": ("any", 9, True, None),
+        "d": ("a-broken", None, False, "OSError: cannot write AVIF"), "e": (None, None, False, "no_backend"), "f": (None, None, False, "no_file"),
+        "g": ("z-small", 1, True, None), "h": (None, None, False, got["h"][3]),
+    }
+    assert got["b"][3].startswith("TypeError") and got["h"][3].startswith("TypeError")  # a backend that cannot even tell
+    kept = codecs.dispatch(rows.where("candidate_id = 'a'"), files_table, keep_bytes=True).first()
+    assert bytes(kept.content) == b"1234"
+    assert codecs.dispatch(rows.limit(0), files_table).count() == 0
