@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sizewise.dims import LADDER
 from sizewise.operators.pixels import luma
-from sizewise.operators.quality import mse_psnr, ssim_block
+from sizewise.operators.quality import psnr, ssim_block
 
 PROBE_QUALITY = 75
 
@@ -56,11 +56,38 @@ def pairs_of(rows: DataFrame, weighted: bool = True) -> DataFrame:
     return sides.withColumn("l1", l1).withColumn("l2", l2)
 
 
+def channel_histogram(pixels: DataFrame) -> DataFrame:
+    """How often each value of a colour channel (0 red, 1 green, 2 blue) occurs with each alpha: (image_id, channel, value, a, n).
+
+    Error and entropy of any quantization are sums over it, so pixels are read and shuffled once, combined before the shuffle, and not
+    once per rung. An image has at most 3 x 65,536 rows, however large it is.
+    """
+    values = F.posexplode(F.array("r", "g", "b")).alias("channel", "value")
+    return pixels.select("image_id", "a", values).groupBy("image_id", "channel", "value", "a").agg(F.count(F.lit(1)).alias("n"))
+
+
+def expand_histogram(histogram: DataFrame, ladder: list[int]) -> DataFrame:
+    levels = F.array(*[F.lit(q) for q in ladder])
+    return histogram.withColumn("q", F.explode(levels)).withColumn("step", step_of_quality(F.col("q")))
+
+
+def mse_of_histogram(rows: DataFrame) -> DataFrame:
+    """Mean squared error over four channels and PSNR per (image_id, q), of a histogram with a ``q`` and a ``step``. Alpha is not quantized."""
+
+    def seen(value: Column) -> Column:
+        return F.round(value * F.col("a") / 255.0).cast("int")
+
+    error = (seen(F.col("value")) - seen(quantized("value", F.col("step")))).cast("long")
+    n_pixels = F.sum(F.when(F.col("channel") == 0, F.col("n")))
+    mse = F.sum(error * error * F.col("n")).cast("double") / (4 * n_pixels)
+    return rows.groupBy("image_id", "q").agg(mse.alias("mse")).withColumn("psnr", psnr(F.col("mse")))
+
+
 def quantize_sweep(pixels: DataFrame, ladder: list[int] | None = None) -> DataFrame:
-    """Error and block similarity of every rung of every image."""
-    pairs = quantized_pairs(pixels, ladder or LADDER)
-    keys = ["image_id", "q"]
-    return mse_psnr(pairs, keys).join(ssim_block(pairs, keys), keys, "left")
+    """Error and block similarity of every rung of every image: errors from the histogram, blocks from the pixels."""
+    ladder = ladder or LADDER
+    errors = mse_of_histogram(expand_histogram(channel_histogram(pixels), ladder))
+    return errors.join(ssim_block(quantized_pairs(pixels, ladder), ["image_id", "q"]), ["image_id", "q"], "left")
 
 
 def rung_entropy(pixels: DataFrame, ladder: list[int] | None = None) -> DataFrame:
@@ -68,14 +95,13 @@ def rung_entropy(pixels: DataFrame, ladder: list[int] | None = None) -> DataFram
 
     With n the count of a value and N the number of pixels, a channel takes N log2 N - sum(n log2 n) bits.
     """
-    return entropy_of(expand_ladder(pixels, ladder or LADDER))
+    return entropy_of_histogram(expand_histogram(channel_histogram(pixels), ladder or LADDER))
 
 
-def entropy_of(rows: DataFrame) -> DataFrame:
-    """The same for pixels with a quality ``q`` and a quantization ``step`` each."""
-    values = F.array(*[F.round(F.col(c) / F.col("step")).cast("int") for c in ("r", "g", "b")])
-    cells = rows.select("image_id", "q", F.posexplode(values).alias("channel", "value"))
-    counts = cells.groupBy("image_id", "q", "channel", "value").agg(F.count(F.lit(1)).alias("n"))
+def entropy_of_histogram(rows: DataFrame) -> DataFrame:
+    """The same for a histogram with a ``q`` and a ``step``."""
+    value = F.round(F.col("value") / F.col("step")).cast("int").alias("level")
+    counts = rows.groupBy("image_id", "q", "channel", value).agg(F.sum("n").alias("n"))
     channels = counts.groupBy("image_id", "q", "channel").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.log2("n")).alias("weighted")
     )

@@ -9,9 +9,9 @@ from sizewise.dims import goals_table
 from sizewise.functions.profile import adaptive_target
 from sizewise.functions.scoring import needs_perceptual_metric
 from sizewise.operators.ladder import ladder_of_format, search_frontier
-from sizewise.operators.quality import mse_psnr, perceptual_damage, ssim_block
+from sizewise.operators.quality import perceptual_damage, ssim_block
 from sizewise.operators.rates import block_coefficients, lossless_bits, lossy_bits
-from sizewise.operators.sweep import pairs_of, step_of_quality
+from sizewise.operators.sweep import channel_histogram, mse_of_histogram, pairs_of, step_of_quality
 from sizewise.plans.candidates import generate_candidates
 from sizewise.plans.decide import annotate, choose, rejections
 from sizewise.session import cut_lineage
@@ -79,8 +79,10 @@ def measure_candidates(candidates: DataFrame, pixels: DataFrame) -> DataFrame:
     sizes = lossy_bits(blocks, lossy).unionByName(
         lossless_bits(pixels).select("image_id", "format", F.lit(None).cast("int").alias("step"), "bits"))
     sizes = sizes.select("image_id", F.col("format").alias("target"), F.col("step").isNull().alias("lossless"), F.coalesce("step", F.lit(1)).alias("step"), "bits")
-    pairs = distortions(pixels, planned.where("applies").select("image_id", "step"))
-    compared = mse_psnr(pairs, ["image_id", "q"]).join(ssim_block(pairs, ["image_id", "q"]), ["image_id", "q"], "left").withColumnRenamed("q", "step")
+    wanted = planned.where("applies").select("image_id", "step").distinct()
+    errors = mse_of_histogram(channel_histogram(pixels).join(wanted.withColumn("q", F.col("step")), "image_id"))
+    similar = ssim_block(distortions(pixels, wanted), ["image_id", "q"])
+    compared = errors.join(similar, ["image_id", "q"], "left").withColumnRenamed("q", "step")
     goals = goals_table(planned.sparkSession).select("goal", F.col("perceptual_gate").alias("_gate"))
     rows = planned.join(sizes, ["image_id", "target", "lossless", "step"], "left").join(compared, ["image_id", "step"], "left").join(goals, "goal", "left")
     is_lossless = F.col("lossless") | F.coalesce(F.col("mse") == 0, F.lit(False))

@@ -145,3 +145,20 @@ def test_gaussian_similarity_on_all_images(spark, sf_dir):
     assert set(got) == set(grids)
     for i, (l1, l2) in grids.items():
         assert got[i] == pytest.approx(ssim_by_hand(l1, l2)[0], abs=1e-9)
+
+
+def test_errors_and_entropy_of_all_rungs_come_from_one_histogram(spark, sf_dir):
+    from sizewise.operators import quality as Q
+    from sizewise.operators import sweep as S
+
+    pixels = D.pixels(spark, sf_dir)
+    ladder = [100, 85, 40, 3]
+    pairs = Q.mse_psnr(S.quantized_pairs(pixels, ladder), ["image_id", "q"])
+    direct = {(r.image_id, r.q): r.mse for r in pairs.collect()}
+    histogram = S.expand_histogram(S.channel_histogram(pixels), ladder)
+    got = {(r.image_id, r.q): r.mse for r in S.mse_of_histogram(histogram).collect()}
+    assert got == direct
+    # The pixels are shuffled once, as counts; what follows are sums of counts.
+    plan = S.mse_of_histogram(histogram)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "partial_count" in plan and plan.count("FileScan") == 1
+    assert S.rung_entropy(pixels.limit(0), ladder).count() == 0
