@@ -170,64 +170,84 @@ def search_with_codec(
 
 
 def search_frontier(
-    searches: DataFrame, measure: Callable[[DataFrame], DataFrame], keys: tuple[str, ...], by: tuple[str, ...]
+    searches: DataFrame, measure: Callable[[DataFrame], DataFrame], keys: tuple[str, ...], by: tuple[str, ...], ahead: int = 1
 ) -> DataFrame:
     """Many searches at once, each with its own ladder and target, measuring only the rungs that are asked for.
 
     ``searches`` has the ``keys``, a ``target`` and a ``ladder`` (descending array). ``by`` names the keys that a measurement depends
     on; ``measure`` takes distinct rows (``by``, q) and returns (``by``, q, size, damage). The open searches are a table of brackets
     with the rung that each wants next; a round measures the rungs that nobody has asked for before, joins them once and moves every
-    bracket. Rounds are checkpointed, at most one per rung of the longest ladder and bisection step.
+    bracket as far as the known rungs take it. With ``ahead`` above 1 a search asks for so many rungs of its ladder at a time, and for the
+    middles of both halves of a bracket: fewer rounds for more measurements, the same result. Rounds are checkpointed.
 
     Returns the keys, q, size, damage, ``n_tried`` and ``converged``. Without any rung under the target it is the first miss; a search
     whose rung is not measured ends with what it has, without anything it has a NULL q.
     """
-    rung = F.struct("size", "damage", F.col("q").alias("q"))
     no_rung = F.lit(None).cast("struct<size: bigint, damage: double, q: int>")
     no_q = F.lit(None).cast("int")
-    active = searches.select(
-        *keys, "target", "ladder", F.lit(0).alias("pos"), F.get("ladder", F.lit(0)).cast("int").alias("q"), no_q.alias("lo"), no_q.alias("hi"),
-        no_rung.alias("best"), no_rung.alias("miss"), F.lit(0).alias("n_tried"), F.lit(0).alias("steps"),
+    begin = F.struct(
+        F.lit(0).alias("pos"), F.get("ladder", F.lit(0)).cast("int").alias("q"), no_q.alias("lo"), no_q.alias("hi"), no_rung.alias("best"),
+        no_rung.alias("miss"), F.lit(0).alias("n_tried"), F.lit(0).alias("steps"),
     )
-    active = cut_lineage(active)
+    active = cut_lineage(searches.select(*keys, "target", F.col("ladder").cast("array<int>").alias("ladder"), begin.alias("s")))
     known, done = None, []
     while not active.isEmpty():
-        asked = active.where("q IS NOT NULL").select(*by, "q").distinct()
+        asked = active.select(*by, F.explode(_wanted(ahead)).alias("q")).where("q IS NOT NULL").distinct()
         new = asked if known is None else asked.join(known, [*by, "q"], "left_anti")
         new = cut_lineage(measure(new).select(*by, "q", F.col("size").cast("long").alias("size"), F.col("damage").cast("double").alias("damage")))
         known = new if known is None else known.unionByName(new)
-        active = cut_lineage(_next_rung(active.join(known, [*by, "q"], "left"), keys, rung))
-        done.append(active.where("q IS NULL"))
-        active = active.where("q IS NOT NULL")
+        # The rungs of one picture and format: no more than a ladder and its middles.
+        rungs = known.where("damage IS NOT NULL").groupBy(*by).agg(
+            F.map_from_entries(F.collect_list(F.struct("q", F.struct("size", "damage")))).alias("_known"))
+        moved = F.aggregate(F.sequence(F.lit(1), F.lit(ahead + 2 if ahead > 1 else 1)), F.col("s"), _moved)
+        active = cut_lineage(active.join(rungs, [*by], "left").select(*keys, "target", "ladder", moved.alias("s")))
+        done.append(active.where("s.q IS NULL"))
+        active = active.where("s.q IS NOT NULL")
     if not done:
         done = [active]
     every = done[0]
     for part in done[1:]:
         every = every.unionByName(part)
-    found = F.coalesce("best", "miss")
+    found = F.coalesce("s.best", "s.miss")
     return every.select(
-        *keys, found["q"].alias("q"), found["size"].alias("size"), found["damage"].alias("damage"), "n_tried",
-        F.col("best").isNotNull().alias("converged"),
+        *keys, found["q"].alias("q"), found["size"].alias("size"), found["damage"].alias("damage"), F.col("s.n_tried").alias("n_tried"),
+        F.col("s.best").isNotNull().alias("converged"),
     )
 
 
-def _next_rung(rows: DataFrame, keys: tuple[str, ...], rung: Column) -> DataFrame:
-    """Brackets after a measurement (size, damage) of rung ``q``: what is wanted next, NULL if nothing."""
-    measured, ok = F.col("damage").isNotNull(), F.coalesce(F.col("damage") < F.col("target"), F.lit(False))
-    scanning, miss = F.col("steps") == 0, measured & ~ok
-    after = (
-        rows.withColumn("best", F.when(ok, F.least("best", rung)).otherwise(F.col("best")))
-        .withColumn("miss", F.when(miss & scanning, rung).otherwise(F.col("miss")))
-        .withColumn("n_tried", F.col("n_tried") + measured.cast("int"))
-        .withColumn("hi", F.when(ok, F.col("q")).otherwise(F.col("hi")))
-        .withColumn("lo", F.when(miss, F.col("q")).otherwise(F.col("lo")))
-        .withColumn("pos", F.when(scanning & ok, F.col("pos") + 1).otherwise(F.col("pos")))
-    )
-    mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-    room = F.when(scanning, F.col("hi") > F.col("lo") + BISECT_GAP).otherwise((mid > F.col("lo")) & (F.col("steps") < BISECT_STEPS))
-    further = F.when(scanning & ok, F.get("ladder", F.col("pos")).cast("int")).when(measured & room, mid)
-    bisecting = measured & ~(scanning & ok)
-    return after.select(
-        *keys, "target", "ladder", "pos", further.alias("q"), "lo", "hi", "best", "miss", "n_tried",
-        F.when(bisecting, F.col("steps") + 1).otherwise(F.col("steps")).alias("steps"),
+def _middle(lo: Column, hi: Column) -> Column:
+    return F.floor((lo + hi) / 2).cast("int")
+
+
+def _wanted(ahead: int) -> Column:
+    """The rungs that a search asks for in a round."""
+    if ahead == 1:
+        return F.array("s.q")
+    q, lo, hi = F.col("s.q"), F.col("s.lo"), F.col("s.hi")
+    return F.when(F.col("s.steps") == 0, F.slice("ladder", F.col("s.pos") + 1, F.lit(ahead))).otherwise(
+        F.array(q, F.when(F.col("s.steps") < BISECT_STEPS, _middle(lo, q)), F.when(F.col("s.steps") < BISECT_STEPS, _middle(q, hi))))
+
+
+def _moved(s: Column, turn: Column) -> Column:
+    """A bracket after the measurement of the rung it wants: what it wants next, NULL if nothing. In later turns of a round a rung
+    that is not known is waited for."""
+    m = F.try_element_at(F.col("_known"), s["q"])
+    target, scanning = F.col("target"), s["steps"] == 0
+    there = F.coalesce(m["damage"].isNotNull(), F.lit(False))
+    ok = F.coalesce(m["damage"] < target, F.lit(False))
+    miss = there & ~ok
+    rung = F.struct(m["size"].alias("size"), m["damage"].alias("damage"), s["q"].alias("q"))
+    lo, hi = F.when(miss, s["q"]).otherwise(s["lo"]), F.when(ok, s["q"]).otherwise(s["hi"])
+    pos = F.when(scanning & ok, s["pos"] + 1).otherwise(s["pos"])
+    mid = _middle(lo, hi)
+    room = F.when(scanning, hi > lo + BISECT_GAP).otherwise((mid > lo) & (s["steps"] < BISECT_STEPS))
+    after = F.struct(
+        pos.alias("pos"),
+        F.when(scanning & ok, F.get("ladder", pos)).when(there & room, mid).alias("q"),
+        lo.alias("lo"), hi.alias("hi"),
+        F.when(ok, F.least(s["best"], rung)).otherwise(s["best"]).alias("best"),
+        F.when(miss & scanning, rung).otherwise(s["miss"]).alias("miss"),
+        (s["n_tried"] + there.cast("int")).alias("n_tried"),
+        F.when(there & ~(scanning & ok), s["steps"] + 1).otherwise(s["steps"]).alias("steps"),
     )
+    return F.when(s["q"].isNull() | ((turn > 1) & ~there), s).otherwise(after)

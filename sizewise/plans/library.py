@@ -20,6 +20,8 @@ from sizewise.session import cut_lineage
 HEADER_BYTES = 64
 # A lossy candidate without a quality is measured at this one.
 SOURCE_QUALITY = 90
+# Rungs that a search asks for at a time: measuring one more is cheaper here than another round.
+RUNGS_AHEAD = 4
 
 
 def bytes_of(bits: Column) -> Column:
@@ -49,7 +51,7 @@ def search_qualities(planned: DataFrame, pixels: DataFrame, blocks: DataFrame) -
         rows = stepped.join(sizes, ["image_id", "format", "step"]).join(damage, ["image_id", "step"])
         return rows.select("image_id", "format", "q", bytes_of(F.col("bits")).alias("size"), "damage")
 
-    found = search_frontier(searches, measure, ("image_id", "goal", "format"), ("image_id", "format"))
+    found = search_frontier(searches, measure, ("image_id", "goal", "format"), ("image_id", "format"), RUNGS_AHEAD)
     return found.withColumnRenamed("format", "target")
 
 

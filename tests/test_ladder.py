@@ -1,5 +1,6 @@
 """Quality ladder search against a step-by-step loop, and with a codec that measures on demand."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from sizewise import datasets as D
@@ -92,7 +93,8 @@ def test_search_with_a_codec_measures_only_what_it_needs(spark, sf_dir):
     assert sum(asked) == sum(n for _, _, n in expected.values())
 
 
-def test_frontier_of_searches_with_ladders_and_targets_of_their_own(spark, sf_dir):
+@pytest.mark.parametrize("ahead", [1, 3])
+def test_frontier_of_searches_with_ladders_and_targets_of_their_own(spark, sf_dir, ahead):
     rows, table = rung_table(spark, sf_dir)
     formats = {"AVIF": [80, 60, 40, 20], "JPEG": LADDER}
     searches = rows.select("image_id").distinct().crossJoin(
@@ -104,7 +106,7 @@ def test_frontier_of_searches_with_ladders_and_targets_of_their_own(spark, sf_di
         asked.extend((r.image_id, r.format, r.q) for r in wanted.collect())
         return wanted.join(rows, ["image_id", "q"])
 
-    got = search_frontier(searches, measure, ("image_id", "goal", "format"), ("image_id", "format")).collect()
+    got = search_frontier(searches, measure, ("image_id", "goal", "format"), ("image_id", "format"), ahead).collect()
     for goal, fmt, target in (("a", "JPEG", 1.5), ("b", "JPEG", 2.4), ("b", "AVIF", 0.9), ("c", "AVIF", 1.5)):
         found = {r.image_id: (r.q, r.converged, r.n_tried) for r in got if (r.goal, r.format) == (goal, fmt)}
         assert found == {i: by_hand_on(t, target, formats[fmt]) for i, t in table.items()}
