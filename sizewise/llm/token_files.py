@@ -29,7 +29,7 @@ LANES, BLOCK_TOKENS, CHECK_STEPS = 32, 1 << 15, 512
 #: A frame is closed at so many tokens; a text is never cut. Tokens of a partition of files, about.
 FRAME_TOKENS, PART_TOKENS = 1 << 20, 1 << 22
 #: Bytes of text encoded together, about, pieces of text whose ids a worker remembers, and new ones put together in a call.
-CALL_BYTES, REMEMBERED, TOGETHER = 8 << 20, 500_000, 64
+CALL_BYTES, REMEMBERED, TOGETHER = 12 << 20, 600_000, 64
 _HEADER = struct.Struct("<4sIIIIIQII")
 
 
@@ -280,7 +280,9 @@ class PieceTokenizer:
         out = np.full(cut[-1], end_id, "<u4")
         inside = np.ones(len(out), bool)
         inside[cut[1:] - 1] = False
-        out[inside] = ids[np.arange(size.sum()) + np.repeat(start - (size.cumsum() - size), size)]
+        # Numbers of 32 bits, since a call has far fewer tokens.
+        shift = (start - (size.cumsum() - size)).astype(np.int32)
+        out[inside] = ids[np.arange(size.sum(), dtype=np.int32) + np.repeat(shift, size)]
         return out, cut
 
 
@@ -298,7 +300,7 @@ def _tokenized(texts: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task per core
-        tokenizer, pack = _remembering(shared.value), zstandard.ZstdCompressor(level=3).compress
+        tokenizer, pack = _remembering(shared.value), zstandard.ZstdCompressor(level=1).compress
         counts = np.zeros(0, np.int64)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
